@@ -1,7 +1,8 @@
 """Canonical row text, row hashes and order-free digests.
 
 A row's text joins the cells of its columns in name order with the unit separator. Nulls stay
-visible and text carries its length, so two different rows never share a text.
+visible and text carries its length, so two different rows never share a text. The expressions are
+built as SQL text: one call into the JVM per row hash however wide the table is.
 """
 
 from collections.abc import Sequence
@@ -9,69 +10,79 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.text import quoted
-
-NULL_CELL = "\\N"
-CELL_BREAK = "\x1f"
-ITEM_BREAK = "\x1e"
-FLOAT_SCALE = float(2 ** 60)
-FLOAT_FINEST = float(2 ** -36)
+NULL_CELL = r"r'\N'"
+CELL_BREAK = "char(31)"
+ITEM_BREAK = "char(30)"
+FLOAT_SCALE = f"{2 ** 60}D"
+FLOAT_FINEST = f"{2.0 ** -36!r}D"
 LIMB_BITS = 20
+HALVES = 2
+LIMBS = 3
+
+
+def name_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def cell_text(value: Column, dtype: T.DataType) -> Column:
-    return F.coalesce(_present(value, dtype), F.lit(NULL_CELL))
+def cell_sql(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL text of one cell's canonical text."""
+    return f"coalesce({_present(value, dtype, depth)}, {NULL_CELL})"
 
 
-def _present(value: Column, dtype: T.DataType) -> Column:
+def _present(value: str, dtype: T.DataType, depth: int) -> str:
+    item = f"x{depth}"
     if isinstance(dtype, T.StringType):
-        return F.concat(F.length(value).cast("string"), F.lit(":"), value)
+        return f"concat(length({value}), ':', {value})"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(value)
+        return f"hex({value})"
     if isinstance(dtype, T.FloatType):
         # a 24-bit mantissa scaled by a power of two is a whole number: exact, and no float printing
-        wide = value.cast("double")
-        exact = (wide == 0) | ((F.abs(wide) >= FLOAT_FINEST) & (F.abs(wide) < 4))
-        return F.when(exact, (wide * FLOAT_SCALE).cast("bigint").cast("string")).otherwise(
-            F.concat(F.lit("f"), value.cast("string")))
+        wide = f"cast({value} as double)"
+        return (f"case when {wide} = 0 or (abs({wide}) >= {FLOAT_FINEST} and abs({wide}) < 4) "
+                f"then cast(cast({wide} * {FLOAT_SCALE} as bigint) as string) else concat('f', cast({value} as string)) end")
     if isinstance(dtype, T.ArrayType):
-        items = F.transform(value, lambda x: cell_text(x, dtype.elementType))
-        return F.concat(F.lit("["), F.concat_ws(ITEM_BREAK, items), F.lit("]"))
+        cells = cell_sql(item, dtype.elementType, depth + 1)
+        return f"concat('[', concat_ws({ITEM_BREAK}, transform({value}, {item} -> {cells})), ']')" \
+               f" || if({value} is null, null, '')"
     if isinstance(dtype, T.StructType):
-        fields = [cell_text(value.getField(f.name), f.dataType) for f in dtype.fields]
-        return F.when(value.isNotNull(), F.concat(F.lit("("), F.concat_ws(ITEM_BREAK, *fields), F.lit(")")))
+        cells = [cell_sql(f"{value}.{name_sql(f.name)}", f.dataType, depth) for f in dtype.fields]
+        return f"if({value} is null, null, concat('(', concat_ws({ITEM_BREAK}, {', '.join(cells)}), ')'))"
     if isinstance(dtype, T.MapType):
         entry = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
-        items = F.transform(F.map_entries(value), lambda e: cell_text(e, entry))
-        return F.concat(F.lit("{"), F.concat_ws(ITEM_BREAK, F.array_sort(items)), F.lit("}"))
+        cells = cell_sql(item, entry, depth + 1)
+        return f"if({value} is null, null, concat('{{', concat_ws({ITEM_BREAK}, " \
+               f"array_sort(transform(map_entries({value}), {item} -> {cells}))), '}}'))"
     if isinstance(dtype, T.VariantType):
-        return F.to_json(value)
-    return value.cast("string")
+        return f"to_json({value})"
+    return f"cast({value} as string)"
 
 
-def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    names = sorted(columns if columns is not None else df.columns)
+def hash_sql(df: DataFrame, columns: Sequence[str] | None = None) -> str:
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.concat_ws(CELL_BREAK, *[cell_text(quoted(n), types[n]) for n in names])
+    names = sorted(columns if columns is not None else types)
+    return f"md5(concat_ws({CELL_BREAK}, {', '.join(cell_sql(name_sql(n), types[n]) for n in names)}))"
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """md5 of the row text, as 32 hex digits."""
-    return F.md5(row_text(df, columns))
+    return F.expr(hash_sql(df, columns))
+
+
+def half_sql(hash_column: str, half: int) -> str:
+    """15 hex digits of a hash as a whole number below 2**60."""
+    return f"cast(conv(substring({hash_column}, {1 + 15 * half}, 15), 16, 10) as bigint)"
 
 
-def digest_limbs(hash_hex: Column, halves: int = 2) -> list[Column]:
-    """The first 30 hex digits of a hash as whole numbers below 2**20, three per 60-bit half.
+def limb_sql(half_column: str, limb: int) -> str:
+    """20 of the 60 bits of a half.
 
     Sums of limbs do not depend on row order and, unlike xor, equal rows do not cancel. They stay in
     plain bigint arithmetic for up to 2**43 rows per group.
     """
-    numbers = [F.conv(F.substring(hash_hex, 1 + 15 * h, 15), 16, 10).cast("bigint") for h in range(halves)]
-    mask = F.lit((1 << LIMB_BITS) - 1)
-    return [F.shiftright(n, LIMB_BITS * i).bitwiseAND(mask) for n in numbers for i in range(3)]
+    return f"(shiftright({half_column}, {LIMB_BITS * limb}) & {(1 << LIMB_BITS) - 1}L)"
 
 
-def digest_value(limb_sums: list[Column]) -> Column:
+def digest_value(limb_sums: Sequence[Column]) -> Column:
     """The exact sum of one 60-bit half from the sums of its three limbs."""
     wide = [s.cast("decimal(20,0)") * F.lit(Decimal(1 << (LIMB_BITS * i))) for i, s in enumerate(limb_sums)]
     return (wide[0] + wide[1] + wide[2]).cast("decimal(38,0)")

@@ -1,7 +1,6 @@
 """Keyed building blocks that stay balanced when one key holds a large share of the rows."""
 
 from collections.abc import Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,7 +11,10 @@ SALTS = 16
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """Union by name, pairwise, so that no branch is analyzed more than a few times."""
+    while len(parts) > 1:
+        parts = [a.unionByName(*b) if b else a for a, *b in (parts[i:i + 2] for i in range(0, len(parts), 2))]
+    return parts[0]
 
 
 def local_rows(spark: SparkSession, rows: Sequence[Sequence], schema: pa.Schema) -> DataFrame:

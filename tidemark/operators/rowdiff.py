@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.functions.canon import cell_text, digest_limbs, row_hash
+from tidemark.functions.canon import LIMBS, cell_sql, half_sql, hash_sql, limb_sql, name_sql
 from tidemark.functions.text import quoted
 
 
@@ -27,18 +27,16 @@ def row_diff(
     names = _compared(src, dst, columns)
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        hashed = df.select(*[quoted(k) for k in key], row_hash(df, names).alias("_hash"))
-        return hashed.select(
-            *[quoted(k) for k in key],
-            F.lit(int(sign > 0)).cast("bigint").alias("source_rows"),
-            F.lit(int(sign < 0)).cast("bigint").alias("dest_rows"),
-            *[(limb * sign).alias(f"_d{i}") for i, limb in enumerate(digest_limbs(F.col("_hash"), halves=1))],
-        )
-
-    per_key = side(src, 1).unionByName(side(dst, -1)).groupBy(*[quoted(k) for k in key]).agg(
-        F.sum("source_rows").alias("source_rows"), F.sum("dest_rows").alias("dest_rows"),
-        *[F.sum(f"_d{i}").alias(f"_d{i}") for i in range(3)],
-    )
+        # hash, number and limbs are projected one after the other, so each is computed once per row
+        hashed = df.selectExpr(*keys, f"{hash_sql(df, names)} as _hash")
+        numbers = hashed.selectExpr(*keys, f"{half_sql('_hash', 0)} as _half")
+        return numbers.selectExpr(
+            *keys, f"{int(sign > 0)}L as source_rows", f"{int(sign < 0)}L as dest_rows",
+            *[f"{limb_sql('_half', i)} * {sign} as _d{i}" for i in range(LIMBS)])
+
+    keys = [name_sql(k) for k in key]
+    per_key = side(src, 1).unionByName(side(dst, -1)).groupBy(*[quoted(k) for k in key]).agg(*[
+        F.expr(f"sum({c}) as {c}") for c in ("source_rows", "dest_rows", *[f"_d{i}" for i in range(LIMBS)])])
     status = (
         F.when(F.col("dest_rows") == 0, "missing_in_dest")
         .when(F.col("source_rows") == 0, "missing_in_source")
@@ -71,15 +69,15 @@ def column_changes(
     names = [n for n in _compared(src, dst, columns) if n not in key]
     types = {f.name: f.dataType for f in src.schema.fields}
 
-    def cell(name: str):
+    def cell(name: str) -> str:
         if isinstance(types[name], T.AtomicType):
-            return F.xxhash64(F.isnull(quoted(name)), quoted(name))
-        return F.xxhash64(cell_text(quoted(name), types[name]))
+            return f"xxhash64({name_sql(name)} is null, {name_sql(name)})"
+        return f"xxhash64({cell_sql(name_sql(name), types[name])})"
 
     def side(df: DataFrame, is_source: int) -> DataFrame:
-        return df.select(
-            *[quoted(k) for k in key], F.lit(is_source).cast("bigint").alias("_s"),
-            *[cell(n).alias(f"_c{i}") for i, n in enumerate(names)])
+        return df.selectExpr(
+            *[name_sql(k) for k in key], f"{is_source}L as _s",
+            *[f"{cell(n)} as _c{i}" for i, n in enumerate(names)])
 
     per_key = side(src, 1).unionByName(side(dst, 0)).groupBy(*[quoted(k) for k in key]).agg(
         F.sum("_s").alias("_s"), F.count("*").alias("_n"),

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fixed
-from tidemark.functions.canon import digest_limbs, digest_value, row_hash
+from tidemark.functions.canon import (
+    HALVES, LIMBS, digest_value, half_sql, hash_sql, limb_sql, name_sql, row_hash)
 from tidemark.functions.text import quoted, signed_thousands, thousands
 from tidemark.operators.keyed import local_rows, union_all
 
 PAIR = ["source_table", "dest_table"]
-LIMBS = [f"_d{i}" for i in range(6)]
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,6 @@ class TablePair:
         return fixed.VERIFICATION_LEVELS.get(level, fixed.VERIFICATION_LEVELS[fixed.DEFAULT_LEVEL])
 
 
-def _literal(value, dtype: str) -> Column:
-    return F.lit(value).cast(dtype)
-
-
 def pair_totals(
     pairs: Sequence[TablePair], digest: Sequence[TablePair] = (), maxima: Sequence[TablePair] = (),
 ) -> DataFrame:
@@ -56,44 +52,42 @@ def pair_totals(
     slots = max([len(p.sequences) for p in maxima], default=0)
 
     def side(pair: TablePair, df: DataFrame, is_source: bool) -> DataFrame:
-        hashed = pair in digest
-        if hashed:
-            halves = digest_limbs(F.col("_hash"))
-            # the hash is projected first so that it is computed once per row
-            df = df.select(*df.columns, row_hash(df, pair.compared()).alias("_hash"))
         columns = [
-            F.lit(pair.source_table).alias("source_table"), F.lit(pair.dest_table).alias("dest_table"),
-            _literal(int(is_source), "bigint").alias("source"), _literal(int(not is_source), "bigint").alias("dest"),
-        ]
-        if digest:
-            limbs = halves if hashed else [_literal(0, "bigint")] * 6
-            columns += [(x if is_source == want else _literal(0, "bigint")).alias(f"{name}{'s' if want else 't'}")
-                        for want in (True, False) for name, x in zip(LIMBS, limbs)]
+            f"{_text(pair.source_table)} as source_table", f"{_text(pair.dest_table)} as dest_table",
+            f"{int(is_source)}L as source", f"{int(not is_source)}L as dest"]
         named = [c for c, _ in pair.sequences] if pair in maxima and not is_source else []
-        columns += [
-            (quoted(named[i]).cast("bigint") if i < len(named) else _literal(None, "bigint")).alias(f"_max{i}")
-            for i in range(slots)]
-        return df.select(*columns)
+        maximum = [
+            f"cast({name_sql(named[i]) if i < len(named) else 'null'} as bigint) as _max{i}" for i in range(slots)]
+        if pair not in digest:
+            zeros = [f"0L as _d{h}{i}{s}" for h in range(HALVES) for i in range(LIMBS) for s in "st"]
+            return df.selectExpr(*columns, *maximum, *(zeros if digest else []))
+        # hash, halves and limbs are projected one after the other, so each is computed once per row
+        hashed = df.selectExpr(*columns, *maximum, f"{hash_sql(df, pair.compared())} as _hash")
+        kept = [c for c in hashed.columns if c != "_hash"]
+        halves = hashed.selectExpr(*kept, *[f"{half_sql('_hash', h)} as _h{h}" for h in range(HALVES)])
+        return halves.selectExpr(*kept, *[
+            f"{limb_sql(f'_h{h}', i) if is_source == (s == 's') else '0L'} as _d{h}{i}{s}"
+            for h in range(HALVES) for i in range(LIMBS) for s in "st"])
 
     seeds = local_rows(
         spark, [(p.source_table, p.dest_table, 0, 0) for p in pairs],
         pa.schema([("source_table", pa.string()), ("dest_table", pa.string()),
                    ("source", pa.int64()), ("dest", pa.int64())]))
-    if digest:
-        seeds = seeds.select("*", *[_literal(0, "bigint").alias(f"{n}{s}") for s in "st" for n in LIMBS])
-    seeds = seeds.select("*", *[_literal(None, "bigint").alias(f"_max{i}") for i in range(slots)])
+    limbs = [f"_d{h}{i}{s}" for h in range(HALVES) for i in range(LIMBS) for s in "st"] if digest else []
+    seeds = seeds.selectExpr("*", *[f"cast(null as bigint) as _max{i}" for i in range(slots)], *[f"0L as {c}" for c in limbs])
     rows = union_all([seeds] + [side(p, df, is_src) for p in pairs for df, is_src in ((p.source, True), (p.dest, False))])
-    totals = rows.groupBy(*PAIR).agg(
-        F.sum("source").alias("source"), F.sum("dest").alias("dest"),
-        *([F.sum(f"{n}{s}").alias(f"{n}{s}") for s in "st" for n in LIMBS] if digest else []),
-        *[F.max(f"_max{i}").alias(f"_max{i}") for i in range(slots)])
+    totals = rows.groupBy(*PAIR).agg(*[
+        F.expr(f"{'max' if c.startswith('_max') else 'sum'}({c}) as {c}") for c in rows.columns if c not in PAIR])
     if not digest:
         return totals
     values = [
-        digest_value([F.col(f"_d{3 * half + i}{side}") for i in range(3)]).cast("string").alias(name)
-        for half, side, name in ((0, "s", "source_high"), (1, "s", "source_low"),
-                                 (0, "t", "dest_high"), (1, "t", "dest_low"))]
-    return totals.select(*PAIR, "source", "dest", *[f"_max{i}" for i in range(slots)], *values)
+        digest_value([F.col(f"_d{h}{i}{s}") for i in range(LIMBS)]).cast("string").alias(f"{side_name}_{half_name}")
+        for s, side_name in (("s", "source"), ("t", "dest")) for h, half_name in enumerate(("high", "low"))]
+    return totals.select(*[c for c in totals.columns if c not in limbs], *values)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 # --- row count ---------------------------------------------------------------------------------------
@@ -164,14 +158,10 @@ def _sampled(df: DataFrame, key: Sequence[str], seed: str, columns: Sequence[str
     hashed = top.select(*[quoted(k) for k in key], "_order", row_hash(top, columns).alias("row_hash"))
     wanted = sample_size(df.agg(F.count("*").alias("n")).scalar())
     # row_number over the at most SAMPLE_CEILING rows left by the limit
-    numbered = hashed.selectExpr("*", f"row_number() over (order by _order, {_names(key)}, row_hash) as rn")
+    numbered = hashed.selectExpr("*", f"row_number() over (order by _order, {", ".join(map(name_sql, key))}, row_hash) as rn")
     return numbered.filter(F.col("rn") <= wanted)
 
 
-def _names(columns: Sequence[str]) -> str:
-    return ", ".join("`" + c.replace("`", "``") + "`" for c in columns)
-
-
 def sample_keys(df: DataFrame, key: Sequence[str], seed: str = "0", columns: Sequence[str] | None = None) -> DataFrame:
     """The repeatable key sample of a table: 1 % of the rows, at least 100, at most 1000."""
     names = list(columns) if columns is not None else df.columns

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("parity",)
+MODULES = ("parity", "catalogs", "mappings")
 
 
 def load_all() -> None:

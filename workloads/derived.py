@@ -5,6 +5,7 @@ another derived table.
 """
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -211,10 +212,16 @@ def _names(text: str) -> list[str]:
     return list(dict.fromkeys(PLACE.findall(text)))
 
 
+@lru_cache(maxsize=256)
+def _given(spark: SparkSession, path: str) -> DataFrame:
+    """The handle of a file, so that its footer is read once per session; rows are read by every query."""
+    return scan(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table."""
     if name in GIVEN:
-        return scan(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return _given(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
     text = DERIVED[name]
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in _names(text)})
 
