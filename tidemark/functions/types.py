@@ -1,7 +1,6 @@
 """The normalized type vocabulary."""
 
 import re
-from itertools import chain
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -10,6 +9,11 @@ from tidemark.fixed_values import TYPE_WORDS
 WORD_OF_NATIVE = {native: word for word, natives in TYPE_WORDS.items() for native in natives}
 
 
+def text_map(entries: dict[str, str]) -> Column:
+    """A fixed lookup table as a map expression."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in entries.items()) + ")")
+
+
 def base_type(native: Column) -> Column:
     """Native type in lower case without a trailing parameter list."""
     lowered = F.regexp_replace(F.lower(native), r"^\s+|\s+$", "")
@@ -19,10 +23,9 @@ def base_type(native: Column) -> Column:
 def normalize_type(native: Column) -> Column:
     """Native type text to one word of the vocabulary; anything unlisted is ``unknown``."""
     base = base_type(native)
-    words = F.create_map(*[F.lit(x) for x in chain.from_iterable(WORD_OF_NATIVE.items())])
     return (
         F.when(base.endswith("[]") | base.startswith("_"), "array")
-        .otherwise(F.coalesce(words[base], F.lit("unknown")))
+        .otherwise(F.coalesce(text_map(WORD_OF_NATIVE)[base], F.lit("unknown")))
     )
 
 

@@ -143,38 +143,38 @@ def plan_state(plan: DataFrame, source_tables: DataFrame, dest_tables: DataFrame
     return _known(known, dest_tables, "dest_table", "dest_rows")
 
 
-def source_table_missing(state: DataFrame) -> DataFrame:
-    return finding(state.filter("source_rows is null"), "preflight.source_table_missing",
-                   F.col("source_table"), target=_table(F.col("source_table")))
+def plan_findings(state: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
+    """The findings about each planned table, or only those with the given codes, in one pass over the plan.
 
-
-def dest_table_missing(state: DataFrame) -> DataFrame:
-    return finding(state.filter("source_rows is not null and dest_rows is null"), "preflight.dest_table_missing",
-                   F.col("dest_table"), target=_table(F.col("dest_table")))
-
-
-def _writable(state: DataFrame, mode: str) -> DataFrame:
-    return state.filter((F.col("conflict_mode") == mode) & F.col("source_rows").isNotNull() & (F.col("dest_rows") > 0))
-
-
-def dest_not_empty(state: DataFrame) -> DataFrame:
-    return finding(_writable(state, "abort"), "preflight.dest_not_empty",
-                   F.col("dest_table"), target=_table(F.col("dest_table")))
-
-
-def will_truncate(state: DataFrame) -> DataFrame:
-    return finding(_writable(state, "truncate"), "preflight.will_truncate",
-                   F.col("dest_table"), thousands(F.col("dest_rows")), target=_table(F.col("dest_table")))
+    A table missing on the source gets no other finding, one missing on the destination no later one.
+    """
+    source, dest = F.col("source_table"), F.col("dest_table")
+    present = F.col("source_rows").isNotNull() & (F.col("dest_rows") > 0)
+    rows = thousands(F.col("dest_rows"))
+    mode = F.col("conflict_mode")
+    rules = {
+        "preflight.source_table_missing": (F.col("source_rows").isNull(), [source], source),
+        "preflight.dest_table_missing": (
+            F.col("source_rows").isNotNull() & F.col("dest_rows").isNull(), [dest], dest),
+        "preflight.dest_not_empty": (present & (mode == "abort"), [dest], dest),
+        "preflight.will_truncate": (present & (mode == "truncate"), [dest, rows], dest),
+        "preflight.will_append": (present & (mode == "append"), [dest, rows], dest),
+    }
+
+    def entry(code: str) -> Column:
+        condition, values, target = rules[code]
+        severity, template = fixed.FINDINGS[code]
+        return F.when(condition, F.struct(
+            F.lit(severity).alias("severity"), F.lit(code).alias("code"),
+            F.format_string(template, *values).alias("message"), _table(target).alias("target")))
+
+    return state.select(F.inline(F.array_compact(F.array(*[entry(c) for c in codes or rules]))))
 
 
 def would_truncate_counts(state: DataFrame) -> DataFrame:
     """Rows that a run would wipe, per destination table."""
-    return _writable(state, "truncate").groupBy("dest_table").agg(F.max("dest_rows").alias("rows_lost"))
-
-
-def will_append(state: DataFrame) -> DataFrame:
-    return finding(_writable(state, "append"), "preflight.will_append",
-                   F.col("dest_table"), thousands(F.col("dest_rows")), target=_table(F.col("dest_table")))
+    wiped = state.filter("conflict_mode = 'truncate' and source_rows is not null and dest_rows > 0")
+    return wiped.groupBy("dest_table").agg(F.max("dest_rows").alias("rows_lost"))
 
 
 def no_mapped_columns(plan: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -205,10 +205,7 @@ def preflight(
 ) -> DataFrame:
     """All findings about one plan."""
     state = plan_state(plan, source_tables, dest_tables)
-    parts = [
-        no_tables(plan), source_table_missing(state), dest_table_missing(state), dest_not_empty(state),
-        will_truncate(state), will_append(state), no_mapped_columns(plan, mappings),
-    ]
+    parts = [no_tables(plan), plan_findings(state), no_mapped_columns(plan, mappings)]
     if foreign_keys:
         spark = plan.sparkSession
         listed = local_rows(

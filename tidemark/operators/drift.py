@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import qualified
 from tidemark.operators.keyed import lookup_join, union_all
+from tidemark.sources.storage import use_checkpoints
 
 DRIFT = ["comparison_id", "table_label", "column_name", "kind", "source_value", "dest_value", "phase", "kind_rank"]
 
@@ -170,8 +171,10 @@ def comparison_report(
     ``snapshots`` has snapshot_id, label, table_count, view_count, policy_count; ``notes`` is a lint report
     with guidance per snapshot. Order by comparison_id, section_rank, item, rank, detail for reading.
     """
-    presence = table_presence(tables, comparisons)
-    drift = schema_drift(columns, tables, comparisons)
+    use_checkpoints(comparisons.sparkSession)
+    # both feed several sections, so they are computed once and written to the shared folder
+    presence = table_presence(tables, comparisons).checkpoint()
+    drift = schema_drift(columns, tables, comparisons).checkpoint()
     scope = _scope(comparisons)
 
     def section(df: DataFrame, rank: int, name: str, item: Column, detail: Column, order: Column | None = None):

@@ -4,12 +4,10 @@ mappings: comparison_id, source_table, source_column, dest_table, dest_column, s
 default_dest_type, override_dest_type, is_lossy, skip, notes
 """
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fixed
-from tidemark.functions.types import normalize_type
+from tidemark.functions.types import normalize_type, text_map
 from tidemark.operators.drift import in_scope
 from tidemark.operators.keyed import lookup_join
 
@@ -24,8 +22,7 @@ def default_dest_type(
     source_engine: Column, native: Column, normalized: Column, dest_engine: Column,
 ) -> Column:
     """The source's own type between equal engines, else the registry's choice."""
-    registry = F.create_map(*[F.lit(x) for x in chain.from_iterable(fixed.DEFAULT_DEST_TYPES.items())])
-    listed = F.when(dest_engine == "postgres", registry[normalized])
+    listed = F.when(dest_engine == "postgres", text_map(fixed.DEFAULT_DEST_TYPES)[normalized])
     return F.when(source_engine == dest_engine, native).otherwise(
         F.coalesce(listed, F.lit(fixed.FALLBACK_DEST_TYPE)))
 

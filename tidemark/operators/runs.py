@@ -8,6 +8,7 @@ from tidemark import fixed_values as fixed
 from tidemark.functions.text import plural
 from tidemark.operators.keyed import lookup_join, union_all
 
+RUN = ["run_id", "status", "started_at", "finished_at", "created_at"]
 ENTRY = ["type", "id", "label", "status", "started_at", "finished_at", "detail"]
 
 
@@ -84,7 +85,7 @@ def activity(
 def migration_runs_summary(runs: DataFrame, run_tables: DataFrame) -> DataFrame:
     """Per run its number of tables, newest first."""
     counts = run_tables.groupBy("run_id").agg(F.count("*").alias("table_count"))
-    return runs.join(counts, ["run_id"], "left").select(
+    return runs.select(*RUN).join(counts, ["run_id"], "left").select(
         "run_id", "status", "started_at", "finished_at", F.coalesce("table_count", F.lit(0)).alias("table_count"),
         "created_at").orderBy(F.desc("created_at"), "run_id")
 
@@ -95,7 +96,7 @@ def verification_runs_summary(runs: DataFrame, run_tables: DataFrame) -> DataFra
         F.count("*").alias("table_count"), F.count_if(F.col("status") == "passed").alias("pass_count"),
         F.count_if(F.col("status") == "failed").alias("fail_count"))
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("table_count", "pass_count", "fail_count")]
-    return runs.join(counts, ["run_id"], "left").select(
+    return runs.select(*RUN).join(counts, ["run_id"], "left").select(
         "run_id", "status", "started_at", "finished_at", *numbers, "created_at").orderBy(F.desc("created_at"), "run_id")
 
 
@@ -170,7 +171,8 @@ def previous_value(
     position = _position(events, order[0])
     cuts = events.agg(
         F.percentile_approx(position, [i / slices for i in range(1, slices)]).alias("cuts")).scalar()
-    sliced = events.withColumn("_slice", F.size(F.filter(F.coalesce(cuts, F.array()), lambda c: c < position)))
+    sliced = events.withColumn("_cuts", cuts).withColumn(
+        "_slice", F.size(F.filter("_cuts", lambda c: c < position))).drop("_cuts")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     local = sliced.withColumn("_first", F.row_number().over(inside) == 1).withColumn(
         "_before", F.lag(value).over(inside))

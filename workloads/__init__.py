@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("parity", "catalogs", "mappings")
+MODULES = ("parity", "catalogs", "mappings", "audits", "loads", "linting", "logs")
 
 
 def load_all() -> None:
