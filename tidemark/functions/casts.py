@@ -83,7 +83,7 @@ def _to_string(value, source, base, params, safe):
 def _to_int(word):
     def build(value, source, base, params, safe):
         if isinstance(source, (T.FloatType, T.DoubleType)):
-            value = F.bround(value.cast("double"), 0)
+            value = F.rint(value)
         elif isinstance(source, T.DecimalType):
             value = F.round(value, 0)
         return _cast(value, INT_TYPES[word], safe)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.text import quoted
 
-SALTS = 16
+SALTS = 1024
+HOT_KEYS = 32
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -46,16 +47,31 @@ def _hashable(dtype: T.DataType) -> bool:
     return "map<" not in text and "variant" not in text
 
 
+def _known_small(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate is under the session's broadcast limit, so that it will broadcast it."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS,
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS, hot: int = HOT_KEYS,
 ) -> DataFrame:
-    """Join rows, whose keys may be hot, to a lookup with at most one row per key.
+    """Join rows, any of whose keys may be hot, to a lookup with at most one row per key.
 
-    Each lookup row is repeated once per salt and a row's salt comes from its own content, so the rows
-    of a hot key spread over ``salts`` partitions and a retried task puts them in the same place again.
-    Spark still broadcasts the lookup instead when its known size is under the broadcast limit.
+    A lookup of known small size is left to Spark, which broadcasts it. Otherwise a sketch over the key
+    names the most frequent keys: their rows are spread over ``salts`` parts by row content, so a retried
+    task puts them in the same place again, and their lookup rows are repeated once per part. All other
+    keys join as usual. Which keys the sketch names only changes the speed, never the result.
     """
+    if _known_small(lookup):
+        return rows.join(lookup, list(on), how)
+    key = F.xxhash64(*[quoted(c) for c in on])
+    frequent = rows.agg(F.call_function("approx_top_k", key, F.lit(hot), F.lit(10 * hot)).alias("top")).select(
+        F.transform("top", lambda t: t["item"]).alias("top")).scalar()
     content = [quoted(f.name) for f in rows.schema.fields if _hashable(f.dataType)]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*content), F.lit(salts)))
-    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1))))
+    part = F.pmod(F.xxhash64(F.lit(1), *content), F.lit(salts)).cast("int")
+    salted = rows.withColumn("_salt", F.when(F.array_contains(frequent, key), part).otherwise(0))
+    parts = F.when(F.array_contains(frequent, key), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = lookup.withColumn("_salt", F.explode(parts))
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")

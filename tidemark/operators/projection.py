@@ -78,20 +78,19 @@ def lossy_audit(df: DataFrame, mappings: Iterable[Mapping]) -> DataFrame:
     A value changes when casting it to the planned type and back gives another value. One pass for all columns.
     """
     planned = [c for c in column_plan(mappings).columns if c.cast_to is not None]
-    counts = []
-    for i, c in enumerate(planned):
-        source = quoted(c.source)
-        there = _value(df, c, safe=True)
-        back = there.try_cast(df.schema[c.source].dataType)
-        rejected = source.isNotNull() & there.isNull()
-        counts += [
-            F.count_if(rejected).alias(f"_r{i}"),
-            F.count_if(source.isNotNull() & there.isNotNull() & ~back.eqNullSafe(source)).alias(f"_c{i}")]
+    # each cast is projected once, then compared and counted
+    casts = df.select(*[x for i, c in enumerate(planned) for x in (
+        quoted(c.source).alias(f"_s{i}"), _value(df, c, safe=True).alias(f"_t{i}"))])
+    back = casts.select("*", *[
+        F.col(f"_t{i}").try_cast(df.schema[c.source].dataType).alias(f"_b{i}") for i, c in enumerate(planned)])
+    totals = back.agg(*[F.expr(x) for i in range(len(planned)) for x in (
+        f"count_if(_s{i} is not null and _t{i} is null) as _r{i}",
+        f"count_if(_s{i} is not null and _t{i} is not null and not (_b{i} <=> _s{i})) as _c{i}")])
     rows = F.array(*[
         F.struct(F.lit(c.source).alias("column_name"), F.lit(c.cast_to).alias("dest_type"),
                  F.col(f"_r{i}").alias("rejected_rows"), F.col(f"_c{i}").alias("changed_rows"))
         for i, c in enumerate(planned)])
-    return df.agg(*counts).select(F.inline(rows))
+    return totals.select(F.inline(rows))
 
 
 def planned_schema(df: DataFrame, mappings: Iterable[Mapping]) -> dict[str, str]:

@@ -158,32 +158,38 @@ def _position(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
+def _slice_sql(low: int, high: int) -> str:
+    """How many of the sorted cuts lie below the position, as a binary search."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    return f"if(_cuts[{middle}] < _position, {_slice_sql(middle + 1, high)}, {_slice_sql(low, middle)})"
+
+
 def previous_value(
     events: DataFrame, keys: list[str], order: list[str], value: str, alias: str, slices: int = 64,
 ) -> DataFrame:
     """``events`` with each event's previous value of the same key.
 
     A key may hold a large share of the log, so its events are never sorted in one task. The first order
-    column is cut into slices of about equal row count; inside a slice a window per key gives the previous
-    value, and the first event of a slice takes the last value of the key's latest earlier slice, which
-    comes from one summary row per key and slice.
+    column is cut into slices of about equal row count and a window per key and slice finds the previous
+    values inside the slice. What precedes the first event of a slice is the last event of the key's
+    latest earlier slice, so a second window over only the first and last events of each slice, at most
+    two per key and slice, completes them. The full log is shuffled once.
     """
     position = _position(events, order[0])
     cuts = events.agg(
         F.percentile_approx(position, [i / slices for i in range(1, slices)]).alias("cuts")).scalar()
-    sliced = events.withColumn("_cuts", cuts).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < position))).drop("_cuts")
+    sliced = events.withColumn("_cuts", cuts).withColumn("_position", position).withColumn(
+        "_slice", F.expr(_slice_sql(0, slices - 1))).drop("_cuts", "_position")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.withColumn("_first", F.row_number().over(inside) == 1).withColumn(
-        "_before", F.lag(value).over(inside))
-    lasts = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    # at most one row per slice in each group
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    earlier = lasts.select(
-        *keys, "_slice", F.lag("_last").over(across).alias("_earlier"), F.lit(True).alias("_first"))
-    joined = lookup_join(local, earlier, [*keys, "_slice", "_first"], "left")
-    previous = F.when(F.col("_first"), F.col("_earlier")).otherwise(F.col("_before"))
-    return joined.select(*events.columns, previous.alias(alias))
+    local = sliced.select(
+        "*", (F.row_number().over(inside) == 1).alias("_first"), F.lead(F.lit(False), 1, True).over(inside).alias("_last"),
+        F.lag(value).over(inside).alias(alias))
+    later = local.filter("not _first").select(*events.columns, alias)
+    edges = local.filter("_first or _last").withColumn(
+        alias, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    return later.unionByName(edges.filter("_first").select(*events.columns, alias))
 
 
 def status_transitions(

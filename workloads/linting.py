@@ -101,7 +101,7 @@ PAGE_RULES = [
     lint.Rule("page.comment", "warning", "html", r"<!--", "html comment"),
 ]
 DOCUMENT_RULES = [
-    lint.Rule("text.email", "error", "text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "e-mail address"),
+    lint.Rule("text.email", "error", "text", r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}", "e-mail address"),
     lint.Rule("text.license", "info", "text", r"(?i)\b(license|copyright)\b", "license line"),
     lint.Rule("text.digits", "info", "text", r"[0-9]{4,}", "long number"),
 ]
