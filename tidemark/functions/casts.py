@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 from tidemark.functions.types import parse_native
 
 INT_TYPES = {"int16": "smallint", "int32": "int", "int64": "bigint"}
+INT_RANGES = {"int16": (-2**15, 2**15 - 1), "int32": (-2**31, 2**31 - 1), "int64": (-2**63, 2**63 - 1)}
 TRUE_WORDS = ["t", "tr", "tru", "true", "y", "ye", "yes", "on", "1"]
 FALSE_WORDS = ["f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0"]
 
@@ -86,6 +87,10 @@ def _to_int(word):
             value = F.rint(value)
         elif isinstance(source, T.DecimalType):
             value = F.round(value, 0)
+        if safe and isinstance(source, T.NumericType):
+            # a range test is far cheaper than a cast that fails on many rows; 2**63 itself is out of range
+            low, high = INT_RANGES[word]
+            return F.when((value >= low) & (value < high + 1.0 if word == "int64" else value <= high), value.cast(INT_TYPES[word]))
         return _cast(value, INT_TYPES[word], safe)
     return build
 

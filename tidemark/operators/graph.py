@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.keyed import lookup_join, union_all
+from tidemark.operators.keyed import frequent_keys, lookup_join, union_all
 from tidemark.sources.storage import use_checkpoints
 
 
@@ -27,19 +27,22 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         for end in ("child", "parent"):
             links = lookup_join(links, names.withColumnRenamed("node", end), [end], "inner")
     links = links.checkpoint()
-    open_parents = links.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("open"))
-    waiting = names.join(open_parents, ["node"], "left").select(
-        "node", F.coalesce("open", F.lit(0)).alias("open")).checkpoint()
+    # the parents with very many children stay the same in every round: at most a few hashes
+    busy = links.select(frequent_keys(links, ["parent"]).alias("keys")).limit(1).collect()
+    frequent = F.array(*[F.lit(k) for k in (busy[0]["keys"] or [])] if busy else []).cast("array<bigint>")
+    waiting = (
+        names.select("node", F.lit(0).cast("bigint").alias("open"))
+        .union(links.select(F.col("child").alias("node"), F.lit(1).cast("bigint").alias("open")))
+        .groupBy("node").agg(F.sum("open").alias("open")).checkpoint())
     done, level = [], 0
     while True:
         free = waiting.filter("open = 0").select("node")
         if free.isEmpty():
             break
         done.append(free.select("node", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
-        freed = lookup_join(links, free.withColumnRenamed("node", "parent"), ["parent"], "inner")
-        lowered = freed.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("closed"))
-        waiting = waiting.filter("open > 0").join(lowered, ["node"], "left").select(
-            "node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")).checkpoint()
+        freed = lookup_join(links, free.withColumnRenamed("node", "parent"), ["parent"], "inner", frequent=frequent)
+        closed = freed.select(F.col("child").alias("node"), F.lit(-1).cast("bigint").alias("open"))
+        waiting = waiting.filter("open > 0").union(closed).groupBy("node").agg(F.sum("open").alias("open")).checkpoint()
         level += 1
     stuck = waiting.select("node", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
     return union_all([*done, stuck])

@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.text import quoted
 
@@ -54,21 +54,35 @@ def _known_small(df: DataFrame) -> bool:
     return int(str(size)) <= limit
 
 
+def frequent_keys(rows: DataFrame, on: Sequence[str], hot: int = HOT_KEYS) -> Column:
+    """Hashes of the most frequent keys as one array value, from a sketch over the key columns alone.
+
+    A key with a share of the rows that matters for balance is always found; the array is empty for even keys.
+    """
+    top = rows.agg(F.call_function("approx_top_k", _key_hash(on), F.lit(hot), F.lit(10 * hot)).alias("top"))
+    return top.select(F.transform("top", lambda t: t["item"]).alias("top")).scalar()
+
+
+def _key_hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*[quoted(c) for c in on])
+
+
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS, hot: int = HOT_KEYS,
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS,
+    frequent: Column | None = None,
 ) -> DataFrame:
     """Join rows, any of whose keys may be hot, to a lookup with at most one row per key.
 
-    A lookup of known small size is left to Spark, which broadcasts it. Otherwise a sketch over the key
-    names the most frequent keys: their rows are spread over ``salts`` parts by row content, so a retried
-    task puts them in the same place again, and their lookup rows are repeated once per part. All other
-    keys join as usual. Which keys the sketch names only changes the speed, never the result.
+    A lookup of known small size is left to Spark, which broadcasts it. Otherwise the rows of frequent keys
+    are spread over ``salts`` parts by row content, so a retried task puts them in the same place again, and
+    their lookup rows are repeated once per part. All other keys join as usual. Which keys count as frequent
+    only changes the speed, never the result; ``frequent`` passes them when they are known already.
     """
     if _known_small(lookup):
         return rows.join(lookup, list(on), how)
-    key = F.xxhash64(*[quoted(c) for c in on])
-    frequent = rows.agg(F.call_function("approx_top_k", key, F.lit(hot), F.lit(10 * hot)).alias("top")).select(
-        F.transform("top", lambda t: t["item"]).alias("top")).scalar()
+    if frequent is None:
+        frequent = frequent_keys(rows, on)
+    key = _key_hash(on)
     content = [quoted(f.name) for f in rows.schema.fields if _hashable(f.dataType)]
     part = F.pmod(F.xxhash64(F.lit(1), *content), F.lit(salts)).cast("int")
     salted = rows.withColumn("_salt", F.when(F.array_contains(frequent, key), part).otherwise(0))

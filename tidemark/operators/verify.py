@@ -236,34 +236,33 @@ def strings_of(names: Sequence[str]) -> pa.Schema:
     return pa.schema([(n, pa.string()) for n in names])
 
 
-def _sequence_rows(totals: DataFrame, pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
-    """One row per pair: the verdict over its sequence-backed columns."""
-    spark = totals.sparkSession
+def _with_marks(totals: DataFrame, pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
+    """Pair totals with the number of declared sequences and of those behind their column."""
     declared = local_rows(
-        spark,
-        [(p.source_table, p.dest_table, i, c, s) for p in pairs for i, (c, s) in enumerate(p.sequences)],
+        totals.sparkSession,
+        [(p.source_table, p.dest_table, i, c) for p in pairs for i, (c, _) in enumerate(p.sequences)],
         pa.schema([("source_table", pa.string()), ("dest_table", pa.string()), ("slot", pa.int64()),
-                   ("column_name", pa.string()), ("sequence_name", pa.string())]))
+                   ("column_name", pa.string())]))
+    last = marks.selectExpr("table_name as dest_table", "column_name", "cast(last_value as bigint) as last_value")
+    # a few sequences per table
+    per_pair = declared.join(last, ["dest_table", "column_name"], "left").groupBy(*PAIR).agg(
+        F.collect_list(F.struct("slot", "last_value")).alias("_declared"))
     slots = [c for c in totals.columns if c.startswith("_max")]
-    if not slots:
-        return totals.select(*PAIR, F.lit(True).alias("passed"), F.lit(fixed.SEQUENCE_NONE).alias("detail"),
-                             F.lit(0).cast("bigint").alias("sequences"), F.lit(0).cast("bigint").alias("behind"))
-    maxima = F.array(*[F.col(s) for s in slots])
-    last = marks.select(
-        F.col("table_name").alias("dest_table"), "column_name", "last_value")
-    rows = (
-        totals.select(*PAIR, maxima.alias("_maxima"))
-        .join(declared, PAIR, "left").join(last, ["dest_table", "column_name"], "left")
-        .select(*PAIR, "column_name", "last_value", F.get("_maxima", F.col("slot")).alias("max_value")))
-    ok = F.expr("max_value is null or coalesce(last_value >= max_value, false)")
-    per_pair = rows.groupBy(*PAIR).agg(
-        F.count("column_name").alias("sequences"),
-        F.count_if(F.col("column_name").isNotNull() & ~ok).alias("behind"))
-    detail = (
-        F.when(F.col("sequences") == 0, fixed.SEQUENCE_NONE)
+    maxima = f"array({', '.join(slots)})" if slots else "cast(array() as array<bigint>)"
+    behind = (f"filter(_declared, s -> get({maxima}, cast(s.slot as int)) is not null"
+              f" and coalesce(s.last_value < get({maxima}, cast(s.slot as int)), true))")
+    return totals.join(per_pair, PAIR, "left").selectExpr(
+        *totals.columns, "cast(coalesce(array_size(_declared), 0) as bigint) as sequences",
+        f"cast(coalesce(array_size({behind}), 0) as bigint) as behind")
+
+
+def _sequence_verdict() -> dict[str, Column]:
+    return {
+        "passed": F.col("behind") == 0,
+        "detail": F.when(F.col("sequences") == 0, fixed.SEQUENCE_NONE)
         .when(F.col("behind") == 0, F.format_string(fixed.SEQUENCE_OK, "sequences"))
-        .otherwise(F.format_string(fixed.SEQUENCE_BEHIND, "behind")))
-    return per_pair.select(*PAIR, (F.col("behind") == 0).alias("passed"), detail.alias("detail"), "sequences", "behind")
+        .otherwise(F.format_string(fixed.SEQUENCE_BEHIND, "behind")),
+    }
 
 
 def sequence_parity(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
@@ -271,7 +270,8 @@ def sequence_parity(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
 
     ``marks`` has table_name, column_name and last_value.
     """
-    return _sequence_rows(pair_totals(pairs, maxima=pairs), pairs, marks)
+    found = _with_marks(pair_totals(pairs, maxima=pairs), pairs, marks)
+    return found.select(*PAIR, *[c.alias(n) for n, c in _sequence_verdict().items()], "sequences", "behind")
 
 
 # --- all checks of a level ------------------------------------------------------------------------------
@@ -279,22 +279,29 @@ def sequence_parity(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
 RESULT = [*PAIR, "position", "name", "passed", "detail", "metrics", "error"]
 
 
-def _as_result(df: DataFrame, name: str, metrics: Sequence[str], pairs: Sequence[TablePair]) -> DataFrame:
-    spark = df.sparkSession
-    wanted = local_rows(
-        spark, [(p.source_table, p.dest_table, p.checks().index(name)) for p in pairs],
-        pa.schema([("source_table", pa.string()), ("dest_table", pa.string()), ("position", pa.int64())]))
-    entries = [x for m in metrics for x in (F.lit(m), _metric_text(df, m))]
-    return df.join(F.broadcast(wanted), PAIR).select(
-        *PAIR, "position", F.lit(name).alias("name"), "passed", "detail",
-        F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull()).alias("metrics"),
-        F.lit(None).cast("string").alias("error"))
+SAMPLE_METRICS = ["sample_size", "missing", "mismatched", "missing_count", "mismatched_count", "pk_column"]
+COUNT_METRICS = ["source", "dest", "delta", "tolerance", "exact_match"]
+DIGEST_METRICS = ["source_high", "source_low", "dest_high", "dest_low"]
+SEQUENCE_METRICS = ["sequences", "behind"]
+
 
+def _entry(name: str, verdict: dict[str, Column], metrics: dict[str, Column]) -> Column:
+    entries = [x for m, c in metrics.items() for x in (F.lit(m), c.cast("string"))]
+    return F.struct(
+        F.lit(name).alias("name"), verdict["passed"].alias("passed"), verdict["detail"].alias("detail"),
+        F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull()).alias("metrics"))
 
-def _metric_text(df: DataFrame, name: str) -> Column:
-    if df.schema[name].dataType.typeName() == "array":
-        return F.to_json(F.col(name))
-    return F.col(name).cast("string")
+
+def _results(rows: DataFrame, entries: Sequence[Column], pairs: Sequence[TablePair], only: str | None) -> DataFrame:
+    """The entries of each pair's row that its level asks for, as rows with their position in the level."""
+    wanted = local_rows(
+        rows.sparkSession,
+        [(p.source_table, p.dest_table, i, n) for p in pairs for i, n in enumerate(p.checks()) if only in (None, n)],
+        pa.schema([("source_table", pa.string()), ("dest_table", pa.string()), ("position", pa.int64()),
+                   ("name", pa.string())]))
+    # a few checks per table of the plan
+    return rows.select(*PAIR, F.inline(F.array(*entries))).join(F.broadcast(wanted), [*PAIR, "name"]).select(
+        *PAIR, "position", "name", "passed", "detail", "metrics", F.lit(None).cast("string").alias("error"))
 
 
 def verify(
@@ -312,26 +319,25 @@ def verify(
     def having(name: str) -> list[TablePair]:
         return [p for p in pairs if name in p.checks() and only in (None, name)]
 
-    totals = pair_totals(pairs, digest=having("full_hash"), maxima=having("sequence_parity"))
-    counted = totals.select("*", *[c.alias(n) for n, c in count_columns(F.col("source"), F.col("dest")).items()])
     parts = []
-    if having("row_count"):
-        parts.append(_as_result(
-            counted, "row_count", ["source", "dest", "delta", "tolerance", "exact_match"], having("row_count")))
+    shared = [n for n in ("row_count", "full_hash", "sequence_parity") if having(n)]
+    if shared:
+        totals = pair_totals(pairs, digest=having("full_hash"), maxima=having("sequence_parity"))
+        totals = _with_marks(totals, pairs, marks)
+        count = count_columns(F.col("source"), F.col("dest"))
+        entries = []
+        if "row_count" in shared:
+            entries.append(_entry("row_count", count, {m: count.get(m, F.col(m)) for m in COUNT_METRICS}))
+        if "full_hash" in shared:
+            entries.append(_entry("full_hash", _digest_verdict(), {m: F.col(m) for m in DIGEST_METRICS}))
+        if "sequence_parity" in shared:
+            entries.append(_entry("sequence_parity", _sequence_verdict(), {m: F.col(m) for m in SEQUENCE_METRICS}))
+        parts.append(_results(totals, entries, pairs, only))
     if having("hash_sample"):
         sampled = hash_sample(having("hash_sample"), seed)
-        parts.append(_as_result(
-            sampled, "hash_sample",
-            ["sample_size", "missing", "mismatched", "missing_count", "mismatched_count", "pk_column"],
-            having("hash_sample")))
-    if having("full_hash"):
-        hashed = totals.select("*", *[c.alias(n) for n, c in _digest_verdict().items()])
-        parts.append(_as_result(
-            hashed, "full_hash", ["source_high", "source_low", "dest_high", "dest_low"], having("full_hash")))
-    if having("sequence_parity"):
-        parts.append(_as_result(
-            _sequence_rows(totals, pairs, marks), "sequence_parity", ["sequences", "behind"],
-            having("sequence_parity")))
+        texts = {m: F.to_json(m) if m in ("missing", "mismatched") else F.col(m) for m in SAMPLE_METRICS}
+        parts.append(_results(
+            sampled, [_entry("hash_sample", {"passed": F.col("passed"), "detail": F.col("detail")}, texts)], pairs, only))
     return union_all(parts).select(*RESULT)
 
 
