@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import quoted, thousands, with_schema
-from tidemark.operators.keyed import local_rows, lookup_join, tally, union_all
+from tidemark.operators.keyed import frequent_keys, local_rows, lookup_join, tally, union_all
 
 FINDING = ["severity", "code", "message", "target"]
 
@@ -132,15 +132,16 @@ def length_violations(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:
 # --- plans ----------------------------------------------------------------------------------------------
 # plan: source_table, dest_table, conflict_mode; tables: qn, row_count
 
-def _known(plan: DataFrame, tables: DataFrame, column: str, rows_as: str) -> DataFrame:
-    lookup = tables.select(F.col("qn").alias("_qn"), F.col("row_count").cast("bigint").alias(rows_as))
-    return lookup_join(plan.withColumn("_qn", with_schema(F.col(column))), lookup, ["_qn"], "left").drop("_qn")
-
-
 def plan_state(plan: DataFrame, source_tables: DataFrame, dest_tables: DataFrame) -> DataFrame:
     """The plan with the rows each side holds; null means the table does not exist."""
-    known = _known(plan.select("source_table", "dest_table", "conflict_mode"), source_tables, "source_table", "source_rows")
-    return _known(known, dest_tables, "dest_table", "dest_rows")
+    rows = plan.select("source_table", "dest_table", "conflict_mode")
+    for side, tables in (("source", source_tables), ("dest", dest_tables)):
+        # many plan rows may name one table
+        named = with_schema(F.col(f"{side}_table"))
+        frequent = frequent_keys(plan.select(named.alias("_qn")), ["_qn"])
+        lookup = tables.select(F.col("qn").alias("_qn"), F.col("row_count").cast("bigint").alias(f"{side}_rows"))
+        rows = lookup_join(rows.withColumn("_qn", named), lookup, ["_qn"], "left", frequent=frequent).drop("_qn")
+    return rows
 
 
 def plan_findings(state: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
@@ -179,7 +180,7 @@ def would_truncate_counts(state: DataFrame) -> DataFrame:
 
 def no_mapped_columns(plan: DataFrame, mappings: DataFrame) -> DataFrame:
     mapped = mappings.groupBy("source_table", "dest_table").agg(F.count_if(~F.col("skip")).alias("mapped"))
-    covered = lookup_join(plan.select("source_table", "dest_table"), mapped, ["source_table", "dest_table"], "left")
+    covered = plan.select("source_table", "dest_table").join(mapped, ["source_table", "dest_table"], "left")
     return finding(covered.filter("coalesce(mapped, 0) = 0"), "preflight.no_mapped_columns",
                    F.col("source_table"), F.col("dest_table"), target=_table(F.col("source_table")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import qualified
-from tidemark.operators.keyed import lookup_join, union_all
+from tidemark.operators.keyed import frequent_keys, lookup_join, union_all
 from tidemark.sources.storage import use_checkpoints
 
 DRIFT = ["comparison_id", "table_label", "column_name", "kind", "source_value", "dest_value", "phase", "kind_rank"]
@@ -103,7 +103,12 @@ def schema_drift(columns: DataFrame, tables: DataFrame, comparisons: DataFrame)
             "comparison_id", "match_name", F.col("name").alias("column_name"), attributes.alias(name))
 
     joined = side("source").join(side("dest"), ["comparison_id", "match_name", "column_name"], "full")
-    shared = lookup_join(joined, common, ["comparison_id", "match_name"], "inner")
+    # very wide tables are looked for in the catalog scan, not in the join above
+    table_key = ["comparison_id", "match_name"]
+    wide = frequent_keys(
+        in_scope(columns, comparisons, "source").select(*table_key)
+        .unionByName(in_scope(columns, comparisons, "dest").select(*table_key)), table_key)
+    shared = lookup_join(joined, common, table_key, "inner", frequent=wide)
     s, d = F.col("source"), F.col("dest")
     none = F.lit(None).cast("string")
     both = s.isNotNull() & d.isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import fixed_values as fixed
 from tidemark.functions.types import normalize_type, text_map
 from tidemark.operators.drift import in_scope
-from tidemark.operators.keyed import lookup_join
+from tidemark.operators.keyed import frequent_keys, lookup_join
 
 MAPPING = [
     "comparison_id", "source_table", "source_column", "dest_table", "dest_column", "source_type",
@@ -94,8 +94,10 @@ def apply_overrides(
             snapshots, ["snapshot_id"], "inner").drop("snapshot_id")
 
     # several mappings may point at one destination column, so that side is a lookup
+    dest_key = ["comparison_id", "dest_table", "dest_column"]
+    frequent = frequent_keys(rows, dest_key)
     rows = rows.join(types("source", "source_table", "source_column"), MAPPING_KEY, "left")
-    rows = lookup_join(rows, types("dest", "dest_table", "dest_column"), ["comparison_id", "dest_table", "dest_column"])
+    rows = lookup_join(rows, types("dest", "dest_table", "dest_column"), dest_key, frequent=frequent)
     target = F.col("_dest_norm")
     if by_override_type:
         target = F.coalesce(normalize_type(F.col("override_dest_type")), target)

@@ -113,10 +113,11 @@ def run_migration(
         except Exception as e:
             errors[i] = str(e)
 
-    for wave in load_waves(spark, moves, edges):
-        waiting = [m for m in wave if m.conflict_mode != "truncate"]
+    # truncate tables are in place already, so only the other tables wait for each other
+    waiting = [m for m in moves if m.conflict_mode != "truncate"]
+    for wave in load_waves(spark, waiting, edges) if waiting else []:
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
-            list(pool.map(one, waiting))
+            list(pool.map(one, wave))
 
     pairs = {}
     for i in loaded:

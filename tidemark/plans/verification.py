@@ -23,17 +23,21 @@ def _one_check(pair: TablePair, marks: DataFrame | None, name: str) -> list[tupl
         return [(pair.source_table, pair.dest_table, position, name, False, fixed.CHECK_RAISED, {}, str(e))]
 
 
-def run_checks(pairs: Sequence[TablePair], marks: DataFrame | None = None) -> DataFrame:
+def run_checks(pairs: Sequence[TablePair], marks: DataFrame | None = None, batch: int = 100) -> DataFrame:
     """Results of all checks; a check that cannot run is a failed result with its error.
 
-    All pairs are checked in one job. Only when that job fails is each check run by itself, so one
-    unreadable table costs the others nothing but time. What reaches the driver is a few rows per table.
+    Pairs are checked ``batch`` at a time in one job each. Only when such a job fails is each of its checks
+    run by itself, so one unreadable table costs the others nothing but time. What reaches the driver is a
+    few rows per table.
     """
     spark = pairs[0].source.sparkSession
-    try:
-        rows = [tuple(r[c] for c in RESULT) for r in verify(pairs, marks).collect()]
-    except (PySparkException, ValueError):
-        rows = [row for p in pairs for name in p.checks() for row in _one_check(p, marks, name)]
+    rows = []
+    for start in range(0, len(pairs), batch):
+        some = pairs[start:start + batch]
+        try:
+            rows += [tuple(r[c] for c in RESULT) for r in verify(some, marks).collect()]
+        except (PySparkException, ValueError):
+            rows += [row for p in some for name in p.checks() for row in _one_check(p, marks, name)]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

@@ -22,10 +22,14 @@ FK_TYPE = "struct<schema_:string,table:string,column:string>"
 
 
 def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Exact rows per table without reading any column."""
-    return union_all([
-        df.agg(F.count("*").alias("row_count")).select(F.lit(qn).alias("qn"), "row_count")
-        for qn, df in tables.items()])
+    """Exact rows per table without reading any column, all tables in one aggregation.
+
+    A seed row per table keeps empty tables in the result.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    seeds = local_rows(spark, [(qn, 0) for qn in tables], pa.schema([("qn", pa.string()), ("one", pa.int64())]))
+    rows = [df.select(F.lit(qn).alias("qn"), F.lit(1).cast("bigint").alias("one")) for qn, df in tables.items()]
+    return union_all([seeds, *rows]).groupBy("qn").agg(F.sum("one").alias("row_count"))
 
 
 def observed_nulls(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -71,9 +75,10 @@ def catalog_tables(
     listing: DataFrame, stats: DataFrame, flags: DataFrame | None = None, snapshot_id: str = "live",
 ) -> DataFrame:
     """Listed tables with their row estimate (null when unknown) and RLS flag (false when unknown)."""
-    rows = lookup_join(listing.select("qn"), stats.select("qn", F.col("row_count").alias("row_count_estimate")), ["qn"])
+    rows = listing.select("qn").distinct().join(
+        stats.select("qn", F.col("row_count").alias("row_count_estimate")), ["qn"], "left")
     if flags is not None:
-        rows = lookup_join(rows, flags.select("qn", "rls_enabled"), ["qn"])
+        rows = rows.join(flags.select("qn", "rls_enabled"), ["qn"], "left")
     else:
         rows = rows.withColumn("rls_enabled", F.lit(False))
     return rows.select(
