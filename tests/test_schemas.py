@@ -205,3 +205,30 @@ def test_catalog_of_files(spark, table):
     assert [(r["name"], r["normalized_type"], r["nullable"], r["is_pk"]) for r in rows] == [
         ("n_nationkey", "int32", False, True), ("n_name", "string", False, False), ("n_regionkey", "int32", False, False)]
     assert catalog.single_pk(columns(spark, col("public.t", "a", pk=True), col("public.t", "b", pk=True))).collect()[0]["pk_column"] is None
+
+
+def test_catalog_of_a_database(spark, tmp_path, table):
+    spark.sql(f"create database if not exists tide_catalog location '{tmp_path}'")
+    try:
+        table("region").write.format("parquet").option("path", f"{tmp_path}/region").saveAsTable("tide_catalog.region")
+        found = catalog.catalog_of_spark(spark, "tide_catalog")
+        assert {r["qn"]: r["row_count"] for r in catalog.table_stats(found).collect()} == {"tide_catalog.region": 5}
+    finally:
+        spark.sql("drop database tide_catalog cascade")
+
+
+def test_planned_types(spark):
+    df = spark.createDataFrame([(1, 2.5, "a")], "a bigint, b double, c string")
+    rows = [m("a", "bigint", override="numeric(10,2)"), m("b", "double precision", "n", override="integer"), m("c")]
+    planned = projection.planned_schema(df, rows)
+    assert planned == {"a": "decimal(10,2)", "n": "int", "c": "string"}
+    assert {f.name: f.dataType.simpleString() for f in projection.project(df, rows).schema.fields} == planned
+
+
+def test_mappings_in_order(spark):
+    a = source_db(spark)
+    pair = spark.createDataFrame([("c", "s", "s", None, None)], "comparison_id string, source_snapshot_id string, "
+                                 "dest_snapshot_id string, source_schema string, dest_schema string")
+    rows = mapping.ordered_mappings(mapping.seed_mappings(a, catalog.tables_of(a), pair)).collect()
+    names = [(r["source_table"], r["source_column"]) for r in rows]
+    assert names == sorted(names) and len(names) == 10 and not any(r["is_lossy"] or r["skip"] for r in rows)

@@ -54,6 +54,8 @@ def test_overflow_fails_or_becomes_null(spark):
         cast_all(spark, [40000], T.LongType(), "smallint")
     assert cast_all(spark, [40000, 7, None], T.LongType(), "smallint", safe=True) == [None, 7, None]
     assert cast_all(spark, [9.3e18, 1.0, float("nan")], T.DoubleType(), "bigint", safe=True) == [None, 1, None]
+    edge = [Decimal(2**63 - 1), Decimal(2**63), Decimal(-2**63)]
+    assert cast_all(spark, edge, T.DecimalType(20, 0), "bigint", safe=True) == [2**63 - 1, None, -2**63]
 
 
 def test_text_targets(spark):

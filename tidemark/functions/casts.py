@@ -88,9 +88,11 @@ def _to_int(word):
         elif isinstance(source, T.DecimalType):
             value = F.round(value, 0)
         if safe and isinstance(source, T.NumericType):
-            # a range test is far cheaper than a cast that fails on many rows; 2**63 itself is out of range
+            # a range test is far cheaper than a cast that fails on many rows
             low, high = INT_RANGES[word]
-            return F.when((value >= low) & (value < high + 1.0 if word == "int64" else value <= high), value.cast(INT_TYPES[word]))
+            fractional = isinstance(source, (T.FloatType, T.DoubleType))
+            below = value < float(high + 1) if fractional else value <= high
+            return F.when((value >= low) & below, value.cast(INT_TYPES[word]))
         return _cast(value, INT_TYPES[word], safe)
     return build
 
