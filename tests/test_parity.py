@@ -188,3 +188,19 @@ def test_tally_counts_each_side(spark):
     a = spark.createDataFrame([(1,), (1,), (None,)], "k int")
     b = spark.createDataFrame([(1,), (2,)], "k int")
     assert {(r["k"], r["a"], r["b"]) for r in tally(["k"], {"a": a, "b": b}).collect()} == {(1, 2, 1), (2, 0, 1), (None, 1, 0)}
+
+
+def test_gated_foreign_keys_are_not_scanned(spark):
+    plan = spark.createDataFrame([("public.c", "public.c", "append"), ("public.s", "public.s", "append")],
+                                 "source_table string, dest_table string, conflict_mode string")
+    sizes = spark.createDataFrame([("public.c", 10), ("public.s", 2), ("public.p", 1)], "qn string, row_count bigint")
+    mappings = spark.createDataFrame([("public.c", "public.c", False), ("public.s", "public.s", False)],
+                                     "source_table string, dest_table string, skip boolean")
+    parent = spark.range(1)
+    keys = [ForeignKey("public.c", spark.range(10).withColumn("id", F.raise_error(F.lit("scanned"))), "id", "public.p", parent, "id"),
+            ForeignKey("public.s", spark.range(2), "id", "public.p", parent, "id"),
+            ForeignKey("public.other", spark.range(9), "id", "public.p", parent, "id")]
+    found = audit.preflight(plan, sizes, sizes, mappings, keys, max_orphan_scan_rows=5).collect()
+    got = {(r["code"].split(".")[1], r["target"]) for r in found}
+    assert ("orphan_rows", "table:public.s") in got and ("orphan_scan_skipped", None) in got
+    assert not any(t == "table:public.other" or c == "orphan_rows" and t == "table:public.c" for c, t in got)

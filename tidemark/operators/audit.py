@@ -216,8 +216,12 @@ def preflight(
             plan.select(F.col("source_table").alias("child_table")).distinct(), ["child_table"], "left_semi")
         sizes = source_tables.select(F.col("qn").alias("child_table"), F.col("row_count").alias("child_rows"))
         to_scan, note = gate_orphan_scan(included.join(sizes, ["child_table"]), max_orphan_scan_rows)
-        orphans = orphan_rows(foreign_keys).join(to_scan.select(*FK_COLUMNS), FK_COLUMNS, "left_semi")
-        parts += [orphan_findings(orphans), note]
+        # at most the foreign keys that were passed in; the others are not scanned at all
+        wanted = {tuple(r) for r in to_scan.select(*FK_COLUMNS).collect()}
+        chosen = [f for f in foreign_keys if (f.child_table, f.child_column, f.parent_table, f.parent_column) in wanted]
+        if chosen:
+            parts.append(orphan_findings(orphan_rows(chosen)))
+        parts.append(note)
     return union_all(parts)
 
 

@@ -35,16 +35,23 @@ def in_scope(catalog: DataFrame, comparisons: DataFrame, side: str) -> DataFrame
     scope = _scope(comparisons).select(
         "comparison_id", F.col(f"{side}_snapshot_id").alias("snapshot_id"), F.col(f"{side}_schema").alias("_schema"),
         "source_schema", "dest_schema")
-    rows = lookup_join(catalog, scope, ["snapshot_id"], "inner")
+    return _matched(lookup_join(catalog, scope, ["snapshot_id"], "inner")).drop("snapshot_id")
+
+
+def _matched(rows: DataFrame) -> DataFrame:
     scoped = F.col("_schema").isNotNull()
     return rows.filter(~scoped | (F.col("schema_name") == F.col("_schema"))).withColumn(
-        "match_name", F.when(scoped, F.col("table_name")).otherwise(F.col("qn"))).drop("snapshot_id", "_schema")
+        "match_name", F.when(scoped, F.col("table_name")).otherwise(F.col("qn"))).drop("_schema")
 
 
 def table_presence(tables: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Every table of every comparison with a flag per side, from one aggregation."""
+    return _presence({name: in_scope(tables, comparisons, name) for name in ("source", "dest")})
+
+
+def _presence(sides: dict[str, DataFrame]) -> DataFrame:
     def side(name: str) -> DataFrame:
-        return in_scope(tables, comparisons, name).select(
+        return sides[name].select(
             "comparison_id", "match_name", "source_schema", "dest_schema",
             F.lit(name == "source").alias("in_source"), F.lit(name == "dest").alias("in_dest"))
 
@@ -91,7 +98,12 @@ def schema_drift(columns: DataFrame, tables: DataFrame, comparisons: DataFrame)
     Sorted by table_label, phase, column_name, kind_rank the rows are in report order: columns missing
     in the destination, columns missing in the source, then changes per shared column.
     """
-    presence = table_presence(tables, comparisons)
+    sides = ("source", "dest")
+    return _drift(
+        {name: in_scope(columns, comparisons, name) for name in sides}, table_presence(tables, comparisons))
+
+
+def _drift(sides: dict[str, DataFrame], presence: DataFrame) -> DataFrame:
     # rows carry the source side's name also in a cross-schema pair
     common = presence.filter("in_source and in_dest").select(
         "comparison_id", "match_name", _prefixed("source_schema").alias("table_label"))
@@ -99,15 +111,14 @@ def schema_drift(columns: DataFrame, tables: DataFrame, comparisons: DataFrame)
     def side(name: str) -> DataFrame:
         # the scan stays narrow: only the compared attributes travel through the join
         attributes = F.struct("native_type", "normalized_type", "nullable", "default_expr", "is_pk", "fk")
-        return in_scope(columns, comparisons, name).select(
+        return sides[name].select(
             "comparison_id", "match_name", F.col("name").alias("column_name"), attributes.alias(name))
 
     joined = side("source").join(side("dest"), ["comparison_id", "match_name", "column_name"], "full")
     # very wide tables are looked for in the catalog scan, not in the join above
     table_key = ["comparison_id", "match_name"]
     wide = frequent_keys(
-        in_scope(columns, comparisons, "source").select(*table_key)
-        .unionByName(in_scope(columns, comparisons, "dest").select(*table_key)), table_key)
+        sides["source"].select(*table_key).unionByName(sides["dest"].select(*table_key)), table_key)
     shared = lookup_join(joined, common, table_key, "inner", frequent=wide)
     s, d = F.col("source"), F.col("dest")
     none = F.lit(None).cast("string")
@@ -143,14 +154,16 @@ def compare(
 ) -> DataFrame:
     """Drift of a single pair of column catalogs."""
     check_scope(source_schema, dest_schema)
-    columns = source_columns.withColumn("snapshot_id", F.lit("source")).unionByName(
-        dest_columns.withColumn("snapshot_id", F.lit("dest")))
-    one = columns.sparkSession.range(1).select(
-        F.lit("pair").alias("comparison_id"), F.lit("source").alias("source_snapshot_id"),
-        F.lit("dest").alias("dest_snapshot_id"), F.lit(source_schema).cast("string").alias("source_schema"),
-        F.lit(dest_schema).cast("string").alias("dest_schema"))
-    tables = columns.select("snapshot_id", "schema_name", "table_name", "qn").distinct()
-    return schema_drift(columns, tables, one)
+
+    def side(catalog: DataFrame, schema: str | None) -> DataFrame:
+        return _matched(catalog.select(
+            *[c for c in catalog.columns if c != "snapshot_id"], F.lit("pair").alias("comparison_id"),
+            F.lit(schema or None).cast("string").alias("_schema"),
+            F.lit(source_schema or None).cast("string").alias("source_schema"),
+            F.lit(dest_schema or None).cast("string").alias("dest_schema")))
+
+    sides = {"source": side(source_columns, source_schema), "dest": side(dest_columns, dest_schema)}
+    return _drift(sides, _presence(sides))
 
 
 def drift_summary(presence: DataFrame, drift: DataFrame) -> DataFrame:
