@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, simhash
+from tidemark.llm import mixing, packing, simhash, topk, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_source_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_warc", """
+    with p as (
+      select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+    f as (select h, max(page_id) as first from p where n >= 1000 group by h)
+    select p.page_id, p.n as payload_bytes, sha1(p.h) as payload_digest,
+           case when f.first is not null and p.page_id <> f.first then 'revisit' else 'response' end as record_type,
+           case when f.first is not null and p.page_id <> f.first then f.first end as refers_to
+    from p left join f on p.h = f.h""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_top_k", """
+    with v as (
+      select vec_id, [floor(256 * cast(x as double)) for x in embedding] as e from embeddings
+      where embedding is not null
+        and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+    s as (
+      select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+      from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+    r as (
+      select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+             vec_id, score
+      from s)
+    select * from r where rank <= 5""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
