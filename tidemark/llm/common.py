@@ -2,7 +2,10 @@
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.sources.storage import scratch_path
@@ -35,18 +38,64 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_batch(make: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: pa.Schema, rows: int = 2048):
-    """A mapInArrow function that calls make on slices of at most ``rows`` rows, whatever the session's batch size."""
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of text, one row at least."""
+    weight = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = held = 0
+    for at, n in enumerate(weight.tolist()):
+        if at > start and (held + n > size or at - start >= rows):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def by_batch(make: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: pa.Schema, rows: int = 2048, size: int = 4 << 20):
+    """A mapInArrow function that calls make on slices bounded in rows and bytes, whatever the session's batch size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                found = make(batch.slice(start, rows))
-                parts = found.to_batches() if isinstance(found, pa.Table) else [found]
-                for part in parts:
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema)], schema=schema)
+            for part in slices(batch, rows, size):
+                found = make(part)
+                for out in found.to_batches() if isinstance(found, pa.Table) else [found]:
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, schema)], schema=schema)
     return run
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered for as many words as fit a bound."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def word_hashes(texts: Sequence[str | None], known: WordHashes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts, where each text begins in them and the end)."""
+    parts, edges = [], [0]
+    for text in texts:
+        words = words_of(text, lower)
+        parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+        edges.append(edges[-1] + len(words))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), np.array(edges)
+
+
+def mixed(values: np.ndarray, salt: int) -> np.ndarray:
+    """A bijective 64-bit mix of the values."""
+    with np.errstate(over="ignore"):
+        x = values ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2 ** 64)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
 def free_name(taken: Sequence[str], wanted: str) -> str:
     """A column name that clashes with none of those taken, letter case aside."""
     known = {t.lower() for t in taken}
