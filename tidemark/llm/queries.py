@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import maxent, mixing, packing, repeats, simhash, topk, warc
+from tidemark.llm import maxent, mixing, packing, repeats, simhash, topk, warc, winnow
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_maxent_lm")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op6_winnowing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_likeness(table(spark, sf_dir, "documents"))
