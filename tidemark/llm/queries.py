@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import maxent, mixing, packing, repeats, simhash, topk, warc, winnow
+from tidemark.llm import maxent, mixing, packing, repeats, secrets, simhash, topk, warc, winnow
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_winnowing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").withColumnRenamed("source", "path"))
