@@ -22,6 +22,8 @@ SHINGLE = 3
 #: Distinct fingerprints from which bit correlations and candidate counts are estimated; results do not depend on it.
 SAMPLE = 50_000
 MOST_FLIPS = 2
+#: Work of comparing one candidate, counted in looked-up rows: a row is shuffled and sorted, a candidate only compared.
+COMPARE = 0.05
 _BLOCK = 65_536
 _FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _PROBES = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("fp", pa.int64())])
@@ -117,7 +119,7 @@ class Allocation:
                 masks = self.masks[i][t]
                 running = running + len(masks)
                 for mask in masks:
-                    running = running + 2 * self._count(i, own ^ mask)
+                    running = running + COMPARE * self._count(i, own ^ mask)
                 cost[t] = running
             tables.append(cost)
         table = {0: np.zeros(n)}
