@@ -132,7 +132,11 @@ class Mix:
             (F.least(F.col("_to"), (F.col("rank") + 1) * self.block) - begin).alias("n_words"))
 
     def taken(self) -> DataFrame:
-        """(doc_id, source, size, source_size, target, taken) for every row; equal rows share what the mix takes of them."""
+        """(doc_id, source, size, source_size, target, taken) for every row; equal rows share what the mix takes of them.
+
+        A null text and one without words have size 0 and are taken 0 times; a null source is a source of its own, the last;
+        null ids are kept. An empty table gives an empty result.
+        """
         drawn = self.spans().groupBy("source_no", "doc_id", "text_hash").agg(F.sum("n_words").alias("_taken"))
         placed = self.placed()
         joined = placed.join(
@@ -142,3 +146,21 @@ class Mix:
         rest = F.col("_taken") - share * F.col("copies")
         return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
             "doc_id", "source", "size", "source_size", "target", (share + (F.col("_copy") <= rest).cast("long")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """The rows of docs(doc_id, text, source, ...) as often as the mix takes them, up to ``most`` times, with docs' own columns.
+
+    A document of which at least half a copy more is taken gets that copy whole; one without words is not in the mix.
+    """
+    mix = Mix(docs, weights, most, block)
+    drawn = mix.spans().groupBy("source_no", "doc_id", "text_hash").agg(F.sum("n_words").alias("_taken"))
+    placed = mix.placed().select("source_no", "doc_id", "text_hash", "source", "_words").alias("p")
+    times = drawn.alias("d").join(placed, (F.col("d.source_no") == F.col("p.source_no")) & (F.col("d.text_hash") == F.col("p.text_hash"))
+                                  & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(
+        F.col("p.doc_id").alias("_id"), F.col("p.source").alias("_source"), F.col("p.text_hash").alias("_hash"),
+        F.round(F.col("_taken") / F.col("_words")).cast("int").alias("_times")).filter("_times > 0")
+    hashed = docs.withColumn("_text_hash", F.xxhash64("doc_id", "text"))
+    return hashed.join(
+        times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_hash") == F.col("_hash"))
+    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
