@@ -59,7 +59,7 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 def correlated_parts(sample: np.ndarray, m: int) -> list[list[int]]:
     """Bit positions in m near-equal groups, each grown from a seed by the strongest mean correlation with its members."""
-    bits = _bits(sample).astype(np.float64)
+    bits = _bits(sample if len(sample) else np.zeros(1, dtype=np.uint64)).astype(np.float64)
     bits -= bits.mean(axis=0)
     spread = np.sqrt((bits ** 2).sum(axis=0))
     spread[spread == 0] = 1
