@@ -99,8 +99,8 @@ def test_presence_labels(spark):
 
 
 def test_lossy_and_default_types(spark):
-    pairs = [("timestamptz", "timestamp", True), ("int64", "int32", True), ("json", "string", True),
-             ("int32", "int64", False), ("string", "string", False), ("timestamp", "timestamptz", False)]
+    pairs = [("float64", "float32", True), ("int32", "int16", True), ("timestamptz", "date", True), ("date", "timestamp", False),
+             ("uuid", "uuid", False), ("int16", "int32", False), ("unknown", "string", False)]
     df = spark.createDataFrame(pairs, "a string, b string, lossy boolean")
     assert df.filter(mapping.is_lossy(F.col("a"), F.col("b")) != F.col("lossy")).collect() == []
     types = spark.createDataFrame(
@@ -114,23 +114,36 @@ def m(column, source_type="text", dest=None, default=None, override=None, skip=F
             "default_dest_type": default or source_type, "override_dest_type": override, "skip": skip}
 
 
-def plan_of(*mappings):
-    return [(c.source, c.dest, c.cast_to) for c in projection.column_plan(mappings).columns]
+PLANNED = [
+    # (mapping, cast type or None if the column keeps its type, written)
+    (dict(column="k", source_type="bigint"), None, True),
+    (dict(column="k", source_type="bigint", dest="key_2", override="smallint"), "smallint", True),
+    (dict(column="k", source_type="bigint", override="  bigint "), None, True),
+    (dict(column="k", source_type=" bigint", default="bigint"), None, True),
+    (dict(column="k", source_type="bigint", default="numeric(20,0)"), "numeric(20,0)", True),
+    (dict(column="k", source_type="bigint", default="text", override=""), "text", True),
+    (dict(column="k", source_type=None, default="text"), "text", True),
+    (dict(column="k", source_type="bigint", skip=True), None, False),
+    (dict(column="k", source_type="bigint", skip=None), None, True),
+    (dict(column=None, source_type="bigint", dest="z"), None, False),
+    (dict(column="k", source_type="bigint", dest=""), None, False),
+]
 
 
-def test_column_plans():
-    assert plan_of(m("id", "uuid"), m("title")) == [("id", "id", None), ("title", "title", None)]
-    assert plan_of(m("title", override="varchar(100)")) == [("title", "title", "varchar(100)")]
-    assert plan_of(m("author_id", "uuid", "user_id")) == [("author_id", "user_id", None)]
-    assert plan_of(m("at", "timestamptz", "ts", override=" timestamp ")) == [("at", "ts", "timestamp")]
-    assert plan_of(m("a", override="")) == [("a", "a", None)]
-    assert plan_of(m("a", " text ", default="text")) == [("a", "a", None)]
-    plan = projection.column_plan([m("id"), m("secret", skip=True), m("", dest="x"), m("b", dest="")])
-    assert [c.source for c in plan.columns] == ["id"] and set(plan.skipped) == {"secret", "(unnamed)", "b"}
+def test_planned_columns(spark):
+    for mapping_row, cast_to, written in PLANNED:
+        df = projection._rows(spark, [m(**mapping_row)])
+        got = projection.planned_columns(df).first()
+        assert (got.written, got.cast_to if written else None) == (written, cast_to), mapping_row
+
+
+def test_nothing_left_to_write(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, z int")
     with pytest.raises(ValueError, match="every mapping is skipped"):
-        projection.column_plan([m("a", skip=True)])
+        projection.project(df, [m("k", "integer", skip=True)])
     with pytest.raises(ValueError, match="are generated"):
-        projection.without_generated(projection.column_plan([m("a")]), ["a"], "public.t")
+        projection.project(df, [m("k", "integer"), m("z", "integer", skip=True)], ["k"], "app.t")
+    assert projection.project(df, [m("k", "integer"), m("z", "integer")], ["k"], "app.t").columns == ["z"]
 
 
 def test_projection_of_odd_names(spark):

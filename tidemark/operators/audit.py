@@ -68,32 +68,6 @@ def orphan_findings(orphans: DataFrame) -> DataFrame:
         F.col("parent_table"), F.col("parent_column"), target=_table(F.col("child_table")))
 
 
-def gate_orphan_scan(fk_rows: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Foreign keys to scan and the one finding about those that are too large to scan.
-
-    ``fk_rows`` has the four key columns and child_rows. Without ``max_rows`` everything is scanned.
-    """
-    if max_rows is None:
-        return fk_rows, finding(fk_rows.limit(0), "preflight.no_tables")
-    too_big = fk_rows.filter(F.col("child_rows") > max_rows)
-    label = F.format_string(
-        "%s.%s → %s.%s (~%s rows)", *[F.col(c) for c in FK_COLUMNS], thousands(F.col("child_rows")))
-    shown = (
-        too_big.orderBy("child_rows", *FK_COLUMNS).limit(fixed.ORPHAN_SKIPS_SHOWN)
-        .select(F.struct("child_rows", *FK_COLUMNS, label.alias("label")).alias("entry")))
-    # at most ORPHAN_SKIPS_SHOWN entries reach the list
-    summary = too_big.agg(F.count("*").alias("skipped")).select(
-        "skipped",
-        shown.agg(F.array_join(F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["label"]), "; "))
-        .scalar().alias("sample"))
-    more = F.col("skipped") - fixed.ORPHAN_SKIPS_SHOWN
-    note = finding(
-        summary.filter("skipped > 0"), "preflight.orphan_scan_skipped",
-        F.col("skipped"), thousands(F.lit(max_rows)), F.col("sample"),
-        F.when(more > 0, F.format_string("; +%d more", more)).otherwise(""))
-    return fk_rows.filter(F.col("child_rows") <= max_rows), note
-
-
 # --- rows: keys, nulls, lengths ---------------------------------------------------------------------
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -202,26 +176,14 @@ def no_tables(plan: DataFrame) -> DataFrame:
 
 def preflight(
     plan: DataFrame, source_tables: DataFrame, dest_tables: DataFrame, mappings: DataFrame,
-    foreign_keys: Sequence[ForeignKey] = (), max_orphan_scan_rows: int | None = None,
+    foreign_keys: Sequence[ForeignKey] = (),
 ) -> DataFrame:
-    """All findings about one plan."""
-    state = plan_state(plan, source_tables, dest_tables)
-    parts = [no_tables(plan), plan_findings(state), no_mapped_columns(plan, mappings)]
+    """All findings about one plan; every given foreign key of a planned table is scanned whole."""
+    parts = [no_tables(plan), plan_findings(plan_state(plan, source_tables, dest_tables)), no_mapped_columns(plan, mappings)]
     if foreign_keys:
-        spark = plan.sparkSession
-        listed = local_rows(
-            spark, [(f.child_table, f.child_column, f.parent_table, f.parent_column) for f in foreign_keys],
-            pa.schema([(c, pa.string()) for c in FK_COLUMNS]))
-        included = listed.join(
-            plan.select(F.col("source_table").alias("child_table")).distinct(), ["child_table"], "left_semi")
-        sizes = source_tables.select(F.col("qn").alias("child_table"), F.col("row_count").alias("child_rows"))
-        to_scan, note = gate_orphan_scan(included.join(sizes, ["child_table"]), max_orphan_scan_rows)
-        # at most the foreign keys that were passed in; the others are not scanned at all
-        wanted = {tuple(r) for r in to_scan.select(*FK_COLUMNS).collect()}
-        chosen = [f for f in foreign_keys if (f.child_table, f.child_column, f.parent_table, f.parent_column) in wanted]
-        if chosen:
-            parts.append(orphan_findings(orphan_rows(chosen)))
-        parts.append(note)
+        planned = plan.select(F.col("source_table").alias("child_table")).distinct()
+        scanned = orphan_rows(foreign_keys).join(planned, ["child_table"], "left_semi")
+        parts.append(orphan_findings(scanned))
     return union_all(parts)
 
 

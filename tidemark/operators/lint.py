@@ -82,12 +82,10 @@ def lint(
         fk_to_managed_users(columns), row_security(tables), policies_with_helpers(policies), views_with_helpers(views)])
 
 
-def with_guidance(warnings: DataFrame) -> DataFrame:
-    """Warnings with the guidance text of their code; null for a code without one."""
-    table = local_rows(
-        warnings.sparkSession, list(fixed.GUIDANCE.items()), pa.schema([("code", pa.string()), ("guidance", pa.string())]))
-    # a fixed list of a few codes
-    return warnings.join(F.broadcast(table), ["code"], "left").select(*WARNING, "guidance")
+def with_guidance(warnings: DataFrame, guidance: DataFrame) -> DataFrame:
+    """Warnings with the text that guidance(code, guidance) has for their code; null for a code without one."""
+    texts = guidance.groupBy("code").agg(F.min("guidance").alias("guidance"))
+    return warnings.join(texts, ["code"], "left").select(*WARNING, "guidance")
 
 
 def severity_rollup(warnings: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Loading projected rows into a destination folder."""
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark import fixed_values as fixed
-from tidemark.sources.storage import discard, path_exists, publish, same_path, stage
+from tidemark.sources.storage import discard, overlapping, path_exists, publish, recover, stage
 
 MODES = ("truncate", "append", "abort")
 
@@ -34,14 +35,30 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 def read_dest(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
     """The destination's rows; a folder that does not exist yet is an empty table."""
+    recover(spark, [path])
     if path_exists(spark, path):
         return spark.read.schema(schema).format(fmt).load(path)
     return spark.createDataFrame([], schema)
 
 
-def _refuse_own_source(spark: SparkSession, dest: str, source_path: str | None) -> None:
-    if source_path is not None and same_path(spark, dest, source_path):
-        raise ValueError(f"source and destination are the same: {dest}")
+def refuse_own_source(rows: DataFrame, dest: str, source_path: str | None = None) -> None:
+    """A destination that is, holds or lies in what the rows are read from would lose them."""
+    spark = rows.sparkSession
+    folders = [source_path] if source_path is not None else sorted({f.rsplit("/", 1)[0] for f in rows.inputFiles()})
+    for folder in folders:
+        if overlapping(spark, dest, folder):
+            raise ValueError(f"source and destination are the same: {dest}")
+
+
+def staged_whole(rows: DataFrame, seen: Observation, dest: str, fmt: str = "parquet") -> tuple[str, int]:
+    """Stage rows and count them as written; a folder with other than the rows that were read is refused."""
+    spark = rows.sparkSession
+    folder = stage(rows, dest, fmt)
+    written = spark.read.format(fmt).schema(rows.schema).load(folder).count()
+    if written != seen.get["rows"]:
+        discard(spark, folder)
+        raise RuntimeError(f"{seen.get['rows']:,} rows were read for {dest} and {written:,} were written")
+    return folder, written
 
 
 def _abort_if_filled(spark: SparkSession, dest: str, dest_table: str, fmt: str) -> None:
@@ -65,39 +82,66 @@ def load(
     if mode not in MODES:
         raise ValueError(f"unknown conflict mode: {mode}")
     spark = rows.sparkSession
-    _refuse_own_source(spark, dest, source_path)
+    refuse_own_source(rows, dest, source_path)
+    recover(spark, [dest])
     started = time.monotonic()
     if mode == "abort":
         _abort_if_filled(spark, dest, dest_table or dest, fmt)
-    out, written = counted(rows, "written")
+    out, read = counted(rows, "read")
     if mode == "truncate":
-        staged = stage(out, dest, fmt)
-        publish(spark, {dest: staged})
+        folder, written = staged_whole(out, read, dest, fmt)
+        publish(spark, {dest: folder})
     else:
+        before = _rows_in(spark, dest, rows.schema, fmt)
         out.write.format(fmt).mode("append").save(dest)
-    n = written.get["rows"]
-    return LoadMetrics(dest_table or dest, n, n, int((time.monotonic() - started) * 1000))
+        written = _rows_in(spark, dest, rows.schema, fmt) - before
+    return LoadMetrics(dest_table or dest, read.get["rows"], written, int((time.monotonic() - started) * 1000))
+
 
+def _rows_in(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> int:
+    return spark.read.format(fmt).schema(schema).load(path).count() if path_exists(spark, path) else 0
 
-def truncate_all(loads: Sequence[tuple[DataFrame, str]], fmt: str = "parquet") -> list[int]:
+
+def stage_all(spark: SparkSession, work: Sequence[Callable[[], tuple[str, int]]], concurrency: int) -> list[tuple[str, int] | Exception]:
+    """Run staging jobs a few at a time; each gives its folder and rows, or the error it ended with."""
+    def one(job):
+        try:
+            return job()
+        except Exception as e:
+            return e
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        return list(pool.map(one, work))
+
+
+def truncate_all(
+    loads: Sequence[tuple[DataFrame, str]], fmt: str = "parquet", source_paths: Sequence[str | None] | None = None, concurrency: int = 4,
+) -> list[int]:
     """Replace a set of destinations together; returns the rows written to each.
 
     Every table is staged before any destination changes, so a failed load leaves the whole set as it
-    was. A destination named twice is an error.
+    was, and no staged folder. A destination named twice, or one that overlaps the source of any of the tables, is an error.
     """
     dests = [dest for _, dest in loads]
-    if len(set(dests)) != len(dests):
-        raise ValueError("a destination appears twice")
     spark = loads[0][0].sparkSession
-    staged, counts = {}, []
-    try:
-        for df, dest in loads:
-            out, seen = counted(df, "staged")
-            staged[dest] = stage(out, dest, fmt)
-            counts.append(seen.get["rows"])
-    except Exception:
-        for folder in staged.values():
-            discard(spark, folder)
-        raise
-    publish(spark, staged)
-    return counts
+    if any(overlapping(spark, a, b) for i, a in enumerate(dests) for b in dests[:i]):
+        raise ValueError("a destination appears twice")
+    sources = source_paths or [None] * len(loads)
+    for (df, _), path in zip(loads, sources):
+        for dest in dests:
+            refuse_own_source(df, dest, path)
+    recover(spark, dests)
+
+    def job(k: int):
+        df, dest = loads[k]
+        out, seen = counted(df, f"staged{k}")
+        return staged_whole(out, seen, dest, fmt)
+
+    done = stage_all(spark, [lambda k=k: job(k) for k in range(len(loads))], concurrency)
+    failed = [e for e in done if isinstance(e, Exception)]
+    if failed:
+        for got in done:
+            if not isinstance(got, Exception):
+                discard(spark, got[0])
+        raise failed[0]
+    publish(spark, {dest: folder for dest, (folder, _) in zip(dests, done)})
+    return [rows for _, rows in done]

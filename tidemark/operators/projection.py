@@ -1,6 +1,6 @@
 """Applying a table's mappings to its rows: skip, cast, rename."""
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +9,12 @@ from tidemark import fixed_values as fixed
 from tidemark.functions.casts import pg_cast, spark_type
 from tidemark.functions.text import quoted
 from tidemark.operators.keyed import lookup_join
+from tidemark.operators.mapping import effective_dest_type
+
+
+#: What a mapping must tell; any other column of a mapping table is left alone.
+MAPPING_FIELDS = ("source_column", "dest_column", "source_type", "default_dest_type", "override_dest_type")
+Mappings = DataFrame | Sequence[Mapping]
 
 
 @dataclass(frozen=True)
@@ -18,44 +24,39 @@ class PlannedColumn:
     cast_to: str | None
 
 
-@dataclass(frozen=True)
-class ColumnPlan:
-    columns: tuple[PlannedColumn, ...]
-    skipped: tuple[str, ...]
+def planned_columns(mappings: DataFrame) -> DataFrame:
+    """Mappings of any number of tables with ``written`` and ``cast_to``, the type to cast to or null.
 
+    A column is written if it is not skipped and both of its names are set; it is cast if its effective type is set and
+    is not the source's own.
+    """
+    wanted = effective_dest_type(F.col("override_dest_type"), F.col("default_dest_type"))
+    own = F.trim(F.coalesce("source_type", F.lit("")))
+    named = [F.coalesce(F.length(c), F.lit(0)) > 0 for c in ("source_column", "dest_column")]
+    return mappings.withColumn("written", named[0] & named[1] & ~F.coalesce("skip", F.lit(False))).withColumn(
+        "cast_to", F.when((wanted != "") & (wanted != own), wanted))
 
-def table_mappings(mappings: DataFrame, source_table: str, dest_table: str) -> list[dict]:
-    """The mappings of one table pair, by source column: one row per column of a table."""
-    rows = mappings.filter((F.col("source_table") == source_table) & (F.col("dest_table") == dest_table))
-    found = [r.asDict() for r in rows.orderBy("source_column").collect()]
-    if not found:
-        raise ValueError(fixed.NO_MAPPINGS % (source_table, dest_table))
-    return found
-
-
-def column_plan(mappings: Iterable[Mapping]) -> ColumnPlan:
-    """Which columns are written, under which name and with which cast, by source column name."""
-    columns, skipped = [], []
-    for m in sorted(mappings, key=lambda m: m.get("source_column") or ""):
-        source, dest = m.get("source_column"), m.get("dest_column")
-        if m.get("skip") or not source or not dest:
-            skipped.append(source or "(unnamed)")
-            continue
-        wanted = (m.get("override_dest_type") or m.get("default_dest_type") or "").strip()
-        differs = wanted and wanted != (m.get("source_type") or "").strip()
-        columns.append(PlannedColumn(source, dest, wanted if differs else None))
-    if not columns:
-        raise ValueError(fixed.EMPTY_COLUMN_PLAN)
-    return ColumnPlan(tuple(columns), tuple(skipped))
 
+def _rows(spark, mappings: Mappings) -> DataFrame:
+    if isinstance(mappings, DataFrame):
+        return mappings
+    schema = ", ".join(f"{c} string" for c in MAPPING_FIELDS) + ", skip boolean"
+    return spark.createDataFrame([(*(m.get(c) for c in MAPPING_FIELDS), bool(m.get("skip"))) for m in mappings], schema)
 
-def without_generated(plan: ColumnPlan, generated: Sequence[str], dest_table: str) -> ColumnPlan:
-    """Destination columns that either side computes itself are not written."""
-    kept = tuple(c for c in plan.columns if c.dest not in generated)
-    if not kept:
+
+def written_columns(df: DataFrame, mappings: Mappings, generated: Sequence[str] = (), dest_table: str = "") -> list[PlannedColumn]:
+    """The columns that one table's projection consists of, by source name: as many as the table has.
+
+    Destination columns that either side computes itself are not among them.
+    """
+    planned = planned_columns(_rows(df.sparkSession, mappings)).filter("written").select("source_column", "dest_column", "cast_to")
+    found = [PlannedColumn(*r) for r in planned.orderBy("source_column", "dest_column").collect()]
+    if not found:
+        raise ValueError(fixed.EMPTY_COLUMN_PLAN)
+    own = [c for c in found if c.dest not in generated]
+    if not own:
         raise ValueError(fixed.ALL_GENERATED % dest_table)
-    dropped = tuple(c.source for c in plan.columns if c.dest in generated)
-    return ColumnPlan(kept, plan.skipped + dropped)
+    return own
 
 
 def _value(df: DataFrame, column: PlannedColumn, safe: bool = False) -> Column:
@@ -65,19 +66,18 @@ def _value(df: DataFrame, column: PlannedColumn, safe: bool = False) -> Column:
 
 
 def project(
-    df: DataFrame, mappings: Iterable[Mapping], generated: Sequence[str] = (), dest_table: str = "",
+    df: DataFrame, mappings: Mappings, generated: Sequence[str] = (), dest_table: str = "",
 ) -> DataFrame:
     """The rows as the destination receives them: one projection inside the scan's stage."""
-    plan = without_generated(column_plan(mappings), generated, dest_table)
-    return df.select(*[_value(df, c).alias(c.dest) for c in plan.columns])
+    return df.select(*[_value(df, c).alias(c.dest) for c in written_columns(df, mappings, generated, dest_table)])
 
 
-def lossy_audit(df: DataFrame, mappings: Iterable[Mapping]) -> DataFrame:
+def lossy_audit(df: DataFrame, mappings: Mappings) -> DataFrame:
     """Per cast column, the values that would not survive: rejected ones and ones that change.
 
     A value changes when casting it to the planned type and back gives another value. One pass for all columns.
     """
-    planned = [c for c in column_plan(mappings).columns if c.cast_to is not None]
+    planned = [c for c in written_columns(df, mappings) if c.cast_to is not None]
     # each cast is projected once, then compared and counted
     casts = df.select(*[x for i, c in enumerate(planned) for x in (
         quoted(c.source).alias(f"_s{i}"), _value(df, c, safe=True).alias(f"_t{i}"))])
@@ -93,10 +93,10 @@ def lossy_audit(df: DataFrame, mappings: Iterable[Mapping]) -> DataFrame:
     return totals.select(F.inline(rows))
 
 
-def planned_schema(df: DataFrame, mappings: Iterable[Mapping]) -> dict[str, str]:
+def planned_schema(df: DataFrame, mappings: Mappings) -> dict[str, str]:
     """Spark type of every destination column."""
     types = {}
-    for c in column_plan(mappings).columns:
+    for c in written_columns(df, mappings):
         own = df.schema[c.source].dataType
         target = own if c.cast_to is None else spark_type(c.cast_to, own)
         types[c.dest] = target if isinstance(target, str) else target.simpleString()

@@ -17,6 +17,8 @@ from tidemark.functions.text import quoted, signed_thousands, thousands
 from tidemark.operators.keyed import local_rows, union_all
 
 PAIR = ["source_table", "dest_table"]
+#: The number of a pair among those checked together: names may repeat, numbers do not.
+NUMBERED = ["pair", *PAIR]
 
 
 @dataclass(frozen=True)
@@ -51,14 +53,14 @@ def pair_totals(
     spark = pairs[0].source.sparkSession
     slots = max([len(p.sequences) for p in maxima], default=0)
 
-    def side(pair: TablePair, df: DataFrame, is_source: bool) -> DataFrame:
+    def side(number: int, pair: TablePair, df: DataFrame, is_source: bool) -> DataFrame:
         columns = [
-            f"{_text(pair.source_table)} as source_table", f"{_text(pair.dest_table)} as dest_table",
+            f"{number}L as pair", f"{_text(pair.source_table)} as source_table", f"{_text(pair.dest_table)} as dest_table",
             f"{int(is_source)}L as source", f"{int(not is_source)}L as dest"]
-        named = [c for c, _ in pair.sequences] if pair in maxima and not is_source else []
+        named = [c for c, _ in pair.sequences] if any(pair is p for p in maxima) and not is_source else []
         maximum = [
             f"cast({name_sql(named[i]) if i < len(named) else 'null'} as bigint) as _max{i}" for i in range(slots)]
-        if pair not in digest:
+        if not any(pair is p for p in digest):
             zeros = [f"0L as _d{h}{i}{s}" for h in range(HALVES) for i in range(LIMBS) for s in "st"]
             return df.selectExpr(*columns, *maximum, *(zeros if digest else []))
         # hash, halves and limbs are projected one after the other, so each is computed once per row
@@ -70,14 +72,14 @@ def pair_totals(
             for h in range(HALVES) for i in range(LIMBS) for s in "st"])
 
     seeds = local_rows(
-        spark, [(p.source_table, p.dest_table, 0, 0) for p in pairs],
-        pa.schema([("source_table", pa.string()), ("dest_table", pa.string()),
+        spark, [(i, p.source_table, p.dest_table, 0, 0) for i, p in enumerate(pairs)],
+        pa.schema([("pair", pa.int64()), ("source_table", pa.string()), ("dest_table", pa.string()),
                    ("source", pa.int64()), ("dest", pa.int64())]))
     limbs = [f"_d{h}{i}{s}" for h in range(HALVES) for i in range(LIMBS) for s in "st"] if digest else []
     seeds = seeds.selectExpr("*", *[f"cast(null as bigint) as _max{i}" for i in range(slots)], *[f"0L as {c}" for c in limbs])
-    rows = union_all([seeds] + [side(p, df, is_src) for p in pairs for df, is_src in ((p.source, True), (p.dest, False))])
-    totals = rows.groupBy(*PAIR).agg(*[
-        F.expr(f"{'max' if c.startswith('_max') else 'sum'}({c}) as {c}") for c in rows.columns if c not in PAIR])
+    rows = union_all([seeds] + [side(i, p, df, is_src) for i, p in enumerate(pairs) for df, is_src in ((p.source, True), (p.dest, False))])
+    totals = rows.groupBy(*NUMBERED).agg(*[
+        F.expr(f"{'max' if c.startswith('_max') else 'sum'}({c}) as {c}") for c in rows.columns if c not in NUMBERED])
     if not digest:
         return totals
     values = [
@@ -169,11 +171,11 @@ def sample_keys(df: DataFrame, key: Sequence[str], seed: str = "0", columns: Seq
         *[quoted(k) for k in key], F.col("rn").cast("bigint").alias("rn"), "row_hash")
 
 
-def _hash_sample_one(pair: TablePair, seed: str) -> DataFrame:
+def _hash_sample_one(number: int, pair: TablePair, seed: str) -> DataFrame:
     if not pair.key:
         spark = pair.source.sparkSession
         return _sample_row(
-            local_rows(spark, [(pair.source_table, pair.dest_table)], strings_of(PAIR)),
+            local_rows(spark, [(number, pair.source_table, pair.dest_table)], numbered_schema()),
             F.lit(True), F.lit(fixed.SAMPLE_NO_KEY))
     names = pair.compared()
     keys = [quoted(k) for k in pair.key]
@@ -204,18 +206,17 @@ def _hash_sample_one(pair: TablePair, seed: str) -> DataFrame:
         F.when(F.col("sample_size") == 0, fixed.SAMPLE_EMPTY_TABLE)
         .when(passed, F.format_string(fixed.SAMPLE_MATCH, "sample_size"))
         .otherwise(F.format_string(fixed.SAMPLE_MISMATCH, parts, "sample_size")))
-    shown = fixed.SAMPLE_KEYS_SHOWN
     return result.select(
-        F.lit(pair.source_table).alias("source_table"), F.lit(pair.dest_table).alias("dest_table"),
+        F.lit(number).cast("bigint").alias("pair"), F.lit(pair.source_table).alias("source_table"), F.lit(pair.dest_table).alias("dest_table"),
         passed.alias("passed"), detail.alias("detail"), "sample_size",
-        F.slice("_missing", 1, shown).alias("missing"), F.slice("_mismatched", 1, shown).alias("mismatched"),
+        F.col("_missing").alias("missing"), F.col("_mismatched").alias("mismatched"),
         "missing_count", "mismatched_count", F.lit(", ".join(pair.key)).alias("pk_column"))
 
 
 def _sample_row(rows: DataFrame, passed: Column, detail: Column) -> DataFrame:
     none = F.lit(None)
     return rows.select(
-        *PAIR, passed.alias("passed"), detail.alias("detail"), none.cast("bigint").alias("sample_size"),
+        *NUMBERED, passed.alias("passed"), detail.alias("detail"), none.cast("bigint").alias("sample_size"),
         none.cast("array<string>").alias("missing"), none.cast("array<string>").alias("mismatched"),
         none.cast("bigint").alias("missing_count"), none.cast("bigint").alias("mismatched_count"),
         none.cast("string").alias("pk_column"))
@@ -227,31 +228,34 @@ def hash_sample(pairs: Sequence[TablePair], seed: str = "0") -> DataFrame:
     Reads the source once and the destination once. Rows that exist only on the destination are not
     seen; :func:`tidemark.operators.rowdiff.row_diff` covers those.
     """
-    return union_all([_hash_sample_one(p, seed) for p in pairs])
+    return _hash_samples(list(enumerate(pairs)), seed).drop("pair")
+
+
+def _hash_samples(numbered: Sequence[tuple[int, TablePair]], seed: str) -> DataFrame:
+    return union_all([_hash_sample_one(i, p, seed) for i, p in numbered])
 
 
 # --- sequences ----------------------------------------------------------------------------------------
 
-def strings_of(names: Sequence[str]) -> pa.Schema:
-    return pa.schema([(n, pa.string()) for n in names])
+def numbered_schema(*more: tuple[str, pa.DataType]) -> pa.Schema:
+    return pa.schema([("pair", pa.int64()), ("source_table", pa.string()), ("dest_table", pa.string()), *more])
 
 
 def _with_marks(totals: DataFrame, pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
     """Pair totals with the number of declared sequences and of those behind their column."""
     declared = local_rows(
         totals.sparkSession,
-        [(p.source_table, p.dest_table, i, c) for p in pairs for i, (c, _) in enumerate(p.sequences)],
-        pa.schema([("source_table", pa.string()), ("dest_table", pa.string()), ("slot", pa.int64()),
-                   ("column_name", pa.string())]))
+        [(k, p.source_table, p.dest_table, i, c) for k, p in enumerate(pairs) for i, (c, _) in enumerate(p.sequences)],
+        numbered_schema(("slot", pa.int64()), ("column_name", pa.string())))
     last = marks.selectExpr("table_name as dest_table", "column_name", "cast(last_value as bigint) as last_value")
     # a few sequences per table
-    per_pair = declared.join(last, ["dest_table", "column_name"], "left").groupBy(*PAIR).agg(
+    per_pair = declared.join(last, ["dest_table", "column_name"], "left").groupBy(*NUMBERED).agg(
         F.collect_list(F.struct("slot", "last_value")).alias("_declared"))
     slots = [c for c in totals.columns if c.startswith("_max")]
     maxima = f"array({', '.join(slots)})" if slots else "cast(array() as array<bigint>)"
     behind = (f"filter(_declared, s -> get({maxima}, cast(s.slot as int)) is not null"
               f" and coalesce(s.last_value < get({maxima}, cast(s.slot as int)), true))")
-    return totals.join(per_pair, PAIR, "left").selectExpr(
+    return totals.join(per_pair, NUMBERED, "left").selectExpr(
         *totals.columns, "cast(coalesce(array_size(_declared), 0) as bigint) as sequences",
         f"cast(coalesce(array_size({behind}), 0) as bigint) as behind")
 
@@ -276,7 +280,7 @@ def sequence_parity(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
 
 # --- all checks of a level ------------------------------------------------------------------------------
 
-RESULT = [*PAIR, "position", "name", "passed", "detail", "metrics", "error"]
+RESULT = [*NUMBERED, "position", "name", "passed", "detail", "metrics", "error"]
 
 
 SAMPLE_METRICS = ["sample_size", "missing", "mismatched", "missing_count", "mismatched_count", "pk_column"]
@@ -296,12 +300,10 @@ def _results(rows: DataFrame, entries: Sequence[Column], pairs: Sequence[TablePa
     """The entries of each pair's row that its level asks for, as rows with their position in the level."""
     wanted = local_rows(
         rows.sparkSession,
-        [(p.source_table, p.dest_table, i, n) for p in pairs for i, n in enumerate(p.checks()) if only in (None, n)],
-        pa.schema([("source_table", pa.string()), ("dest_table", pa.string()), ("position", pa.int64()),
-                   ("name", pa.string())]))
-    # a few checks per table of the plan
-    return rows.select(*PAIR, F.inline(F.array(*entries))).join(F.broadcast(wanted), [*PAIR, "name"]).select(
-        *PAIR, "position", "name", "passed", "detail", "metrics", F.lit(None).cast("string").alias("error"))
+        [(k, p.source_table, p.dest_table, i, n) for k, p in enumerate(pairs) for i, n in enumerate(p.checks()) if only in (None, n)],
+        numbered_schema(("position", pa.int64()), ("name", pa.string())))
+    return rows.select(*NUMBERED, F.inline(F.array(*entries))).join(wanted, [*NUMBERED, "name"]).select(
+        *NUMBERED, "position", "name", "passed", "detail", "metrics", F.lit(None).cast("string").alias("error"))
 
 
 def verify(
@@ -334,7 +336,7 @@ def verify(
             entries.append(_entry("sequence_parity", _sequence_verdict(), {m: F.col(m) for m in SEQUENCE_METRICS}))
         parts.append(_results(totals, entries, pairs, only))
     if having("hash_sample"):
-        sampled = hash_sample(having("hash_sample"), seed)
+        sampled = _hash_samples([(i, p) for i, p in enumerate(pairs) if any(p is q for q in having("hash_sample"))], seed)
         texts = {m: F.to_json(m) if m in ("missing", "mismatched") else F.col(m) for m in SAMPLE_METRICS}
         parts.append(_results(
             sampled, [_entry("hash_sample", {"passed": F.col("passed"), "detail": F.col("detail")}, texts)], pairs, only))
@@ -345,9 +347,9 @@ def overall(results: DataFrame) -> DataFrame:
     """Per pair: passed, and the failed checks as one text in check order."""
     failed = F.when(~F.col("passed"), F.struct("position", F.concat_ws(": ", "name", "detail").alias("text")))
     # at most one row per check of a level in each group
-    return results.groupBy(*PAIR).agg(
+    return results.groupBy(*NUMBERED).agg(
         F.min("passed").alias("passed"),
         F.array_join(F.transform(F.sort_array(F.collect_list(failed)), lambda x: x["text"]), "; ").alias("error"),
     ).select(
-        *PAIR, F.when(F.col("passed"), "passed").otherwise("failed").alias("status"),
+        *NUMBERED, F.when(F.col("passed"), "passed").otherwise("failed").alias("status"),
         F.when(~F.col("passed"), F.col("error")).alias("error"))

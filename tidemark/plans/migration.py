@@ -1,7 +1,7 @@
 """Running a migration plan: project, load and verify every table."""
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.operators.graph import dependency_levels
-from tidemark.operators.load import counted, load, read_dest
+from tidemark.operators.load import LoadMetrics, counted, load, read_dest, refuse_own_source, stage_all, staged_whole
 from tidemark.operators.marks import high_water_marks
-from tidemark.operators.projection import project
+from tidemark.operators.projection import Mappings, project
 from tidemark.operators.verify import TablePair, overall
 from tidemark.plans.verification import run_checks
-from tidemark.sources.storage import discard, publish, stage
+from tidemark.sources.storage import overlapping, publish, recover
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class TableMove:
     dest_table: str
     source: DataFrame = field(repr=False)
     dest_path: str
-    mappings: Sequence[Mapping] = field(repr=False)
+    mappings: Mappings = field(repr=False)
     conflict_mode: str = "truncate"
     verification: str | None = fixed.DEFAULT_LEVEL
     key: tuple[str, ...] = ()
@@ -56,75 +56,101 @@ def load_waves(spark: SparkSession, moves: Sequence[TableMove], edges: DataFrame
     return [waves[k] for k in sorted(waves)]
 
 
-def _truncated_together(moves: Sequence[TableMove]) -> tuple[dict[int, tuple[int, int]], dict[int, str]]:
-    """Stage every truncate table, then replace all destinations at once.
+def _truncated_together(
+    moves: Sequence[TableMove], refused: dict[int, str], concurrency: int,
+) -> tuple[dict[int, LoadMetrics], dict[int, str]]:
+    """Stage every truncate table, a few at a time, then replace all destinations at once.
 
-    Returns (rows, milliseconds) of the tables that were loaded and the error of those that were not.
+    Returns the metrics of the tables that were loaded and the error of those that were not.
     Tables that fail to stage keep their old data; the others are still published.
     """
+    spark = moves[0].source.sparkSession
+    chosen = [i for i, m in enumerate(moves) if m.conflict_mode == "truncate" and i not in refused]
+
+    def job(i: int):
+        m, started = moves[i], time.monotonic()
+        out, seen = counted(project(m.source, m.mappings, m.generated, m.dest_table), f"staged{i}")
+        folder, rows = staged_whole(out, seen, m.dest_path)
+        return folder, LoadMetrics(m.dest_table, seen.get["rows"], rows, int((time.monotonic() - started) * 1000))
+
     loaded, errors, staged = {}, {}, {}
-    for i, m in enumerate(moves):
-        if m.conflict_mode != "truncate":
-            continue
-        started = time.monotonic()
-        try:
-            if m.dest_path in staged:
-                raise ValueError(f"a destination appears twice: {m.dest_path}")
-            out, seen = counted(project(m.source, m.mappings, m.generated, m.dest_table), f"staged{i}")
-            staged[m.dest_path] = stage(out, m.dest_path)
-            loaded[i] = (seen.get["rows"], int((time.monotonic() - started) * 1000))
-        except Exception as e:
-            errors[i] = str(e)
+    for i, got in zip(chosen, stage_all(spark, [lambda i=i: job(i) for i in chosen], concurrency)):
+        if isinstance(got, Exception):
+            errors[i] = str(got)
+        else:
+            staged[moves[i].dest_path], loaded[i] = got
     if staged:
-        spark = moves[0].source.sparkSession
         try:
             publish(spark, staged)
         except Exception as e:
-            for folder in staged.values():
-                discard(spark, folder)
             errors.update({i: str(e) for i in loaded})
             loaded = {}
     return loaded, errors
 
 
+def _refused(moves: Sequence[TableMove]) -> dict[int, str]:
+    """The moves that would destroy a source of the plan, or that share a destination, by number."""
+    spark, out = moves[0].source.sparkSession, {}
+    for i, m in enumerate(moves):
+        try:
+            for other in moves:
+                refuse_own_source(other.source, m.dest_path, other.source_path)
+            if any(j != i and m.conflict_mode == "truncate" and overlapping(spark, m.dest_path, o.dest_path) for j, o in enumerate(moves)):
+                raise ValueError(f"a destination appears twice: {m.dest_path}")
+        except Exception as e:
+            out[i] = str(e)
+    return out
+
+
 def run_migration(
     moves: Sequence[TableMove], edges: DataFrame | None = None, marks: DataFrame | None = None,
     concurrency: int = 4,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(run, run tables, marks): every table projected, loaded, marked and verified.
 
-    Truncate tables are replaced together first. Append and abort tables follow by dependency level, a
-    few at a time; Spark runs each as its own jobs. A table that fails to load or to verify fails alone
-    and the run is failed if any table is. Loaded data stays when its verification fails.
+    Before anything is staged, moves onto any source of the plan are refused. Truncate tables are replaced together first.
+    Append and abort tables follow by dependency level, a few at a time; Spark runs each as its own jobs. A table that fails
+    to load or to verify fails alone and the run is failed if any table is. What a load wrote must be exactly what it read,
+    whatever the level's tolerance. Loaded data stays when its verification fails; a verification that cannot run at all
+    still leaves the record of what was loaded.
     """
     spark = moves[0].source.sparkSession
     started = {}
     begun = datetime.now(timezone.utc)
-    loaded, errors = _truncated_together(moves)
-    index = {id(m): i for i, m in enumerate(moves)}
+    recover(spark, [m.dest_path for m in moves])
+    errors = _refused(moves)
+    loaded, failed_loads = _truncated_together(moves, errors, concurrency)
+    errors.update(failed_loads)
 
-    def one(m: TableMove) -> None:
-        i = index[id(m)]
+    def one(i: int) -> None:
+        m = moves[i]
         started[i] = datetime.now(timezone.utc)
         try:
             rows = project(m.source, m.mappings, m.generated, m.dest_table)
-            done = load(rows, m.dest_path, m.conflict_mode, m.dest_table, m.source_path)
-            loaded[i] = (done.rows_written, done.duration_ms)
+            loaded[i] = load(rows, m.dest_path, m.conflict_mode, m.dest_table, m.source_path)
         except Exception as e:
             errors[i] = str(e)
 
     # truncate tables are in place already, so only the other tables wait for each other
-    waiting = [m for m in moves if m.conflict_mode != "truncate"]
+    number = {id(m): i for i, m in enumerate(moves)}
+    waiting = [m for i, m in enumerate(moves) if m.conflict_mode != "truncate" and i not in errors]
     for wave in load_waves(spark, waiting, edges) if waiting else []:
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
-            list(pool.map(one, wave))
+            list(pool.map(one, [number[id(m)] for m in wave]))
+
+    for i, done in loaded.items():
+        if done.rows_read != done.rows_written:
+            errors[i] = f"{done.rows_read:,} rows were read and {done.rows_written:,} were written"
 
-    pairs = {}
-    for i in loaded:
+    pairs: dict[int, TablePair] = {}
+    for i in sorted(loaded):
         m = moves[i]
-        rows = project(m.source, m.mappings, m.generated, m.dest_table)
-        dest = read_dest(spark, m.dest_path, rows.schema)
-        pairs[i] = TablePair(m.source_table, m.dest_table, rows, dest, m.key, None, m.sequences, m.verification)
+        try:
+            rows = project(m.source, m.mappings, m.generated, m.dest_table)
+            dest = read_dest(spark, m.dest_path, rows.schema)
+            pairs[i] = TablePair(m.source_table, m.dest_table, rows, dest, m.key, None, m.sequences, m.verification)
+        except Exception as e:
+            errors.setdefault(i, str(e))
     advanced = marks
     sequenced = {p.dest_table: (p.dest, [c for c, _ in p.sequences]) for p in pairs.values() if p.sequences}
     if sequenced:
@@ -132,28 +158,28 @@ def run_migration(
     if advanced is None:
         advanced = spark.createDataFrame([], "table_name string, column_name string, last_value bigint")
 
-    checks: dict[tuple, list] = {}
-    verdicts: dict[tuple, object] = {}
+    checks: dict[int, list] = {}
+    verdicts: dict[int, object] = {}
     if pairs:
+        order = list(pairs)
         results = run_checks(list(pairs.values()), advanced)
         # a few rows per table of the plan
-        for r in results.orderBy("source_table", "dest_table", "position").collect():
-            checks.setdefault((r["source_table"], r["dest_table"]), []).append(
-                (r["name"], r["passed"], r["detail"], r["metrics"], r["error"]))
-        verdicts = {(r["source_table"], r["dest_table"]): r for r in overall(results).collect()}
+        for r in results.orderBy("pair", "position").collect():
+            checks.setdefault(order[r["pair"]], []).append((r["name"], r["passed"], r["detail"], r["metrics"], r["error"]))
+        verdicts = {order[r["pair"]]: r for r in overall(results).collect()}
 
     rows, first_error = [], None
     for i, m in enumerate(moves):
-        name = (m.source_table, m.dest_table)
-        n, ms = loaded.get(i, (None, None))
-        if i in errors:
-            status, error = "failed", errors[i]
-            first_error = first_error or error
+        done = loaded.get(i)
+        error = errors.get(i)
+        if error is None:
+            error = verdicts[i]["error"] if verdicts[i]["status"] != "passed" else None
         else:
-            status = "succeeded" if verdicts[name]["status"] == "passed" else "failed"
-            error = verdicts[name]["error"]
-        rows.append((*name, m.conflict_mode, status, n, n, ms, checks.get(name, []), error,
-                     started.get(i, begun), datetime.now(timezone.utc)))
+            first_error = first_error or error
+        rows.append((
+            m.source_table, m.dest_table, m.conflict_mode, "succeeded" if error is None else "failed", done and done.rows_read,
+            done and done.rows_written, done and done.duration_ms, checks.get(i, []), error, started.get(i, begun),
+            datetime.now(timezone.utc)))
     failed = sum(r[3] == "failed" for r in rows)
     run = (
         "failed" if failed else "succeeded", len(rows) - failed, failed,
@@ -162,13 +188,9 @@ def run_migration(
         spark.createDataFrame([run], RUN_SCHEMA), spark.createDataFrame(rows, RUN_TABLE_SCHEMA), advanced)
 
 
-def mapping_rows(mappings: DataFrame, plan: DataFrame) -> dict[tuple[str, str], list[dict]]:
-    """The mappings of a plan's table pairs, ready for :class:`TableMove`: one row per planned column."""
-    wanted = mappings.join(plan.select("source_table", "dest_table").distinct(), ["source_table", "dest_table"], "left_semi")
-    found: dict[tuple[str, str], list[dict]] = {}
-    for r in wanted.orderBy("source_table", "dest_table", "source_column").collect():
-        found.setdefault((r["source_table"], r["dest_table"]), []).append(r.asDict())
-    return found
+def mappings_of(mappings: DataFrame, source_table: str, dest_table: str) -> DataFrame:
+    """The mappings of one move."""
+    return mappings.filter((F.col("source_table") == source_table) & (F.col("dest_table") == dest_table))
 
 
 def included(plan: DataFrame) -> DataFrame:

@@ -2,32 +2,31 @@
 
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from tidemark import fixed_values as fixed
 from tidemark.operators.verify import RESULT, TablePair, overall, verify
 
 RESULT_SCHEMA = (
-    "source_table string, dest_table string, position bigint, name string, passed boolean, detail string, "
+    "pair bigint, source_table string, dest_table string, position bigint, name string, passed boolean, detail string, "
     "metrics map<string,string>, error string")
 
 
-def _one_check(pair: TablePair, marks: DataFrame | None, name: str) -> list[tuple]:
+def _one_check(number: int, pair: TablePair, marks: DataFrame | None, name: str) -> list[tuple]:
     """The result of one check, or of its failure to run."""
     try:
         rows = verify([pair], marks, only=name).collect()
-        return [tuple(r[c] for c in RESULT) for r in rows]
+        return [(number, *(r[c] for c in RESULT[1:])) for r in rows]
     except Exception as e:
         position = pair.checks().index(name)
-        return [(pair.source_table, pair.dest_table, position, name, False, fixed.CHECK_RAISED, {}, str(e))]
+        return [(number, pair.source_table, pair.dest_table, position, name, False, fixed.CHECK_RAISED, {}, str(e))]
 
 
 def run_checks(pairs: Sequence[TablePair], marks: DataFrame | None = None, batch: int = 100) -> DataFrame:
-    """Results of all checks; a check that cannot run is a failed result with its error.
+    """Results of all checks, numbered by pair; a check that cannot run is a failed result with its error.
 
-    Pairs are checked ``batch`` at a time in one job each. Only when such a job fails is each of its checks
-    run by itself, so one unreadable table costs the others nothing but time. What reaches the driver is a
+    Pairs are checked ``batch`` at a time in one job each. Only when such a job fails, for whatever reason, is each of its
+    checks run by itself, so one unreadable table costs the others nothing but time. What reaches the driver is a
     few rows per table.
     """
     spark = pairs[0].source.sparkSession
@@ -35,9 +34,9 @@ def run_checks(pairs: Sequence[TablePair], marks: DataFrame | None = None, batch
     for start in range(0, len(pairs), batch):
         some = pairs[start:start + batch]
         try:
-            rows += [tuple(r[c] for c in RESULT) for r in verify(some, marks).collect()]
-        except (PySparkException, ValueError):
-            rows += [row for p in some for name in p.checks() for row in _one_check(p, marks, name)]
+            rows += [(start + r["pair"], *(r[c] for c in RESULT[1:])) for r in verify(some, marks).collect()]
+        except Exception:
+            rows += [row for k, p in enumerate(some) for name in p.checks() for row in _one_check(start + k, p, marks, name)]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

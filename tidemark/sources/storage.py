@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +42,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def same_path(spark: SparkSession, a: str, b: str) -> bool:
-    fs_a, path_a = _file_system(spark, a)
-    fs_b, path_b = _file_system(spark, b)
-    return fs_a.makeQualified(path_a).equals(fs_b.makeQualified(path_b))
+def overlapping(spark: SparkSession, a: str, b: str) -> bool:
+    """Whether two paths are the same folder or one lies in the other."""
+    whole = []
+    for path in (a, b):
+        fs, p = _file_system(spark, path)
+        whole.append(str(fs.makeQualified(p).toString()).rstrip("/") + "/")
+    return whole[0].startswith(whole[1]) or whole[1].startswith(whole[0])
 
 
 def _move(spark: SparkSession, source: str, dest: str) -> None:
@@ -57,43 +61,109 @@ def _move(spark: SparkSession, source: str, dest: str) -> None:
 
 
 def stage(df: DataFrame, dest: str, fmt: str = "parquet", **options) -> str:
-    """Write to a new folder next to the destination; readers of the destination see nothing of it."""
+    """Write to a new folder next to the destination; readers of the destination see nothing of it.
+
+    If the write fails nothing of it stays.
+    """
     staged = f"{dest.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.write.format(fmt).options(**options).save(staged)
+    try:
+        df.write.format(fmt).options(**options).save(staged)
+    except Exception:
+        discard(df.sparkSession, staged)
+        raise
     return staged
 
 
+def _write_note(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_note(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _notes(spark: SparkSession, dest: str) -> list[str]:
+    fs, p = _file_system(spark, f"{dest.rstrip('/')}.publish-*")
+    return [f.getPath().toString() for f in fs.globStatus(p) or []]
+
+
+def _undo(spark: SparkSession, entries: list[tuple[str, str, str]]) -> None:
+    """Put every destination back to what it was before its folder was published."""
+    for dest, folder, old in reversed(entries):
+        if path_exists(spark, old):
+            if path_exists(spark, dest):
+                _move(spark, dest, folder)
+            _move(spark, old, dest)
+        elif path_exists(spark, dest) and not path_exists(spark, folder):
+            _move(spark, dest, folder)  # there was nothing before
+
+
+def _finish(spark: SparkSession, run: str, entries: list[tuple[str, str, str]], done: bool) -> None:
+    """Delete what a publication leaves behind; its notes go last, so that an interrupted clean-up is done again."""
+    for _, folder, old in entries:
+        for left in (old, folder):
+            if path_exists(spark, left):
+                discard(spark, left)
+    for dest, _, _ in reversed(entries):
+        discard(spark, f"{dest.rstrip('/')}.publish-{run}")
+    if done:
+        discard(spark, f"{entries[0][0].rstrip('/')}.published-{run}")
+
+
+def recover(spark: SparkSession, dests: Sequence[str]) -> None:
+    """Bring destinations whose publication was interrupted back to a whole state.
+
+    A set whose folders were all in place keeps its new data, any other set gets its old data back.
+    """
+    for dest in dests:
+        for note in _notes(spark, dest):
+            run = note.rsplit(".publish-", 1)[1]
+            entries = [tuple(line.split("\t")) for line in _read_note(spark, note).split("\n")]
+            done = path_exists(spark, f"{entries[0][0].rstrip('/')}.published-{run}")
+            if not done:
+                _undo(spark, entries)
+            _finish(spark, run, entries, done)
+
+
 def publish(spark: SparkSession, staged: dict[str, str]) -> None:
-    """Put staged folders in the place of their destinations, all or none.
+    """Put staged folders in the place of their destinations, all or none; a failure leaves the old data and no staged folder.
 
-    Old data is moved aside and deleted only after the last folder is in place; a failure moves
-    everything back. A reader between two moves can see a mix, which only a transactional table
-    format would prevent.
+    What is to be moved is noted beside every destination first. If the driver dies between two moves, ``recover`` finishes
+    or undoes them the next time this library loads or reads one of the destinations. A reader between two moves can see a
+    mix, which only a transactional table format would prevent; on object stores a move is a copy.
     """
-    moved: list[tuple[str, str, str | None]] = []
+    recover(spark, list(staged))
+    run = uuid.uuid4().hex
+    entries = [(dest, folder, f"{dest.rstrip('/')}.replaced-{run}") for dest, folder in staged.items()]
+    note = "\n".join("\t".join(e) for e in entries)
     try:
-        for dest, folder in staged.items():
-            old = None
+        for dest, _, _ in entries:
+            _write_note(spark, f"{dest.rstrip('/')}.publish-{run}", note)
+        for dest, folder, old in entries:
             if path_exists(spark, dest):
-                old = f"{dest.rstrip('/')}.replaced-{uuid.uuid4().hex}"
                 _move(spark, dest, old)
-            moved.append((dest, folder, old))
             _move(spark, folder, dest)
+        _write_note(spark, f"{entries[0][0].rstrip('/')}.published-{run}", "")
     except Exception:
-        for dest, folder, old in reversed(moved):
-            if path_exists(spark, dest):
-                _move(spark, dest, folder)
-            if old is not None:
-                _move(spark, old, dest)
+        _undo(spark, entries)
+        _finish(spark, run, entries, False)
         raise
-    for _, _, old in moved:
-        if old is not None:
-            discard(spark, old)
+    _finish(spark, run, entries, True)
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder this library staged or moved aside."""
-    if ".staged-" not in path and ".replaced-" not in path:
-        raise ValueError(f"not a staged or replaced folder: {path}")
+    """Delete a folder or note of this library's own making, if it is there."""
+    if not any(mark in path for mark in (".staged-", ".replaced-", ".publish-", ".published-")):
+        raise ValueError(f"not a folder of this library's own: {path}")
     fs, p = _file_system(spark, path)
     fs.delete(p, True)

@@ -58,6 +58,17 @@ DERIVED = {
     "conversations_dst": """
         select conv_id, turn, role, case when conv_id % 7 = 0 and turn = 1 then text || '.' else text end as text
         from {conversations} where not (conv_id % 11 = 0 and turn = 0)""",
+    # what to do about some of the lint codes, one row for each size of a part that stands for one
+    "guidance": """
+        select code, 'Size ' || cast(n as string) || ': ' || advice as guidance from (
+          select p_size % 6 as k, min(p_size) as n from {part} group by p_size % 6) s
+        join (
+          select 0 as k, 'supabase.schemas_present' as code, 'pick the schemas that move' as advice
+          union all select 1, 'supabase.gen_random_uuid_default', 'let the target make its own ids'
+          union all select 2, 'supabase.fk_to_auth_users', 'move the user table first, or keep a plain column'
+          union all select 3, 'supabase.rls_enabled', 'write the row rules anew'
+          union all select 4, 'supabase.view_uses_auth_helper', 'replace the helper calls'
+          union all select 5, 'some.other_code', 'nothing to do') a on a.k = s.k""",
     # catalogs: one table per ten parts, one column per part, in two snapshots
     "src_columns": """
         select 'src' as snapshot_id, schema_name, table_name, schema_name || '.' || table_name as qn, pos,

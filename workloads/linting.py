@@ -58,7 +58,7 @@ def sql_rule(name: str) -> str:
 
 
 SQL_NOTES = f"notes as ({' union all '.join(sql_rule(n) for n in SQL_RULES)})"
-SQL_GUIDANCE = ("case code " + " ".join(f"when '{c}' then {quoted(g)}" for c, g in fixed.GUIDANCE.items()) + " end")
+SQL_GUIDED = "guided as (select n.*, g.guidance from notes n left join {guidance} g on g.code = n.code)"
 INPUTS = {
     "schemas_present": ("all_tables", "all_views"), "managed_extensions": ("all_extensions",),
     "random_uuid_defaults": ("columns",), "fk_to_managed_users": ("columns",), "row_security": ("all_tables",),
@@ -84,9 +84,9 @@ def warnings_of(spark, sf_dir):
     return lint.lint(*[given(spark, sf_dir, n) for n in ("all_tables", "columns", "all_views", "all_policies", "all_extensions")])
 
 
-@query("lint_report", duck(f"select *, {SQL_GUIDANCE} as guidance from notes", SQL_NOTES))
+@query("lint_report", duck("select * from guided", SQL_NOTES, SQL_GUIDED))
 def lint_report(spark, sf_dir):
-    return lint.with_guidance(warnings_of(spark, sf_dir))
+    return lint.with_guidance(warnings_of(spark, sf_dir), table(spark, sf_dir, "guidance"))
 
 
 @query("lint_rollup", duck("select snapshot_id, severity, count(*) as warnings from notes group by 1, 2", SQL_NOTES))
@@ -148,16 +148,16 @@ SQL_REPORT = f"""
     union all select comparison_id, 5, 'drift', table_label, kind_rank, column_name || ' | ' || replace(kind, '_', ' ') || ' | ' ||
            coalesce(source_value, '') || ' | ' || coalesce(dest_value, '') from drift
     union all select c.comparison_id, 6, 'notes_source', n.code, 0, concat_ws(' ', '[' || upper(n.severity) || ']', n.target,
-           n.message, {SQL_GUIDANCE}) from scope c join notes n on n.snapshot_id = c.source_snapshot_id
+           n.message, n.guidance) from scope c join guided n on n.snapshot_id = c.source_snapshot_id
     union all select c.comparison_id, 7, 'notes_dest', n.code, 0, concat_ws(' ', '[' || upper(n.severity) || ']', n.target,
-           n.message, {SQL_GUIDANCE}) from scope c join notes n on n.snapshot_id = c.dest_snapshot_id"""
+           n.message, n.guidance) from scope c join guided n on n.snapshot_id = c.dest_snapshot_id"""
 
 
-@query("comparison_report", duck(SQL_REPORT, *CTES, SQL_SUMMARY, SQL_SCOPED, SQL_NOTES))
+@query("comparison_report", duck(SQL_REPORT, *CTES, SQL_SUMMARY, SQL_SCOPED, SQL_NOTES, SQL_GUIDED))
 def comparison_report(spark, sf_dir):
     return drift.comparison_report(
         table(spark, sf_dir, "comparisons"), columns_catalog(spark, sf_dir), table(spark, sf_dir, "all_tables"),
-        snapshot_labels(spark, sf_dir), lint.with_guidance(warnings_of(spark, sf_dir)))
+        snapshot_labels(spark, sf_dir), lint.with_guidance(warnings_of(spark, sf_dir), table(spark, sf_dir, "guidance")))
 
 
 @query("lint_clean_rows", duck(f"""

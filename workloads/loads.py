@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import drift, graph, load
 from tidemark.operators.projection import project
-from tidemark.plans.migration import TableMove, included, mapping_rows, run_migration
+from tidemark.plans.migration import TableMove, included, mappings_of, run_migration
 from tidemark.operators.keyed import local_rows, strings, union_all
 from tidemark.sources.storage import scratch_path
 from tidemark.sources.tables import scan, sink
@@ -161,10 +161,10 @@ def migration(spark, sf_dir):
     plan = included(local_rows(
         spark, [(f"public.{n}", f"public.{n}", mode, None) for n, mode in MOVED.items()],
         strings("source_table", "dest_table", "conflict_mode", "verification")).withColumn("include", F.lit(True)))
-    rows = mapping_rows(mappings.withColumn("skip", F.lit(False)), plan)
+    mappings = mappings.withColumn("skip", F.lit(False))
     moves = [
         TableMove(p["source_table"], p["dest_table"], table(spark, sf_dir, n), f"{base}/{n}",
-                  rows[p["source_table"], p["dest_table"]], p["conflict_mode"], p["verification"], tuple(KEYS[n]),
+                  mappings_of(mappings, p["source_table"], p["dest_table"]), p["conflict_mode"], p["verification"], tuple(KEYS[n]),
                   sequences=(("o_orderkey", "orders_seq"),) if n == "orders" else (),
                   source_path=f"{sf_dir}/{n}.parquet")
         for p in plan.collect() for n in [p["source_table"].split(".")[1]]]

@@ -154,9 +154,9 @@ def sql_hash_sample(name: str) -> str:
               sample_size, missing_count, mismatched_count, missing, mismatched, '{key}' as pk_column
             from (select count(*) as sample_size, count(*) filter (d.h is null) as missing_count,
                     count(*) filter (d.h <> s.h) as mismatched_count,
-                    coalesce(array_to_string(list_sort(list(cast(s.k as varchar)) filter (d.h is null))[1:10], ','), '')
+                    coalesce(array_to_string(list_sort(list(cast(s.k as varchar)) filter (d.h is null)), ','), '')
                       as missing,
-                    coalesce(array_to_string(list_sort(list(cast(s.k as varchar)) filter (d.h <> s.h))[1:10], ','), '')
+                    coalesce(array_to_string(list_sort(list(cast(s.k as varchar)) filter (d.h <> s.h)), ','), '')
                       as mismatched
                   from sample s left join dest d on d.k = s.k) t""",
         sql_sample(name), f"dest as (select {key} as k, {sql_hash(name)} as h from {{{other}}})")
@@ -359,7 +359,7 @@ def verify_levels(spark, sf_dir):
        + verify_sql("source_table, position, name, passed, detail") + ") v group by source_table")
 def verification(spark, sf_dir):
     _, verdicts, _ = verification_run(verify_pairs(spark, sf_dir), table(spark, sf_dir, "marks"))
-    return verdicts.drop("dest_table")
+    return verdicts.drop("pair", "dest_table")
 
 
 @query("mask_credentials", duck(
