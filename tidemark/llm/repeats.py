@@ -254,26 +254,29 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"))
     several = ids.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     copy = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if several else F.lit(0)
+    key = ["doc", "copy"] if several else ["doc"]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), copy.alias("copy"), "text")
-    found = rows.mapInArrow(_spans(window), _SPANS_DDL).select(
-        F.shiftrightunsigned("name", 64 - _SYMBOL).alias("symbol"), "name", "rest", "doc", "copy")
+    symbol = F.shiftrightunsigned("name", 64 - _SYMBOL)
+    # dealt by the symbol without shipping it a second time; both windows below find their rows together
+    found = rows.mapInArrow(_spans(window), _SPANS_DDL).repartition(symbol).withColumn("symbol", symbol)
     span, first = F.shiftrightunsigned("rest", 32).alias("span"), F.shiftrightunsigned(F.shiftleft("rest", 32), 38).cast("int")
     place = F.struct("doc", "copy", first.alias("first"))
     own, status = Window.partitionBy("symbol", "name", span), F.shiftright("rest", 4).bitwiseAND(F.lit(3))
     names = Window.partitionBy("symbol")
-    judged = found.withColumn("origin", F.min(place).over(own)).withColumn("kinds", F.struct(
-        F.min(F.struct("name", span)).over(names).alias("low"), F.max(F.struct("name", span)).over(names).alias("high"))).select(
+    judged = found.withColumn("kinds", F.struct(
+        F.min(F.struct("name", span)).over(names).alias("low"), F.max(F.struct("name", span)).over(names).alias("high"))).withColumn(
+        "origin", F.min(place).over(own)).select(
         "doc", "copy", first.alias("first"), F.col("rest").bitwiseAND(F.lit(15)).cast("int").alias("n"),
         ((status == _REPEAT) | ((status == _OPEN) & (place > F.col("origin")))).alias("repeat"),
         ((status == _COMPARE) | ((status == _OPEN) & (F.col("kinds.low") != F.col("kinds.high")))).alias("compare")).filter("repeat or compare")
-    spans = judged.groupBy("doc", "copy").agg(F.collect_list(F.struct("first", "n", "repeat")).alias("spans"))
-    windows = rows.join(spans, ["doc", "copy"]).select("doc", "copy", "text", "spans").mapInArrow(_windows(window), _WINDOWS_DDL)
+    spans = judged.groupBy(*key).agg(F.collect_list(F.struct("first", "n", "repeat")).alias("spans"))
+    windows = rows.join(spans, key).select("doc", "copy", "text", "spans").mapInArrow(_windows(window), _WINDOWS_DDL)
     place = F.struct("doc", "copy", "start")
     later = windows.withColumn("origin", F.min(place).over(Window.partitionBy("a", "b"))).filter(
         F.col("known") | (place > F.col("origin")))
-    ranges = later.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    result = rows.join(ranges, ["doc", "copy"], "left").select("doc", "text", "ranges").mapInArrow(
+    ranges = later.groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    result = rows.join(ranges, key, "left").select("doc", "text", "ranges").mapInArrow(
         _removal(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return result.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
