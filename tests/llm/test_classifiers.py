@@ -29,7 +29,7 @@ def test_logistic_separates():
     rng = np.random.default_rng(0)
     numbers = [sorted(set(rng.integers(0, 50, 6).tolist())) for _ in range(600)]
     target = np.array([float(3 in n or 7 in n) for n in numbers])
-    rows = toxicity.Rows(numbers, [[1.0] * len(n) for n in numbers], np.zeros((600, 0)), 50)
+    rows = toxicity.Rows.of(numbers, [[1.0] * len(n) for n in numbers], np.zeros((600, 0)), 50)
     weights = toxicity.logistic(rows, target)
     assert ((toxicity.sigmoid(rows.times(weights)) > 0.5) == (target > 0)).mean() > 0.99
 

@@ -17,9 +17,10 @@ from tidemark.llm.common import by_batch, materialised, slices, words_of
 
 #: Labelled rows that training uses at most, the first by hash of their id.
 SAMPLE = 12_000
-#: Terms that the models see at most: the most telling ones of those in so many labelled texts.
-TERMS = 4096
+#: Terms that the models see at most: the most telling ones of those in so many texts of a category, of which so many are tried.
+TERMS = 2000
 RARE = 5
+CANDIDATES = 100_000
 FOLDS = 3
 PREFIXES = (4, 5, 6, 7)
 ROUNDS = 250
@@ -76,12 +77,15 @@ def value(count: int, words: int) -> float:
 class Rows:
     """Sparse feature rows with some dense columns, and products with them."""
 
-    def __init__(self, numbers: Sequence[Sequence[int]], values: Sequence[Sequence[float]], dense: np.ndarray, width: int):
-        self.n, self.width = len(numbers), width
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in numbers])
-        self.column = np.array([c for x in numbers for c in x], dtype=np.int64)
-        self.value = np.array([v for x in values for v in x], dtype=np.float64)
-        self.dense = dense
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, dense: np.ndarray, width: int):
+        self.n, self.width, self.dense = len(sizes), width, dense
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.column, self.value = columns.astype(np.int64), values.astype(np.float64)
+
+    @classmethod
+    def of(cls, numbers: Sequence[Sequence[int]], values: Sequence[Sequence[float]], dense: np.ndarray, width: int) -> "Rows":
+        flat = [np.array([x for row in rows for x in row], dtype=kind) for rows, kind in ((numbers, np.int64), (values, np.float64))]
+        return cls(np.array([len(x) for x in numbers], dtype=np.int64), *flat, dense, width)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         sparse = np.bincount(self.row, weights=self.value * weights[self.column], minlength=self.n)
@@ -150,31 +154,48 @@ class Chain:
     def probabilities(self, numbers: list[list[int]], values: list[list[float]]) -> np.ndarray:
         found = np.zeros((len(numbers), 0))
         for weights in self.weights:
-            rows = Rows(numbers, values, found, len(self.chosen))
+            rows = Rows.of(numbers, values, found, len(self.chosen))
             found = np.column_stack((found, sigmoid(rows.times(weights))))
         return found
 
 
+def _seen(sample: DataFrame, categories: list[str], rare: int) -> list[int]:
+    """The terms in at least ``rare`` texts of some category, the most frequent CANDIDATES of them."""
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: Counter = Counter()
+        for text in batch.column(0):
+            counts.update({t for w in set(words_of(text.as_py(), lower=True)) for t in terms_of(w)})
+        return pa.RecordBatch.from_arrays([pa.array([_signed(t) for t in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+    some = F.greatest(*[F.coalesce(c, F.lit(0)) for c in categories], F.lit(0)) > 0
+    found = sample.filter(some).select("text").mapInArrow(by_batch(count, schema), "term long, n long").groupBy("term").agg(
+        F.sum("n").alias("n")).filter(F.col("n") >= rare).orderBy(F.desc("n"), "term").limit(CANDIDATES).select("term").toArrow()
+    return [t % 2 ** 64 for t in found.column(0).to_pylist()]
+
+
 def _telling(sample: DataFrame, categories: list[str], most: int, rare: int) -> dict[int, int]:
     """Numbers of the terms that tell some category best, by the chi-square statistic of their document counts."""
     width = len(categories)
-    schema = pa.schema([("term", pa.int64()), *[(f"n{k}", pa.int64()) for k in range(2 * width)]])
+    schema = pa.schema([("number", pa.int32()), *[(f"n{k}", pa.int64()) for k in range(2 * width)]])
+    terms = _seen(sample, categories, rare)
+    counted = Terms({t: i for i, t in enumerate(terms)})
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables = [Counter() for _ in range(2 * width)]
+        tables = np.zeros((2 * width, len(terms)), dtype=np.int64)
         for i, text in enumerate(batch.column(0)):
-            terms = {t for w in set(words_of(text.as_py(), lower=True)) for t in terms_of(w)}
+            numbers = counted.of(text.as_py())[0]
             for k in range(width):
                 label = batch.column(1 + k)[i].as_py()
                 if label is not None:
-                    tables[2 * k + int(label > 0)].update(terms)
-        every = list(set().union(*tables))
-        columns = [pa.array([_signed(t) for t in every], pa.int64())] + [pa.array([c[t] for t in every], pa.int64()) for c in tables]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+                    tables[2 * k + int(label > 0)][numbers] += 1
+        at = np.flatnonzero(tables.any(axis=0))
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(t[at]) for t in tables]], schema=schema)
 
-    ddl = "term long, " + ", ".join(f"n{k} long" for k in range(2 * width))
+    ddl = "number int, " + ", ".join(f"n{k} long" for k in range(2 * width))
     totals = sample.agg(*[F.count(F.when((F.col(c) > 0) == F.lit(bool(y)), 1)) for c in categories for y in (0, 1)]).first()
-    summed = sample.select("text", *categories).mapInArrow(by_batch(count, schema), ddl).groupBy("term").agg(
+    summed = sample.select("text", *categories).mapInArrow(by_batch(count, schema), ddl).groupBy("number").agg(
         *[F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * width)])
     scores = []
     for k in range(width):
@@ -183,10 +204,9 @@ def _telling(sample: DataFrame, categories: list[str], most: int, rare: int) ->
         c, d, n = F.lit(float(bad)) - a, F.lit(float(clean)) - b, F.lit(float(clean + bad))
         below = (a + b) * (c + d) * F.lit(float(clean)) * F.lit(float(bad))
         scores.append(F.when(below > 0, n * F.pow(a * d - b * c, F.lit(2.0)) / F.when(below > 0, below)).otherwise(0.0))
-    every = sum((F.col(f"n{k}") for k in range(2)), F.lit(0))
-    top = summed.filter(every >= rare).withColumn("score", F.greatest(*scores) if width > 1 else scores[0]).orderBy(
-        F.desc("score"), "term").limit(most).select("term").toArrow()
-    return {t % 2 ** 64: i for i, t in enumerate(top.column(0).to_pylist())}
+    top = summed.withColumn("score", F.greatest(*scores) if width > 1 else scores[0]).orderBy(
+        F.desc("score"), "number").limit(most).select("number").toArrow()
+    return {terms[number]: i for i, number in enumerate(top.column(0).to_pylist())}
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, terms: int = TERMS, rare: int = RARE,
@@ -213,29 +233,34 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
     ddl = "doc_id long, numbers array<int>, values array<float>, " + ", ".join(f"`{c}` int" for c in categories)
     # at most ``sample`` rows of a few chosen terms
     table = rows.mapInArrow(by_batch(describe, schema), ddl).toArrow().sort_by("doc_id")
-    numbers, values = table.column("numbers").to_pylist(), table.column("values").to_pylist()
+    numbers, values = (table.column(c).combine_chunks() for c in ("numbers", "values"))
+    # small types, since this travels to the tasks
+    sizes = np.diff(numbers.offsets.to_numpy()).astype(np.int32)
+    columns, values = numbers.flatten().to_numpy().astype(np.uint16 if terms <= 65_536 else np.int32), values.flatten().to_numpy()
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % folds for i in table.column("doc_id").to_pylist()], dtype=np.int64)
-    weights, cuts, earlier = [], [], np.zeros((len(numbers), 0))
+    weights, cuts, earlier = [], [], np.zeros((len(sizes), 0))
     for c in categories:
         label = table.column(c).to_pylist()
         given = np.array([x is not None for x in label], dtype=bool)
         target = np.array([float((x or 0) > 0) for x in label])
-        models = _fitted(spark, Rows(numbers, values, earlier, len(chosen)), target, given, fold, folds)
-        own = np.zeros(len(numbers))
+        data = (sizes, columns, values, earlier, len(chosen))
+        models = _fitted(spark, data, target, given, fold, folds)
+        own, every = np.zeros(len(sizes)), Rows(*data)
         for k in range(folds):
             part = fold == k
-            own[part] = sigmoid(Rows(numbers, values, earlier, len(chosen)).times(models[k]))[part]
+            own[part] = sigmoid(every.times(models[k]))[part]
         weights.append(models[folds])
         cuts.append(best_cut(own[given], target[given]))
         earlier = np.column_stack((earlier, own))
     return Chain(categories, chosen, weights, cuts)
 
 
-def _fitted(spark, rows: Rows, target: np.ndarray, given: np.ndarray, fold: np.ndarray, folds: int) -> list[np.ndarray]:
+def _fitted(spark, data: tuple, target: np.ndarray, given: np.ndarray, fold: np.ndarray, folds: int) -> list[np.ndarray]:
     """One model without each fold, and one on all rows, fitted as tasks of one job."""
     schema = pa.schema([("model", pa.int64()), ("weights", pa.list_(pa.float64()))])
 
     def fit(batches):
+        rows = Rows(*data)
         for batch in batches:
             for model in batch.column(0).to_pylist():
                 use = given & (fold != model)
