@@ -108,8 +108,11 @@ def planted(docs: DataFrame, rows: int = LABELLED) -> DataFrame:
     Real-looking values, derived from hashes of the row, stand in the first words of ``rows`` documents, the first by hash:
     keys under names that keys have, and identifiers, checksums, numbers and file names that are no secrets.
     """
-    base = docs.filter(F.length("text") > 40).select(
-        F.xxhash64("doc_id", "text").alias("key"), F.substring("text", 1, 400).alias("lead"), "path").orderBy("key").limit(rows)
+    keyed = docs.filter(F.length("text") > 40).select(
+        F.xxhash64("doc_id", "text").alias("key"), F.substring("text", 1, 400).alias("lead"), "path")
+    # the ids are chosen first, so that no task gathers more than ids
+    chosen = keyed.select(F.col("key").alias("_key")).distinct().orderBy("_key").limit(rows)
+    base = keyed.join(F.broadcast(chosen), F.col("key") == F.col("_key")).drop("_key").dropDuplicates(["key"])
     part = F.sha2(F.concat_ws("|", F.col("key").cast("string"), F.lit("v")), 256)
     letters = F.split(F.regexp_replace(F.lower("lead"), f"[^a-z{SPACE}]+", ""), f"[{SPACE}]+")
     base = base.withColumn("part", part).withColumn("letters", letters).withColumn(
