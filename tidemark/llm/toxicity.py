@@ -19,7 +19,7 @@ from tidemark.llm.common import by_batch, materialised, slices, words_of
 SAMPLE = 12_000
 #: Terms that the models see at most: the most telling ones of those in so many texts of a category, of which so many are tried.
 TERMS = 2000
-RARE = 5
+RARE = 3
 CANDIDATES = 100_000
 FOLDS = 3
 PREFIXES = (4, 5, 6, 7)
