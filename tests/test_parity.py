@@ -190,3 +190,30 @@ def test_preflight_scans_every_key_of_planned_tables(spark):
     assert set(got) == {"table:public.c", "table:public.s"} and "has 9 orphan row(s)" in got["table:public.c"]
 
 
+def widest_share(df, column="part"):
+    """Rows of the fullest task over the mean of the tasks."""
+    sizes = [r["count"] for r in df.groupBy(column).count().collect()]
+    return max(sizes) / (sum(sizes) / len(sizes))
+
+
+def test_lookups_split_many_hot_keys_and_equal_rows(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lookup = spark.range(2000).selectExpr("id as k", "id * 2 as w")
+        fifty = spark.range(50_000).selectExpr("id % 50 as k", "id as v")
+        equal = spark.range(100_000).selectExpr("cast(7 as bigint) as k", "cast(1 as bigint) as v")
+        for rows, most in ((fifty, 2), (equal, 4)):
+            joined = lookup_join(rows, lookup, ["k"])
+            assert joined.count() == rows.count() and joined.filter("w <> 2 * k or w is null").count() == 0
+            assert widest_share(joined.withColumn("part", F.spark_partition_id())) < most
+        nulls = spark.createDataFrame([(None, 1), (None, 1), (5, 2), (99999, 3)], "k bigint, v int")
+        got = lookup_join(nulls, lookup, ["k"]).collect()
+        assert sorted((str(r["k"]), r["v"], str(r["w"])) for r in got) == [
+            ("5", 2, "10"), ("99999", 3, "None"), ("None", 1, "None"), ("None", 1, "None")]
+        assert [tuple(r) for r in lookup_join(nulls, lookup, ["k"], "inner").collect()] == [(5, 2, 10)]
+    finally:
+        for name in ("adaptive.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -324,3 +324,15 @@ def test_stale_rows_keep_their_error(spark):
     assert got["a"] == ("failed", "stale: run terminated while this table was still in 'running' state. Re-run the migration to load this table.", "now", True)
     assert got["b"] == ("failed", "old", "t0", True)
     assert got["c"][0] == "succeeded" and got["d"] == ("running", None, None, False)
+
+
+def test_transitions_of_one_run_and_one_stamp(spark):
+    """A bulk load: 20 000 events of one run with one stamp are cut by the second order column."""
+    rows = [(1, 7, i, "running" if i % 2 else "failed") for i in range(20_000)] + [(2, i, i, "running") for i in range(50)]
+    df = spark.createDataFrame(rows, "run_id int, ts int, event_id int, status string")
+    got = runs.previous_value(df, ["run_id"], ["ts", "event_id"], "status", "before", slices=16)
+    want = {(1, i): None if i == 0 else ("running" if (i - 1) % 2 else "failed") for i in range(20_000)}
+    want.update({(2, i): None if i == 0 else "running" for i in range(50)})
+    assert {(r.run_id, r.event_id): r.before for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "_part" in plan

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidemark.functions.text import quoted
 
 SALTS = 1024
-HOT_KEYS = 32
+#: Equal rows of a frequent key that travel as one.
+PORTION = 1000
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -54,13 +55,20 @@ def _known_small(df: DataFrame) -> bool:
     return int(str(size)) <= limit
 
 
-def frequent_keys(rows: DataFrame, on: Sequence[str], hot: int = HOT_KEYS) -> Column:
-    """Hashes of the most frequent keys as one array value, from a sketch over the key columns alone.
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    A key with a share of the rows that matters for balance is always found; the array is empty for even keys.
+
+def frequent_keys(rows: DataFrame, on: Sequence[str], partitions: int | None = None) -> Column:
+    """Hashes of the keys that hold over half of a shuffle partition's even share of the rows, as one array value.
+
+    The keys are counted exactly, each task counting its own first. There can be at most twice as many such keys as
+    partitions, whatever the number of rows; the array is empty for even keys.
     """
-    top = rows.agg(F.call_function("approx_top_k", _key_hash(on), F.lit(hot), F.lit(10 * hot)).alias("top"))
-    return top.select(F.transform("top", lambda t: t["item"]).alias("top")).scalar()
+    shares = 2 * (partitions or shuffle_partitions(rows.sparkSession))
+    counts = rows.groupBy(_key_hash(on).alias("key")).agg(F.count("*").alias("n"))
+    share = rows.agg((F.count("*") / shares).alias("share")).scalar()
+    return counts.filter(F.col("n") > share).agg(F.collect_list("key").alias("keys")).scalar()
 
 
 def _key_hash(on: Sequence[str]) -> Column:
@@ -75,17 +83,25 @@ def lookup_join(
 
     A lookup of known small size is left to Spark, which broadcasts it. Otherwise the rows of frequent keys
     are spread over ``salts`` parts by row content, so a retried task puts them in the same place again, and
-    their lookup rows are repeated once per part. All other keys join as usual. Which keys count as frequent
+    their lookup rows are repeated once per part. Equal rows of a frequent key travel as one row with their number, in
+    portions, so that they spread too. All other keys join as usual. Which keys count as frequent
     only changes the speed, never the result; ``frequent`` passes them when they are known already.
     """
     if _known_small(lookup):
         return rows.join(lookup, list(on), how)
     if frequent is None:
         frequent = frequent_keys(rows, on)
-    key = _key_hash(on)
+    hot = F.array_contains(F.coalesce(frequent, F.array().cast("array<bigint>")), _key_hash(on))
+    names = [quoted(f.name) for f in rows.schema.fields]
     content = [quoted(f.name) for f in rows.schema.fields if _hashable(f.dataType)]
-    part = F.pmod(F.xxhash64(F.lit(1), *content), F.lit(salts)).cast("int")
-    salted = rows.withColumn("_salt", F.when(F.array_contains(frequent, key), part).otherwise(0))
-    parts = F.when(F.array_contains(frequent, key), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = lookup.withColumn("_salt", F.explode(parts))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    if len(content) == len(names):
+        portions = rows.filter(hot).groupBy(*names).agg(F.count("*").alias("_n")).withColumn(
+            "_portion", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PORTION)))).withColumn(
+            "_n", F.least(F.lit(PORTION), F.col("_n") - F.col("_portion") * PORTION).cast("int"))
+    else:
+        portions = rows.filter(hot).withColumn("_n", F.lit(1)).withColumn("_portion", F.lit(0))
+    salted = portions.withColumn("_salt", F.pmod(F.xxhash64("_portion", *content), F.lit(salts)).cast("int")).drop("_portion")
+    spread = lookup.filter(hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spreadout = salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    repeated = spreadout.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    return rows.filter(~hot).join(lookup.filter(~hot), list(on), how).unionByName(repeated)

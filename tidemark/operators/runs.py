@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import plural
-from tidemark.operators.keyed import lookup_join, union_all
+from tidemark.operators.keyed import lookup_join, shuffle_partitions, union_all
 
 RUN = ["run_id", "status", "started_at", "finished_at", "created_at"]
 ENTRY = ["type", "id", "label", "status", "started_at", "finished_at", "detail"]
@@ -167,22 +167,37 @@ def _slice_sql(low: int, high: int) -> str:
 
 
 def previous_value(
-    events: DataFrame, keys: list[str], order: list[str], value: str, alias: str, slices: int = 64,
+    events: DataFrame, keys: list[str], order: list[str], value: str, alias: str, slices: int | None = None,
 ) -> DataFrame:
     """``events`` with each event's previous value of the same key.
 
     A key may hold a large share of the log, so its events are never sorted in one task. The first order
-    column is cut into slices of about equal row count and a window per key and slice finds the previous
-    values inside the slice. What precedes the first event of a slice is the last event of the key's
-    latest earlier slice, so a second window over only the first and last events of each slice, at most
+    column is cut into slices of about equal row count, as many as there are shuffle partitions unless told otherwise, and a
+    slice that holds a single value of it, as a bulk load makes them, is cut again by the second. A window per key
+    and slice finds the previous values inside the slice. What precedes the first event of a slice is the last event of the
+    key's latest earlier slice, so a second window over only the first and last events of each slice, at most
     two per key and slice, completes them. The full log is shuffled once.
     """
+    slices = slices or max(2, shuffle_partitions(events.sparkSession))
     position = _position(events, order[0])
-    cuts = events.agg(
-        F.percentile_approx(position, [i / slices for i in range(1, slices)]).alias("cuts")).scalar()
+    shares = [i / slices for i in range(1, slices)]
+    cuts = events.agg(F.percentile_approx(position, shares).alias("cuts")).scalar()
     sliced = events.withColumn("_cuts", cuts).withColumn("_position", position).withColumn(
-        "_slice", F.expr(_slice_sql(0, slices - 1))).drop("_cuts", "_position")
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        "_slice", F.expr(_slice_sql(0, slices - 1))).drop("_cuts")
+    parts = ["_slice"]
+    if len(order) > 1 and isinstance(events.schema[order[1]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        # one row per slice
+        second = _position(events, order[1])
+        crowded = sliced.groupBy("_slice").agg(
+            F.when(F.min("_position") == F.max("_position"), F.percentile_approx(second, shares)).alias("_cuts"),
+            F.count("*").alias("_rows"))
+        even = sliced.agg((2 * F.count("*") / slices).alias("n")).scalar()
+        crowded = crowded.filter(F.col("_cuts").isNotNull() & (F.col("_rows") > even)).drop("_rows")
+        sliced = sliced.join(F.broadcast(crowded), "_slice", "left").withColumn("_position", second).withColumn(
+            "_part", F.when(F.col("_cuts").isNull(), 0).otherwise(F.expr(_slice_sql(0, slices - 1)))).drop("_cuts")
+        parts.append("_part")
+    sliced = sliced.drop("_position")
+    inside = Window.partitionBy(*keys, *parts).orderBy(*order)
     local = sliced.select(
         "*", (F.row_number().over(inside) == 1).alias("_first"), F.lead(F.lit(False), 1, True).over(inside).alias("_last"),
         F.lag(value).over(inside).alias(alias))
@@ -193,7 +208,7 @@ def previous_value(
 
 
 def status_transitions(
-    events: DataFrame, keys: list[str], order: list[str], status: str = "status", slices: int = 64,
+    events: DataFrame, keys: list[str], order: list[str], status: str = "status", slices: int | None = None,
 ) -> DataFrame:
     """Events that end a key that was active just before."""
     rows = previous_value(events, keys, order, status, "previous_status", slices)
