@@ -110,7 +110,7 @@ def test_names_are_the_same_everywhere():
     for _ in range(30):
         left, right = (rng.integers(0, 2 ** 63, rng.integers(0, 30), dtype=np.uint64) for _ in range(2))
         text = np.concatenate((left, window, right))
-        at, named = repeats.picked(*repeats.parse(text, np.array([0, len(text)])), len(text), 20)
+        at, named, _ = repeats.picked(*repeats.parse(text, np.array([0, len(text)])), len(text), 20)
         seen.add((int(at[len(left)]) - len(left), int(named[at[len(left)]])))
     assert len(seen) == 1 and min(seen)[0] >= repeats.CONTEXT
 

@@ -3,9 +3,10 @@
 Every text is parsed by the same rounds: a short run of one symbol and then pairs of a left and a right symbol get one name,
 the hash of what they stand for, so a name means the same in every task. A symbol's boundaries depend on a few words
 around it, hence equal windows are cut into equal symbols away from their edges. Each window picks one such interior symbol;
-successive windows that pick the same one make a span. A symbol that occurs in one kind of span only needs no more work:
-the first of these equal spans is new and the others are repeats. Where a symbol is shared by different spans, their windows
-are named and compared one by one. Spans and windows are named by 96 bits of hashes.
+successive windows that pick the same one make a span. The symbol is shared with the words around it that all these windows
+hold. One that occurs in one kind of span only needs no more work: the first of these equal spans is new and the others are
+repeats. Where it is shared by different spans, their windows are named and compared one by one. Spans and windows are named
+by 96 bits of hashes.
 """
 
 import hashlib
@@ -74,8 +75,8 @@ def parse(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return names, begin, length
 
 
-def picked(names: np.ndarray, begin: np.ndarray, length: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(begin of the symbol that the window at each position picks or -1, names by begin).
+def picked(names: np.ndarray, begin: np.ndarray, length: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin of the symbol that the window at each position picks or -1, names by begin, lengths in words by begin).
 
     A window picks, among its symbols at least CONTEXT words from both edges, one of the longest with the smallest hash.
     """
@@ -91,7 +92,7 @@ def picked(names: np.ndarray, begin: np.ndarray, length: np.ndarray, n_words: in
         place = np.arange(n_words) + CONTEXT + d
         fits = (size[place] > 0) & (size[place] <= zone - d) & (key[place] < best)
         best[fits], at[fits] = key[place][fits], place[fits]
-    return at, named
+    return at, named, size
 
 
 def whole_windows(edges: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -137,14 +138,17 @@ def _spans(window: int):
         doc, copy = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         hashes, edges = word_hashes(batch.column(2).to_pylist(), known)
         n_words = len(hashes)
-        at, named = picked(*parse(hashes, edges), n_words, window)
+        at, _, size = picked(*parse(hashes, edges), n_words, window)
         at[~whole_windows(edges, n_words, window)] = -1
         change = np.flatnonzero(np.concatenate((at[1:] != at[:-1], [True]))) if n_words else np.zeros(0, dtype=np.int64)
         begin = np.concatenate(([0], change[:-1] + 1)).astype(np.int64)[:len(change)]
         use = at[begin] >= 0
         first, n = begin[use], (change - begin + 1)[use]
-        symbol = mixed(named[at[first]], 3) >> np.uint64(64 - _SYMBOL)
-        span = Names(hashes, _BASES[0], 31).of(first, n + (window - 1)) if len(first) else np.zeros(0, dtype=np.uint64)
+        none, middle = np.zeros(0, dtype=np.uint64), at[first]
+        # equal windows agree in the symbol they pick and in CONTEXT words on both sides of it
+        symbol = Names(hashes, _BASES[1], 35).of(middle - CONTEXT, size[middle] + 2 * CONTEXT) if len(first) else none
+        symbol = symbol >> np.uint64(64 - _SYMBOL)
+        span = Names(hashes, _BASES[0], 31).of(first, n + (window - 1)) if len(first) else none
         span = span >> np.uint64(_SYMBOL - 32)
         text = np.searchsorted(edges, first, side="right") - 1
         d, c, s = doc[text], copy[text], first - edges[text]
