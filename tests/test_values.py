@@ -141,3 +141,49 @@ def test_names(spark):
         ("public", "posts"), ("a", "b"), ("a", "b.c")]
     urls = spark.createDataFrame([("redis://u:p@h:1/0",), ("http://h/p@x",)], "u string")
     assert [r[0] for r in urls.select(mask_credentials(F.col("u"))).collect()] == ["redis://***@h:1/0", "http://h/p@x"]
+
+
+def test_equal_numbers_of_different_types_hash_alike(spark):
+    def of(sql):
+        df = spark.sql(f"select {sql} as v")
+        return df.select(row_hash(df)).first()[0]
+
+    for same in (["1", "1L", "1.00", "cast(1 as smallint)", "cast(1 as decimal(30,9))"], ["0.5F", "0.5D"], ["-0.0D", "0.0D", "0.0F"],
+                 ["1.50", "1.5"], ["5e7F", "5e7D"], ["1000", "1000.0", "1e3BD"]):
+        assert len({of(x) for x in same}) == 1, same
+    assert len({of(x) for x in ("0.1F", "0.1D", "1", "10", "100", "1.5", "1.05", "3e9D", "4D", "4.5D", "-1")}) == 11
+
+
+def test_instants_and_zones(spark):
+    """Two instants that share a wall clock at the end of summer time, hashed and printed under two zones."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = {}
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.sql("select timestamp_micros(m) as v from values (1730611800000000), (1730615400000000) t(m)")
+            found[name] = (
+                [r[0] for r in df.select(row_hash(df)).collect()],
+                [r[0] for r in df.select(pg_cast(F.col("v"), T.TimestampType(), "text")).collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found["UTC"] == found["America/New_York"] and len(set(found["UTC"][0])) == 2
+    assert found["UTC"][1] == ["2024-11-03 05:30:00+00", "2024-11-03 06:30:00+00"]
+
+
+def test_real_text_and_unbounded_numeric(spark):
+    assert cast_all(spark, [1e6, 123456.0, 999999.0, 0.5, -1234567.5, 2.5e6, 3e8], T.FloatType(), "text") == [
+        "1e+06", "123456", "999999", "0.5", "-1.2345675e+06", "2.5e+06", "3e+08"]
+    assert cast_all(spark, ["1.25", "1e-19", "0.0000000000000000001", None], T.StringType(), "numeric", safe=True) == [
+        Decimal("1.25"), None, None, None]
+    assert cast_all(spark, [0.5, 1e-30, 1e30], T.DoubleType(), "numeric", safe=True) == [Decimal("0.5"), None, None]
+    with pytest.raises(PySparkException, match="cannot hold"):
+        cast_all(spark, ["0.1234567890123456789"], T.StringType(), "numeric")
+
+
+def test_moments_of_less_precision(spark):
+    stamp = datetime.datetime(2024, 1, 2, 3, 4, 5, 678_500)
+    assert cast_all(spark, [stamp], T.TimestampNTZType(), "timestamp(3)") == [datetime.datetime(2024, 1, 2, 3, 4, 5, 679_000)]
+    assert cast_all(spark, [stamp], T.TimestampNTZType(), "timestamp(0)") == [datetime.datetime(2024, 1, 2, 3, 4, 6)]
+    early = datetime.datetime(1969, 12, 31, 23, 59, 59, 999_600)
+    assert cast_all(spark, [early, None], T.TimestampNTZType(), "timestamp(3)") == [datetime.datetime(1970, 1, 1), None]

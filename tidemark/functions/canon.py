@@ -1,7 +1,8 @@
 """Canonical row text, row hashes and order-free digests.
 
 A row's text joins the cells of its columns in name order with the unit separator. Nulls stay
-visible and text carries its length, so two different rows never share a text. The expressions are
+visible and text carries its length, so two different rows never share a text. Equal numbers have one text in all integer and
+decimal types, and one in both floating-point types; instants do not depend on the session's zone. The expressions are
 built as SQL text: one call into the JVM per row hash however wide the table is.
 """
 
@@ -35,11 +36,17 @@ def _present(value: str, dtype: T.DataType, depth: int) -> str:
         return f"concat(length({value}), ':', {value})"
     if isinstance(dtype, T.BinaryType):
         return f"hex({value})"
-    if isinstance(dtype, T.FloatType):
-        # a 24-bit mantissa scaled by a power of two is a whole number: exact, and no float printing
-        wide = f"cast({value} as double)"
-        return (f"case when {wide} = 0 or (abs({wide}) >= {FLOAT_FINEST} and abs({wide}) < 4) "
-                f"then cast(cast({wide} * {FLOAT_SCALE} as bigint) as string) else concat('f', cast({value} as string)) end")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # adding zero makes one zero of both. A 24-bit mantissa scaled by a power of two is a whole number: exact, and no float
+        # printing; a double that no float could hold is printed, in a form that no whole number has
+        wide = f"(cast({value} as double) + 0D)"
+        return (f"case when {wide} = cast(cast({wide} as float) as double) and ({wide} = 0 or (abs({wide}) >= {FLOAT_FINEST} "
+                f"and abs({wide}) < 4)) then cast(cast({wide} * {FLOAT_SCALE} as bigint) as string) else cast({wide} as string) end")
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return f"rtrim('.', rtrim('0', cast({value} as string)))"
+    if isinstance(dtype, T.TimestampType):
+        # an instant, whatever the session's zone
+        return f"concat('@', cast(unix_micros({value}) as string))"
     if isinstance(dtype, T.ArrayType):
         cells = cell_sql(item, dtype.elementType, depth + 1)
         return f"concat('[', concat_ws({ITEM_BREAK}, transform({value}, {item} -> {cells})), ']')" \

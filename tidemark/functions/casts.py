@@ -35,18 +35,25 @@ def spark_type(native: str, source: T.DataType) -> T.DataType | str:
             "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}[word]
 
 
-def number_text(value: Column) -> Column:
-    """Text of a float or double: no trailing ``.0``, exponent only outside 1e-4 .. 1e15."""
+def number_text(value: Column, single: bool = False) -> Column:
+    """Text of a float or double: no trailing ``.0``, exponent only outside 1e-4 .. 1e15, or 1e6 in single precision."""
     plain = F.regexp_replace(value.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
     raw = value.cast("string")
     mantissa = F.regexp_replace(F.regexp_extract(raw, r"^([^E]+)", 1), r"\.0$", "")
     exponent = F.regexp_extract(raw, r"E(-?\d+)$", 1).try_cast("int")
     scientific = F.concat(
         mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    if single:
+        # Spark writes singles below 1e7 without an exponent
+        digits = F.regexp_replace(F.regexp_replace(plain, "[-.]", ""), "0+$", "")
+        short = F.concat(
+            F.when(value < 0, "-").otherwise(""), F.substring(digits, 1, 1),
+            F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise(""), F.lit("e+06"))
+        scientific = F.when(F.abs(value) < 1e7, F.when(F.abs(value) >= 1e6, short).otherwise(scientific)).otherwise(scientific)
     size = F.abs(value)
     return (
         F.when(value == 0, "0")
-        .when((size >= 1e-4) & (size < 1e15), plain)
+        .when((size >= 1e-4) & (size < (1e6 if single else 1e15)), plain)
         .otherwise(F.coalesce(scientific, raw))
     )
 
@@ -63,9 +70,9 @@ def _reject(message: str, value: Column, target: str, safe: bool) -> Column:
 
 def _text(value, source):
     if isinstance(source, (T.FloatType, T.DoubleType)):
-        return number_text(value)
+        return number_text(value, isinstance(source, T.FloatType))
     if isinstance(source, T.TimestampType):
-        return F.concat(value.cast("string"), F.lit("+00"))
+        return F.concat(_of_micros(F.unix_micros(value)).cast("string"), F.lit("+00"))
     if isinstance(source, T.BinaryType):
         return F.concat(F.lit("\\x"), F.lower(F.hex(value)))
     if isinstance(source, T.VariantType):
@@ -103,6 +110,14 @@ def _to_float(target):
     return build
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def _of_micros(micros):
+    """The zone-free time that is so many microseconds after 1970."""
+    return F.timestamp_add("MICROSECOND", micros, F.lit(EPOCH).cast("timestamp_ntz"))
+
+
 def _decimal_type(source, params):
     if params:
         return T.DecimalType(params[0], params[1] if len(params) > 1 else 0)
@@ -112,7 +127,18 @@ def _decimal_type(source, params):
 
 
 def _to_decimal(value, source, base, params, safe):
-    return _cast(value, _decimal_type(source, params), safe)
+    target = _decimal_type(source, params)
+    done = _cast(value, target, safe)
+    if params or isinstance(source, (T.DecimalType, T.IntegralType)):
+        return done
+    # numeric without parameters keeps every digit; what 38 digits with 18 after the point cannot hold is refused
+    if isinstance(source, (T.FloatType, T.DoubleType)):
+        kept = done.cast(source) == value
+    else:
+        digits = F.regexp_replace(F.regexp_extract(F.trim(value.cast("string")), r"[.](\d+)", 1), "0+$", "")
+        kept = (F.length(digits) <= target.scale) & ~F.contains(F.lower(value.cast("string")), F.lit("e-"))
+    return F.when(value.isNull() | F.coalesce(kept, F.lit(False)), done).otherwise(
+        _reject("numeric without parameters cannot hold", value, target, safe))
 
 
 def _to_boolean(value, source, base, params, safe):
@@ -155,9 +181,17 @@ def _to_date(value, source, base, params, safe):
 
 def _to_moment(target):
     def build(value, source, base, params, safe):
-        if params and params[0] < 6:
+        done = _cast(value, target, safe)
+        if not params or params[0] >= 6:
+            return done
+        if target.startswith("time("):
             raise ValueError(f"{base}({params[0]}): fractional precision below 6 is not supported")
-        return _cast(value, target, safe)
+        unit = 10 ** (6 - params[0])
+        zoned = target == "timestamp"
+        micros = F.unix_micros(done) if zoned else F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), done)
+        # to the nearest, halves away from 1970
+        rounded = F.signum(micros).cast("bigint") * F.floor((F.abs(micros) + unit // 2) / unit).cast("bigint") * unit
+        return F.timestamp_micros(rounded) if zoned else _of_micros(rounded)
     return build
 
 

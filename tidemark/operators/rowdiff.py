@@ -67,17 +67,18 @@ def column_changes(
     Two equal cell hashes cancel under xor, so one aggregation finds the changes without a join.
     """
     names = [n for n in _compared(src, dst, columns) if n not in key]
-    types = {f.name: f.dataType for f in src.schema.fields}
+    plain = (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.BinaryType, T.TimestampNTZType)
 
-    def cell(name: str) -> str:
-        if isinstance(types[name], T.AtomicType):
+    def cell(df: DataFrame, name: str) -> str:
+        # both sides hash the same form: the value itself where its type has one form only, else the canonical text
+        if src.schema[name].dataType == dst.schema[name].dataType and isinstance(src.schema[name].dataType, plain):
             return f"xxhash64({name_sql(name)} is null, {name_sql(name)})"
-        return f"xxhash64({cell_sql(name_sql(name), types[name])})"
+        return f"xxhash64({cell_sql(name_sql(name), df.schema[name].dataType)})"
 
     def side(df: DataFrame, is_source: int) -> DataFrame:
         return df.selectExpr(
             *[name_sql(k) for k in key], f"{is_source}L as _s",
-            *[f"{cell(n)} as _c{i}" for i, n in enumerate(names)])
+            *[f"{cell(df, n)} as _c{i}" for i, n in enumerate(names)])
 
     per_key = side(src, 1).unionByName(side(dst, 0)).groupBy(*[quoted(k) for k in key]).agg(
         F.sum("_s").alias("_s"), F.count("*").alias("_n"),

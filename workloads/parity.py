@@ -40,6 +40,10 @@ def sql_cell(name: str, kind: str) -> str:
     if kind == "floats":
         item = "cast(cast(cast(x as double) * 1152921504606846976.0 as bigint) as varchar)"
         return f"coalesce('[' || array_to_string(list_transform({name}, lambda x: {item}), chr(30)) || ']', '\\N')"
+    if kind == "num":
+        single = f"{name} = cast(cast({name} as float) as double) and ({name} = 0 or (abs({name}) >= 1.4551915228366852e-11 and abs({name}) < 4))"
+        return (f"coalesce(case when {single} then cast(cast({name} * 1152921504606846976.0 as bigint) as varchar) "
+                f"else cast({name} as varchar) end, '\\N')")
     return f"coalesce(cast({name} as varchar), '\\N')"
 
 
@@ -192,17 +196,40 @@ def hash_sample_edge_cases(spark, sf_dir):
 
 @query("row_hash", duck(" union all ".join(
     f"select '{n}' as table_name, {' || '.join(f'cast({k} as varchar)' for k in KEYS[n]) or 'null'} as row_key, "
-    f"{sql_hash(n)} as row_hash from {{{n}}}" for n in ("orders", "events", "documents", "pages", "embeddings", "labels"))))
+    f"{sql_hash(n)} as row_hash from {{{n}}}" for n in GIVEN)))
 def hashes(spark, sf_dir):
     parts = []
-    for n in ("orders", "events", "documents", "pages", "embeddings", "labels"):
+    for n in GIVEN:
         df = table(spark, sf_dir, n)
+        row_key = F.concat(*[F.col(k).cast("string") for k in KEYS[n]]) if KEYS[n] else F.lit(None).cast("string")
         parts.append(df.select(
-            F.lit(n).alias("table_name"), F.concat(*[F.col(k).cast("string") for k in KEYS[n]]).alias("row_key"),
+            F.lit(n).alias("table_name"), row_key.alias("row_key"),
             row_hash(df).alias("row_hash")))
     return union_all(parts)
 
 
+# the same values in other types, but for one row in 97 whose prices are really different
+SQL_OTHER_TYPES = """
+    select cast(o_orderkey as decimal(20,0)) as o_orderkey, cast(o_custkey as decimal(12,2)) as o_custkey,
+           cast(floor(o_totalprice) as decimal(14,3)) as whole, cast(floor(o_totalprice / 2) / 4 as float) as quarter,
+           case when o_orderkey % 97 = 0 then -1.0 else -0.0 end as zero
+    from {orders}"""
+
+
+@query("row_diff_types", duck("""
+    select o_orderkey, cast(1 as bigint) as source_rows, cast(1 as bigint) as dest_rows,
+           case when o_orderkey % 97 = 0 or abs(floor(o_totalprice / 2) / 4) > 16777216 then 'mismatched' else 'match' end as status
+    from {orders}"""))
+def row_diff_types(spark, sf_dir):
+    """Integers against decimals, decimals of other scales, doubles against floats, and both zeros."""
+    orders = table(spark, sf_dir, "orders")
+    source = orders.selectExpr(
+        "cast(o_orderkey as decimal(20,0)) as o_orderkey", "o_custkey", "cast(floor(o_totalprice) as bigint) as whole",
+        "floor(o_totalprice / 2) / 4D as quarter", "cast(0 as double) as zero")
+    dest = spark.sql(SQL_OTHER_TYPES, orders=orders).withColumn("zero", F.col("zero").cast("double") * F.lit(-1.0).cast("double") * -1)
+    return rowdiff.row_diff(source, dest, ["o_orderkey"]).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
 def sql_digests(names, changed=True) -> str:
     def one(n):
         other = CHANGED.get(n, n) if changed else n
