@@ -214,7 +214,9 @@ def test_catalog_of_files(spark, table):
     keys = spark.createDataFrame([("public.nation", "n_nationkey", True, None, None, False)],
                                  "qn string, name string, is_pk boolean, fk struct<schema_:string,table:string,column:string>, "
                                  "default_expr string, is_generated boolean")
-    rows = catalog.catalog_columns({"public.nation": table("nation")}, keys).orderBy("pos").collect()
+    broken = table("nation").withColumn("n_name", F.raise_error(F.lit("read")).cast("string"))
+    assert catalog.catalog_columns({"public.nation": broken}, keys).count() == len(broken.columns)  # schemas only
+    rows = catalog.catalog_columns({"public.nation": table("nation")}, keys, observe=True).orderBy("pos").collect()
     assert [(r["name"], r["normalized_type"], r["nullable"], r["is_pk"]) for r in rows] == [
         ("n_nationkey", "int32", False, True), ("n_name", "string", False, False), ("n_regionkey", "int32", False, False)]
     assert catalog.single_pk(columns(spark, col("public.t", "a", pk=True), col("public.t", "b", pk=True))).collect()[0]["pk_column"] is None

@@ -6,6 +6,7 @@ checked in one job. Counts, digests and column maxima come out of one shared pas
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -153,13 +154,17 @@ def key_text(key: Sequence[str]) -> Column:
 def _sampled(df: DataFrame, key: Sequence[str], seed: str, columns: Sequence[str]) -> DataFrame:
     """At most SAMPLE_CEILING rows in md5(key, seed) order, numbered, with key and row hash."""
     order = F.md5(F.concat(key_text(key), F.lit(str(seed))))
-    needed = list(dict.fromkeys([*key, *columns]))
-    top = (
-        df.select(*[quoted(c) for c in needed], order.alias("_order"))
-        .orderBy("_order", *[quoted(k) for k in key]).limit(fixed.SAMPLE_CEILING))
-    hashed = top.select(*[quoted(k) for k in key], "_order", row_hash(top, columns).alias("row_hash"))
+    keys = [quoted(k) for k in key]
+    # only keys and their order go through the top-n; then the rows of these keys are fetched, at most SAMPLE_CEILING keys
+    chosen = df.select(*keys, order.alias("_order")).orderBy("_order", *keys).limit(fixed.SAMPLE_CEILING).select(
+        *[quoted(k).alias(f"_key{i}") for i, k in enumerate(key)]).distinct()
+    same = [quoted(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)]
+    needed = df.select(*[quoted(c) for c in dict.fromkeys([*key, *columns])])
+    top = needed.join(F.broadcast(chosen), reduce(lambda a, b: a & b, same), "left_semi").withColumn("_order", order)
+    hashed = top.select(*keys, "_order", row_hash(top, columns).alias("row_hash")).orderBy(
+        "_order", *keys, "row_hash").limit(fixed.SAMPLE_CEILING)
     wanted = sample_size(df.agg(F.count("*").alias("n")).scalar())
-    # row_number over the at most SAMPLE_CEILING rows left by the limit
+    # row_number over the at most SAMPLE_CEILING narrow rows left by the limit
     numbered = hashed.selectExpr("*", f"row_number() over (order by _order, {", ".join(map(name_sql, key))}, row_hash) as rn")
     return numbered.filter(F.col("rn") <= wanted)
 

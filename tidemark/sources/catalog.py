@@ -45,12 +45,12 @@ def observed_nulls(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def catalog_columns(
-    tables: Mapping[str, DataFrame], keys: DataFrame, snapshot_id: str = "live", observe: bool = True,
+    tables: Mapping[str, DataFrame], keys: DataFrame, snapshot_id: str = "live", observe: bool = False,
 ) -> DataFrame:
     """One row per column of the given tables in table order.
 
     Types come from the schemas. ``keys`` declares what files cannot: qn, name, is_pk, fk, default_expr,
-    is_generated. With ``observe`` a column is nullable when it holds a null, otherwise as the schema says.
+    is_generated. Nothing of the tables is read unless ``observe`` is set: then a column is nullable when it holds a null.
     """
     spark = next(iter(tables.values())).sparkSession
     listed = local_rows(

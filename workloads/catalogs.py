@@ -72,7 +72,7 @@ def sql_catalog_columns() -> str:
 
 @query("catalog_columns", sql_catalog_columns())
 def catalog_columns(spark, sf_dir):
-    found = catalog.catalog_columns(given_tables(spark, sf_dir), declared_keys(spark))
+    found = catalog.catalog_columns(given_tables(spark, sf_dir), declared_keys(spark), observe=True)
     return found.select("qn", "pos", "name", "native_type", "normalized_type", "nullable", "is_pk",
                         F.concat_ws(".", "fk.schema_", "fk.table", "fk.column").alias("fk")).withColumn(
         "fk", F.nullif("fk", F.lit("")))
