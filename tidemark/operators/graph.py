@@ -27,9 +27,8 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         for end in ("child", "parent"):
             links = lookup_join(links, names.withColumnRenamed("node", end), [end], "inner")
     links = links.checkpoint()
-    # the parents with very many children stay the same in every round: at most a few hashes
-    busy = links.select(frequent_keys(links, ["parent"]).alias("keys")).limit(1).collect()
-    frequent = F.array(*[F.lit(k) for k in (busy[0]["keys"] or [])] if busy else []).cast("array<bigint>")
+    # the parents with very many children stay the same in every round
+    frequent = frequent_keys(links, ["parent"])
     waiting = (
         names.select("node", F.lit(0).cast("bigint").alias("open"))
         .union(links.select(F.col("child").alias("node"), F.lit(1).cast("bigint").alias("open")))

@@ -59,16 +59,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def frequent_keys(rows: DataFrame, on: Sequence[str], partitions: int | None = None) -> Column:
-    """Hashes of the keys that hold over half of a shuffle partition's even share of the rows, as one array value.
+def frequent_keys(rows: DataFrame, on: Sequence[str], partitions: int | None = None) -> list[int]:
+    """Hashes of the keys that hold over half of a shuffle partition's even share of the rows.
 
-    The keys are counted exactly, each task counting its own first. There can be at most twice as many such keys as
-    partitions, whatever the number of rows; the array is empty for even keys.
+    The keys are counted exactly in a job of its own, each task counting its own first. There can be at most twice as many
+    such keys as partitions, whatever the number of rows; the list is empty for even keys.
     """
     shares = 2 * (partitions or shuffle_partitions(rows.sparkSession))
     counts = rows.groupBy(_key_hash(on).alias("key")).agg(F.count("*").alias("n"))
     share = rows.agg((F.count("*") / shares).alias("share")).scalar()
-    return counts.filter(F.col("n") > share).agg(F.collect_list("key").alias("keys")).scalar()
+    return [r["key"] for r in counts.filter(F.col("n") > share).select("key").collect()]
 
 
 def _key_hash(on: Sequence[str]) -> Column:
@@ -77,21 +77,23 @@ def _key_hash(on: Sequence[str]) -> Column:
 
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS,
-    frequent: Column | None = None,
+    frequent: Sequence[int] | None = None,
 ) -> DataFrame:
     """Join rows, any of whose keys may be hot, to a lookup with at most one row per key.
 
     A lookup of known small size is left to Spark, which broadcasts it. Otherwise the rows of frequent keys
     are spread over ``salts`` parts by row content, so a retried task puts them in the same place again, and
     their lookup rows are repeated once per part. Equal rows of a frequent key travel as one row with their number, in
-    portions, so that they spread too. All other keys join as usual. Which keys count as frequent
+    portions, so that they spread too. All other keys join as usual, and without frequent keys all do. Which count as frequent
     only changes the speed, never the result; ``frequent`` passes them when they are known already.
     """
     if _known_small(lookup):
         return rows.join(lookup, list(on), how)
     if frequent is None:
         frequent = frequent_keys(rows, on)
-    hot = F.array_contains(F.coalesce(frequent, F.array().cast("array<bigint>")), _key_hash(on))
+    if not frequent:
+        return rows.join(lookup, list(on), how)
+    hot = _key_hash(on).isin(list(frequent))
     names = [quoted(f.name) for f in rows.schema.fields]
     content = [quoted(f.name) for f in rows.schema.fields if _hashable(f.dataType)]
     if len(content) == len(names):
