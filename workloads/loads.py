@@ -108,7 +108,8 @@ def truncate_all(spark, sf_dir):
     """A set of destinations with old rows, replaced together."""
     base = scratch_path(spark, "set")
     for n in SET:
-        table(spark, sf_dir, n).filter(F.lit(n == "orders")).write.parquet(f"{base}/{n}")
+        old = table(spark, sf_dir, n)
+        old.unionByName(old).write.parquet(f"{base}/{n}")
     written = load.truncate_all([(project(table(spark, sf_dir, n), identity(n)), f"{base}/{n}") for n in SET])
     return union_all([
         spark.read.parquet(f"{base}/{n}").agg(
