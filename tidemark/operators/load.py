@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark import fixed_values as fixed
-from tidemark.sources.storage import discard, overlapping, path_exists, publish, recover, stage
+from tidemark.sources.storage import discard, overlapping, path_exists, publish, qualified, recover, stage
 
 MODES = ("truncate", "append", "abort")
 
@@ -41,13 +41,16 @@ def read_dest(spark: SparkSession, path: str, schema: T.StructType | str, fmt: s
     return spark.createDataFrame([], schema)
 
 
-def refuse_own_source(rows: DataFrame, dest: str, source_path: str | None = None) -> None:
-    """A destination that is, holds or lies in what the rows are read from would lose them."""
-    spark = rows.sparkSession
-    folders = [source_path] if source_path is not None else sorted({f.rsplit("/", 1)[0] for f in rows.inputFiles()})
-    for folder in folders:
-        if overlapping(spark, dest, folder):
-            raise ValueError(f"source and destination are the same: {dest}")
+def source_folders(rows: DataFrame, source_path: str | None = None) -> list[str]:
+    """The folders that rows are read from, or the given one, as qualified paths."""
+    found = [source_path] if source_path is not None else sorted({f.rsplit("/", 1)[0] for f in rows.inputFiles()})
+    return [qualified(rows.sparkSession, f) for f in found]
+
+
+def refuse_own_source(dest: str, sources: Sequence[str], shown: str) -> None:
+    """A destination that is, holds or lies in what is read would lose it; all paths are qualified."""
+    if any(overlapping(dest, s) for s in sources):
+        raise ValueError(f"source and destination are the same: {shown}")
 
 
 def staged_whole(rows: DataFrame, seen: Observation, dest: str, fmt: str = "parquet") -> tuple[str, int]:
@@ -82,7 +85,7 @@ def load(
     if mode not in MODES:
         raise ValueError(f"unknown conflict mode: {mode}")
     spark = rows.sparkSession
-    refuse_own_source(rows, dest, source_path)
+    refuse_own_source(qualified(spark, dest), source_folders(rows, source_path), dest)
     recover(spark, [dest])
     started = time.monotonic()
     if mode == "abort":
@@ -123,12 +126,13 @@ def truncate_all(
     """
     dests = [dest for _, dest in loads]
     spark = loads[0][0].sparkSession
-    if any(overlapping(spark, a, b) for i, a in enumerate(dests) for b in dests[:i]):
+    whole = [qualified(spark, d) for d in dests]
+    if any(overlapping(a, b) for i, a in enumerate(whole) for b in whole[:i]):
         raise ValueError("a destination appears twice")
-    sources = source_paths or [None] * len(loads)
-    for (df, _), path in zip(loads, sources):
-        for dest in dests:
-            refuse_own_source(df, dest, path)
+    paths = source_paths or [None] * len(loads)
+    sources = sorted({f for (df, _), path in zip(loads, paths) for f in source_folders(df, path)})
+    for dest, shown in zip(whole, dests):
+        refuse_own_source(dest, sources, shown)
     recover(spark, dests)
 
     def job(k: int):

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.operators.graph import dependency_levels
-from tidemark.operators.load import LoadMetrics, counted, load, read_dest, refuse_own_source, stage_all, staged_whole
+from tidemark.operators.load import LoadMetrics, counted, load, read_dest, refuse_own_source, source_folders, stage_all, staged_whole
 from tidemark.operators.marks import high_water_marks
 from tidemark.operators.projection import Mappings, project
 from tidemark.operators.verify import TablePair, overall
 from tidemark.plans.verification import run_checks
-from tidemark.sources.storage import overlapping, publish, recover
+from tidemark.sources.storage import overlapping, publish, qualified, recover
 
 
 @dataclass(frozen=True)
@@ -91,14 +91,20 @@ def _truncated_together(
 def _refused(moves: Sequence[TableMove]) -> dict[int, str]:
     """The moves that would destroy a source of the plan, or that share a destination, by number."""
     spark, out = moves[0].source.sparkSession, {}
+    dests = [qualified(spark, m.dest_path) for m in moves]
+    sources: set[str] = set()
     for i, m in enumerate(moves):
         try:
-            for other in moves:
-                refuse_own_source(other.source, m.dest_path, other.source_path)
-            if any(j != i and m.conflict_mode == "truncate" and overlapping(spark, m.dest_path, o.dest_path) for j, o in enumerate(moves)):
-                raise ValueError(f"a destination appears twice: {m.dest_path}")
+            sources.update(source_folders(m.source, m.source_path))
         except Exception as e:
             out[i] = str(e)
+    for i, m in enumerate(moves):
+        try:
+            refuse_own_source(dests[i], sorted(sources), m.dest_path)
+            if m.conflict_mode == "truncate" and any(j != i and overlapping(dests[i], d) for j, d in enumerate(dests)):
+                raise ValueError(f"a destination appears twice: {m.dest_path}")
+        except ValueError as e:
+            out.setdefault(i, str(e))
     return out
 
 

@@ -43,13 +43,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def overlapping(spark: SparkSession, a: str, b: str) -> bool:
-    """Whether two paths are the same folder or one lies in the other."""
-    whole = []
-    for path in (a, b):
-        fs, p = _file_system(spark, path)
-        whole.append(str(fs.makeQualified(p).toString()).rstrip("/") + "/")
-    return whole[0].startswith(whole[1]) or whole[1].startswith(whole[0])
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole name of a folder, with a slash at its end."""
+    fs, p = _file_system(spark, path)
+    return str(fs.makeQualified(p).toString()).rstrip("/") + "/"
+
+
+def overlapping(a: str, b: str) -> bool:
+    """Whether two qualified paths are the same folder or one lies in the other."""
+    return a.startswith(b) or b.startswith(a)
 
 
 def _move(spark: SparkSession, source: str, dest: str) -> None:
