@@ -14,11 +14,18 @@ from workloads.registry import query
 
 
 def sql_words(native: str) -> str:
-    """Normalized word of a native type expression."""
+    """Normalized word of a native type expression, in words of its own."""
     base = f"regexp_replace(trim(lower({native})), '\\s*\\(.*\\)\\s*$', '')"
-    cases = " ".join(
-        f"when {base} in ({', '.join(repr(n) for n in natives)}) then '{word}'" for word, natives in fixed.TYPE_WORDS.items())
-    return f"case when {base} like '%[]' or starts_with({base}, '_') then 'array' {cases} else 'unknown' end"
+    return f"""case when {base} like '%[]' or starts_with({base}, '_') then 'array'
+      when {base} in ('smallint', 'int2') then 'int16' when {base} in ('integer', 'int', 'int4') then 'int32'
+      when {base} in ('bigint', 'int8') then 'int64' when {base} in ('real', 'float4') then 'float32'
+      when {base} in ('double precision', 'float8') then 'float64' when {base} in ('numeric', 'decimal', 'money') then 'decimal'
+      when {base} in ('varchar', 'character varying', 'char', 'character', 'text', 'citext', 'name') then 'string'
+      when {base} in ('bool', 'boolean') then 'boolean' when {base} = 'uuid' then 'uuid' when {base} in ('json', 'jsonb') then 'json'
+      when {base} = 'bytea' then 'binary' when {base} = 'date' then 'date' when {base} = 'interval' then 'interval'
+      when {base} in ('time', 'timetz', 'time with time zone', 'time without time zone') then 'time'
+      when {base} in ('timestamptz', 'timestamp with time zone') then 'timestamptz'
+      when {base} in ('timestamp', 'timestamp without time zone') then 'timestamp' else 'unknown' end"""
 
 
 def sql_list(values) -> str:

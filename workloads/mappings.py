@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from tidemark import fixed_values as fixed
 from tidemark.operators import mapping, projection
 from workloads.catalogs import SQL_SIDES, sql_list, sql_words
 from workloads.derived import NATIVE_TYPES, columns_catalog, duck, table
 from workloads.registry import query
 
-SQL_LOSSY = "({a} <> {b} and [{a}, {b}] in (" + ", ".join(f"['{s}', '{d}']" for s, d in fixed.LOSSY_PAIRS) + "))"
+SQL_LOSSY = """({a} <> {b} and (
+    {a} = 'timestamptz' and {b} in ('timestamp', 'date') or {a} = 'timestamp' and {b} = 'date' or {a} = 'float64' and {b} = 'float32'
+    or {a} = 'int64' and {b} in ('int32', 'int16') or {a} = 'int32' and {b} = 'int16'
+    or {a} = 'decimal' and {b} in ('float64', 'float32') or {a} in ('json', 'array') and {b} = 'string'))"""
+WORDS = ["string", "int16", "int32", "int64", "float32", "float64", "decimal", "boolean", "uuid", "json", "binary", "date", "time",
+         "timestamp", "timestamptz", "interval", "array", "enum", "geometry", "unknown"]
 
 
 def sql_lossy(a: str, b: str) -> str:
@@ -35,7 +39,10 @@ def seed_mappings(spark, sf_dir):
     return seeded(spark, sf_dir)
 
 
-SQL_DEFAULTS = " ".join(f"when '{w}' then '{t}'" for w, t in fixed.DEFAULT_DEST_TYPES.items())
+SQL_DEFAULTS = """when 'int16' then 'smallint' when 'int32' then 'integer' when 'int64' then 'bigint' when 'float32' then 'real'
+    when 'float64' then 'double precision' when 'decimal' then 'numeric' when 'boolean' then 'boolean' when 'uuid' then 'uuid'
+    when 'json' then 'jsonb' when 'binary' then 'bytea' when 'date' then 'date' when 'time' then 'time' when 'timestamp' then 'timestamp'
+    when 'timestamptz' then 'timestamptz' when 'interval' then 'interval' when 'array' then 'text[]' when 'geometry' then 'geometry'"""
 
 
 @query("default_dest_types", duck(
@@ -56,10 +63,10 @@ def default_dest_types(spark, sf_dir):
 
 @query("lossy_pairs", duck(
     f"""select p_partkey, a, b, {sql_lossy('a', 'b')} as is_lossy from (
-          select p_partkey, {sql_list(fixed.DEFAULT_DEST_TYPES)}[1 + p_partkey % 20] as a,
-                 {sql_list(fixed.DEFAULT_DEST_TYPES)}[1 + floor(p_partkey / 20)::bigint % 20] as b from {{part}}) t"""))
+          select p_partkey, {sql_list(WORDS)}[1 + p_partkey % 20] as a,
+                 {sql_list(WORDS)}[1 + floor(p_partkey / 20)::bigint % 20] as b from {{part}}) t"""))
 def lossy_pairs(spark, sf_dir):
-    words = F.array(*[F.lit(w) for w in fixed.DEFAULT_DEST_TYPES])
+    words = F.array(*[F.lit(w) for w in WORDS])
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", F.element_at(words, F.expr("cast(1 + p_partkey % 20 as int)")).alias("a"),
         F.element_at(words, F.expr("cast(1 + floor(p_partkey / 20) % 20 as int)")).alias("b"))
