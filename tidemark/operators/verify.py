@@ -283,6 +283,24 @@ def sequence_parity(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
     return found.select(*PAIR, *[c.alias(n) for n, c in _sequence_verdict().items()], "sequences", "behind")
 
 
+def sequence_states(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
+    """Every declared sequence with the largest value of its column and its last value.
+
+    ``ok`` is false for a sequence that is behind its column, or that has no last value although its column has values.
+    """
+    totals = pair_totals(pairs, maxima=pairs)
+    slots = [c for c in totals.columns if c.startswith("_max")]
+    declared = local_rows(
+        totals.sparkSession,
+        [(k, p.source_table, p.dest_table, i, c, s) for k, p in enumerate(pairs) for i, (c, s) in enumerate(p.sequences)],
+        numbered_schema(("slot", pa.int64()), ("column_name", pa.string()), ("sequence_name", pa.string())))
+    last = marks.selectExpr("table_name as dest_table", "column_name", "cast(last_value as bigint) as last_value")
+    largest = f"get(array({', '.join(slots)}), cast(slot as int))" if slots else "cast(null as bigint)"
+    return declared.join(last, ["dest_table", "column_name"], "left").join(totals, NUMBERED).selectExpr(
+        *PAIR, "column_name", "sequence_name", f"{largest} as max_value", "last_value",
+        f"{largest} is null or coalesce(last_value >= {largest}, false) as ok")
+
+
 # --- all checks of a level ------------------------------------------------------------------------------
 
 RESULT = [*NUMBERED, "position", "name", "passed", "detail", "metrics", "error"]

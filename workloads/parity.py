@@ -350,6 +350,16 @@ def sequence_parity(spark, sf_dir):
     return verify.sequence_parity(pairs, table(spark, sf_dir, "marks")).drop("dest_table")
 
 
+@query("sequence_states", duck(" union all ".join(
+    f"select 'public.{n}' as source_table, '{c}' as column_name, '{s}' as sequence_name, x.m as max_value, k.last_value, "
+    f"x.m is null or coalesce(k.last_value >= x.m, false) as ok from (select max({c}) as m from {{{CHANGED.get(n, n)}}}) x "
+    f"left join {{marks}} k on k.table_name = 'public.{n}' and k.column_name = '{c}'"
+    for n in SEQUENCES for c, s in SEQUENCES[n])))
+def sequence_states(spark, sf_dir):
+    pairs = [pair(spark, sf_dir, n, sequences=SEQUENCES[n]) for n in SEQUENCES]
+    return verify.sequence_states(pairs, table(spark, sf_dir, "marks")).drop("dest_table")
+
+
 LEVELS = {"orders": "count_sample_and_full_hash", "customer": "count_and_sample", "supplier": "count_only",
           "part": None, "nation": "no such level"}
 
