@@ -180,8 +180,8 @@ def cheapest_allocation(sample: np.ndarray, total: int, radius: int) -> Allocati
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): every two different fingerprints of distinct(fp) that differ in at most ``radius`` bits."""
-    rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()
-    sample = rows["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toArrow()
+    sample = rows.column("fp").to_numpy().view(np.uint64)
     allocation = cheapest_allocation(sample, distinct.count(), radius)
 
     def rows_of(make):

@@ -244,31 +244,32 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
         given = np.array([x is not None for x in label], dtype=bool)
         target = np.array([float((x or 0) > 0) for x in label])
         data = (sizes, columns, values, earlier, len(chosen))
-        models = _fitted(spark, data, target, given, fold, folds)
-        own, every = np.zeros(len(sizes)), Rows(*data)
-        for k in range(folds):
-            part = fold == k
-            own[part] = sigmoid(every.times(models[k]))[part]
-        weights.append(models[folds])
+        model, own = _fitted(spark, data, target, given, fold, folds)
+        weights.append(model)
         cuts.append(best_cut(own[given], target[given]))
         earlier = np.column_stack((earlier, own))
     return Chain(categories, chosen, weights, cuts)
 
 
-def _fitted(spark, data: tuple, target: np.ndarray, given: np.ndarray, fold: np.ndarray, folds: int) -> list[np.ndarray]:
-    """One model without each fold, and one on all rows, fitted as tasks of one job."""
-    schema = pa.schema([("model", pa.int64()), ("weights", pa.list_(pa.float64()))])
+def _fitted(spark, data: tuple, target: np.ndarray, given: np.ndarray, fold: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of the model on all rows, each row's probability by the model without its fold), fitted as tasks of one job."""
+    schema = pa.schema([("model", pa.int64()), ("weights", pa.list_(pa.float64())), ("unseen", pa.list_(pa.float64()))])
 
     def fit(batches):
-        rows = Rows(*data)
         for batch in batches:
             for model in batch.column(0).to_pylist():
-                use = given & (fold != model)
+                rows, use = Rows(*data), given & (fold != model)
                 weights = logistic(rows.only(use), target[use])
-                yield pa.RecordBatch.from_arrays([pa.array([model], pa.int64()), pa.array([weights.tolist()], schema.field(1).type)], schema=schema)
-
-    found = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(fit, "model long, weights array<double>").toArrow().sort_by("model")
-    return [np.array(w) for w in found.column("weights").to_pylist()]
+                unseen = sigmoid(rows.only(fold == model).times(weights))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([model], pa.int64()), pa.array([weights], schema.field(1).type), pa.array([unseen], schema.field(2).type)], schema=schema)
+
+    found = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(
+        fit, "model long, weights array<double>, unseen array<double>").toArrow().sort_by("model")
+    own = np.zeros(len(fold))
+    for k in range(folds):
+        own[fold == k] = found.column("unseen")[k].values.to_numpy()
+    return found.column("weights")[folds].values.to_numpy().copy(), own
 
 
 def predict(docs: DataFrame, chain: Chain, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
