@@ -19,7 +19,7 @@ ROWS = [
     (14, "a a a a b b a a a a a a a a a a a a a a a a a a a a a a a a a a a b", "en", "b", 1), (-5, "negative id", "en", "b", 2),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = "fp long, doc int, copy string, symbol string, _size string, token long, piece string, size int, toxic string, path int, start string"
+CLASHES = "fp long, doc int, copy string, symbol string, _size string, token long, piece string, size int, toxic string, path int, start string, _copy int, _fp string, _keep int, _id string, _path int, _text_hash int, _secrets int, other_0 string"
 
 
 def documents(spark, rows=ROWS):

@@ -91,6 +91,12 @@ def test_scan_edges(spark, docs, none):
     assert all(r.probability is not None for r in few)
 
 
+def test_masking_keeps_clashing_columns(docs):
+    kept = secrets.masked(docs)
+    assert kept.dtypes == docs.dtypes and kept.count() == docs.count()
+    assert kept.filter("other_0 <> '7' or _secrets <> 7 or _path <> 7").count() == 0
+
+
 def test_masking_keeps_rows(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet")
     own = spark.createDataFrame(SECRET_ROWS, "doc_id long, text string, source string").selectExpr(

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources.storage import scratch_path
 
@@ -96,11 +96,10 @@ def mixed(values: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def free_name(taken: Sequence[str], wanted: str) -> str:
-    """A column name that clashes with none of those taken, letter case aside."""
-    known = {t.lower() for t in taken}
-    while wanted.lower() in known:
-        wanted = "_" + wanted
-    return wanted
-
+def set_aside(docs: DataFrame, core: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the core ones under names that no operator uses, and what gives them back their own."""
+    others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in core}
 
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(others.get(c, f"`{c}`")).alias(c) for c in docs.columns])
+    return docs.withColumnsRenamed(others), restore

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import SPACE, free_name, materialised
+from tidemark.llm.common import SPACE, materialised, set_aside
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -153,6 +153,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
     A document of which at least half a copy more is taken gets that copy whole; one without words is not in the mix.
     """
+    docs, restore = set_aside(docs, ("doc_id", "text", "source"))
     mix = Mix(docs, weights, most, block)
     drawn = mix.spans().groupBy("source_no", "doc_id", "text_hash").agg(F.sum("n_words").alias("_taken"))
     placed = mix.placed().select("source_no", "doc_id", "text_hash", "source", "_words").alias("p")
@@ -161,6 +162,6 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
         F.col("p.doc_id").alias("_id"), F.col("p.source").alias("_source"), F.col("p.text_hash").alias("_hash"),
         F.round(F.col("_taken") / F.col("_words")).cast("int").alias("_times")).filter("_times > 0")
     hashed = docs.withColumn("_text_hash", F.xxhash64("doc_id", "text"))
-    return hashed.join(
+    return restore(hashed.join(
         times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_hash") == F.col("_hash"))
-    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))

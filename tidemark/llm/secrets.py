@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import NULL_ID, SPACE, materialised
+from tidemark.llm.common import NULL_ID, SPACE, materialised, set_aside
 
 _KEY = r"[A-Za-z0-9+/=_\-]"
 #: The shortest candidate, and the pattern of all: a whole run of key characters in which a digit occurs.
@@ -195,6 +195,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def masked(docs: DataFrame, path: str = "source") -> DataFrame:
     """docs with every secret in text replaced by a mask, and n_chars set anew; all rows and columns are kept."""
+    docs, restore = set_aside(docs, ("doc_id", "text", "n_chars", path))
     view = docs.withColumn("_path", F.col(path)).select("doc_id", "text", F.col("_path").alias("path"))
     found = Scanner(view).findings(view).filter("is_secret").groupBy(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("copy").alias("_copy")).agg(F.collect_set("candidate").alias("_secrets"))
@@ -205,4 +206,4 @@ def masked(docs: DataFrame, path: str = "source") -> DataFrame:
     cleaned = keyed.join(found, (F.col("_doc_key") == F.col("_doc")) & (F.col("_copy_key") == F.col("_copy")), "left").withColumn(
         "text", F.when(F.col("_secrets").isNotNull(), hidden).otherwise(F.col("text"))).withColumn(
         "n_chars", F.when(F.col("_secrets").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.filter(~some).unionByName(cleaned.select(*docs.columns))
+    return restore(docs.filter(~some).unionByName(cleaned.select(*docs.columns)))

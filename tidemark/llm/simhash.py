@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_batch, materialised, words_of
+from tidemark.llm.common import by_batch, materialised, set_aside, words_of
 from tidemark.llm.components import components
 
 BITS = 64
@@ -228,6 +228,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 
     Rows that share the kept doc_id are reduced to one; a group without any doc_id keeps one of its rows.
     """
+    docs, restore = set_aside(docs, ("doc_id", "text"))
     rows = materialised(fingerprints(docs, shingle), "fingerprints")
     groups = materialised(_groups(rows, radius), "groups")
     keep = rows.join(groups, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
@@ -235,4 +236,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     nameless = groups.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
     signed = F.udf(lambda text: int(np.uint64(fingerprint(text, shingle)).view(np.int64)), "long")
     odd = docs.filter("doc_id is null").withColumn("_fp", signed(F.col("text"))).join(nameless, "_fp")
-    return kept.unionByName(odd.dropDuplicates(["_root"]).drop("_fp", "_root"))
+    return restore(kept.unionByName(odd.dropDuplicates(["_root"]).drop("_fp", "_root")))
