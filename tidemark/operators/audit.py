@@ -6,12 +6,11 @@ Every audit of a plan returns findings with severity, code, message and target.
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import quoted, thousands, with_schema
-from tidemark.operators.keyed import frequent_keys, local_rows, lookup_join, tally, union_all
+from tidemark.operators.keyed import frequent_keys, lookup_join, tally, union_all
 
 FINDING = ["severity", "code", "message", "target"]
 
@@ -40,9 +39,6 @@ class ForeignKey:
     parent_column: str
 
 
-FK_COLUMNS = ["child_table", "child_column", "parent_table", "parent_column"]
-
-
 def orphan_rows(foreign_keys: Sequence[ForeignKey]) -> DataFrame:
     """Per foreign key, the child rows whose non-null key has no parent; keys without orphans show 0.
 
