@@ -1,6 +1,6 @@
 """Secret scanning with a random forest over findings, in DataFrame functions and Spark's own learner only.
 
-A candidate is a long run of key characters with a digit in it. The forest sees its length and make-up, how likely its
+A candidate is a long run of key characters with a digit in it, or such a run, shorter, that is assigned without spaces. The forest sees its length and make-up, how likely its
 character transitions are in the corpus' words, how much of it dictionary words cover, its path and its neighbours, and
 tells real secrets from look-alikes. It is fitted on labelled findings.
 """
@@ -13,10 +13,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import NULL_ID, SPACE, materialised, set_aside
 
-_KEY = r"[A-Za-z0-9+/=_\-]"
-#: The shortest candidate, and the pattern of all: a whole run of key characters in which a digit occurs.
+_KEY = r"[A-Za-z0-9+/_\-]"
+#: The shortest candidate, and the shortest that is assigned without spaces: NAME=value is cut behind the sign.
 SHORTEST = 16
-CANDIDATE = rf"(?<!{_KEY})(?=[A-Za-z+/=_\-]*+[0-9]){_KEY}{{{SHORTEST},}}+"
+SHORTEST_ASSIGNED = 6
+_DIGIT = r"(?=[A-Za-z+/_\-]*+[0-9])"
+#: Signs of equality belong to a candidate only as padding at its end.
+_PADDING = r"(?:={1,2}(?![A-Za-z0-9+/=_\-]))?"
+_ASSIGNED = rf"(?<={_KEY}=){_DIGIT}{_KEY}{{{SHORTEST_ASSIGNED},}}+{_PADDING}"
+_LONG = rf"(?<!{_KEY}){_DIGIT}{_KEY}{{{SHORTEST},}}+{_PADDING}"
+#: The pattern of all candidates: whole runs of key characters in which a digit occurs.
+CANDIDATE = rf"(?:{_ASSIGNED}|{_LONG})"
 #: Characters kept on either side as neighbourhood.
 AROUND = 80
 NAMES = r"token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private|signature|aws|client"
@@ -103,7 +110,7 @@ def described(found: DataFrame, words: DataFrame, transitions: DataFrame) -> Dat
 
 
 def planted(docs: DataFrame, rows: int = LABELLED) -> DataFrame:
-    """Labelled findings in text of the corpus: (doc_id, text, path, label, planted), one for each row and template.
+    """Labelled findings in text of the corpus: (doc_id, text, path, label, planted, template), one for each row and template.
 
     Real-looking values, derived from hashes of the row, stand in the first words of ``rows`` documents, the first by hash:
     keys under names that keys have, and identifiers, checksums, numbers and file names that are no secrets.
@@ -130,7 +137,7 @@ def planted(docs: DataFrame, rows: int = LABELLED) -> DataFrame:
         (true, "", F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[+/]", "x"), 1, 35), F.lit("2")), ""),
         (true, "auth_token: \"", F.substring(part, 1, 40), "\""),
         (false, "commit ", F.substring(part, 1, 40), ""), (false, "md5 checksum: ", F.substring(part, 1, 32), ""),
-        (false, "sha1=", F.substring(part, 7, 40), ""), (false, "id=", uuid, ""), (false, "", F.lpad(number, 16, "4"), ""),
+        (false, "sha1=", F.substring(part, 7, 40), ""), (false, "id=", uuid, ""), (false, "page=", F.substring(number, 1, 8), ""), (false, "", F.lpad(number, 16, "4"), ""),
         (false, "card ", F.lpad(number, 16, "5"), ""), (false, "order number: ", F.lpad(number, 18, "1"), ""),
         (false, "", F.concat_ws("_", *word, F.substring(number, 1, 3)), ""),
         (false, "file = \"", F.concat_ws("/", F.lit("static/images"), *word, F.substring(number, 1, 2)), "\""),
@@ -143,7 +150,7 @@ def planted(docs: DataFrame, rows: int = LABELLED) -> DataFrame:
     case = F.pmod(F.col("key"), F.lit(7)) == 0
     return made.select(
         F.xxhash64("key", "template").alias("doc_id"), F.when(case, F.upper(text)).otherwise(text).alias("text"), "path", "label",
-        F.when(case, F.upper("value")).otherwise(F.col("value")).alias("planted"))
+        F.when(case, F.upper("value")).otherwise(F.col("value")).alias("planted"), "template")
 
 
 def fit(labelled: DataFrame) -> PipelineModel:
@@ -202,7 +209,12 @@ def masked(docs: DataFrame, path: str = "source") -> DataFrame:
     some = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     keyed = docs.filter(some).withColumn("_doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(
         "_copy_key", F.xxhash64("text", F.col(path).cast("string")))
-    hidden = F.aggregate(F.sort_array("_secrets", asc=False), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    # short candidates only where they are findings, long ones wherever they stand
+    covered = F.transform(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda c: F.when(
+        F.array_contains("_secrets", c), F.lit(MASK)).otherwise(c))
+    places = F.array_join(F.zip_with(F.split("text", CANDIDATE, -1), F.concat(covered, F.array(F.lit(""))), lambda t, c: F.concat(t, c)), "")
+    long = F.filter(F.sort_array("_secrets", asc=False), lambda s: F.char_length(s) >= SHORTEST)
+    hidden = F.aggregate(long, places, lambda t, s: F.replace(t, s, F.lit(MASK)))
     cleaned = keyed.join(found, (F.col("_doc_key") == F.col("_doc")) & (F.col("_copy_key") == F.col("_copy")), "left").withColumn(
         "text", F.when(F.col("_secrets").isNotNull(), hidden).otherwise(F.col("text"))).withColumn(
         "n_chars", F.when(F.col("_secrets").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
