@@ -1,6 +1,7 @@
 """Secret scanning with a random forest over findings, in DataFrame functions and Spark's own learner only.
 
-A candidate is a long run of key characters with a digit in it, or such a run, shorter, that is assigned without spaces. The forest sees its length and make-up, how likely its
+A candidate is a value of any signs after a name that secrets have, a run that begins like a known kind of key, a long run of
+key characters with a digit in it, or a shorter one that is assigned without spaces. The forest sees its length and make-up, how likely its
 character transitions are in the corpus' words, how much of it dictionary words cover, its path and its neighbours, and
 tells real secrets from look-alikes. It is fitted on labelled findings.
 """
@@ -22,8 +23,34 @@ _DIGIT = r"(?=[A-Za-z+/_\-]*+[0-9])"
 _PADDING = r"(?:={1,2}(?![A-Za-z0-9+/=_\-]))?"
 _ASSIGNED = rf"(?<={_KEY}=){_DIGIT}{_KEY}{{{SHORTEST_ASSIGNED},}}+{_PADDING}"
 _LONG = rf"(?<!{_KEY}){_DIGIT}{_KEY}{{{SHORTEST},}}+{_PADDING}"
-#: The pattern of all candidates: whole runs of key characters in which a digit occurs.
-CANDIDATE = rf"(?:{_ASSIGNED}|{_LONG})"
+#: How keys of known kinds begin; they need no digit.
+_KNOWN = rf"(?<!{_KEY})(?:(?:AKIA|ASIA)[A-Z0-9]{{12,}}+|(?i:gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|sk[-_]|AIza|eyJ){_KEY}{{16,}}+{_PADDING})"
+#: How names of secrets end. Lookbehinds have one width each, in Java as in Python.
+_NAMED = ("token", "tokens", "secret", "secrets", "passw", "password", "passwd", "passphrase", "passcode", "pwd", "pass", "key", "key_id", "auth",
+          "authorization", "credential", "credentials", "bearer", "signature")
+#: Most blanks between the sign of an assignment and the value, and the shortest value.
+BLANKS = 4
+SHORTEST_NAMED = 6
+
+
+def _after_names(quote: str, value: str) -> str:
+    """The pattern of a value after a name and the sign of an assignment, and after a quote if there is one."""
+    widths = sorted({len(n) for n in _NAMED})
+    name = "(?:" + "|".join(f"(?<=(?i:{'|'.join(n for n in _NAMED if len(n) == w)}))" for w in widths) + ")"
+    cases = []
+    for blanks in range(BLANKS + 1):
+        tail = f"[{SPACE}]{{{blanks}}}{quote}"
+        each = [f"(?<={name}{left}{sign}{tail})" for left in ("", f"[{SPACE}\"']", f"[\"'][{SPACE}]") for sign in ("[=:]", "[:=][=>]")]
+        cases.append(f"(?<=[=:>]{tail})(?:{'|'.join(each)})")
+    return f"(?:{'|'.join(cases)}){value}"
+
+
+_VALUES = "|".join((
+    _after_names('"', rf'[^{SPACE}"]{{{SHORTEST_NAMED},}}'), _after_names("'", rf"[^{SPACE}']{{{SHORTEST_NAMED},}}"),
+    _after_names("", rf"""(?!(?i:bearer|basic)[{SPACE}])[^{SPACE}"'][^{SPACE}]{{{SHORTEST_NAMED - 2},}}[^{SPACE}"',;]""")))
+_BEARER = rf"""(?<=(?i:bearer)[{SPACE}])[^{SPACE}"'][^{SPACE}]{{{SHORTEST - 2},}}[^{SPACE}"',;]"""
+#: The pattern of all candidates.
+CANDIDATE = rf"""(?:(?<=[=:>"'{SPACE}])(?:{_VALUES}|{_BEARER})|{_KNOWN}|{_ASSIGNED}|{_LONG})"""
 #: Characters kept on either side as neighbourhood.
 AROUND = 80
 NAMES = r"token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private|signature|aws|client"
@@ -56,6 +83,12 @@ def transition_table(words: DataFrame) -> DataFrame:
     return pairs.select("pair", F.log((F.col("n") + 1) / (whole + 26)).alias("chance"))
 
 
+def _between() -> Column:
+    """What stands before, between and behind the candidates of text; split() would compile the pattern for every row."""
+    mark = F.concat(F.lit("\0"), F.hex(F.xxhash64("text")), F.lit("\0"))
+    return F.split(F.regexp_replace("text", F.lit(CANDIDATE), mark), mark, -1)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc, copy, path, start, candidate, before, after) for each candidate in docs(doc_id, text, path).
 
@@ -63,7 +96,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     cut = docs.filter(F.col("text").rlike(CANDIDATE)).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text", "path").alias("copy"), "path",
-        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
+        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), _between().alias("between"))
     each = cut.select("doc", "copy", "path", "between", F.posexplode("found").alias("at", "candidate")).select(
         "doc", "copy", "path", "at", "candidate", F.element_at("between", F.col("at") + 1).alias("left"),
         F.substring(F.element_at("between", F.col("at") + 2), 1, AROUND).alias("after")).withColumn(
@@ -93,7 +126,7 @@ def described(found: DataFrame, words: DataFrame, transitions: DataFrame) -> Dat
     tail = F.lower(F.substring("before", -40, 40))
     return rows.select(
         *found.columns, size.cast("double").alias("length"), _share("[0-9]").alias("digits"), _share("[A-Z]").alias("uppers"),
-        _share("[a-z]").alias("lowers"), _share("[+/=_-]").alias("signs"),
+        _share("[a-z]").alias("lowers"), _share("[^A-Za-z0-9]").alias("signs"),
         (F.size(F.array_distinct(F.split("candidate", ""))) / size).alias("distinct"),
         (F.regexp_count("candidate", F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]")) / size).alias("switches"),
         F.col("candidate").rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("is_hex"),
@@ -129,13 +162,22 @@ def planted(docs: DataFrame, rows: int = LABELLED) -> DataFrame:
     word = [F.coalesce(F.get("letters", F.lit(i)), F.lit("name")) for i in range(3)]
     uuid = F.concat_ws("-", *[F.substring(part, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     true, false = 1, 0
+    letter = F.translate(mixed, "0123456789+/", "qwxzjkvbnmyp")
     templates = [
         (true, "token = \"", F.substring(part, 1, 40), "\""), (true, "secret: ", F.substring(mixed, 1, 32), ""),
-        (true, "password=", F.concat(F.substring(mixed, 3, 20), F.lit("7")), ""), (true, "api_key = '", F.substring(part, 5, 32), "'"),
-        (true, "AWS_ACCESS_KEY_ID=", F.concat(F.lit("AKIA"), F.substring(upper, 5, 15), F.lit("4")), ""),
-        (true, "Authorization: Bearer ", F.concat(F.substring(mixed, 1, 44), F.lit("9")), ""),
-        (true, "", F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[+/]", "x"), 1, 35), F.lit("2")), ""),
+        (true, "password=", F.substring(mixed, 3, 20), ""), (true, "api_key = '", F.substring(part, 5, 32), "'"),
+        (true, "AWS_ACCESS_KEY_ID=", F.concat(F.lit("AKIA"), F.substring(upper, 5, 16)), ""),
+        (true, "Authorization: Bearer ", F.substring(mixed, 1, 44), ""),
+        (true, "", F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[+/]", "x"), 1, 36)), ""),
         (true, "auth_token: \"", F.substring(part, 1, 40), "\""),
+        (true, "token = \"", F.lower(F.substring(letter, 1, 26)), "\""), (true, "", F.concat(F.lit("AKIA"), F.upper(F.substring(letter, 5, 16))), ""),
+        (true, "password: ", F.concat(word[0], F.substring(number, 1, 1), F.lit("!"), F.substring(part, 1, 2)), ""),
+        (true, "\"passwd\": \"", F.concat(F.substring(mixed, 1, 5), F.lit("#"), F.substring(mixed, 9, 3), F.lit("$@")), "\""),
+        (true, "pwd=", F.substring(mixed, 7, 9), ""),
+        (false, "password: ", F.concat_ws("_", F.lit("your"), word[0], F.lit("here")), ""), (false, "token = ", F.concat(F.lit("get_"), word[0], F.lit("()")), ""),
+        (false, "api_key: ", F.concat(F.lit("${"), F.upper(word[0]), F.lit("_KEY}")), ""), (false, "secret = \"", F.lit("changeme"), "\""),
+        (false, "auth: ", F.concat(word[0], F.lit("-based")), ""), (false, "key: ", F.concat(word[0], word[1], F.lit("name")), ""),
+        (false, "password = ", F.concat(F.lit("os.environ["), word[0], F.lit("]")), ""),
         (false, "commit ", F.substring(part, 1, 40), ""), (false, "md5 checksum: ", F.substring(part, 1, 32), ""),
         (false, "sha1=", F.substring(part, 7, 40), ""), (false, "id=", uuid, ""), (false, "page=", F.substring(number, 1, 8), ""), (false, "", F.lpad(number, 16, "4"), ""),
         (false, "card ", F.lpad(number, 16, "5"), ""), (false, "order number: ", F.lpad(number, 18, "1"), ""),
@@ -212,7 +254,7 @@ def masked(docs: DataFrame, path: str = "source") -> DataFrame:
     # short candidates only where they are findings, long ones wherever they stand
     covered = F.transform(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda c: F.when(
         F.array_contains("_secrets", c), F.lit(MASK)).otherwise(c))
-    places = F.array_join(F.zip_with(F.split("text", CANDIDATE, -1), F.concat(covered, F.array(F.lit(""))), lambda t, c: F.concat(t, c)), "")
+    places = F.array_join(F.zip_with(_between(), F.concat(covered, F.array(F.lit(""))), lambda t, c: F.concat(t, c)), "")
     long = F.filter(F.sort_array("_secrets", asc=False), lambda s: F.char_length(s) >= SHORTEST)
     hidden = F.aggregate(long, places, lambda t, s: F.replace(t, s, F.lit(MASK)))
     cleaned = keyed.join(found, (F.col("_doc_key") == F.col("_doc")) & (F.col("_copy_key") == F.col("_copy")), "left").withColumn(
