@@ -1,8 +1,9 @@
 """Shared storage: checkpoint folder, staged writes and publishing."""
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,36 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; inside a scratch_scope it lives as long as that."""
+    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch folders made within it. Nothing that is read later may still need them."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            drop_scratch(spark, path)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that scratch_path named; it may be gone already."""
+    if "/tidemark/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def _file_system(spark: SparkSession, path: str):
