@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import copies, mixing, packing, secrets, toxicity
-from tidemark.llm.common import materialised, table
+from tidemark.llm import mixing, packing, secrets, simhash, toxicity
+from tidemark.llm.common import table
 from tidemark.llm.queries import tokenizer_files
+from tidemark.sources.storage import drop_scratch, scratch_path, scratch_scope
 
 #: The stages train models and hash words; their results are tested against brute-force versions.
 ORACLE_SQL = None
@@ -16,8 +17,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose sets of five words are alike by 0.8 or more, that of the smallest doc_id."""
-    return copies.keep_one(docs)
+    """One document of each group of SimHash fingerprints (three words) linked at 3 bits or fewer, that of the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written to the shared scratch folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_scope(spark):  # what a stage wrote on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop_scratch(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
