@@ -22,12 +22,17 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.translate(LOWER) if lower else data).split()
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write to a new folder in the shared scratch space and read it back: later plans start from these files."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to a new folder in the shared scratch space and read back, and that folder: later plans start from its files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a folder that stays until its scratch scope or the cluster ends."""
+    return stored(df, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

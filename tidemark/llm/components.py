@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialised
+from tidemark.llm.common import stored
+from tidemark.sources.storage import drop_scratch
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -22,14 +23,16 @@ def components(links: DataFrame) -> DataFrame:
     aggregations; the joins put one row per node against the links, which lets Spark split a hub's links. The number of
     rounds grows with the logarithm of a component's size. An empty table gives an empty result.
     """
-    state = materialised(
+    spark = links.sparkSession
+    state, path = stored(
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "links")
     seen = None
     while True:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break
-        seen = tuple(mark)
-        state = materialised(_stars(state), "stars")
+        seen, old = tuple(mark), path
+        state, path = stored(_stars(state), "stars")
+        drop_scratch(spark, old)  # the next round is whole
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

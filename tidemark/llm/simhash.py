@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_batch, materialised, set_aside, words_of
+from tidemark.llm.common import NULL_ID, by_batch, materialised, set_aside, words_of
 from tidemark.llm.components import components
 
 BITS = 64
@@ -25,7 +25,7 @@ MOST_FLIPS = 2
 #: Work of comparing one candidate, counted in looked-up rows: a row is shuffled and sorted, a candidate only compared.
 COMPARE = 0.05
 _BLOCK = 65_536
-_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _PROBES = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("fp", pa.int64())])
 
 
@@ -45,12 +45,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row of docs(doc_id, text); fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) for every row of docs(doc_id, text); fp is the fingerprint as a signed long."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], schema=_FINGERPRINTS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        by_batch(make, _FINGERPRINTS), "doc_id long, fp long")
+        found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], schema=_FINGERPRINTS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
+        by_batch(make, _FINGERPRINTS), "doc_id long, text_hash long, fp long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -226,14 +227,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each group of near-duplicates, with docs' own columns: that of the smallest doc_id.
 
-    Rows that share the kept doc_id are reduced to one; a group without any doc_id keeps one of its rows.
+    A group without any doc_id keeps one of its rows. Rows with the doc_id that is kept for a group stay only if their text
+    is the one chosen for it, the one with the smallest hash; equal rows of it are reduced to one. Where one doc_id has texts
+    in several groups it may stay once for each. An empty table gives an empty result.
     """
     docs, restore = set_aside(docs, ("doc_id", "text"))
     rows = materialised(fingerprints(docs, shingle), "fingerprints")
-    groups = materialised(_groups(rows, radius), "groups")
-    keep = rows.join(groups, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(keep, docs["doc_id"] == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = groups.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    signed = F.udf(lambda text: int(np.uint64(fingerprint(text, shingle)).view(np.int64)), "long")
-    odd = docs.filter("doc_id is null").withColumn("_fp", signed(F.col("text"))).join(nameless, "_fp")
-    return restore(kept.unionByName(odd.dropDuplicates(["_root"]).drop("_fp", "_root")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id"), F.col("text_hash"))).alias("_least")
+    # one row per fingerprint before groups meet
+    kept = rows.groupBy("fp").agg(least).join(_groups(rows, radius), "fp").groupBy("root").agg(F.min("_least").alias("_least")).select(
+        F.coalesce("_least.doc_id", F.lit(NULL_ID)).alias("_id"), F.col("_least._null").alias("_null"), F.col("_least.text_hash").alias("_hash"))
+    keys = ["_id", "_null", "_hash"]
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(
+        "_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    return restore(keyed.join(kept, keys, "left_semi").dropDuplicates(keys))
