@@ -137,7 +137,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(QUERIES) == sorted(set(QUERIES)) and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert sorted(QUERIES) == sorted(set(QUERIES)) and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 

@@ -12,8 +12,9 @@ from tidemark.llm.common import materialised
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits for each shingle of the items, and the most bits that the set may have: one megabyte. Beyond that it lets more shingles through.
-BITS_EACH = 16
+#: Bits for each shingle of the items, two of which are set, and the most bits that the set may have: one megabyte. Where that
+#: is less, more other shingles pass; the join drops them.
+BITS_EACH = 64
 MOST_BITS = 2 ** 23
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,25 +52,31 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> tuple[DataFrame
     return windows, materialised(named.select("window_id", "item_id").distinct(), "owners")
 
 
+def _slots(token: Column, bits: int) -> list[tuple[Column, Column]]:
+    """(word, bit in it) of the two places of a token."""
+    def place(of: Column) -> tuple[Column, Column]:
+        return F.shiftright(of, 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int"), of.bitwiseAND(F.lit(63)).cast("int")
+    return [place(token), place(F.shiftright(token, 32))]
+
+
 def bit_set(tokens: DataFrame) -> tuple[Column, int]:
     """(the words of a bit set that holds all of tokens(token), its number of bits as a power of two).
 
     Its size follows the number of tokens up to MOST_BITS, which bounds what passes the driver and goes into the plan.
     """
-    need, bits = BITS_EACH * tokens.count(), 2 ** 10
+    need, bits = BITS_EACH * tokens.count(), 64
     while bits < min(need, MOST_BITS):
         bits *= 2
-    word = F.shiftright("token", 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
-    filled = {r["word"]: r["bits"] for r in tokens.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(
-        F.bit_or("bit").alias("bits")).collect()}
+    one = F.array(*[F.struct(w.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), b).alias("bit")) for w, b in _slots(F.col("token"), bits)])
+    filled = {r["word"]: r["bits"] for r in tokens.select(F.explode(one).alias("one")).groupBy("one.word").agg(
+        F.bit_or("one.bit").alias("bits")).collect()}
     # one constant: a split text folds into a single literal array
     return F.split(F.lit(",".join(str(filled.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>"), bits
 
 
 def _is_set(bits: Column, n: int, token: Column) -> Column:
-    word = F.get(bits, F.shiftright(token, 6).bitwiseAND(F.lit(n // 64 - 1)).cast("int"))
-    return F.call_function("shiftright", word, token.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    first, second = (F.call_function("shiftright", F.get(bits, w), b).bitwiseAND(F.lit(1)) == 1 for w, b in _slots(token, n))
+    return first & second
 
 
 def _known_places(of: Column, size: int, bits: Column, n: int) -> Column:

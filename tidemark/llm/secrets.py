@@ -6,13 +6,14 @@ character transitions are in the corpus' words, how much of it dictionary words
 tells real secrets from look-alikes. It is fitted on labelled findings.
 """
 
-from pyspark.ml import Pipeline, PipelineModel
+import json
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import NULL_ID, SPACE, materialised, set_aside
+from tidemark.sources.storage import scratch_path
 
 _KEY = r"[A-Za-z0-9+/_\-]"
 #: The shortest candidate, and the shortest that is assigned without spaces: NAME=value is cut behind the sign.
@@ -195,10 +196,40 @@ def planted(docs: DataFrame, rows: int = LABELLED) -> DataFrame:
         F.when(case, F.upper("value")).otherwise(F.col("value")).alias("planted"), "template")
 
 
-def fit(labelled: DataFrame) -> PipelineModel:
-    """A forest fitted on labelled(label, *FEATURES)."""
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11, probabilityCol="_chances")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), forest]).fit(labelled)
+_FOREST = "array<array<struct<feature:int,threshold:double,left:int,right:int,chance:double>>>"
+
+
+def fit(labelled: DataFrame) -> list[list[dict]]:
+    """A forest fitted on labelled(label, *FEATURES), as plain data: the nodes of every tree, the root first.
+
+    A leaf names no feature (-1) and has the share of secrets among its training rows. There are at most TREES trees of
+    2 ** (DEPTH + 1) nodes, whatever the number of documents.
+    """
+    spark = labelled.sparkSession
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(labelled)
+    path = scratch_path(spark, "forest")
+    RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11).fit(rows).save(path)
+    found = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    trees: dict[int, list[dict]] = {}
+    for r in sorted(found, key=lambda r: (r["treeID"], r["id"])):
+        leaf = r["leftChild"] < 0
+        trees.setdefault(r["treeID"], []).append({
+            "feature": -1 if leaf else r["split"]["featureIndex"], "threshold": 0.0 if leaf else r["split"]["leftCategoriesOrThreshold"][0],
+            "left": r["leftChild"], "right": r["rightChild"], "chance": r["impurityStats"][1] / sum(r["impurityStats"])})
+    return [trees[k] for k in sorted(trees)]
+
+
+def forest_chance(forest: list[list[dict]]) -> Column:
+    """The mean over all trees of the chance at the leaf that a row's FEATURES lead to; the forest is one constant of the plan."""
+    trees = F.from_json(F.lit(json.dumps(forest)), _FOREST)
+
+    def leaf(nodes: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            node = F.get(nodes, at)
+            # no row has an unknown feature: all of them are numbers
+            return F.when(node["feature"] < 0, at).when(F.get("_row", node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"])
+        return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), step))["chance"]
+    return F.aggregate(F.transform(trees, leaf), F.lit(0.0), lambda s, x: s + x) / len(forest)
 
 
 class Scanner:
@@ -210,22 +241,23 @@ class Scanner:
         self.words = materialised(corpus_words(docs), "words")
         self.transitions = materialised(transition_table(self.words), "transitions")
         labelled = materialised(labelled if labelled is not None else planted(docs), "labelled")
-        found = candidates(labelled).join(
+        found = materialised(candidates(labelled), "labelled_candidates").join(
             labelled.select(F.col("doc_id").alias("doc"), "label", "planted"), "doc").filter(F.col("candidate") == F.col("planted"))
         rows = materialised(described(found, self.words, self.transitions).select("label", *FEATURES).orderBy(*FEATURES).coalesce(1), "findings")
-        self.model = fit(rows) if rows.select("label").distinct().count() > 1 else None
+        self.forest = fit(rows) if rows.select("label").distinct().count() > 1 else None
 
     def findings(self, docs: DataFrame) -> DataFrame:
         """(doc_id, copy, start, length, candidate, probability, is_secret) for every candidate in docs.
 
         Without labelled findings of both kinds nothing can be told apart and every candidate is a secret.
         """
-        found = candidates(docs.select("doc_id", F.col("text").cast("string"), F.col("path").cast("string")))
+        # texts are searched once, all features come from what was found
+        found = materialised(candidates(docs.select("doc_id", F.col("text").cast("string"), F.col("path").cast("string"))), "candidates")
         rows = described(found, self.words, self.transitions)
-        if self.model is None:
+        if self.forest is None:
             rows = rows.withColumn("probability", F.lit(1.0))
         else:
-            rows = self.model.transform(rows).withColumn("probability", vector_to_array("_chances")[1])
+            rows = rows.withColumn("_row", F.array(*FEATURES)).withColumn("probability", forest_chance(self.forest))
         return rows.select(
             F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "copy", "start",
             F.char_length("candidate").cast("long").alias("length"), "candidate", F.round("probability", 9).alias("probability"),
