@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
-from tidemark.operators import audit, rowdiff, verify
+from tidemark.operators import audit, rowdiff, sampling, verify
 from tidemark.operators.audit import ForeignKey
 from tidemark.operators.keyed import lookup_join, tally
 from tidemark.operators.marks import high_water_marks
+from tidemark.operators.sampling import Sampled
 from tidemark.operators.verify import TablePair
 from tidemark.plans.verification import run_checks, verification_run
 
@@ -217,3 +218,45 @@ def test_lookups_split_many_hot_keys_and_equal_rows(spark):
         for name in ("adaptive.enabled", "autoBroadcastJoinThreshold"):
             spark.conf.unset(f"spark.sql.{name}")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_samples_of_all_pairs_without_a_top_n(spark, table):
+    pairs = [TablePair(n, n, table(n), table(d), k) for n, d, k in (
+        ("orders", "orders_dst", ("o_orderkey",)), ("part", "part", ("p_partkey",)), ("lineitem", "lineitem", ()))]
+    plan = verify.verify(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_cut_that_is_too_low_is_made_good(spark, table, monkeypatch):
+    orders = Sampled(3, table("orders"), ("o_orderkey",), ("o_custkey",))
+    part = Sampled(5, table("part"), ("p_partkey",), ("p_size",))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    right = rows(sampling.samples([orders, part]))
+    passes = []
+    inner = sampling.smallest
+    monkeypatch.setattr(sampling, "smallest", lambda *a: passes.append(1) or inner(*a))
+    assert rows(sampling.samples([orders, part])) == right and len(passes) == 1
+    assert rows(sampling.samples([orders, part], cuts={3: "000", 5: None})) == right and len(passes) == 3
+    assert [r[5] for r in right if r[0] == 3] and {r[0] for r in right} == {3, 5}
+
+
+def test_bottom_k_against_sorting(spark):
+    rows = [(p, f"{(i * 7919) % 5000:05d}", "k", f"m{i % 50}", f"h{i % 3}") for p in (1, 2) for i in range(4000)] * 2
+    df = spark.createDataFrame(rows, "pair long, place string, key string, match string, row_hash string").repartition(9)
+    got = sorted((r.pair, r.rn, r.place, r.match) for r in sampling.smallest(df, 1000).collect())
+    want = [(p, n + 1, r[1], r[3]) for p in (1, 2) for n, r in enumerate(
+        sorted({x for x in rows if x[0] == p}, key=lambda r: (r[1], r[3], r[4]))[:1000])]
+    assert got == want
+
+
+def test_sample_of_a_key_with_many_rows(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) as k", "id % 5 as v")
+    result = verify.hash_sample([TablePair("a", "b", rows, rows.selectExpr("cast(k as decimal(20,2)) as k", "v"), ("k",))]).collect()[0]
+    assert result["missing_count"] == 0 and 0 < result["sample_size"] <= 100
+
+
+def test_metrics_of_tables_without_key_or_rows(spark, table):
+    none = table("part").filter("p_size < 0")
+    pairs = [TablePair("a", "b", none, table("part"), ("p_partkey",)), TablePair("c", "d", table("part"), table("part"))]
+    found = {r["source_table"]: r["metrics"] for r in run_checks(pairs).collect() if r["name"] == "hash_sample"}
+    assert found == {"a": {"sample_size": "0", "checked": "0"}, "c": {"skipped": "true"}}

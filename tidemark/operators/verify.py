@@ -6,16 +6,16 @@ checked in one job. Counts, digests and column maxima come out of one shared pas
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.canon import (
-    HALVES, LIMBS, digest_value, half_sql, hash_sql, limb_sql, name_sql, row_hash)
+    HALVES, LIMBS, digest_value, half_sql, hash_sql, limb_sql, name_sql)
 from tidemark.functions.text import quoted, signed_thousands, thousands
 from tidemark.operators.keyed import local_rows, union_all
+from tidemark.operators.sampling import Sampled, compared, samples
 
 PAIR = ["source_table", "dest_table"]
 #: The number of a pair among those checked together: names may repeat, numbers do not.
@@ -139,105 +139,48 @@ def full_hash(pairs: Sequence[TablePair]) -> DataFrame:
 
 # --- sampled hashes -----------------------------------------------------------------------------------
 
-def sample_size(rows: Column) -> Column:
-    wanted = F.greatest(
-        F.lit(fixed.SAMPLE_FLOOR), F.floor(rows.cast("double") * F.lit(fixed.SAMPLE_FRACTION)))
-    return F.least(F.lit(fixed.SAMPLE_CEILING), wanted, rows).cast("bigint")
-
-
-def key_text(key: Sequence[str]) -> Column:
-    if len(key) == 1:
-        return quoted(key[0]).cast("string")
-    return F.concat(F.lit("("), F.concat_ws(", ", *[quoted(k).cast("string") for k in key]), F.lit(")"))
-
-
-def _sampled(df: DataFrame, key: Sequence[str], seed: str, columns: Sequence[str]) -> DataFrame:
-    """At most SAMPLE_CEILING rows in md5(key, seed) order, numbered, with key and row hash."""
-    order = F.md5(F.concat(key_text(key), F.lit(str(seed))))
-    keys = [quoted(k) for k in key]
-    # only keys and their order go through the top-n; then the rows of these keys are fetched, at most SAMPLE_CEILING keys
-    chosen = df.select(*keys, order.alias("_order")).orderBy("_order", *keys).limit(fixed.SAMPLE_CEILING).select(
-        *[quoted(k).alias(f"_key{i}") for i, k in enumerate(key)]).distinct()
-    same = [quoted(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)]
-    needed = df.select(*[quoted(c) for c in dict.fromkeys([*key, *columns])])
-    top = needed.join(F.broadcast(chosen), reduce(lambda a, b: a & b, same), "left_semi").withColumn("_order", order)
-    hashed = top.select(*keys, "_order", row_hash(top, columns).alias("row_hash")).orderBy(
-        "_order", *keys, "row_hash").limit(fixed.SAMPLE_CEILING)
-    wanted = sample_size(df.agg(F.count("*").alias("n")).scalar())
-    # row_number over the at most SAMPLE_CEILING narrow rows left by the limit
-    numbered = hashed.selectExpr("*", f"row_number() over (order by _order, {", ".join(map(name_sql, key))}, row_hash) as rn")
-    return numbered.filter(F.col("rn") <= wanted)
-
-
 def sample_keys(df: DataFrame, key: Sequence[str], seed: str = "0", columns: Sequence[str] | None = None) -> DataFrame:
     """The repeatable key sample of a table: 1 % of the rows, at least 100, at most 1000."""
-    names = list(columns) if columns is not None else df.columns
-    return _sampled(df, key, seed, names).select(
-        *[quoted(k) for k in key], F.col("rn").cast("bigint").alias("rn"), "row_hash")
-
-
-def _hash_sample_one(number: int, pair: TablePair, seed: str) -> DataFrame:
-    if not pair.key:
-        spark = pair.source.sparkSession
-        return _sample_row(
-            local_rows(spark, [(number, pair.source_table, pair.dest_table)], numbered_schema()),
-            F.lit(True), F.lit(fixed.SAMPLE_NO_KEY))
-    names = pair.compared()
-    keys = [quoted(k) for k in pair.key]
-    # at most SAMPLE_CEILING rows as one value: the subquery runs once for both uses of the sample
-    rows = (
-        _sampled(pair.source, pair.key, seed, names).groupBy(*keys).agg(F.min("row_hash").alias("_source_hash"))
-        .agg(F.collect_list(F.struct(*keys, "_source_hash")).alias("rows")).scalar())
-    sample = pair.source.sparkSession.range(1).select(F.inline(rows))
-    dest = pair.dest.select(*[quoted(c) for c in dict.fromkeys([*pair.key, *names])])
-    # the sample has at most SAMPLE_CEILING rows, so broadcasting it into the scan is always cheap
-    found = dest.join(F.broadcast(sample), list(pair.key)).select(
-        *keys, (row_hash(dest, names) == F.col("_source_hash")).alias("_same"))
-    found = found.groupBy(*keys).agg(F.min("_same").alias("_same"))
-    compared = sample.join(found, list(pair.key), "left").select(
-        key_text(pair.key).alias("_key"), "_same", F.col("_source_hash").isNotNull().alias("_sampled"))
-    missing, changed = F.col("_same").isNull(), ~F.col("_same")
-    result = compared.agg(
-        F.count_if("_sampled").alias("sample_size"),
-        F.count_if(missing).alias("missing_count"), F.count_if(changed).alias("mismatched_count"),
-        F.sort_array(F.collect_list(F.when(missing, F.col("_key")))).alias("_missing"),
-        F.sort_array(F.collect_list(F.when(changed, F.col("_key")))).alias("_mismatched"))
-    parts = F.concat_ws(
-        ", ",
-        F.when(F.col("missing_count") > 0, F.format_string(fixed.SAMPLE_MISSING, "missing_count")),
-        F.when(F.col("mismatched_count") > 0, F.format_string(fixed.SAMPLE_CHANGED, "mismatched_count")))
-    passed = (F.col("missing_count") == 0) & (F.col("mismatched_count") == 0)
-    detail = (
-        F.when(F.col("sample_size") == 0, fixed.SAMPLE_EMPTY_TABLE)
-        .when(passed, F.format_string(fixed.SAMPLE_MATCH, "sample_size"))
-        .otherwise(F.format_string(fixed.SAMPLE_MISMATCH, parts, "sample_size")))
-    return result.select(
-        F.lit(number).cast("bigint").alias("pair"), F.lit(pair.source_table).alias("source_table"), F.lit(pair.dest_table).alias("dest_table"),
-        passed.alias("passed"), detail.alias("detail"), "sample_size",
-        F.col("_missing").alias("missing"), F.col("_mismatched").alias("mismatched"),
-        "missing_count", "mismatched_count", F.lit(", ".join(pair.key)).alias("pk_column"))
-
-
-def _sample_row(rows: DataFrame, passed: Column, detail: Column) -> DataFrame:
-    none = F.lit(None)
-    return rows.select(
-        *NUMBERED, passed.alias("passed"), detail.alias("detail"), none.cast("bigint").alias("sample_size"),
-        none.cast("array<string>").alias("missing"), none.cast("array<string>").alias("mismatched"),
-        none.cast("bigint").alias("missing_count"), none.cast("bigint").alias("mismatched_count"),
-        none.cast("string").alias("pk_column"))
+    names = tuple(columns if columns is not None else df.columns)
+    found = samples([Sampled(0, df, tuple(key), names)], seed)
+    keys = df.select(*[quoted(k) for k in key], F.expr(hash_sql(df, key)).alias("_match")).join(
+        F.broadcast(found.select(F.col("match").alias("_match"), "rn", "row_hash")), "_match").drop("_match")
+    return keys.distinct().select(*[quoted(k) for k in key], F.col("rn").cast("bigint").alias("rn"), "row_hash")
 
 
 def hash_sample(pairs: Sequence[TablePair], seed: str = "0") -> DataFrame:
     """Compare a sample of source rows with the destination rows of the same keys.
 
-    Reads the source once and the destination once. Rows that exist only on the destination are not
+    All pairs are sampled in one pass over the sources and compared in one over the destinations. ``skipped`` is true where
+    there is no key to sample by, ``checked`` is 0 where there was no row. Rows that exist only on the destination are not
     seen; :func:`tidemark.operators.rowdiff.row_diff` covers those.
     """
     return _hash_samples(list(enumerate(pairs)), seed).drop("pair")
 
 
 def _hash_samples(numbered: Sequence[tuple[int, TablePair]], seed: str) -> DataFrame:
-    return union_all([_hash_sample_one(i, p, seed) for i, p in numbered])
+    spark = numbered[0][1].source.sparkSession
+    keyed = [(i, p) for i, p in numbered if p.key]
+    names = local_rows(
+        spark, [(i, p.source_table, p.dest_table, ", ".join(p.key) or None) for i, p in numbered], numbered_schema(("pk_column", pa.string())))
+    if keyed:
+        found = compared([Sampled(i, p.source, p.key, tuple(p.compared())) for i, p in keyed], [p.dest for _, p in keyed], seed)
+    else:
+        found = spark.createDataFrame(
+            [], "pair bigint, sample_size bigint, missing_count bigint, mismatched_count bigint, missing array<string>, mismatched array<string>")
+    parts = F.concat_ws(
+        ", ",
+        F.when(F.col("missing_count") > 0, F.format_string(fixed.SAMPLE_MISSING, "missing_count")),
+        F.when(F.col("mismatched_count") > 0, F.format_string(fixed.SAMPLE_CHANGED, "mismatched_count")))
+    skipped, empty = F.col("pk_column").isNull(), F.col("sample_size") == 0
+    passed = skipped | ((F.col("missing_count") == 0) & (F.col("mismatched_count") == 0))
+    detail = (
+        F.when(skipped, fixed.SAMPLE_NO_KEY).when(empty, fixed.SAMPLE_EMPTY_TABLE)
+        .when(passed, F.format_string(fixed.SAMPLE_MATCH, "sample_size"))
+        .otherwise(F.format_string(fixed.SAMPLE_MISMATCH, parts, "sample_size")))
+    return names.join(found, "pair", "left").select(
+        *NUMBERED, passed.alias("passed"), detail.alias("detail"), "sample_size", "missing", "mismatched", "missing_count",
+        "mismatched_count", "pk_column", F.when(skipped, True).alias("skipped"), F.when(empty, F.lit(0).cast("bigint")).alias("checked"))
 
 
 # --- sequences ----------------------------------------------------------------------------------------
@@ -306,7 +249,7 @@ def sequence_states(pairs: Sequence[TablePair], marks: DataFrame) -> DataFrame:
 RESULT = [*NUMBERED, "position", "name", "passed", "detail", "metrics", "error"]
 
 
-SAMPLE_METRICS = ["sample_size", "missing", "mismatched", "missing_count", "mismatched_count", "pk_column"]
+SAMPLE_METRICS = ["sample_size", "missing", "mismatched", "missing_count", "mismatched_count", "pk_column", "skipped", "checked"]
 COUNT_METRICS = ["source", "dest", "delta", "tolerance", "exact_match"]
 DIGEST_METRICS = ["source_high", "source_low", "dest_high", "dest_low"]
 SEQUENCE_METRICS = ["sequences", "behind"]
@@ -334,8 +277,8 @@ def verify(
 ) -> DataFrame:
     """All checks of each pair's level, or only the named one; one row per check in the level's order.
 
-    Row counts, digests and sequence maxima of every pair share one pass over its two tables; only the
-    sample reads them again.
+    Row counts, digests and sequence maxima of every pair share one pass over its two tables; the samples of all pairs are
+    one more.
     """
     spark = pairs[0].source.sparkSession
     if marks is None:
@@ -360,7 +303,10 @@ def verify(
         parts.append(_results(totals, entries, pairs, only))
     if having("hash_sample"):
         sampled = _hash_samples([(i, p) for i, p in enumerate(pairs) if any(p is q for q in having("hash_sample"))], seed)
+        # an empty table has its size and nothing checked, no lists
+        found_rows = F.col("checked").isNull()
         texts = {m: F.to_json(m) if m in ("missing", "mismatched") else F.col(m) for m in SAMPLE_METRICS}
+        texts = {m: c if m in ("sample_size", "skipped", "checked") else F.when(found_rows, c) for m, c in texts.items()}
         parts.append(_results(
             sampled, [_entry("hash_sample", {"passed": F.col("passed"), "detail": F.col("detail")}, texts)], pairs, only))
     return union_all(parts).select(*RESULT)

@@ -61,6 +61,14 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to a new scratch folder and read back, and that folder: later plans start from its files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canon import row_hash
 from tidemark.functions.text import mask_credentials, name_of, schema_of, signed_thousands, thousands, with_schema
 from tidemark.operators import marks as hwm
-from tidemark.operators import rowdiff, verify
+from tidemark.operators import rowdiff, sampling, verify
 from tidemark.operators.keyed import union_all
 from tidemark.operators.verify import TablePair
 from tidemark.plans.verification import verification_run
@@ -128,7 +128,7 @@ SQL_SAMPLE_SIZE = "least(least(1000, greatest(100, cast(floor(n * 0.01::double)
        "from (select cast(floor(o_totalprice) as bigint) as n from orders) t")
 def sample_size(spark, sf_dir):
     n = table(spark, sf_dir, "orders").select(F.floor("o_totalprice").cast("bigint").alias("n"))
-    return n.select("n", verify.sample_size(F.col("n")).alias("sample_size"))
+    return n.select("n", sampling.sample_size(F.col("n")).alias("sample_size"))
 
 
 def sql_sample(name: str) -> str:
@@ -184,14 +184,19 @@ _register_samples()
 
 @query("hash_sample_edge_cases", duck("""
     select 'public.lineitem' as source_table, true as passed, 'skipped — no single-column PK to sample on' as detail,
-           cast(null as bigint) as sample_size from (select count(*) from {lineitem}) t
-    union all select 'public.supplier', true, 'empty table — nothing to sample', (select count(*) from {supplier_dst})"""))
+           cast(null as bigint) as sample_size, true as skipped, cast(null as bigint) as checked
+    union all select name, true, case when n = 0 then 'empty table — nothing to sample' else """ + f"{SQL_SAMPLE_SIZE}" + """ || ' sampled rows match' end,
+           """ + f"{SQL_SAMPLE_SIZE}" + """, null, case when n = 0 then 0 end
+    from (select 'public.supplier' as name, count(*) as n from {supplier} where s_acctbal > 1000000
+          union all select 'public.nation', count(*) from {nation}
+          union all select 'public.part', count(*) from {part} where p_size > 45) t"""))
 def hash_sample_edge_cases(spark, sf_dir):
-    empty = table(spark, sf_dir, "supplier_dst")
-    pairs = [
-        pair(spark, sf_dir, "lineitem"),
-        TablePair("public.supplier", "public.supplier", empty, table(spark, sf_dir, "supplier"), ("s_suppkey",))]
-    return verify.hash_sample(pairs).select("source_table", "passed", "detail", "sample_size")
+    """A table without a key, one that a filter leaves without rows, one smaller than the least sample, and one more."""
+    def some(name, where="true"):
+        df = table(spark, sf_dir, name).filter(where)
+        return TablePair(f"public.{name}", f"public.{name}", df, df.repartition(3), tuple(KEYS[name]))
+    pairs = [pair(spark, sf_dir, "lineitem"), some("supplier", "s_acctbal > 1000000"), some("nation"), some("part", "p_size > 45")]
+    return verify.hash_sample(pairs).select("source_table", "passed", "detail", "sample_size", "skipped", "checked")
 
 
 @query("row_hash", duck(" union all ".join(
