@@ -260,3 +260,42 @@ def test_metrics_of_tables_without_key_or_rows(spark, table):
     pairs = [TablePair("a", "b", none, table("part"), ("p_partkey",)), TablePair("c", "d", table("part"), table("part"))]
     found = {r["source_table"]: r["metrics"] for r in run_checks(pairs).collect() if r["name"] == "hash_sample"}
     assert found == {"a": {"sample_size": "0", "checked": "0"}, "c": {"skipped": "true"}}
+
+
+def test_ranges_find_what_row_diff_finds(spark, table):
+    orders = table("orders")
+    changed = orders.withColumn("o_totalprice", F.expr("if(o_orderkey in (3, 77), 1, o_totalprice)")).filter("o_orderkey <> 50")
+    other_type = changed.withColumn("o_orderkey", F.col("o_orderkey").cast("decimal(20,0)"))
+    twice = orders.unionByName(orders.filter("o_orderkey = 9"))
+    for dest in (changed, other_type, orders, twice, orders.limit(0)):
+        want = sorted(map(tuple, rowdiff.row_diff(orders, dest, ["o_orderkey"]).filter("status <> 'match'").collect()))
+        got = sorted(map(tuple, rowdiff.row_diff_ranges(orders, dest, ["o_orderkey"]).collect()))
+        assert got == want
+    assert rowdiff.row_diff_ranges(orders.limit(0), orders.limit(0), ["o_orderkey"]).collect() == []
+
+
+def test_rows_of_equal_ranges_are_not_shuffled(spark, table):
+    lines = table("lineitem")
+    dest = lines.withColumn("l_quantity", F.expr("if(l_orderkey = 7, -1, l_quantity)"))
+    diff = rowdiff.row_diff_ranges(lines, dest, ["l_orderkey", "l_linenumber"])
+    found = diff.collect()
+    assert {r["l_orderkey"] for r in found} == {7}
+    plan = diff._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert text.count("Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in text
+
+    # rows that went through the one exchange on the key
+    rows, stack = [], [plan]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            stack.append(node.plan())
+        else:
+            if node.nodeName() == "Exchange":
+                rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+    total = lines.count()
+    assert rows and max(rows) < total / 20

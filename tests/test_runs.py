@@ -231,9 +231,36 @@ def test_levels_against_brute_force(spark):
         if not ready:
             break
         level.update({n: 1 + max((level[p] for p in parents.get(n, ())), default=-1) for n in ready})
-    got = {r["node"]: (r["level"], r["cyclic"]) for r in graph.dependency_levels(
+    def above(n):
+        seen, todo = set(), list(parents.get(n, ()))
+        while todo:
+            p = todo.pop()
+            if p not in seen:
+                seen.add(p)
+                todo += parents.get(p, ())
+        return seen
+    on_cycle = {n for n in nodes if n in above(n)}
+    got = {r["node"]: (r["level"], r["cyclic"], r["blocked"]) for r in graph.dependency_levels(
         spark.createDataFrame(edges, "child int, parent int")).collect()}
-    assert got == {n: (level.get(n), n not in level) for n in nodes} and any(c for _, c in got.values())
+    assert got == {n: (level.get(n), n in on_cycle, n not in level and n not in on_cycle) for n in nodes}
+    assert on_cycle and any(b for _, _, b in got.values())
+
+
+def test_cycle_members_between_and_behind_cycles(spark):
+    # two cycles, a path between them, a tail, a figure of eight and a chain into it
+    edges = [("a", "b"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("f", "e"), ("e", "f"), ("g", "f"), ("h", "i"), ("i", "h"), ("i", "j"),
+             ("j", "i"), ("k", "k"), ("l", "m"), ("h", "l")]
+    df = spark.createDataFrame(edges, "child string, parent string")
+    assert sorted(r.node for r in graph.cycle_members(df).collect()) == list("abefhij")
+    assert graph.cycle_members(df.limit(0)).collect() == []
+    got = {r.node: (r.level, r.cyclic, r.blocked) for r in graph.dependency_levels(df).collect()}
+    assert got["d"] == (None, False, True) and got["e"] == (None, True, False) and got["k"] == (0, False, False) and got["l"] == (1, False, False)
+
+
+def test_large_cycle_is_one_component(spark):
+    n = 24
+    df = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(100 + i, i) for i in range(5)], "child int, parent int")
+    assert sorted(r.node for r in graph.cycle_members(df).collect()) == list(range(n))
 
 
 def random_updates(n, hot=True):

@@ -51,7 +51,10 @@ def _hashable(dtype: T.DataType) -> bool:
 def _known_small(df: DataFrame) -> bool:
     """Whether Spark's own size estimate is under the session's broadcast limit, so that it will broadcast it."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except ValueError:
+        return False  # an estimate of more digits than Python reads
     return int(str(size)) <= limit
 
 

@@ -38,7 +38,8 @@ def skipped_tables(spark, sf_dir):
 
 
 SQL_LEVELS = """
-    select n.node, case when s.node is null then l.level end as level, s.node is not null as cyclic
+    select n.node, case when s.node is null then l.level end as level, n.node in (select a from reach where a = b) as cyclic,
+           s.node is not null and n.node not in (select a from reach where a = b) as blocked
     from nodes n left join stuck s on s.node = n.node
     left join (select node, max(level) as level from depth group by node) l on l.node = n.node"""
 

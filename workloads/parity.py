@@ -275,6 +275,16 @@ def _register_diffs():
 _register_diffs()
 
 
+def _register_range_diffs():
+    for name in ("orders", "conversations", "customer"):
+        @query(f"row_diff_ranges_{name}", f"select * from ({sql_row_diff(name, CHANGED[name])}) r where status <> 'match'")
+        def build(spark, sf_dir, name=name):
+            return rowdiff.row_diff_ranges(table(spark, sf_dir, name), table(spark, sf_dir, CHANGED[name]), KEYS[name])
+
+
+_register_range_diffs()
+
+
 @query("row_diff_summary", duck("""
     select (select count(*) from {orders}) as source_rows, (select count(*) from {orders_dst}) as dest_rows,
            count(*) filter (status = 'match') as match, count(*) filter (status = 'mismatched') as mismatched,
