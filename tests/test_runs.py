@@ -102,8 +102,73 @@ def test_an_interrupted_publication_is_recovered(spark, tmp_path, monkeypatch, m
     with pytest.raises(Died):
         storage.publish(spark, staged)
     monkeypatch.undo()
-    got = [load.read_dest(spark, p, "id bigint, v string").count() for p in (b, a)]
-    assert got == ([6, 5] if moves == 4 else [2, 1]) and leftovers(a) == []
+    want = [6, 5] if moves == 4 else [2, 1]
+    before = sorted(os.listdir(tmp_path))
+    assert [load.read_dest(spark, p, "id bigint, v string").count() for p in (b, a)] == want
+    assert sorted(os.listdir(tmp_path)) == before  # readers move nothing
+    with pytest.raises(storage.PublicationBusy):
+        storage.recover(spark, [b])  # its lease still runs
+    monkeypatch.setattr(storage.time, "time", lambda: 4e9)
+    storage.recover(spark, [b, a])
+    assert [load.read_dest(spark, p, "id bigint, v string").count() for p in (b, a)] == want and leftovers(a) == []
+    assert [len(ids(spark, p)) for p in (b, a)] == want
+
+
+def test_readers_and_writers_in_the_middle_of_a_live_publication(spark, tmp_path):
+    names = [f"{tmp_path}/{n}" for n in ("a", "b", "new")]
+    for k, path in enumerate(names):
+        if k != 2:
+            load.load(numbers(spark, k + 1), path, "truncate")
+    staged = {p: storage.stage(numbers(spark, 5), p) for p in names}
+    seen = []
+
+    def look(done):
+        seen.append([load.read_dest(spark, p, "id bigint, v string").count() for p in names])
+        for p in names:
+            with pytest.raises(storage.PublicationBusy):
+                storage.recover(spark, [p])
+        with pytest.raises(storage.PublicationBusy):
+            load.load(numbers(spark, 1), names[1], "truncate")
+
+    with storage.watched_moves(look):
+        storage.publish(spark, staged)
+    assert seen == [[1, 2, 0]] * 5
+    assert [load.read_dest(spark, p, "id bigint, v string").count() for p in names] == [5] * 3 and leftovers(names[0]) == []
+
+
+def test_a_publication_that_was_taken_over_touches_nothing(spark, tmp_path, monkeypatch):
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    load.truncate_all([(numbers(spark, 1), a), (numbers(spark, 2), b)])
+    staged = {p: storage.stage(numbers(spark, 5), p) for p in (a, b)}
+
+    def outlive(done):
+        if done == 2:  # the first table is in place when another writer finds the lease run out
+            storage._write_note(spark, storage.publication_of(spark, a).lease, "0")
+            storage.recover(spark, [a])
+
+    with pytest.raises(storage.LeaseLost), storage.watched_moves(outlive):
+        storage.publish(spark, staged)
+    assert ids(spark, a) == [0] and ids(spark, b) == [0, 1] and leftovers(a) == []
+
+
+def test_plans_are_compiled_in_a_constant_number_of_jobs(spark):
+    from tidemark.operators.projection import compile_plan, project
+
+    def jobs(n):
+        rows = [(f"public.t{k}", f"app.t{k}", f"c{i}", f"d{i}", "integer", "bigint", None, i == 2) for k in range(n) for i in (3, 2, 0, 1)]
+        df = spark.createDataFrame(
+            rows, "source_table string, dest_table string, source_column string, dest_column string, source_type string, "
+            "default_dest_type string, override_dest_type string, skip boolean").repartition(7)
+        spark.sparkContext.setJobGroup(f"plan{n}", "")
+        try:
+            plans = compile_plan(df)
+            source = spark.range(3).selectExpr(*[f"cast(id as int) as c{i}" for i in range(4)])
+            done = [project(source, plans[f"public.t{k}", f"app.t{k}"]) for k in range(0, n, 50)]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(plans) == n and all(d.columns == ["d0", "d1", "d3"] for d in done)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"plan{n}"))
+    assert jobs(500) == jobs(2) <= 3
 
 
 def test_a_destination_that_holds_a_source_is_refused(spark, tmp_path):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark import fixed_values as fixed
-from tidemark.sources.storage import discard, overlapping, path_exists, publish, qualified, recover, stage
+from tidemark.sources.storage import discard, overlapping, path_exists, publish, qualified, recover, resolve, stage
 
 MODES = ("truncate", "append", "abort")
 
@@ -34,10 +34,13 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def read_dest(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
-    """The destination's rows; a folder that does not exist yet is an empty table."""
-    recover(spark, [path])
-    if path_exists(spark, path):
-        return spark.read.schema(schema).format(fmt).load(path)
+    """The destination's rows; a folder that does not exist yet is an empty table.
+
+    Nothing is moved: while the destination is being published its old rows are read.
+    """
+    folder = resolve(spark, path)
+    if folder is not None:
+        return spark.read.schema(schema).format(fmt).load(folder)
     return spark.createDataFrame([], schema)
 
 

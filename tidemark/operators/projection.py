@@ -14,7 +14,6 @@ from tidemark.operators.mapping import effective_dest_type
 
 #: What a mapping must tell; any other column of a mapping table is left alone.
 MAPPING_FIELDS = ("source_column", "dest_column", "source_type", "default_dest_type", "override_dest_type")
-Mappings = DataFrame | Sequence[Mapping]
 
 
 @dataclass(frozen=True)
@@ -24,6 +23,16 @@ class PlannedColumn:
     cast_to: str | None
 
 
+@dataclass(frozen=True)
+class ColumnPlan:
+    """The written columns of one table, by source name: what its mappings come to."""
+
+    columns: tuple[PlannedColumn, ...]
+
+
+Mappings = DataFrame | Sequence[Mapping] | ColumnPlan
+
+
 def planned_columns(mappings: DataFrame) -> DataFrame:
     """Mappings of any number of tables with ``written`` and ``cast_to``, the type to cast to or null.
 
@@ -44,13 +53,30 @@ def _rows(spark, mappings: Mappings) -> DataFrame:
     return spark.createDataFrame([(*(m.get(c) for c in MAPPING_FIELDS), bool(m.get("skip"))) for m in mappings], schema)
 
 
+def _plan_of(columns: Sequence) -> ColumnPlan:
+    return ColumnPlan(tuple(PlannedColumn(*c) for c in columns))
+
+
+def compile_plan(mappings: DataFrame) -> dict[tuple[str, str], ColumnPlan]:
+    """The column plan of every table of a mapping table, by source and destination table.
+
+    One aggregation gives one row per table with its columns in order, as many as the table has; tables without a written
+    column have none.
+    """
+    one = F.struct("source_column", "dest_column", "cast_to")
+    rows = planned_columns(mappings).filter("written").groupBy("source_table", "dest_table").agg(F.array_sort(F.collect_list(one)).alias("columns"))
+    return {(r["source_table"], r["dest_table"]): _plan_of(r["columns"]) for r in rows.collect()}
+
+
 def written_columns(df: DataFrame, mappings: Mappings, generated: Sequence[str] = (), dest_table: str = "") -> list[PlannedColumn]:
     """The columns that one table's projection consists of, by source name: as many as the table has.
 
     Destination columns that either side computes itself are not among them.
     """
-    planned = planned_columns(_rows(df.sparkSession, mappings)).filter("written").select("source_column", "dest_column", "cast_to")
-    found = [PlannedColumn(*r) for r in planned.orderBy("source_column", "dest_column").collect()]
+    if not isinstance(mappings, ColumnPlan):
+        planned = planned_columns(_rows(df.sparkSession, mappings)).filter("written").select("source_column", "dest_column", "cast_to")
+        mappings = _plan_of(planned.orderBy("source_column", "dest_column").collect())
+    found = list(mappings.columns)
     if not found:
         raise ValueError(fixed.EMPTY_COLUMN_PLAN)
     own = [c for c in found if c.dest not in generated]

@@ -3,7 +3,7 @@
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +12,7 @@ from tidemark import fixed_values as fixed
 from tidemark.operators.graph import dependency_levels
 from tidemark.operators.load import LoadMetrics, counted, load, read_dest, refuse_own_source, source_folders, stage_all, staged_whole
 from tidemark.operators.marks import high_water_marks
-from tidemark.operators.projection import Mappings, project
+from tidemark.operators.projection import ColumnPlan, Mappings, compile_plan, project
 from tidemark.operators.verify import TablePair, overall
 from tidemark.plans.verification import run_checks
 from tidemark.sources.storage import overlapping, publish, qualified, recover
@@ -20,13 +20,16 @@ from tidemark.sources.storage import overlapping, publish, qualified, recover
 
 @dataclass(frozen=True)
 class TableMove:
-    """One table of a plan: its rows, where they go and how."""
+    """One table of a plan: its rows, where they go and how.
+
+    Without ``mappings`` of its own it takes those that the run's mapping table has for it.
+    """
 
     source_table: str
     dest_table: str
     source: DataFrame = field(repr=False)
     dest_path: str
-    mappings: Mappings = field(repr=False)
+    mappings: Mappings | None = field(repr=False)
     conflict_mode: str = "truncate"
     verification: str | None = fixed.DEFAULT_LEVEL
     key: tuple[str, ...] = ()
@@ -110,10 +113,12 @@ def _refused(moves: Sequence[TableMove]) -> dict[int, str]:
 
 def run_migration(
     moves: Sequence[TableMove], edges: DataFrame | None = None, marks: DataFrame | None = None,
-    concurrency: int = 4,
+    concurrency: int = 4, mappings: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(run, run tables, marks): every table projected, loaded, marked and verified.
 
+    ``mappings`` is the mapping table of the whole plan; it is compiled once, by one aggregation, for all moves that bring none.
+
     Before anything is staged, moves onto any source of the plan are refused. Truncate tables are replaced together first.
     Append and abort tables follow by dependency level, a few at a time; Spark runs each as its own jobs. A table that fails
     to load or to verify fails alone and the run is failed if any table is. What a load wrote must be exactly what it read,
@@ -121,6 +126,9 @@ def run_migration(
     still leaves the record of what was loaded.
     """
     spark = moves[0].source.sparkSession
+    plans = compile_plan(mappings) if mappings is not None else {}
+    moves = [m if m.mappings is not None else replace(
+        m, mappings=plans.get((m.source_table, m.dest_table), ColumnPlan(()))) for m in moves]
     started = {}
     begun = datetime.now(timezone.utc)
     recover(spark, [m.dest_path for m in moves])

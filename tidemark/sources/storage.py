@@ -1,10 +1,16 @@
 """Shared storage: checkpoint folder, staged writes and publishing."""
 
 import contextlib
+import json
+import os
+import socket
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -90,6 +96,24 @@ def overlapping(a: str, b: str) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
+_WATCHERS: list[Callable[[int], None]] = []
+
+
+@contextlib.contextmanager
+def watched_moves(tell: Callable[[int], None]) -> Iterator[None]:
+    """Calls ``tell`` with the number of moves made so far, after each one within."""
+    made = [0]
+
+    def count(_: int) -> None:
+        made[0] += 1
+        tell(made[0])
+    _WATCHERS.append(count)
+    try:
+        yield
+    finally:
+        _WATCHERS.remove(count)
+
+
 def _move(spark: SparkSession, source: str, dest: str) -> None:
     fs, src = _file_system(spark, source)
     _, dst = _file_system(spark, dest)
@@ -97,6 +121,8 @@ def _move(spark: SparkSession, source: str, dest: str) -> None:
         fs.mkdirs(dst.getParent())
     if not fs.rename(src, dst):
         raise OSError(f"cannot move {source} to {dest}")
+    for tell in list(_WATCHERS):
+        tell(0)
 
 
 def stage(df: DataFrame, dest: str, fmt: str = "parquet", **options) -> str:
@@ -113,17 +139,64 @@ def stage(df: DataFrame, dest: str, fmt: str = "parquet", **options) -> str:
     return staged
 
 
-def _write_note(spark: SparkSession, path: str, text: str) -> None:
+class PublicationBusy(RuntimeError):
+    """Another publication of the destination is under way."""
+
+
+class LeaseLost(RuntimeError):
+    """A publication outlived its lease and was taken over; it touches nothing any more."""
+
+
+#: Seconds after the last move in which a publication is taken to be alive.
+LEASE = 900.0
+
+
+@dataclass(frozen=True)
+class Publication:
+    """What one set of folders is published as: the manifest beside each of its destinations.
+
+    An entry is (destination, staged folder, where the old data goes, whether there was any).
+    """
+
+    run: str
+    owner: str
+    entries: tuple[tuple[str, str, str, bool], ...]
+
+    @property
+    def home(self) -> str:
+        return self.entries[0][0].rstrip("/")
+
+    @property
+    def lease(self) -> str:
+        return f"{self.home}.publish-lease-{self.run}"
+
+    @property
+    def done(self) -> str:
+        return f"{self.home}.published-{self.run}"
+
+
+def _manifest(dest: str) -> str:
+    return f"{dest.rstrip('/')}.publish-manifest"
+
+
+def _write_note(spark: SparkSession, path: str, text: str, exclusive: bool = False) -> None:
     fs, p = _file_system(spark, path)
-    out = fs.create(p, True)
+    try:
+        out = fs.create(p, not exclusive)
+    except Py4JJavaError as e:
+        if exclusive and fs.exists(p):
+            raise PublicationBusy(f"being published: {path.removesuffix('.publish-manifest')}") from e
+        raise
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
 
 
-def _read_note(spark: SparkSession, path: str) -> str:
+def _read_note(spark: SparkSession, path: str) -> str | None:
     fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
     stream = fs.open(p)
     try:
         return bytes(stream.readAllBytes()).decode()
@@ -131,73 +204,143 @@ def _read_note(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _notes(spark: SparkSession, dest: str) -> list[str]:
-    fs, p = _file_system(spark, f"{dest.rstrip('/')}.publish-*")
-    return [f.getPath().toString() for f in fs.globStatus(p) or []]
+def publication_of(spark: SparkSession, dest: str) -> Publication | None:
+    """The publication that a destination is part of just now, if there is one."""
+    text = _read_note(spark, _manifest(dest))
+    if not text:
+        return None
+    told = json.loads(text)
+    return Publication(told["run"], told["owner"], tuple(tuple(e) for e in told["entries"]))
+
+
+def _alive(spark: SparkSession, found: Publication) -> bool:
+    until = _read_note(spark, found.lease)
+    return bool(until) and time.time() < float(until)
 
 
-def _undo(spark: SparkSession, entries: list[tuple[str, str, str]]) -> None:
-    """Put every destination back to what it was before its folder was published."""
-    for dest, folder, old in reversed(entries):
-        if path_exists(spark, old):
+def _renew(spark: SparkSession, own: Publication) -> None:
+    """Lengthen the lease before a move; a publication whose manifest was taken away must not go on."""
+    now = publication_of(spark, own.home)
+    if now is None or now.run != own.run or now.owner != own.owner:
+        raise LeaseLost(f"publication of {own.home} was taken over")
+    _write_note(spark, own.lease, str(time.time() + LEASE))
+
+
+def resolve(spark: SparkSession, dest: str) -> str | None:
+    """The folder that holds a destination's data now; None if there is none yet. Nothing is moved.
+
+    While a set is being published, and after its driver died, that is the old data of every destination in the set, until
+    all of them are in place.
+    """
+    for _ in range(3):
+        found = publication_of(spark, dest)
+        if found is None or path_exists(spark, found.done):
+            return dest if path_exists(spark, dest) else None
+        _, folder, old, had = next(e for e in found.entries if e[0] == dest)
+        if had and path_exists(spark, old):
+            return old
+        if had and path_exists(spark, dest) and path_exists(spark, folder):
+            return dest  # not moved yet
+        if not had:
+            return None
+    return dest if path_exists(spark, dest) else None  # finished in the meantime
+
+
+def _undo(spark: SparkSession, entries: Sequence[tuple[str, str, str, bool]]) -> None:
+    """Put every destination back to what it was; only what this publication staged is ever moved away."""
+    for dest, folder, old, had in reversed(entries):
+        if had and path_exists(spark, old):
             if path_exists(spark, dest):
                 _move(spark, dest, folder)
             _move(spark, old, dest)
-        elif path_exists(spark, dest) and not path_exists(spark, folder):
-            _move(spark, dest, folder)  # there was nothing before
+        elif not had and path_exists(spark, dest) and not path_exists(spark, folder):
+            _move(spark, dest, folder)
+
 
+def _finish(spark: SparkSession, found: Publication, done: bool) -> None:
+    """Delete what a publication leaves behind; old data only if all the new data is in place.
 
-def _finish(spark: SparkSession, run: str, entries: list[tuple[str, str, str]], done: bool) -> None:
-    """Delete what a publication leaves behind; its notes go last, so that an interrupted clean-up is done again."""
-    for _, folder, old in entries:
-        for left in (old, folder):
+    Manifests go after the folders, and the mark of success last, so that an interrupted clean-up is done again.
+    """
+    for _, folder, old, _ in found.entries:
+        for left in (folder, old) if done else (folder,):
             if path_exists(spark, left):
                 discard(spark, left)
-    for dest, _, _ in reversed(entries):
-        discard(spark, f"{dest.rstrip('/')}.publish-{run}")
+    for dest, _, _, _ in reversed(found.entries):
+        discard(spark, _manifest(dest))
+    discard(spark, found.lease)
     if done:
-        discard(spark, f"{entries[0][0].rstrip('/')}.published-{run}")
+        discard(spark, found.done)
 
 
 def recover(spark: SparkSession, dests: Sequence[str]) -> None:
-    """Bring destinations whose publication was interrupted back to a whole state.
+    """For writers: bring destinations whose publication was left by a dead driver back to a whole state.
 
-    A set whose folders were all in place keeps its new data, any other set gets its old data back.
+    A set whose folders were all in place keeps its new data, any other set gets its old data back. A publication whose
+    lease runs is left alone and is an error here. Readers use ``resolve``.
     """
     for dest in dests:
-        for note in _notes(spark, dest):
-            run = note.rsplit(".publish-", 1)[1]
-            entries = [tuple(line.split("\t")) for line in _read_note(spark, note).split("\n")]
-            done = path_exists(spark, f"{entries[0][0].rstrip('/')}.published-{run}")
-            if not done:
-                _undo(spark, entries)
-            _finish(spark, run, entries, done)
+        found = publication_of(spark, dest)
+        if found is None:
+            continue
+        if _alive(spark, found):
+            raise PublicationBusy(f"being published by {found.owner}: {dest}")
+        taken = replace(found, owner=_owner())
+        for entry in taken.entries:
+            _write_note(spark, _manifest(entry[0]), _text_of(taken))
+        _write_note(spark, taken.lease, str(time.time() + LEASE))
+        done = path_exists(spark, taken.done)
+        if not done:
+            _undo(spark, taken.entries)
+        _finish(spark, taken, done)
+
+
+def _owner() -> str:
+    return f"{socket.gethostname()}-{os.getpid()}-{uuid.uuid4().hex[:8]}"
+
+
+def _text_of(found: Publication) -> str:
+    return json.dumps({"run": found.run, "owner": found.owner, "entries": found.entries})
 
 
 def publish(spark: SparkSession, staged: dict[str, str]) -> None:
     """Put staged folders in the place of their destinations, all or none; a failure leaves the old data and no staged folder.
 
-    What is to be moved is noted beside every destination first. If the driver dies between two moves, ``recover`` finishes
-    or undoes them the next time this library loads or reads one of the destinations. A reader between two moves can see a
-    mix, which only a transactional table format would prevent; on object stores a move is a copy.
+    A manifest of the whole set is created beside every destination first, which only one publication can do. Readers of this
+    library resolve it and see the old data of all destinations until the last folder is in place. If the driver dies, its
+    lease runs out and the next writer finishes or undoes what it left. A reader that opens a destination's folder by itself,
+    between its two moves, can find it missing or a mix: only a transactional table format would prevent that. On object stores
+    a move is a copy, and exclusive creation is up to the store.
     """
     recover(spark, list(staged))
     run = uuid.uuid4().hex
-    entries = [(dest, folder, f"{dest.rstrip('/')}.replaced-{run}") for dest, folder in staged.items()]
-    note = "\n".join("\t".join(e) for e in entries)
+    own = Publication(run, _owner(), tuple(
+        (dest, folder, f"{dest.rstrip('/')}.replaced-{run}", path_exists(spark, dest)) for dest, folder in staged.items()))
+    noted = []
     try:
-        for dest, _, _ in entries:
-            _write_note(spark, f"{dest.rstrip('/')}.publish-{run}", note)
-        for dest, folder, old in entries:
-            if path_exists(spark, dest):
+        _write_note(spark, own.lease, str(time.time() + LEASE))
+        for dest in staged:
+            _write_note(spark, _manifest(dest), _text_of(own), exclusive=True)
+            noted.append(dest)
+    except Exception:
+        for left in [_manifest(d) for d in noted] + [own.lease] + list(staged.values()):
+            discard(spark, left)
+        raise
+    try:
+        for dest, folder, old, had in own.entries:
+            _renew(spark, own)
+            if had:
                 _move(spark, dest, old)
             _move(spark, folder, dest)
-        _write_note(spark, f"{entries[0][0].rstrip('/')}.published-{run}", "")
+        _renew(spark, own)
+        _write_note(spark, own.done, "")
+    except LeaseLost:
+        raise
     except Exception:
-        _undo(spark, entries)
-        _finish(spark, run, entries, False)
+        _undo(spark, own.entries)
+        _finish(spark, own, False)
         raise
-    _finish(spark, run, entries, True)
+    _finish(spark, own, True)
 
 
 def discard(spark: SparkSession, path: str) -> None:
