@@ -35,6 +35,18 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both sides hold one, the JVM beside its heap.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of Arrow batches, if it is higher: texts of 10 KB make 64 MB of a default batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower()
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
