@@ -1,5 +1,6 @@
 """What the operators of this subpackage share."""
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -47,6 +48,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the stages of a long session: small Arrow batches, and the driver gives back what finished queries left.
+
+    Plans, broadcasts and results of earlier stages are garbage by now; the driver's heap shrinks only when it is collected.
+    """
+    small_batches(spark)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

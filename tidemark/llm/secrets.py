@@ -12,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import NULL_ID, SPACE, materialised, set_aside
+from tidemark.llm.common import NULL_ID, SPACE, materialised, set_aside, shuffle_width
 from tidemark.sources.storage import scratch_path
 
 _KEY = r"[A-Za-z0-9+/_\-]"
@@ -257,7 +257,9 @@ class Scanner:
         if self.forest is None:
             rows = rows.withColumn("probability", F.lit(1.0))
         else:
-            rows = rows.withColumn("_row", F.array(*FEATURES)).withColumn("probability", forest_chance(self.forest))
+            # candidates are few bytes but much work each: they are dealt out again after the joins
+            dealt = rows.repartition(shuffle_width(docs.sparkSession), "doc", "copy", "start")
+            rows = dealt.withColumn("_row", F.array(*FEATURES)).withColumn("probability", forest_chance(self.forest))
         return rows.select(
             F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "copy", "start",
             F.char_length("candidate").cast("long").alias("length"), "candidate", F.round("probability", 9).alias("probability"),
