@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, packing, secrets, simhash, toxicity
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import settle, table
 from tidemark.llm.queries import tokenizer_files
 from tidemark.sources.storage import drop_scratch, scratch_path, scratch_scope
 
@@ -13,29 +13,31 @@ ORACLE_SQL = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier chain does not find toxic."""
-    small_batches(spark)
+    settle(spark)
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash fingerprints (three words) linked at 3 bits or fewer, that of the smallest doc_id."""
-    small_batches(spark)
+    settle(spark)
     return simhash.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
+    settle(spark)
     return secrets.masked(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    settle(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in training sequences."""
-    small_batches(spark)
+    settle(spark)
     return packing.pack(docs, *tokenizer_files())
 
 
