@@ -58,3 +58,10 @@ def test_verdicts_and_masks(spark, base):
     docs = rows.withColumn("n_chars", F.length("text").cast("long"))
     masked = {r.doc_id: r.text for r in secrets.masked(docs, "path").filter("doc_id < 1000").collect()}
     assert all(masked[d] == t.replace(v, secrets.MASK) for d, t, _, v in OWN)
+
+
+def test_secrets_of_the_tables_by_a_pattern_of_its_own(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "source as path")
+    real = {(d, m.start(1), 40) for d, t in docs.select("doc_id", "text").collect() for m in re.finditer(r'(?i)\btoken = "([0-9a-f]{40})"', t or "")}
+    said = {(r.doc_id, r.start, r.length) for r in secrets.scan(docs).filter("is_secret").collect()}
+    assert len(real & said) >= 0.95 * len(real) > 0 and len(real & said) >= 0.9 * len(said)
