@@ -6,7 +6,7 @@ Every audit of a plan returns findings with severity, code, message and target.
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import quoted, thousands, with_schema
@@ -172,14 +172,19 @@ def no_tables(plan: DataFrame) -> DataFrame:
 
 def preflight(
     plan: DataFrame, source_tables: DataFrame, dest_tables: DataFrame, mappings: DataFrame,
-    foreign_keys: Sequence[ForeignKey] = (),
+    foreign_keys: Sequence[ForeignKey] = (), rows: DataFrame | None = None,
 ) -> DataFrame:
-    """All findings about one plan; every given foreign key of a planned table is scanned whole."""
+    """All findings about one plan; every given foreign key of a planned table is scanned whole.
+
+    ``rows`` are the findings about the incoming rows themselves, by ``rowaudit.row_findings``.
+    """
     parts = [no_tables(plan), plan_findings(plan_state(plan, source_tables, dest_tables)), no_mapped_columns(plan, mappings)]
     if foreign_keys:
         planned = plan.select(F.col("source_table").alias("child_table")).distinct()
         scanned = orphan_rows(foreign_keys).join(planned, ["child_table"], "left_semi")
         parts.append(orphan_findings(scanned))
+    if rows is not None:
+        parts.append(rows.select(*FINDING))
     return union_all(parts)
 
 
@@ -193,3 +198,17 @@ def finding_rollup(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity", "code").agg(F.count("*").alias("findings")).orderBy(
         F.array_position(F.array(F.lit("error"), F.lit("warning"), F.lit("info")), F.col("severity")),
         F.desc("findings"), "code")
+
+
+def wiped_rollup(findings: DataFrame, state: DataFrame) -> DataFrame:
+    """finding_rollup with each group's place in the report and, beside the truncations, the rows that they would wipe in total.
+
+    A destination that several plan rows truncate is wiped once. The groups are few: codes, whatever the plan's size.
+    """
+    total = would_truncate_counts(state).agg(F.coalesce(F.sum("rows_lost"), F.lit(0)).cast("bigint")).scalar()
+    rank = F.array_position(F.array(F.lit("error"), F.lit("warning"), F.lit("info")), F.col("severity"))
+    place = Window.orderBy(rank, F.desc("findings"), "code")
+    groups = findings.groupBy("severity", "code").agg(F.count("*").alias("findings"))
+    lost = F.when(F.col("code") == "preflight.will_truncate", total).otherwise(F.lit(0).cast("bigint"))
+    return groups.withColumn("position", F.row_number().over(place)).select(
+        "position", "severity", "code", "findings", lost.alias("rows_wiped"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark import fixed_values as fixed
+from tidemark.operators.rowaudit import Declared, Incoming, refuse_rows
 from tidemark.sources.storage import discard, overlapping, path_exists, publish, qualified, recover, resolve, stage
 
 MODES = ("truncate", "append", "abort")
@@ -77,13 +78,17 @@ def _abort_if_filled(spark: SparkSession, dest: str, dest_table: str, fmt: str)
 
 def load(
     rows: DataFrame, dest: str, mode: str, dest_table: str = "",
-    source_path: str | None = None, fmt: str = "parquet",
+    source_path: str | None = None, fmt: str = "parquet", key: Sequence[str] = (), not_null: Sequence[str] = (),
+    allow_collisions: bool = False,
 ) -> LoadMetrics:
     """Write projected rows to ``dest`` and count them on the way.
 
     truncate replaces the data, append adds to it, abort refuses a destination with rows. Replaced data
     is staged first and swapped in; an append becomes visible when Spark commits the job. A failed load
     leaves the destination as it was.
+
+    Rows that lack a value of ``not_null`` are refused in every mode. An append with a ``key`` is refused when incoming keys repeat,
+    lack a part or are in the destination already, unless ``allow_collisions`` lets them be doubled; without a key nothing is tested.
     """
     if mode not in MODES:
         raise ValueError(f"unknown conflict mode: {mode}")
@@ -93,6 +98,7 @@ def load(
     started = time.monotonic()
     if mode == "abort":
         _abort_if_filled(spark, dest, dest_table or dest, fmt)
+    refuse_violations(rows, dest, mode, dest_table or dest, fmt, key, not_null, allow_collisions)
     out, read = counted(rows, "read")
     if mode == "truncate":
         folder, written = staged_whole(out, read, dest, fmt)
@@ -104,6 +110,19 @@ def load(
     return LoadMetrics(dest_table or dest, read.get["rows"], written, int((time.monotonic() - started) * 1000))
 
 
+def refuse_violations(
+    rows: DataFrame, dest: str, mode: str, dest_table: str, fmt: str = "parquet", key: Sequence[str] = (), not_null: Sequence[str] = (),
+    allow_collisions: bool = False,
+) -> None:
+    """Raise if the rows break what the destination declares; nothing is read where nothing is declared."""
+    key = key if mode == "append" else ()
+    if not key and not not_null:
+        return
+    present = read_dest(rows.sparkSession, dest, rows.schema, fmt) if key else None
+    declared = [Declared(c, "", nullable=False) for c in not_null]
+    refuse_rows(Incoming(dest_table, rows, declared, key, present), allow_collisions)
+
+
 def _rows_in(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> int:
     return spark.read.format(fmt).schema(schema).load(path).count() if path_exists(spark, path) else 0
 

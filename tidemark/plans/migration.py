@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.operators.graph import dependency_levels
-from tidemark.operators.load import LoadMetrics, counted, load, read_dest, refuse_own_source, source_folders, stage_all, staged_whole
+from tidemark.operators.load import (
+    LoadMetrics, counted, load, read_dest, refuse_own_source, refuse_violations, source_folders, stage_all, staged_whole)
 from tidemark.operators.marks import high_water_marks
 from tidemark.operators.projection import ColumnPlan, Mappings, compile_plan, project
 from tidemark.operators.verify import TablePair, overall
@@ -22,7 +23,8 @@ from tidemark.sources.storage import overlapping, publish, qualified, recover
 class TableMove:
     """One table of a plan: its rows, where they go and how.
 
-    Without ``mappings`` of its own it takes those that the run's mapping table has for it.
+    Without ``mappings`` of its own it takes those that the run's mapping table has for it. ``not_null`` names destination columns
+    that must have a value; an append tests its ``key`` unless ``allow_collisions`` says otherwise.
     """
 
     source_table: str
@@ -36,6 +38,8 @@ class TableMove:
     generated: tuple[str, ...] = ()
     sequences: tuple[tuple[str, str], ...] = ()
     source_path: str | None = None
+    not_null: tuple[str, ...] = ()
+    allow_collisions: bool = False
 
 
 RUN_TABLE_SCHEMA = (
@@ -72,9 +76,11 @@ def _truncated_together(
 
     def job(i: int):
         m, started = moves[i], time.monotonic()
-        out, seen = counted(project(m.source, m.mappings, m.generated, m.dest_table), f"staged{i}")
-        folder, rows = staged_whole(out, seen, m.dest_path)
-        return folder, LoadMetrics(m.dest_table, seen.get["rows"], rows, int((time.monotonic() - started) * 1000))
+        rows = project(m.source, m.mappings, m.generated, m.dest_table)
+        refuse_violations(rows, m.dest_path, m.conflict_mode, m.dest_table, not_null=m.not_null)
+        out, seen = counted(rows, f"staged{i}")
+        folder, written = staged_whole(out, seen, m.dest_path)
+        return folder, LoadMetrics(m.dest_table, seen.get["rows"], written, int((time.monotonic() - started) * 1000))
 
     loaded, errors, staged = {}, {}, {}
     for i, got in zip(chosen, stage_all(spark, [lambda i=i: job(i) for i in chosen], concurrency)):
@@ -141,7 +147,8 @@ def run_migration(
         started[i] = datetime.now(timezone.utc)
         try:
             rows = project(m.source, m.mappings, m.generated, m.dest_table)
-            loaded[i] = load(rows, m.dest_path, m.conflict_mode, m.dest_table, m.source_path)
+            loaded[i] = load(rows, m.dest_path, m.conflict_mode, m.dest_table, m.source_path, key=m.key, not_null=m.not_null,
+                             allow_collisions=m.allow_collisions)
         except Exception as e:
             errors[i] = str(e)
 

@@ -1,10 +1,13 @@
 """Pre-flight queries."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
-from tidemark.operators import audit
+from tidemark.operators import audit, load, rowaudit
 from tidemark.operators.audit import ForeignKey
+from tidemark.operators.keyed import local_rows
+from tidemark.sources.storage import scratch_path
 from workloads.catalogs import SQL_SIDES
 from workloads.derived import FOREIGN_KEYS, duck, table
 from workloads.mappings import SQL_MAPPINGS, seeded
@@ -218,6 +221,133 @@ def finding_rollup(spark, sf_dir):
     return audit.finding_rollup(preflight_of(spark, sf_dir))
 
 
+@query("finding_rollup_wiped", duck(
+    """select row_number() over (order by list_position(['error', 'warning', 'info'], severity), findings desc, code) as position,
+              severity, code, findings, case when code = 'preflight.will_truncate' then (select coalesce(sum(lost), 0)::bigint from (
+                select max(dest_rows) as lost from state where conflict_mode = 'truncate' and source_rows is not null and dest_rows > 0
+                group by dest_table) w) else 0 end as rows_wiped
+       from (select severity, code, count(*) as findings from findings group by severity, code) g""", *SQL_PREFLIGHT_CTES))
+def finding_rollup_wiped(spark, sf_dir):
+    return audit.wiped_rollup(preflight_of(spark, sf_dir), plan_state(spark, sf_dir))
+
+
+# --- audits of incoming rows --------------------------------------------------------------------------------------
+
+# what the destination declares: column, type, nullable, part of the key; then SQL conditions of too long, rejected and changed values
+INCOMING = {
+    "events": [
+        ("event_id", "bigint", False, True, None, "false", "false"), ("user_id", "smallint", False, False, None, "user_id > 32767", "false"),
+        ("event_type", "varchar(5)", True, False, "length(event_type) > 5", None, None),
+        ("ts", "date", True, False, None, "false", "ts::date::timestamp <> ts"),
+        ("value", "bigint", True, False, None, "false", "cast(value as bigint)::double <> value")],
+    "part": [
+        ("p_partkey", "integer", False, True, None, "false", "false"), ("p_name", "character varying(8)", False, False, "length(p_name) > 8", None, None),
+        ("p_brand", "char(7)", True, False, "length(p_brand) > 7", None, None)],
+    "orders_child": [
+        ("o_orderkey", "bigint", False, False, None, "false", "false"), ("o_custkey", "bigint", False, True, None, "false", "false")],
+    "orders": [("o_orderkey", "bigint", False, True, None, "false", "false"), ("o_orderstatus", "text", False, False, None, "false", "false")],
+    "region": [("r_regionkey", "smallint", False, True, None, "false", "false"), ("r_name", "varchar(6)", True, False, "length(r_name) > 6", None, None)],
+}
+# rows that an append would meet
+PRESENT = {"orders": "orders_dst", "part": "part"}
+
+
+def incoming(spark, sf_dir):
+    """The whole tables with what a catalog of their destinations declares."""
+    rows = [(f"public.{t}", i, c[0], c[1], c[2], c[3], False) for t, columns in INCOMING.items() for i, c in enumerate(columns)]
+    catalog = local_rows(spark, rows, pa.schema([
+        ("qn", pa.string()), ("pos", pa.int32()), ("name", pa.string()), ("native_type", pa.string()), ("nullable", pa.bool_()),
+        ("is_pk", pa.bool_()), ("is_generated", pa.bool_())]))
+    declared = rowaudit.declared_columns(catalog, [f"public.{t}" for t in INCOMING])
+    return [rowaudit.Incoming(
+        f"public.{t}", table(spark, sf_dir, t), *declared[f"public.{t}"],
+        present=table(spark, sf_dir, PRESENT[t]) if t in PRESENT else None) for t in INCOMING]
+
+
+def sql_column_audits() -> str:
+    parts = []
+    for t, columns in INCOMING.items():
+        for name, kind, nullable, _, long, rejected, changed in columns:
+            counts = [f"count(*) filter ({c})" if c else "0" for c in (None if nullable else f"{name} is null", long, rejected, changed)]
+            parts.append(f"select 'public.{t}' as table_name, '{name}' as column_name, '{kind}' as dest_type, {counts[0]} as null_rows, "
+                         f"{counts[1]} as too_long_rows, {counts[2]} as rejected_rows, {counts[3]} as changed_rows from {{{t}}}")
+    return " union all ".join(parts)
+
+
+def sql_key_audits() -> str:
+    parts = []
+    for t, columns in INCOMING.items():
+        key = next(c[0] for c in columns if c[3])
+        met = f"(select count(distinct s.{key}) from {{{t}}} s join {{{PRESENT[t]}}} d on d.{key} = s.{key})" if t in PRESENT else "0"
+        parts.append(
+            f"select 'public.{t}' as table_name, '{key}' as key_columns, (select count(*) from {{{t}}} where {key} is null) as null_keys, "
+            f"(select count(*) from (select {key} from {{{t}}} where {key} is not null group by 1 having count(*) > 1) x) as duplicate_keys, "
+            f"{met} as colliding_keys")
+    return " union all ".join(parts)
+
+
+SQL_ROW_FINDINGS = """
+    select f.severity as severity, 'preflight.' || f.code as code, f.message as message, target from (
+      select unnest([
+        struct_pack(n := null_rows, severity := 'error', code := 'null_values',
+          message := table_name || ': ' || format('{:,}', null_rows) || ' row(s) have no value for ' || column_name || ', which the destination declares NOT NULL.'),
+        struct_pack(n := too_long_rows, severity := 'error', code := 'values_too_long',
+          message := table_name || ': ' || format('{:,}', too_long_rows) || ' value(s) of ' || column_name || ' are longer than ' || dest_type || ' allows.'),
+        struct_pack(n := rejected_rows, severity := 'error', code := 'values_rejected',
+          message := table_name || ': ' || format('{:,}', rejected_rows) || ' value(s) of ' || column_name || ' cannot be cast to ' || dest_type || '.'),
+        struct_pack(n := changed_rows, severity := 'warning', code := 'values_changed',
+          message := table_name || ': ' || format('{:,}', changed_rows) || ' value(s) of ' || column_name || ' change when cast to ' || dest_type || '.')]) as f,
+        'column:' || table_name || '.' || column_name as target from column_counts) c where f.n > 0
+    union all
+    select f.severity as severity, 'preflight.' || f.code as code, f.message as message, target from (
+      select unnest([
+        struct_pack(n := null_keys, severity := 'error', code := 'null_keys',
+          message := table_name || ': ' || format('{:,}', null_keys) || ' row(s) have no whole key (' || key_columns || ').'),
+        struct_pack(n := duplicate_keys, severity := 'error', code := 'duplicate_keys',
+          message := table_name || ': ' || format('{:,}', duplicate_keys) || ' key(s) of (' || key_columns || ') occur more than once in the incoming rows.'),
+        struct_pack(n := colliding_keys, severity := 'error', code := 'key_collisions',
+          message := table_name || ': ' || format('{:,}', colliding_keys) || ' key(s) of (' || key_columns ||
+            ') are in the destination already; appending would double them.')]) as f,
+        'table:' || table_name as target from key_counts) k where f.n > 0"""
+SQL_ROW_CTES = (f"column_counts as ({sql_column_audits()})", f"key_counts as ({sql_key_audits()})")
+
+
+@query("column_audits", duck(sql_column_audits()))
+def column_audits(spark, sf_dir):
+    # a text that is too long is not told of as changed
+    return rowaudit.column_audits(incoming(spark, sf_dir))
+
+
+@query("key_audits", duck(sql_key_audits()))
+def key_audits(spark, sf_dir):
+    return rowaudit.key_audits(incoming(spark, sf_dir))
+
+
+@query("preflight_audits", duck(f"select * from findings union all ({SQL_ROW_FINDINGS})", *SQL_PREFLIGHT_CTES, *SQL_ROW_CTES))
+def preflight_audits(spark, sf_dir):
+    """A plan's findings with those about the rows of the tables that it loads."""
+    return audit.preflight(
+        table(spark, sf_dir, "plan"), table(spark, sf_dir, "source_counts"), table(spark, sf_dir, "dest_counts"),
+        plan_mappings(spark, sf_dir), rows=rowaudit.row_findings(incoming(spark, sf_dir)))
+
+
+@query("append_refused", duck("""
+    select 'public.orders: ' || format('{:,}', count(*)) || ' key(s) of (o_orderkey) are in the destination already; appending would double them.'
+             as error, (select count(*) from {orders_dst}) as rows
+    from (select distinct o_orderkey from {orders} join {orders_dst} using (o_orderkey)) t"""))
+def append_refused(spark, sf_dir):
+    """Orders appended to a destination that holds most of them: refused, and the destination stays as it was."""
+    path = scratch_path(spark, "append")
+    old, new = table(spark, sf_dir, "orders_dst"), table(spark, sf_dir, "orders")
+    old.write.parquet(path)
+    error = None
+    try:
+        load.load(new.select(*old.columns), path, "append", "public.orders", f"{sf_dir}/orders.parquet", key=("o_orderkey",), not_null=("o_orderdate",))
+    except RuntimeError as e:
+        error = str(e)
+    return spark.read.parquet(path).agg(F.lit(error).alias("error"), F.count("*").alias("rows"))
+
+
 LIVE = ("orders", "events", "lineitem", "customer", "nation")
 # nation's mappings are all skipped and events has none
 UNMAPPED = ("events", "nation")
