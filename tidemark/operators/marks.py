@@ -4,8 +4,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark import fixed_values as fixed
 from tidemark.functions.text import quoted
-from tidemark.operators.keyed import union_all
+from tidemark.operators.keyed import local_rows, strings, union_all
 
 
 def column_maxima(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -28,3 +29,12 @@ def high_water_marks(
     parts = [reached] if marks is None else [
         reached, marks.select("table_name", "column_name", F.col("last_value").cast("bigint"))]
     return union_all(parts).groupBy("table_name", "column_name").agg(F.max("last_value").alias("last_value"))
+
+
+def mark_messages(tables: Mapping[str, tuple[DataFrame, Sequence[tuple[str, str]]]]) -> DataFrame:
+    """table_name, column_name, message for each (column, sequence) that is advanced; columns without a value leave theirs alone."""
+    reached = column_maxima({name: (df, [c for c, _ in columns]) for name, (df, columns) in tables.items()})
+    names = [(name, c, s) for name, (_, columns) in tables.items() for c, s in columns]
+    sequences = local_rows(reached.sparkSession, names, strings("table_name", "column_name", "sequence_name"))
+    return reached.filter("max_value is not null").join(sequences, ["table_name", "column_name"]).select(
+        "table_name", "column_name", F.format_string(fixed.MARK_MESSAGE, "column_name", "sequence_name", "max_value").alias("message"))

@@ -140,7 +140,12 @@ def schema_summary(tables: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def snapshot_counts(snapshots: DataFrame, **parts: DataFrame) -> DataFrame:
-    """Rows of each catalog part per snapshot, e.g. ``tables=cat_tables, columns=cat_columns``; missing parts count 0."""
+    """Rows of each catalog part per snapshot, e.g. ``tables=cat_tables, columns=cat_columns``; missing parts count 0.
+
+    Snapshots that carry an array ``warnings`` get its size as ``warnings_count``; null has none.
+    """
+    if "warnings" in snapshots.columns:
+        parts = {**parts, "warnings": snapshots.select("snapshot_id", F.explode("warnings"))}
     tagged = [snapshots.select("snapshot_id", *[F.lit(0).alias(f"{p}_count") for p in parts])]
     tagged += [
         df.select("snapshot_id", *[F.lit(int(p == part)).alias(f"{p}_count") for p in parts])

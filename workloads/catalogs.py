@@ -157,6 +157,22 @@ def snapshot_counts(spark, sf_dir):
         p: table(spark, sf_dir, f"all_{p}") for p in ("tables", "views", "columns", "extensions", "policies")})
 
 
+SQL_WARNINGS = """
+    select id as snapshot_id, case id % 7 when 0 then null when 1 then array('no tables readable') when 2 then array('', 'slow catalog')
+      else array(connection_name, 'no views', 'no policies') end as warnings from {snapshots}"""
+
+
+@query("snapshot_warnings", duck("""
+    select id as snapshot_id, case id % 7 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end as warnings_count,
+           (select count(*) from {compared} c where c.id = s.id and c.source_schema is not null) as comparisons_count
+    from {snapshots} s"""))
+def snapshot_warnings(spark, sf_dir):
+    """Warnings of every snapshot beside the scoped comparisons that have its number."""
+    warned = spark.sql(SQL_WARNINGS, snapshots=table(spark, sf_dir, "snapshots"))
+    scoped = table(spark, sf_dir, "compared").filter("source_schema is not null").withColumnRenamed("id", "snapshot_id")
+    return catalog.snapshot_counts(warned, comparisons=scoped)
+
+
 @query("latest_snapshot", duck("""
     select connection_id, id as snapshot_id, cast(captured_at as varchar) as captured_at, snapshot_count from (
       select *, row_number() over (partition by connection_id order by captured_at desc, id desc) as rn,

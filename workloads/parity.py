@@ -339,6 +339,19 @@ def high_water_marks(spark, sf_dir):
         t("marks"))
 
 
+@query("mark_messages", duck("""
+    select table_name, column_name, column_name || ': setval(' || sequence_name || ', ' || n || ')' as message from (
+      select 'public.orders' as table_name, 'o_orderkey' as column_name, 'public.orders_seq' as sequence_name, max(o_orderkey) as n from {orders_dst}
+      union all select 'public.orders', 'o_custkey', 'public.orders_cust_seq', max(o_custkey) from {orders_dst}
+      union all select 'public.events', 'event_id', 'public.events_seq', max(event_id) from {events}
+      union all select 'public.supplier', 's_suppkey', 'public.supplier_seq', max(s_suppkey) from {supplier_dst}) t where n is not null"""))
+def mark_messages(spark, sf_dir):
+    return hwm.mark_messages({
+        "public.orders": (table(spark, sf_dir, "orders_dst"), [("o_orderkey", "public.orders_seq"), ("o_custkey", "public.orders_cust_seq")]),
+        "public.events": (table(spark, sf_dir, "events"), [("event_id", "public.events_seq")]),
+        "public.supplier": (table(spark, sf_dir, "supplier_dst"), [("s_suppkey", "public.supplier_seq")])})
+
+
 SEQUENCE_NAMES = ("orders", "customer", "supplier", "part", "nation")
 SQL_SEQUENCES = """
     select source_table, behind = 0 as passed,
