@@ -139,6 +139,18 @@ def test_winnowing(spark, docs, none):
     assert winnow.edited_likeness(none).collect() == []
 
 
+def test_winnowing_cuts_an_id_that_fills_several_ranges(spark):
+    rows = [(None, f"no id {i}") for i in range(120)] + [(5, f"five {i % 90}") for i in range(120)] + [(i, f"own {i}") for i in range(6, 60)]
+    dealt, place = winnow.with_next(spark.createDataFrame(rows, "doc_id long, text string"), buckets=8)
+    found = dealt.withColumn("next", F.lead("text").over(place)).filter("_ghost = 0").collect()
+    order = sorted((r._id, r._hash, r.text) for r in found)
+    assert [x[2] for x in order] and len(order) == len(rows)
+    wanted = Counter((x[2], y[2]) for x, y in zip(order, order[1:] + order[:1]))
+    assert Counter((r.text, r.next) for r in found) == wanted
+    ranges = Counter(r._range for r in found if r.doc_id is None), Counter(r._range for r in found if r.doc_id == 5)
+    assert all(len(n) >= 3 and max(n.values()) < 80 for n in ranges)
+
+
 def test_winnowing_keeps_rightmost_minima(spark):
     text = " ".join(np.random.default_rng(1).choice(list("abcd"), 300))
     df = winnow.with_fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "own", keep_positions=True)

@@ -5,6 +5,8 @@ kept, the rightmost if it occurs more than once, with its position. Two texts th
 kept hash.
 """
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import NULL_ID, SPACE, shuffle_width
@@ -71,17 +73,21 @@ def likeness(a: str, b: str) -> Column:
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Window]:
-    """docs(doc_id, text) dealt into ranges of doc_id, and the window in which the next row is the next document.
+    """docs(doc_id, text) dealt into ranges of (doc_id, hash of the text), and the window in which the next row is the next document.
 
-    Every range also holds a ghost of the first row of the following one, the last range that of the very first.
+    An id that fills several ranges, such as a null one, is cut by the hashes of its texts; equal rows stay in one range. Every range also holds a ghost of the first row of the following one, the last range that of the very first.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn(
         "_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("_hash", F.xxhash64("text"))
     buckets = buckets or 3 * shuffle_width(spark)
     edges = rows.agg(F.percentile_approx("_id", [i / buckets for i in range(1, buckets)] or [0.5], 100_000)).first()[0] or []
-    edges = sorted(set(edges))
-    number = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("_id"))) if edges else F.lit(0)
+    # hashes are spread evenly, so an id that is an edge n times is cut into n even parts
+    times = Counter(edges)
+    edges = sorted((e, -2 ** 63 + j * 2 ** 64 // n) for e, n in times.items() for j in range(n))
+    at = F.struct(F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    places = F.array(*[F.struct(F.lit(e).cast("long").alias("id"), F.lit(h).cast("long").alias("hash")) for e, h in edges])
+    number = F.size(F.filter(places, lambda e: e <= at)) if edges else F.lit(0)
     rows = rows.withColumn("_bucket", number.cast("int"))
     # one row per range
     heads = sorted((r["_bucket"], r["low"]["_id"], r["low"]["_hash"]) for r in rows.groupBy("_bucket").agg(
