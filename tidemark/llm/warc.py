@@ -195,7 +195,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path)
-    found = materialised(captures(read_records(spark, path), payload=False), "captures")
+    # the archives are parsed once; what the join needs of a record is a few hundred bytes
+    records = materialised(read_records(spark, path).drop("payload"), "records")
+    found = materialised(captures(records, payload=False), "captures")
     r = F.col("response")
     rows = found.select(
         F.col("metadata.page_id").alias("page_id"), r["type"].alias("record_type"),
