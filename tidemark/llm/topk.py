@@ -117,8 +117,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, buckets: int = BU
             least = np.full(len(scores), -np.inf)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], schema=schema)
 
-    asked = queries.select(F.col("vec_id").alias("query_id"), "hash", "v", "norm").mapInArrow(
-        by_batch(bound, schema), "query_id long, hash long, v array<long>, norm double, least double")
+    asked = materialised(queries.select(F.col("vec_id").alias("query_id"), "hash", "v", "norm").mapInArrow(
+        by_batch(bound, schema), "query_id long, hash long, v array<long>, norm double, least double"), "asked")
     reach = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(m).alias("most"), F.lit(n).cast("int").alias("chunks")) for b, (m, n) in known.items()]) \
         if known else F.expr("cast(array() as array<struct<bucket:int,most:double,chunks:int>>)")
     open_buckets = F.filter(reach, lambda r: (F.col("least") <= 0) | (F.col("norm") * r["most"] * (1 + 1e-9) >= F.col("least")))
@@ -127,8 +127,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, buckets: int = BU
         "query_id", "hash", "v", "norm", "least", F.col("r.bucket").alias("bucket"), "chunk",
         F.pmod(F.col("hash"), F.lit(n_blocks)).cast("int").alias("block"))
     chunks = F.element_at(F.create_map(*[F.lit(x) for b, (_, n) in known.items() for x in (b, n)]), F.col("bucket")) if known else F.lit(1)
-    held = cut.withColumn("chunk", F.pmod(F.col("hash"), chunks).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # a chunk goes only to the blocks that hold a query whose bound its bucket can reach
+    cells = sent.select(*[F.col(c).alias(c) for c in ("bucket", "chunk", "block")]).distinct()
+    held = cut.withColumn("chunk", F.pmod(F.col("hash"), chunks).cast("int")).join(cells, ["bucket", "chunk"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
