@@ -428,3 +428,33 @@ def test_transitions_of_one_run_and_one_stamp(spark):
     assert {(r.run_id, r.event_id): r.before for r in got.collect()} == want
     plan = got._jdf.queryExecution().toString()
     assert "_part" in plan
+
+
+def test_timed_stream_forgets_idle_runs(spark, tmp_path):
+    """Late, undated and delayed updates, a run that never ends, and state that holds only runs with recent news."""
+    polls = [
+        [(1, "2024-01-01 00:00:00.000001", 1, "running"), (2, "2024-01-02 00:00:00", 2, "running"), (3, None, 3, "running")],
+        [(1, "2024-01-03 00:00:00", 4, "failed"), (4, "2024-02-20 00:00:00", 5, "running")],
+        # run 2 begins anew, run 4 knows better, run 5 is too late
+        [(2, "2024-02-19 12:00:00", 6, "failed"), (4, "2024-02-19 12:00:00", 7, "failed"), (5, "2024-02-01 00:00:00", 8, "running")],
+        [(4, "2024-02-21 00:00:00", 9, "succeeded"), (4, "2024-02-20 12:00:00", 10, "running")],
+    ]
+    session = streaming.stream_session(spark)
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    for poll in polls:
+        df = spark.createDataFrame(poll, "run_id int, ts string, event_id long, status string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        query = (
+            streaming.timed_transitions(session.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "1 day", 30).writeStream
+            .format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+            .trigger(availableNow=True).start())
+        query.awaitTermination()
+    got = {(r.run_id, str(r.ts), r.event_id, r.previous_status, r.status, r.outcome) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {
+        (1, "2024-01-03 00:00:00", 4, "running", "failed", "ended"),
+        (2, "2024-01-02 00:00:00", 2, "running", None, "abandoned"),
+        (4, "2024-02-21 00:00:00", 9, "running", "succeeded", "ended")}
+    states = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "newest").load()
+    assert {r.key.run_id for r in states.collect()} == {2, 4}
+    with pytest.raises(ValueError, match="must be a timestamp"):
+        streaming.timed_transitions(spark.createDataFrame([], "run_id int, ts string, event_id long, status string"))

@@ -177,3 +177,47 @@ def stream_transitions(spark, sf_dir):
         arrived.write.mode("append").parquet(f"{base}/updates")
         streaming.run_available(session, f"{base}/updates", updates.schema, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("string"))
+
+
+LATE_DAYS, IDLE_DAYS = 2, 3
+#: Every seventh update arrives a poll late, every eleventh has lost its stamp.
+SQL_ARRIVED = f"""arrived as (
+    select run_id, event_id, status, case when event_id % 11 = 0 then null else ts end as ts,
+           {SQL_POLL_NO} + case when event_id % 7 = 0 then 1 else 0 end as poll from {{updates}})"""
+SQL_MARKS = f"""marks as (
+    select poll, mark, lag(mark) over (order by poll) as mark_before from (
+      select poll, max(max(ts)) over (order by poll) - interval {LATE_DAYS} day as mark from arrived group by poll) m)"""
+SQL_NEWEST = """newest as (
+    select a.run_id, a.poll, a.ts, a.event_id, a.status, m.mark_before from (
+      select *, row_number() over (partition by run_id, poll order by ts desc, event_id desc) as rn from arrived where ts is not null) a
+    join marks m on m.poll = a.poll where a.rn = 1 and a.run_id is not null and (m.mark_before is null or a.ts > m.mark_before))"""
+SQL_CHANGES = """changes as (
+    select *, lead(poll) over (partition by run_id order by poll) as next_poll from (
+      select *, max(struct_pack(t := ts, e := event_id, s := status)) over (
+        partition by run_id order by poll rows between unbounded preceding and 1 preceding) as known from newest) c
+    where known is null or ts > known.t or (ts = known.t and event_id > known.e))"""
+
+
+@query("stream_transitions_late", duck(f"""
+    select run_id, event_id, ts::varchar as ts, known.s as previous_status, status, 'ended' as outcome from changes
+    where known.s in {ACTIVE} and status in {TERMINAL} and (mark_before is null or known.t + interval {IDLE_DAYS} day >= mark_before)
+    union all
+    select run_id, event_id, ts::varchar, status, null, 'abandoned' from (
+      select *, (select min(m.poll) from marks m where m.poll >= c.poll and c.ts + interval {IDLE_DAYS} day < m.mark) as ends
+      from changes c where status in {ACTIVE}) x where ends is not null and (next_poll is null or ends < next_poll)""",
+    SQL_ARRIVED, SQL_MARKS, SQL_NEWEST, SQL_CHANGES))
+def stream_transitions_late(spark, sf_dir):
+    """The whole update log in polls with late updates and updates without a stamp; runs without news leave the state."""
+    session = streaming.stream_session(spark)
+    base = scratch_path(spark, "stream")
+    updates = table(spark, sf_dir, "updates").select(
+        "run_id", "event_id", "status",
+        F.when(F.col("event_id") % 11 != 0, F.col("ts").cast("timestamp")).alias("ts"),
+        (F.expr(SQL_POLL_NO) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("poll"))
+    for poll in range(len(STREAM_CUTS) + 2):
+        arrived = updates.filter(F.col("poll") == poll).drop("poll")
+        arrived.write.mode("append").parquet(f"{base}/updates")
+        streaming.run_available(
+            session, f"{base}/updates", arrived.schema, f"{base}/out", f"{base}/checkpoint", build=streaming.timed_transitions,
+            late=f"{LATE_DAYS} days", idle_days=IDLE_DAYS)
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("string"))
