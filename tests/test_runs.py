@@ -458,3 +458,13 @@ def test_timed_stream_forgets_idle_runs(spark, tmp_path):
     assert {r.key.run_id for r in states.collect()} == {2, 4}
     with pytest.raises(ValueError, match="must be a timestamp"):
         streaming.timed_transitions(spark.createDataFrame([], "run_id int, ts string, event_id long, status string"))
+
+
+def test_activity_sorts_keys_alone(spark, table):
+    log = table("runs").withColumnRenamed("run_id", "id")
+    plan = runs.activity(table("snapshots"), table("compared"), log, log, 7)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [n for n in plan.split("\n") if "GlobalLimit" in n]
+    assert len(limits) == 4
+    physical = runs.activity(table("snapshots"), table("compared"), log, log, 7)._jdf.queryExecution().executedPlan().toString()
+    tops = [n for n in physical.split("\n") if "TakeOrderedAndProject" in n]
+    assert tops and all("_stamp" in n and "detail" not in n and "label" not in n for n in tops)

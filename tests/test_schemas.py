@@ -247,3 +247,26 @@ def test_mappings_in_order(spark):
     rows = mapping.ordered_mappings(mapping.seed_mappings(a, catalog.tables_of(a), pair)).collect()
     names = [(r["source_table"], r["source_column"]) for r in rows]
     assert names == sorted(names) and len(names) == 10 and not any(r["is_lossy"] or r["skip"] for r in rows)
+
+
+def test_lint_reads_each_catalog_once(spark, tmp_path):
+    shapes = {
+        "tables": "1 as snapshot_id, 'auth' as schema_name, 'auth.t' as qn, true as rls_enabled",
+        "columns": "1 as snapshot_id, 'auth.t' as qn, 'c' as name, 'gen_random_uuid()' as default_expr, "
+                   "struct('auth' as schema_, 'users' as table, 'id' as column) as fk",
+        "views": "1 as snapshot_id, 'storage' as schema_name, 'v' as view_name, 'select auth.uid()' as definition",
+        "policies": "1 as snapshot_id, 'auth.t' as qn, 'p' as policy_name, 'auth.uid()' as using_expr, cast(null as string) as with_check_expr",
+        "extensions": "1 as snapshot_id, 'vault' as extension"}
+    frames = []
+    for name, shape in shapes.items():
+        # repeated rows of a catalog give repeated warnings; the schemas of a snapshot are one warning
+        spark.sql(f"select {shape} from range(3)").write.parquet(f"{tmp_path}/{name}")
+        frames.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    found = lint.lint(*frames)
+    assert str(found._jdf.queryExecution().executedPlan()).count("FileScan") == 5 * (
+        2 if "Initial Plan" in str(found._jdf.queryExecution().executedPlan()) else 1)
+    times = {r.code: r["count"] for r in found.groupBy("code").count().collect()}
+    assert times.pop("supabase.schemas_present") == 1 and len(times) == 6 and set(times.values()) == {3}
+    assert "['auth', 'storage']" in found.filter("code = 'supabase.schemas_present'").first().message
+    for empty in [lint.lint(*[f.limit(0) for f in frames])]:
+        assert empty.collect() == [] and empty.columns == lint.WARNING

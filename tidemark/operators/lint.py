@@ -12,73 +12,118 @@ from tidemark.operators.keyed import union_all
 WARNING = ["snapshot_id", "severity", "code", "message", "target"]
 
 
-def _warning(rows: DataFrame, code: str, *values: Column, target: Column | None = None) -> DataFrame:
+#: What a pass over one catalog table finds: warnings, and for the schema rule the schemas that belong in its message.
+_HIT = "struct<severity:string,code:string,message:string,target:string,schema_name:string>"
+
+
+def _hit(code: str, when: Column, *values: Column, target: Column | None = None, schema: Column | None = None) -> Column:
+    """The verdict of one rule on one row of a catalog: null where it does not fire."""
     severity, template = fixed.LINT_RULES[code]
-    return rows.select(
-        "snapshot_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"),
-        F.format_string(template, *values).alias("message"),
-        (target if target is not None else F.lit(None).cast("string")).alias("target"))
+    message = F.lit(None) if schema is not None else F.format_string(template, *values)
+    return F.when(when, F.struct(
+        F.lit(severity), F.lit(code), message, target if target is not None else F.lit(None),
+        schema if schema is not None else F.lit(None)).cast(_HIT))
 
 
 def _target(kind: str, *path: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.concat_ws(".", *path))
 
 
+def _scan(rows: DataFrame, *hits: Column) -> DataFrame:
+    """The verdicts of all rules on one catalog table, in one pass."""
+    return rows.select("snapshot_id", F.explode(F.array_compact(F.array(*hits))).alias("_hit")).select("snapshot_id", "_hit.*")
+
+
+def _settled(hits: DataFrame) -> DataFrame:
+    """Warnings of all hits; those of the schema rule become one per snapshot. Only hits are shuffled."""
+    # a set holds at most the managed schemas of the fixed list
+    found = hits.groupBy("snapshot_id", "severity", "code", "message", "target").agg(
+        F.sort_array(F.collect_set("schema_name")).alias("_found"), F.count("*").alias("_times"))
+    listed = F.array_join(F.transform("_found", lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", ")
+    several = F.size("_found") > 0
+    template = fixed.LINT_RULES["supabase.schemas_present"][1]
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(several, 1).otherwise(F.col("_times"))))).select(
+        "snapshot_id", "severity", "code", F.when(several, F.format_string(template, listed)).otherwise(F.col("message")).alias("message"),
+        "target")
+
+
+def _schema_hit() -> Column:
+    name = F.col("schema_name")
+    return _hit("supabase.schemas_present", name.isin(fixed.MANAGED_SCHEMAS), schema=name)
+
+
+def _extension_hit() -> Column:
+    name = F.col("extension")
+    return _hit("supabase.extension_only_in_supabase", name.isin(fixed.MANAGED_EXTENSIONS), name, target=_target("extension", name))
+
+
+def _uuid_hit() -> Column:
+    path = qualified(F.col("qn"), F.col("name"))
+    return _hit("supabase.gen_random_uuid_default", F.col("default_expr").rlike(fixed.RANDOM_UUID_PATTERN), path,
+                target=_target("column", path))
+
+
+def _users_hit() -> Column:
+    path = qualified(F.col("qn"), F.col("name"))
+    return _hit("supabase.fk_to_auth_users", (F.col("fk.schema_") == "auth") & (F.col("fk.table") == "users"), path,
+                target=_target("column", path))
+
+
+def _row_security_hit() -> Column:
+    return _hit("supabase.rls_enabled", F.col("rls_enabled"), F.col("qn"), target=_target("table", F.col("qn")))
+
+
+def _policy_hit() -> Column:
+    def calls(expr: str) -> Column:
+        return F.coalesce(F.col(expr), F.lit("")).rlike(fixed.AUTH_HELPER_PATTERN)
+
+    return _hit("supabase.policy_uses_auth_helper", calls("using_expr") | calls("with_check_expr"), F.col("policy_name"), F.col("qn"),
+                target=_target("policy", F.col("qn"), F.col("policy_name")))
+
+
+def _view_hit() -> Column:
+    path = qualified(F.col("schema_name"), F.col("view_name"))
+    return _hit("supabase.view_uses_auth_helper", F.col("definition").rlike(fixed.AUTH_HELPER_PATTERN), path,
+                target=_target("view", path))
+
+
 def schemas_present(tables: DataFrame, views: DataFrame) -> DataFrame:
     """One row per snapshot that has a managed schema, naming all of them."""
-    names = tables.select("snapshot_id", "schema_name").unionByName(views.select("snapshot_id", "schema_name"))
-    managed = names.filter(F.col("schema_name").isin(fixed.MANAGED_SCHEMAS))
-    # the set holds at most the managed schemas of the fixed list
-    found = managed.groupBy("snapshot_id").agg(F.sort_array(F.collect_set("schema_name")).alias("found"))
-    listed = F.array_join(F.transform("found", lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", ")
-    return _warning(found, "supabase.schemas_present", listed)
+    return _settled(union_all([_scan(tables, _schema_hit()), _scan(views, _schema_hit())]))
 
 
 def managed_extensions(extensions: DataFrame) -> DataFrame:
-    rows = extensions.filter(F.col("extension").isin(fixed.MANAGED_EXTENSIONS))
-    return _warning(rows, "supabase.extension_only_in_supabase", F.col("extension"),
-                    target=_target("extension", F.col("extension")))
+    return _scan(extensions, _extension_hit()).select(*WARNING)
 
 
 def random_uuid_defaults(columns: DataFrame) -> DataFrame:
-    path = qualified(F.col("qn"), F.col("name"))
-    rows = columns.filter(F.col("default_expr").rlike(fixed.RANDOM_UUID_PATTERN))
-    return _warning(rows, "supabase.gen_random_uuid_default", path, target=_target("column", path))
+    return _scan(columns, _uuid_hit()).select(*WARNING)
 
 
 def fk_to_managed_users(columns: DataFrame) -> DataFrame:
-    path = qualified(F.col("qn"), F.col("name"))
-    rows = columns.filter((F.col("fk.schema_") == "auth") & (F.col("fk.table") == "users"))
-    return _warning(rows, "supabase.fk_to_auth_users", path, target=_target("column", path))
+    return _scan(columns, _users_hit()).select(*WARNING)
 
 
 def row_security(tables: DataFrame) -> DataFrame:
-    return _warning(tables.filter("rls_enabled"), "supabase.rls_enabled", F.col("qn"), target=_target("table", F.col("qn")))
+    return _scan(tables, _row_security_hit()).select(*WARNING)
 
 
 def policies_with_helpers(policies: DataFrame) -> DataFrame:
     """policies: snapshot_id, qn, policy_name, using_expr, with_check_expr; once per policy."""
-    def calls(expr: str) -> Column:
-        return F.coalesce(F.col(expr), F.lit("")).rlike(fixed.AUTH_HELPER_PATTERN)
-
-    rows = policies.filter(calls("using_expr") | calls("with_check_expr"))
-    return _warning(rows, "supabase.policy_uses_auth_helper", F.col("policy_name"), F.col("qn"),
-                    target=_target("policy", F.col("qn"), F.col("policy_name")))
+    return _scan(policies, _policy_hit()).select(*WARNING)
 
 
 def views_with_helpers(views: DataFrame) -> DataFrame:
-    path = qualified(F.col("schema_name"), F.col("view_name"))
-    rows = views.filter(F.col("definition").rlike(fixed.AUTH_HELPER_PATTERN))
-    return _warning(rows, "supabase.view_uses_auth_helper", path, target=_target("view", path))
+    return _scan(views, _view_hit()).select(*WARNING)
 
 
 def lint(
     tables: DataFrame, columns: DataFrame, views: DataFrame, policies: DataFrame, extensions: DataFrame,
 ) -> DataFrame:
-    """All seven rules over all snapshots."""
-    return union_all([
-        schemas_present(tables, views), managed_extensions(extensions), random_uuid_defaults(columns),
-        fk_to_managed_users(columns), row_security(tables), policies_with_helpers(policies), views_with_helpers(views)])
+    """All seven rules over all snapshots; each of the five tables is read once."""
+    return _settled(union_all([
+        _scan(tables, _schema_hit(), _row_security_hit()), _scan(columns, _uuid_hit(), _users_hit()),
+        _scan(views, _schema_hit(), _view_hit()), _scan(policies, _policy_hit()), _scan(extensions, _extension_hit())]))
 
 
 def with_guidance(warnings: DataFrame, guidance: DataFrame) -> DataFrame:

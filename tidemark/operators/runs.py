@@ -62,13 +62,17 @@ def activity(
 ) -> DataFrame:
     """The newest entries of each run type in one shape, newest first.
 
-    Each type's newest rows are found with a per-task top-n, so no type's log is sorted or shuffled whole.
+    Each type's newest stamps and ids are found with a per-task top-n of these two columns, so no log is sorted or shuffled whole
+    and no whole rows of all tasks meet in one. Ids are unique in a log; rows that share stamp and id go together.
     """
     if not 1 <= limit_per_type <= fixed.ACTIVITY_LIMIT_MAX:
         raise ValueError(f"limit_per_type must be 1..{fixed.ACTIVITY_LIMIT_MAX}")
 
     def newest(df: DataFrame, stamp: str) -> DataFrame:
-        return df.orderBy(F.desc(stamp), F.desc("id")).limit(limit_per_type)
+        top = df.select(F.col(stamp).alias("_stamp"), F.col("id").alias("_id")).orderBy(F.desc("_stamp"), F.desc("_id")).limit(
+            limit_per_type)
+        # at most ACTIVITY_LIMIT_MAX pairs
+        return df.join(F.broadcast(top), F.col(stamp).eqNullSafe(F.col("_stamp")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
     entries = union_all([
         introspection_entries(newest(snapshots, "captured_at")), comparison_entries(newest(comparisons, "created_at")),
