@@ -1,7 +1,8 @@
 """Types, casts, canonical text and digests."""
 
 import datetime
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation, localcontext
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from tidemark.functions.canon import row_hash
 from tidemark.functions.casts import pg_cast
+from tidemark.functions.intervals import INTERVAL
 from tidemark.functions.text import mask_credentials, name_of, schema_of
 from tidemark.functions.types import native_of, normalize_type, parse_native
 from tidemark.operators.verify import TablePair, full_hash
@@ -187,3 +189,57 @@ def test_moments_of_less_precision(spark):
     assert cast_all(spark, [stamp], T.TimestampNTZType(), "timestamp(0)") == [datetime.datetime(2024, 1, 2, 3, 4, 6)]
     early = datetime.datetime(1969, 12, 31, 23, 59, 59, 999_600)
     assert cast_all(spark, [early, None], T.TimestampNTZType(), "timestamp(3)") == [datetime.datetime(1970, 1, 1), None]
+
+
+def test_interval_texts(spark):
+    """Values that PostgreSQL documents or that follow from its rules."""
+    want = {
+        "1 year 2 mons -3 days 04:05:06.789": ((14, -3, 14_706_789_000), "1 year 2 mons -3 days +04:05:06.789"),
+        "P1Y2M3DT4H5M6S": ((14, 3, 14_706_000_000), "1 year 2 mons 3 days 04:05:06"), "1.5 months": ((1, 15, 0), "1 mon 15 days"),
+        "1.5 years ago": ((-18, 0, 0), "-1 years -6 mons"), "1.5 weeks": ((0, 10, 43_200_000_000), "10 days 12:00:00"),
+        "-1 day +02:00": ((0, -1, 7_200_000_000), "-1 days +02:00:00"), "@ 3 hours 1": ((0, 0, 10_801_000_000), "03:00:01"),
+        "1D12h": ((0, 1, 43_200_000_000), "1 day 12:00:00"), "-0.5 days": ((0, 0, -43_200_000_000), "-12:00:00"),
+        "100:00:00": ((0, 0, 360_000_000_000), "100:00:00"), "0": ((0, 0, 0), "00:00:00"), "PT0.5S": ((0, 0, 500_000), "00:00:00.5")}
+    bad = ["", "abc", "1 foo", "1 2", "1 day x", "99999999999 years", "p"]
+    texts = list(want) + bad + [None]
+    values = cast_all(spark, texts, T.StringType(), "interval", safe=True)
+    assert [v and tuple(v) for v in values] == [w[0] for w in want.values()] + [None] * (len(bad) + 1)
+    assert cast_all(spark, [w[0] for w in want.values()] + [None], INTERVAL, "text") == [w[1] for w in want.values()] + [None]
+    assert tuple(cast_all(spark, ["1.2345 s"], T.StringType(), "interval(2)")[0]) == (0, 0, 1_230_000)
+    with pytest.raises(Exception, match="invalid input for interval: abc"):
+        cast_all(spark, ["abc"], T.StringType(), "interval")
+    day = cast_all(spark, [datetime.timedelta(days=-1, seconds=-5)], T.DayTimeIntervalType(), "interval")
+    assert tuple(day[0]) == (0, -1, -5_000_000)
+
+
+@pytest.mark.parametrize("precision, scale", [(50, 2), (45, 0), (60, 40)])
+def test_numbers_beyond_38_digits(spark, precision, scale):
+    rng = random.Random(precision)
+    texts = ["1e41", "1e-3", "-0.001", ".5", "007.125", "9.995", "-9.995", "0", "9" * 40 + ".996", "1e60", "x", "", "1e", "1.2.3"]
+    texts += ["".join(rng.choice("0159") for _ in range(rng.randint(1, 30))) + "." + "".join(rng.choice("459") for _ in range(rng.randint(0, 60)))
+              + rng.choice(["", "", "e5", "e-7", "E+12"]) for _ in range(150)]
+    want = []
+    with localcontext() as context:
+        context.prec = 300
+        for text in texts:
+            try:
+                number = Decimal(text).quantize(Decimal(1).scaleb(-scale), ROUND_HALF_UP)
+            except InvalidOperation:
+                want.append(None)
+                continue
+            number = abs(number) if number == 0 else number
+            want.append(format(number, "f") if abs(number) < Decimal(10) ** (precision - scale) else None)
+    assert cast_all(spark, texts, T.StringType(), f"numeric({precision},{scale})", safe=True) == want
+    assert cast_all(spark, ["NaN", None], T.StringType(), f"numeric({precision},{scale})", safe=True) == ["NaN", None]
+    with pytest.raises(Exception, match="no numeric"):
+        cast_all(spark, ["x"], T.StringType(), f"numeric({precision},{scale})")
+
+
+def test_short_times(spark):
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        df = spark.createDataFrame([("01:02:03.456789",), ("23:59:59.9994",), ("00:00:00.0005",), ("23:59:59.9996",), (None,)], "v string")
+        found = df.select(pg_cast(F.col("v"), T.StringType(), "time(3)", True).cast("string").alias("t"))
+        assert [r.t for r in found.collect()] == ["01:02:03.457", "23:59:59.999", "00:00:00.001", None, None]
+    finally:
+        spark.conf.unset("spark.sql.timeType.enabled")

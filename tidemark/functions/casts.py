@@ -7,6 +7,7 @@ doubles with a trailing ``.0``; those cases are corrected first, the rest is Spa
 
 from pyspark.sql import Column, functions as F, types as T
 
+from tidemark.functions.intervals import INTERVAL, interval_text, let, parse_interval
 from tidemark.functions.types import parse_native
 
 INT_TYPES = {"int16": "smallint", "int32": "int", "int64": "bigint"}
@@ -32,7 +33,7 @@ def spark_type(native: str, source: T.DataType) -> T.DataType | str:
         return _decimal_type(source, params)
     return {"string": "string", **INT_TYPES, "float32": "float", "float64": "double", "boolean": "boolean",
             "uuid": "string", "json": "string", "binary": "binary", "date": "date", "time": "time(6)",
-            "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}[word]
+            "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "interval": INTERVAL}[word]
 
 
 def number_text(value: Column, single: bool = False) -> Column:
@@ -77,6 +78,8 @@ def _text(value, source):
         return F.concat(F.lit("\\x"), F.lower(F.hex(value)))
     if isinstance(source, T.VariantType):
         return F.to_json(value)
+    if source == INTERVAL:
+        return interval_text(value)
     return value.cast("string")
 
 
@@ -111,6 +114,7 @@ def _to_float(target):
 
 
 EPOCH = "1970-01-01 00:00:00"
+DAY = 86_400_000_000
 
 
 def _of_micros(micros):
@@ -119,6 +123,8 @@ def _of_micros(micros):
 
 
 def _decimal_type(source, params):
+    if params and params[0] > 38:
+        return T.StringType()
     if params:
         return T.DecimalType(params[0], params[1] if len(params) > 1 else 0)
     if isinstance(source, T.DecimalType):
@@ -126,7 +132,51 @@ def _decimal_type(source, params):
     return T.DecimalType(38, 0) if isinstance(source, T.IntegralType) else T.DecimalType(38, 18)
 
 
+def _wide_decimal(value, source, precision, scale, safe):
+    """Text of a number of more than 38 digits: rounded to the scale, halves away from zero, without leading zeros.
+
+    Texts with exponents of at most 9999 are read; ``NaN`` stays.
+    """
+    number = r"^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]{1,4})?$"
+
+    def placed(text: Column) -> Column:
+        whole, fraction = F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), F.regexp_extract(text, r"[.]([0-9]*)", 1)
+        moved = F.length(whole) + F.coalesce(F.regexp_extract(text, "e([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        # one digit before the point at least
+        return let(moved, lambda point: F.struct(
+            F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, F.lit(0))), whole, fraction).alias("digits"),
+            F.greatest(point, F.lit(1)).alias("point")))
+
+    def rounded(x: Column) -> Column:
+        length = x["point"] + scale
+        # the digit behind the scale decides on the rounding
+        padded = F.concat(F.lit("0"), x["digits"], F.repeat(F.lit("0"), F.greatest(length + 1 - F.length(x["digits"]), F.lit(0))))
+        up = F.substr(padded, length + 2, F.lit(1)) >= "5"
+        # one more: the last digit that is no nine goes up, the nines behind it become zeros
+        more = lambda kept: F.concat(
+            F.regexp_extract(kept, "^(.*?)[0-8]9*$", 1), (F.regexp_extract(kept, "([0-8])9*$", 1).cast("int") + 1).cast("string"),
+            F.repeat(F.lit("0"), F.length(F.regexp_extract(kept, "(9*)$", 1))))
+        done = let(F.substr(padded, F.lit(1), length + 1), lambda kept: F.when(up, more(kept)).otherwise(kept))
+        return let(done, lambda d: F.struct(
+            F.regexp_replace(F.substr(d, F.lit(1), x["point"] + 1), "^0+(?=[0-9])", "").alias("before"),
+            F.substr(d, x["point"] + 2, F.lit(scale)).alias("after")))
+
+    def written(text: Column) -> Column:
+        def joined(x: Column) -> Column:
+            fits = F.when(x["before"] == "0", 0).otherwise(F.length(x["before"])) <= precision - scale
+            some = F.concat(x["before"], x["after"]).rlike("[1-9]")
+            sign = F.when(text.startswith("-") & some, "-").otherwise("")
+            return F.when(fits, F.concat(sign, x["before"], F.lit("." if scale else ""), x["after"]))
+
+        return F.when(text == "nan", "NaN").when(text.rlike(number), let(let(placed(text), rounded), joined))
+
+    done = let(F.lower(F.trim(_text(value, source))), written)
+    return F.when(value.isNotNull(), F.coalesce(done, _reject(f"no numeric({precision},{scale})", value, "string", safe)))
+
+
 def _to_decimal(value, source, base, params, safe):
+    if params and params[0] > 38:
+        return _wide_decimal(value, source, params[0], params[1] if len(params) > 1 else 0, safe)
     target = _decimal_type(source, params)
     done = _cast(value, target, safe)
     if params or isinstance(source, (T.DecimalType, T.IntegralType)):
@@ -184,9 +234,15 @@ def _to_moment(target):
         done = _cast(value, target, safe)
         if not params or params[0] >= 6:
             return done
-        if target.startswith("time("):
-            raise ValueError(f"{base}({params[0]}): fractional precision below 6 is not supported")
         unit = 10 ** (6 - params[0])
+        if target.startswith("time("):
+            # halves up; what rounds to 24:00:00, which a Spark time cannot hold, is refused
+            micros = F.time_diff(F.lit("MICROSECOND"), F.lit("00:00:00").cast("time(6)"), done)
+            rounded = F.floor((micros + unit // 2) / unit).cast("bigint") * unit
+            clock = F.concat_ws(":", *[F.lpad((F.floor(rounded / n) % 60).cast("string"), 2, "0") for n in (3_600_000_000, 60_000_000)],
+                                F.format_string("%02d.%06d", F.floor(rounded / 1_000_000) % 60, rounded % 1_000_000))
+            return F.when(rounded < 86_400_000_000, clock.try_cast("time(6)")).when(
+                done.isNotNull(), _reject(f"{base}({params[0]}) cannot hold 24:00:00", value, target, safe))
         zoned = target == "timestamp"
         micros = F.unix_micros(done) if zoned else F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), done)
         # to the nearest, halves away from 1970
@@ -195,6 +251,29 @@ def _to_moment(target):
     return build
 
 
+def _to_interval(value, source, base, params, safe):
+    digits = params[0] if params else 6
+    if isinstance(source, (T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        zero, none = F.lit(EPOCH).cast("timestamp_ntz"), F.lit(0)
+        days_only = isinstance(source, T.DayTimeIntervalType)
+        months = none if days_only else F.timestamp_diff("MONTH", zero, zero + value)
+        micros = F.timestamp_diff("MICROSECOND", zero, zero + value) if days_only else none
+        days = F.when(micros < 0, F.ceil(micros / DAY)).otherwise(F.floor(micros / DAY))
+        done = F.when(value.isNotNull(), F.struct(
+            months.cast("int").alias("months"), days.cast("int").alias("days"), (micros - days * DAY).cast("bigint").alias("microseconds")))
+        return done.cast(INTERVAL)
+    if source == INTERVAL:
+        return value
+    if not isinstance(source, T.StringType):
+        raise ValueError(f"no cast from {source.simpleString()} to {base}")
+    done = parse_interval(value, digits)
+    empty = F.lit(None).cast(INTERVAL)
+    if safe:
+        return done
+    failed = F.raise_error(F.concat(F.lit("invalid input for interval: "), value))
+    return F.when(value.isNull(), empty).otherwise(F.coalesce(done, failed.cast(INTERVAL)))
+
+
 def _to_array(value, source, native, safe):
     if not isinstance(source, T.ArrayType):
         raise ValueError(f"no cast from {source.simpleString()} to {native}")
@@ -209,5 +288,5 @@ _BUILDERS = {
     "float32": _to_float("float"), "float64": _to_float("double"),
     "decimal": _to_decimal, "boolean": _to_boolean, "uuid": _to_uuid, "json": _to_json, "binary": _to_binary,
     "date": _to_date, "time": _to_moment("time(6)"),
-    "timestamp": _to_moment("timestamp_ntz"), "timestamptz": _to_moment("timestamp"),
+    "timestamp": _to_moment("timestamp_ntz"), "timestamptz": _to_moment("timestamp"), "interval": _to_interval,
 }

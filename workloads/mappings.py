@@ -136,6 +136,32 @@ def project_cast(spark, sf_dir):
         "one_digit", F.col("one_digit").cast("double"))
 
 
+LONG_PREFIX = "123456789012345678901234567890"
+
+
+@query("project_casts_interval", f"""
+    select l_orderkey, l_linenumber, l_linenumber * 12 + m as months, -d as days, (h * 60 + n) * 60000000 as microseconds,
+           concat_ws(' ', l_linenumber || ' year' || case when l_linenumber <> 1 then 's' else '' end,
+             case when m <> 0 then m || ' mon' || case when m <> 1 then 's' else '' end end, case when d <> 0 then '-' || d || ' days' end,
+             case when h + n <> 0 then case when d <> 0 then '+' else '' end || lpad(h::varchar, 2, '0') || ':' || lpad(n::varchar, 2, '0')
+               || ':00' end) as written,
+           '{LONG_PREFIX}' || lpad(cast(cast(l_extendedprice as decimal(12,2)) as decimal(12,1))::varchar, 12, '0') as wide
+    from (select *, l_partkey % 12 as m, l_suppkey % 40 as d, l_partkey % 30 as h, l_orderkey % 60 as n from lineitem) l""")
+def project_casts_interval(spark, sf_dir):
+    """Interval texts to months, days and microseconds and back to text, and numbers of more than 38 digits."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber",
+        "concat(l_linenumber, ' years ', l_partkey % 12, ' mons -', l_suppkey % 40, ' days +', l_partkey % 30, ':', lpad(l_orderkey % 60, 2, '0')) as span",
+        f"concat('{LONG_PREFIX}', lpad(cast(cast(l_extendedprice as decimal(12,2)) as string), 13, '0')) as wide")
+    done = projection.project(rows, [
+        m("l_orderkey", "bigint"), m("l_linenumber", "integer"), m("span", "text", cast="interval"), m("wide", "text", cast="numeric(45,1)")])
+    again = projection.project(done, [
+        m("l_orderkey", "bigint"), m("l_linenumber", "integer"), m("span", "interval"), m("span", "interval", "written", "text"),
+        m("wide", "numeric(45,1)")])
+    return again.select("l_orderkey", "l_linenumber", *[F.col(f"span.{c}").cast("bigint").alias(c) for c in ("months", "days", "microseconds")],
+                        "written", "wide")
+
+
 @query("project_rename", "select o_custkey as customer_id, o_orderkey as id, o_totalprice as total from orders")
 def project_rename(spark, sf_dir):
     return projection.project(table(spark, sf_dir, "orders"), [
