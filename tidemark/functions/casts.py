@@ -141,7 +141,8 @@ def _wide_decimal(value, source, precision, scale, safe):
 
     def placed(text: Column) -> Column:
         whole, fraction = F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), F.regexp_extract(text, r"[.]([0-9]*)", 1)
-        moved = F.length(whole) + F.coalesce(F.regexp_extract(text, "e([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        moved = F.length(whole) + F.when(
+            F.contains(text, F.lit("e")), F.regexp_extract(text, "e([+-]?[0-9]+)$", 1).cast("int")).otherwise(0)
         # one digit before the point at least
         return let(moved, lambda point: F.struct(
             F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, F.lit(0))), whole, fraction).alias("digits"),

@@ -16,10 +16,17 @@ _SHAPE = rf"^@?\s*(?:(?:{_CLOCK}|{_NUMBER}\s*[a-z]+)(?:\s+|(?=[+-])|(?<=[a-z])(?
 _WIDE = "decimal(38,9)"
 
 
-def _unit_map(part: str) -> Column:
-    """Words of units to how many months, days or microseconds one has."""
-    pairs = [(w, n) for (words, kind, n) in INTERVAL_UNITS for w in words if kind == part]
-    return F.expr("map(" + ", ".join(f"'{w}', {n}L" for w, n in pairs) + ")")
+def _unit_place(unit: Column) -> Column:
+    """The place of a unit's word in the list of units, or null."""
+    place = F.lit(None).cast("int")
+    for at, (words, _, _) in reversed(list(enumerate(INTERVAL_UNITS))):
+        place = F.when(unit.isin(words), at).otherwise(place)
+    return place
+
+
+def _unit_sizes(part: str) -> Column:
+    """How many months, days or microseconds the units have, in their order; null for units of other parts."""
+    return F.expr("array(" + ", ".join(f"{n}L" if kind == part else "cast(null as bigint)" for _, kind, n in INTERVAL_UNITS) + ")")
 
 
 def let(value: Column, use) -> Column:
@@ -50,9 +57,10 @@ def _clock(clock: Column) -> Column:
 
 def _quantities(numbers: Column, units: Column) -> Column:
     """Numbers with units as months, days and microseconds; null parts where a unit is unknown."""
-    measured = F.zip_with(numbers, units, lambda number, unit: let(F.when(unit == "", "s").otherwise(unit), lambda u: F.struct(
-        number.cast("decimal(28,9)").alias("q"),
-        *[F.try_element_at(_unit_map(p), u).alias(p) for p in ("months", "days", "microseconds")])))
+    measured = F.zip_with(numbers, units, lambda number, unit: let(
+        _unit_place(F.when(unit == "", "s").otherwise(unit)), lambda place: F.struct(
+            number.cast("decimal(28,9)").alias("q"),
+            *[F.get(_unit_sizes(p), place).alias(p) for p in ("months", "days", "microseconds")])))
 
     def spread(x: Column) -> Column:
         months = x["q"] * x["months"]
