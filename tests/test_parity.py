@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fixed
 from tidemark.operators import audit, rowdiff, sampling, verify
 from tidemark.operators.audit import ForeignKey
-from tidemark.operators.keyed import lookup_join, tally
+from tidemark.operators.keyed import frequent_keys, lookup_join, tally
 from tidemark.operators.marks import high_water_marks
 from tidemark.operators.sampling import Sampled
 from tidemark.operators.verify import TablePair
@@ -299,3 +299,15 @@ def test_rows_of_equal_ranges_are_not_shuffled(spark, table):
             stack += [children.apply(i) for i in range(children.size())]
     total = lines.count()
     assert rows and max(rows) < total / 20
+
+
+def test_frequent_keys_come_from_sketches(spark):
+    """Every key above the share is found, whatever the others are; near ones may be; no key is shuffled."""
+    n, parts = 120_000, 8
+    rows = spark.range(0, n, 1, 12).selectExpr(
+        "case when id % 3 = 0 then 'a' when id % 5 = 0 then 'b' when id % 30 = 1 then null else concat('k', id) end as k")
+    named = {r.h: r.k for r in rows.filter("k in ('a', 'b') or k is null").selectExpr("k", "xxhash64(k) as h").distinct().collect()}
+    found = {named.get(h, "other") for h in frequent_keys(rows, ["k"], parts)}
+    assert {"a", "b"} <= found <= {"a", "b", None}
+    assert frequent_keys(rows.limit(0), ["k"]) == [] and frequent_keys(spark.range(50_000), ["id"]) == []
+    assert len(frequent_keys(spark.range(9).selectExpr("id % 2 as k"), ["k"], 4)) == 2

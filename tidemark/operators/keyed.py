@@ -62,16 +62,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Parts of the rows whose sketches are merged apart before they meet.
+SKETCH_PARTS = 64
+#: Spark's bound on the items a sketch tracks.
+SKETCH_ITEMS = 1_000_000
+NO_KEY = -2 ** 63
+
+
 def frequent_keys(rows: DataFrame, on: Sequence[str], partitions: int | None = None) -> list[int]:
-    """Hashes of the keys that hold over half of a shuffle partition's even share of the rows.
+    """Hashes of the keys that hold over half of a shuffle partition's even share of the rows, or nearly so.
 
-    The keys are counted exactly in a job of its own, each task counting its own first. There can be at most twice as many
-    such keys as partitions, whatever the number of rows; the list is empty for even keys.
+    Each task keeps a sketch of its heavy keys, a few times as many as there can be; the sketches are merged in parts and then
+    once more, so that no key is shuffled. A sketch may be off by a quarter of the asked share, so keys from three
+    quarters of it on are taken: every key above it is found, and there are at most a few times as many as partitions.
     """
     shares = 2 * (partitions or shuffle_partitions(rows.sparkSession))
-    counts = rows.groupBy(_key_hash(on).alias("key")).agg(F.count("*").alias("n"))
-    share = rows.agg((F.count("*") / shares).alias("share")).scalar()
-    return [r["key"] for r in counts.filter(F.col("n") > share).select("key").collect()]
+    # a sketch of n slots is off by at most 3.5 / n of the rows
+    items = min(SKETCH_ITEMS, 16 * shares)
+    # sketches cannot be merged where there is none, neither in a table nor in a task: one row more, of no key, and groups throughout
+    hashes = rows.select(_key_hash(on).alias("_key")).union(rows.sparkSession.range(1).select(F.lit(NO_KEY).cast("long")))
+    parts = hashes.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_PARTS)).alias("_part")).agg(
+        F.expr(f"approx_top_k_accumulate(_key, {items})").alias("_sketch"), F.count("*").alias("_n"))
+    found = parts.groupBy((F.col("_part") < 0).alias("_none")).agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {items}), {min(items, 4 * shares)})").alias("top"),
+        F.sum("_n").alias("n")).first()
+    least = 0.75 * (found["n"] - 1) / shares
+    return [r["item"] for r in found["top"] if r["item"] != NO_KEY and r["count"] > least]
 
 
 def _key_hash(on: Sequence[str]) -> Column:
