@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import odd
@@ -202,3 +203,63 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark, sf_dir):
     sums = maxent.score(texts, model).withColumn("held", maxent.held_out(F.col("doc_id"))).groupBy("held").agg(
         F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
     assert len(sums) == 2 and all(r.s > r.b for r in sums)
+
+
+def reference_scores(rows, learn, weights):
+    """(n_known, score) of each text by word counts, pair counts and the class factor's weights."""
+    texts = [odd.words(t, lower=True) for t in learn]
+    counts, pairs, after, room = Counter(w for t in texts for w in t), Counter(), Counter(), Counter()
+    token = {w: xxhash.xxh64_intdigest(w) for w in counts}
+    frequent = sorted(counts, key=lambda w: (-counts[w], token[w] - (token[w] >> 63 << 64)))[:maxent.SINGLES]
+    own = {w: 1 + i for i, w in enumerate(frequent)}
+
+    def class_of(word):
+        return 0 if word is None else own.get(word, 1 + maxent.SINGLES + maxent.kind_of(word))
+
+    for w in counts:
+        room[class_of(w)] += counts[w] + 1
+    for t in texts:
+        for first, w in zip([None, *t], t):
+            pairs[first, w] += 1
+            after[first, class_of(w)] += 1
+    found = []
+    for text in rows:
+        t = [*odd.words(text, lower=True), None]
+        classes = [maxent.START] * 3 + [class_of(w) for w in t]
+        context = np.array([(c * maxent.ORDER + b) * maxent.ORDER + a for a, b, c in zip(classes, classes[1:], classes[2:])][:len(t)])
+        chance = maxent.log_softmax(weights, context)[np.arange(len(t)), classes[3:]].astype(float).sum() / math.log(10)
+        for first, w in zip([None, *t], t):
+            k = class_of(w)
+            if k > maxent.SINGLES:
+                share = (counts[w] + 1) / (room[k] + 1)
+                chance += math.log10((pairs[first, w] + maxent.PAIR_PRIOR * share) / (after[first, k] + maxent.PAIR_PRIOR))
+        found.append((sum(counts[w] > 0 for w in t[:-1]) + (len(learn) > 0), chance))
+    return found
+
+
+@pytest.mark.parametrize("head", [maxent.HEAD, 60, 0])
+def test_language_model_has_the_pairs_of_words(spark, docs, head, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", max(head, maxent.SINGLES))
+    rng = np.random.default_rng(7)
+    vocabulary = [f"{a}{b}" for a in "abcdefghijkl" for b in ("en", "ing", "on", "t", "s", "é", "", "the", "漢")]
+    extra = [" ".join(rng.choice(vocabulary, size=rng.integers(0, 90))) for _ in range(300)]
+    rows = [(r[0], r[1]) for r in odd.ROWS] + list(zip(range(100, 400), extra)) + [(500 + i, extra[5]) for i in range(9)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(rows[len(odd.ROWS):], "doc_id long, text string").repartition(5))
+    learn = every.filter(~maxent.held_out(F.col("doc_id"))).select("text")
+    model = maxent.train(learn, steps=4)
+    wanted = sorted(zip([r[0] or 0 for r in rows], *zip(*reference_scores(
+        [t for _, t in rows], [t for d, t in rows if not odd.is_held_out(d)], model.weights))))
+    for found in (maxent.score(every, model), maxent.scored(every, steps=4)):
+        got = sorted((r.doc_id or 0, r.n_known, r.score) for r in found.collect())
+        assert [x[:2] for x in got] == [x[:2] for x in wanted]
+        assert np.allclose([x[2] for x in got], [x[2] for x in wanted], rtol=1e-6, atol=1e-5)
+
+
+def test_language_model_tells_words_of_one_class_apart(spark):
+    # more than the frequent tokens; the classes of the last words and of those before them are the same in both orders
+    others = [f"w{i}" for i in range(60)]
+    learn = spark.createDataFrame([(" ".join(others),)] * 50 + [("grey xcat sat",)] * 20 + [("drey ycat sat",)] * 20, "text string")
+    model = maxent.train(learn, steps=3)
+    rows = [(1, "grey xcat sat"), (2, "grey ycat sat"), (3, "drey ycat sat"), (4, "drey xcat sat")]
+    found = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert found[1] > found[2] + 0.05 and found[3] > found[4] + 0.05

@@ -1,19 +1,26 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class). The frequent tokens and the end have classes of their own, other
-words are classed by their last bytes. The class factor is a softmax over hashed n-gram and skip features of the last three
-classes; in a class the features are the tokens' own counts, so that its softmax has a closed form. Training counts every
-context of the corpus once, and each gradient update is one distributed pass over these contexts.
+P(token | history) = P(class | history) * P(token | class, word before). The frequent tokens and the end have classes of their
+own, other words are classed by their last bytes. The class factor is a softmax over hashed n-gram and skip features of the last
+three classes, whose contexts training counts once; each gradient update is one distributed pass over them. In a class there is a
+feature for each token and one for each pair of words that training holds, without a bound on either. With c the training counts
+and M the strength of the prior, a token's weight is the log of its share of the class, (c(token) + 1) / room, a pair's is
+log(1 + c(pair) / (M * share)), and the softmax has the normaliser (c(word before, class) + M) / M in closed form.
+Pairs are counted and looked up in one shuffle: every text sends its pairs to buckets, where those of training are counted and
+all are scored.
 """
 
-from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import NULL_ID, by_batch, materialised, mixed, words_of
+from tidemark.llm.common import NULL_ID, materialised, mixed, shuffle_width, slices
 
 SINGLES = 40
 SUFFIXES = 23
@@ -26,25 +33,36 @@ STEPS = 20
 RATE = 0.15
 #: Strength of the Gaussian prior that draws the weights to those of the class frequencies.
 PRIOR = 20.0
-#: Tokens whose counts travel with the scoring code; all others are looked up by a join.
+#: Strength of the prior that draws the tokens after a word to those of their class.
+PAIR_PRIOR = 100.0
+#: Tokens whose counts travel with the scoring code, with those of the classes after them; all others are counted in the buckets.
 HEAD = 65_536
-VOCABULARY = 500_000
+#: Training tokens for each bucket of pairs, about.
+BUCKET = 2_000_000
+ROWS = 2048
 #: No word holds a line end.
 END_TOKEN = xxhash.xxh64_intdigest(b"\n") - 2 ** 64 * (xxhash.xxh64_intdigest(b"\n") >> 63)
 #: (classes back, classes back) of the features: n-grams and skips.
 FEATURES = ((), (1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3))
-_COUNTS = pa.schema([("token", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
-_CODES = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+#: First of the numbers under which the classes after frequent words are counted, beside the contexts.
+AFTER = ORDER ** 3 * CLASSES
+LEARN, SCORE = 1, 2
+#: What a bucket holds of a pair: a pair of a rare token, of a frequent token, or a rare word before a class.
+RARE, FREQUENT, BEFORE = 0, 1, 2
+_TALLY = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("kind", pa.binary()), ("n", pa.binary())])
+_COUNTS = pa.schema([("token", pa.int64()), ("kind", pa.int32()), ("c", pa.int64())])
+_SEEN = pa.schema([("context", pa.int64()), ("targets", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 _GRADIENT = pa.schema([("loss", pa.float64()), ("gradient", pa.binary())])
-_SCORED = pa.schema([
-    ("doc", pa.int64()), ("copy", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("rows", pa.int64()),
-    ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-_SCORED_DDL = "doc long, copy long, token long, kind int, n long, rows long, n_tokens long, n_known long, base double, score double"
-
-
-def token_of(word: bytes) -> int:
-    found = xxhash.xxh64_intdigest(word)
-    return found - 2 ** 64 if found >> 63 else found
+_RECORD = {"key": np.uint64, "sub": np.uint32, "code": np.uint8, "doc": np.uint16, "n": np.uint32}
+_SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("records", pa.int64()), ("home", pa.binary()),
+                   *[(c, pa.binary()) for c in _RECORD]])
+_SENT_DDL = "bucket int, batch long, records long, home binary, " + ", ".join(f"{c} binary" for c in _RECORD)
+_HOME = np.dtype([("id", "i8"), ("tokens", "i8"), ("known", "i8"), ("base", "f8"), ("score", "f8"), ("doc", "i8")])
+_SUM = {"doc": np.uint16, "known": np.uint32, "base": np.float64, "score": np.float64}
+_SUMS = pa.schema([("batch", pa.int64()), ("records", pa.int64()), ("home", pa.binary()), *[(c, pa.binary()) for c in _SUM]])
+_SUMS_DDL = "batch long, records long, home binary, " + ", ".join(f"{c} binary" for c in _SUM)
+_SCORED = pa.schema([("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_DDL = "doc long, n_tokens long, n_known long, base_score double, score double"
 
 
 def kind_of(word: bytes) -> int:
@@ -52,57 +70,163 @@ def kind_of(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-2:]) % SUFFIXES
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """kind_of for words that end in each byte and, from 256 on, in each two bytes."""
+    return np.array([kind_of(bytes([x])) for x in range(256)] + [kind_of(bytes([x >> 8, x & 255])) for x in range(1 << 16)])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
-    counts: Counter = Counter()
-    for text in batch.column(0):
-        counts.update(words_of(text.as_py(), lower=True))
-    rows = [(token_of(w), kind_of(w), n) for w, n in counts.items()] + [(END_TOKEN, -1, batch.num_rows)]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTS)], schema=_COUNTS)
-
-
-class Words:
-    """What is known of the words met so far, as arrays by number."""
-
-    def __init__(self, singles: dict[int, int]):
-        self.singles = singles
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.tokens, self.classes, self.kinds = [], [], []
-
-    def numbers(self, words: list[bytes]) -> list[int]:
-        known = self.number
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = len(self.tokens)
-                    token, kind = token_of(w), kind_of(w)
-                    self.tokens.append(token)
-                    self.kinds.append(kind)
-                    self.classes.append(self.singles.get(token, 1 + SINGLES + kind))
-            return [known[w] for w in words]
-
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers of all texts, with -1 for each end; where each text begins, and the end)."""
-        if len(self.tokens) > VOCABULARY:
-            self.reset()
-        parts, edges = [], [0]
-        for text in texts:
-            found = self.numbers(words_of(text.as_py(), lower=True))
-            found.append(-1)
-            parts.append(np.array(found, dtype=np.int64))
-            edges.append(edges[-1] + len(found))
-        return np.concatenate(parts), np.array(edges)
-
-    def classed(self, numbers: np.ndarray) -> np.ndarray:
-        return np.concatenate((np.array(self.classes, dtype=np.int64), [0]))[numbers]
+def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers of all texts, each with an end; where each text begins, and the end; token and kind of each number).
+
+    The last number is the end's.
+    """
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")  # Arrow splits slices of arrays wrongly
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(real).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary())
+    lengths = np.bincount(row[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    edges = np.concatenate(([0], np.cumsum(lengths + 1)))
+    numbers = np.full(edges[-1], len(distinct), dtype=np.int64)
+    inside = np.ones(len(numbers), dtype=bool)
+    inside[edges[1:] - 1] = False
+    numbers[inside] = coded.indices.to_numpy(zero_copy_only=False)
+    data, sizes = flat(distinct, np.uint8)
+    last = np.cumsum(sizes) - 1
+    every, ends = data.tobytes(), (last + 1).tolist()
+    tokens = np.fromiter((xxhash.xxh64_intdigest(every[a:b]) for a, b in zip([0, *ends], ends)), dtype=np.uint64, count=len(ends)).view(np.int64)
+    kinds = _kinds()[np.where(sizes > 1, 256 + data[last - 1].astype(np.int64) * 256, 0) + data[last]] if len(last) else last
+    return numbers, edges, np.append(tokens, END_TOKEN), np.append(kinds, -1)
+
+
+def dealt(bucket: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """(buckets, rows of each, the columns' values as one binary value for each bucket)."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    return packed(bucket, [c[order] for c in columns])
+
+
+def packed(group: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """dealt() for rows that lie in order of their groups."""
+    first = starts(group)
+    edges = np.append(first, len(group))
+    return group[first], np.diff(edges), [pa.Array.from_buffers(pa.binary(), len(first), [
+        None, pa.py_buffer((edges * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]) for c in columns]
+
+
+def flat(column: pa.Array | pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a column of packed arrays, how many each row has)."""
+    array = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(array):
+        return np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
+    wide = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    edges = np.frombuffer(array.buffers()[1], dtype=wide)[array.offset:array.offset + len(array) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    if edges[-1] == edges[0]:
+        return np.zeros(0, dtype=kind), np.zeros(len(array), dtype=np.int64)
+    return np.frombuffer(array.buffers()[2], dtype=kind, offset=edges[0], count=(edges[-1] - edges[0]) // size), np.diff(edges) // size
+
+
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, dtype=np.int64)
+
+
+def tallied(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, in order of the keys; the sum of n over the key's places)."""
+    order = np.argsort(keys)
+    first = starts(keys[order])
+    return order[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def counts_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each place the sum of n over all places with its key."""
+    order = np.argsort(keys)
+    first = starts(keys[order])
+    out = np.empty(len(keys), dtype=np.int64)
+    if len(first):
+        out[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(keys))))
+    return out
+
+
+def _tally(texts: DataFrame, keyed: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, spread: bool) -> DataFrame:
+    """Rows for each bucket with packed (key, kind, n) of texts(text); keyed gives these for some texts, n may be summed.
+
+    A bucket holds whole contexts, or keys by their hash if they are spread.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def summed() -> tuple:
+            key, kind, n = (np.concatenate(x) for x in zip(*held))
+            at, n = tallied(key, n)
+            return key[at], kind[at], n
+
+        def out() -> pa.RecordBatch:
+            key, kind, n = summed()
+            bucket = mixed(key.view(np.uint64), 62) % np.uint64(width) if spread else key // CLASSES % width
+            found, _, columns = dealt(bucket.astype(np.int32), (key, kind, n))
+            return pa.RecordBatch.from_arrays([pa.array(found), *columns], schema=_TALLY)
+
+        for batch in batches:
+            for part in slices(batch, ROWS, 4 << 20):
+                held.append(keyed(part.column(0)))
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                held = [summed()]
+                if len(held[0][0]) > 1_000_000:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+    return texts.mapInArrow(run, "bucket int, key binary, kind binary, n binary")
+
+
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, kind, n = (flat(rows.column(c), t)[0] for c, t in (("key", np.int64), ("kind", np.int8), ("n", np.int64)))
+    at, n = tallied(key, n)
+    return key[at], kind[at], n
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(token, kind, c) of all distinct tokens of texts(text); the end has kind -1."""
+    def keyed(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers, _, tokens, kinds = read(part)
+        return tokens, kinds.astype(np.int8), np.bincount(numbers, minlength=len(tokens))
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(_merged(rows), _COUNTS)], schema=_COUNTS)
+    return _tally(texts, keyed, shuffle_width(texts.sparkSession), True).groupBy("bucket").applyInArrow(merge, "token long, kind int, c long")
+
+
+def places(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each token is in the sorted known ones, or -1."""
+    if not len(known):
+        return np.full(len(tokens), -1)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, at, -1)
+
+
+def classed(tokens: np.ndarray, kinds: np.ndarray, singles: dict[int, int]) -> np.ndarray:
+    """Class of each token; the last is the end."""
+    known = np.array(sorted(singles), dtype=np.int64)
+    own = places(tokens, known)
+    out = np.where(own >= 0, np.array([singles[t] for t in known.tolist()] + [0])[own], 1 + SINGLES + kinds)
+    out[-1] = 0
+    return out
+
+
+def before(numbers: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
+    """The number before each, or start."""
+    out = np.concatenate(([start], numbers[:-1]))
+    out[edges[:-1]] = start
+    return out
 
 
 def contexts(classes: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -138,12 +262,12 @@ def log_softmax(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Counts and weights: what scoring needs, all of it bounded but for the table of token counts."""
+    """Counts and weights: what scoring needs, all of it bounded but for the token counts and the texts, whose pairs are features."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, singles: dict[int, int], kinds: dict[int, tuple[int, int]],
-                 head: tuple[np.ndarray, np.ndarray], weights: np.ndarray):
-        self.counts, self.total, self.distinct, self.singles, self.kinds = counts, total, distinct, singles, kinds
-        self.head, self.weights = head, weights
+    def __init__(self, texts: DataFrame, counts: DataFrame, total: int, distinct: int, ends: int, singles: dict[int, int],
+                 kinds: dict[int, tuple[int, int]], head: tuple[np.ndarray, np.ndarray], after: np.ndarray, weights: np.ndarray):
+        self.texts, self.counts, self.total, self.distinct, self.ends = texts, counts, total, distinct, ends
+        self.singles, self.kinds, self.head, self.after, self.weights = singles, kinds, head, after, weights
 
     def room(self) -> np.ndarray:
         """The denominator of each suffix class: its tokens, one more for each distinct one and one for all unknown words."""
@@ -151,9 +275,8 @@ class Model:
 
 
 def train(texts: DataFrame, steps: int = STEPS, rate: float = RATE, prior: float = PRIOR) -> Model:
-    """Fit the model to texts(text): every document counts, in the vocabulary and in each gradient."""
-    counts = materialised(texts.mapInArrow(by_batch(_count, _COUNTS), "token long, kind int, n long").groupBy("token", "kind").agg(
-        F.sum("n").alias("c")), "counts")
+    """Fit the model to texts(text): every document counts, in the vocabulary, in each gradient and in the pairs."""
+    counts = materialised(word_counts(texts), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.filter("kind >= 0").orderBy(F.desc("c"), "token").limit(HEAD).select("token", "c").toArrow()
     tokens, times = frequent.column(0).to_numpy(), frequent.column(1).to_numpy()
@@ -162,24 +285,39 @@ def train(texts: DataFrame, steps: int = STEPS, rate: float = RATE, prior: float
     kinds = {r["kind"]: (r["c"], r["v"]) for r in rest.groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     order = np.argsort(tokens)
     head = (tokens[order], times[order])
-
-    words = Words(singles)
-
-    def code(batch: pa.RecordBatch) -> pa.RecordBatch:
-        numbers, edges = words.read(batch.column(0))
-        classes = words.classed(numbers)
-        found, n = np.unique(contexts(classes, edges) * CLASSES + classes, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], schema=_CODES)
-
-    seen = texts.mapInArrow(by_batch(code, _CODES), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).select(
-        F.floor(F.col("code") / CLASSES).alias("context"), F.pmod("code", F.lit(CLASSES)).alias("target"), "n")
-    # at most ORDER ** 3 rows, whatever the corpus
-    table = materialised(seen.groupBy("context").agg(
-        F.collect_list("target").alias("targets"), F.collect_list("n").alias("n")).coalesce(8), "contexts")
+    known = head[0]
+
+    def keyed(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers, edges, tokens, kinds = read(part)
+        of = classed(tokens, kinds, singles)
+        classes = of[numbers]
+        # the place before a text counts as one more frequent word
+        last = np.append(places(tokens, known), len(known))[before(numbers, edges, len(tokens))]
+        pair = (classes > SINGLES) & (last >= 0)
+        key = np.concatenate((contexts(classes, edges) * CLASSES + classes, AFTER + last[pair] * CLASSES + classes[pair]))
+        key, n = np.unique(key, return_counts=True)
+        return key, np.zeros(len(key), dtype=np.int8), n
+
+    def merge(rows: pa.Table) -> pa.Table:
+        key, _, n = _merged(rows)
+        context, target = key // CLASSES, key % CLASSES
+        edges = pa.array(np.append(first := starts(context), len(key)).astype(np.int32))
+        return pa.Table.from_arrays([
+            pa.array(context[first]), pa.ListArray.from_arrays(edges, pa.array(target)), pa.ListArray.from_arrays(edges, pa.array(n))], schema=_SEEN)
+
+    # at most ORDER ** 3 rows for contexts and HEAD + 1 for frequent words, whatever the corpus
+    seen = materialised(_tally(texts, keyed, shuffle_width(texts.sparkSession), False).groupBy("bucket").applyInArrow(
+        merge, "context long, targets array<long>, n array<long>"), "contexts")
+    table = seen.filter(F.col("context") < ORDER ** 3).coalesce(8)
+    after = np.zeros((len(known) + 1, SUFFIXES), dtype=np.int64)
+    found = seen.filter(F.col("context") >= ORDER ** 3).toArrow()
+    row = np.repeat(found.column(0).to_numpy() - ORDER ** 3, pc.list_value_length(found.column(1)).to_numpy())
+    after[row, pc.list_flatten(found.column(1)).to_numpy() - 1 - SINGLES] = pc.list_flatten(found.column(2)).to_numpy()
 
     weights = np.zeros((1 << HASH_BITS, CLASSES), dtype=np.float32)
     frequency = np.ones(CLASSES)
-    frequency[0] = max(1, counts.filter("kind < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    ends = counts.filter("kind < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    frequency[0] = max(1, ends)
     frequency[1:1 + min(SINGLES, len(times))] = times[:SINGLES]
     for k, (c, _) in kinds.items():
         frequency[1 + SINGLES + k] = c
@@ -193,7 +331,7 @@ def train(texts: DataFrame, steps: int = STEPS, rate: float = RATE, prior: float
         square = 0.99 * square + 0.01 * gradient ** 2
         pace = rate * (1 - (step - 1) / steps)
         weights = (weights - pace * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return Model(counts, total, distinct, singles, kinds, head, weights)
+    return Model(texts, counts, total, distinct, ends, singles, kinds, head, after, weights)
 
 
 def _gradients(weights: np.ndarray):
@@ -219,75 +357,152 @@ def _gradients(weights: np.ndarray):
     return run
 
 
-def _scores(model: Model, ends: int):
-    total, distinct, singles = model.total, model.distinct, model.singles
-    (head_tokens, head_counts), weights, room = model.head, model.weights, model.room()
-    words = Words(singles)
-    base_room = total + distinct + 1
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, copy = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        numbers, edges = words.read(batch.column(2))
-        classes = words.classed(numbers)
-        context, inverse = np.unique(contexts(classes, edges), return_inverse=True)
-        chance = np.empty(len(classes))
-        step = 50_000
-        order = np.argsort(inverse, kind="stable")
-        cut = np.searchsorted(inverse[order], np.arange(0, len(context) + step, step))
-        for k in range(0, len(context), step):
-            at = order[cut[k // step]:cut[k // step + 1]]
-            chance[at] = log_softmax(weights, context[k:k + step])[inverse[at] - k, classes[at]]
-        chance /= np.log(10)
-        tokens = np.concatenate((np.array(words.tokens, dtype=np.int64), [END_TOKEN]))
-        kinds = np.concatenate((np.array(words.kinds, dtype=np.int64), [0]))
-        place = np.minimum(np.searchsorted(head_tokens, tokens), max(0, len(head_tokens) - 1))
-        count = np.where(head_tokens[place] == tokens, head_counts[place], -1) if len(head_tokens) else np.full(len(tokens), -1)
+def _sends(model: Model, buckets: int):
+    """A mapInArrow function of (doc, use, text): what a batch knows of its documents, and the records of its pairs by bucket."""
+    total, distinct, singles, ends = model.total, model.distinct, model.singles, model.ends
+    (head_tokens, head_counts), after, weights = model.head, model.after, model.weights
+
+    def send(batch: pa.RecordBatch, name: bytes, chances: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, use = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        numbers, edges, tokens, kinds = read(batch.column(2))
+        own = xxhash.xxh64_intdigest(name + doc.tobytes()) >> 1
+        size, rows = len(tokens), batch.num_rows
+        of = classed(tokens, kinds, singles)
+        classes, text = of[numbers], np.repeat(np.arange(rows), np.diff(edges))
+        context = contexts(classes, edges)
+        needed = np.zeros(ORDER ** 3, dtype=bool)
+        needed[context] = True
+        needed = np.flatnonzero(needed & ~known)
+        for k in range(0, len(needed), 20_000):
+            chances[needed[k:k + 20_000]] = log_softmax(weights, needed[k:k + 20_000])
+        known[needed] = True
+        chance = chances[context, classes] / np.log(10)
+
+        place = places(tokens, head_tokens)
+        count = np.where(place >= 0, np.append(head_counts, 0)[place], 0)
         count[-1] = ends
-        within = np.log10(np.maximum(count, 0) + 1) - np.log10(room[kinds])
-        own = np.array([t in singles for t in words.tokens] + [True], dtype=bool)
-        within[own] = 0
-        base = np.log10(np.maximum(count, 0) + 1) - np.log10(base_room)
-        here = count[numbers] >= 0
-        text = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-        sums = [np.bincount(text, weights=w, minlength=batch.num_rows) for w in (
-            np.where(here, within[numbers], 0) + chance, np.where(here, base[numbers], 0), (count[numbers] > 0).astype(float))]
-        far = np.flatnonzero(~here)
-        pair, n = np.unique(text[far] * len(tokens) + numbers[far], return_counts=True)
-        at, number = pair // len(tokens), pair % len(tokens)
-        rows, zeros = batch.num_rows, np.zeros(len(pair))
-        spread = mixed(doc.astype(np.uint64), 61).view(np.int64)
-        columns = [
-            np.concatenate((doc, doc[at])), np.concatenate((copy, copy[at])), np.concatenate((spread, tokens[number])),
-            np.concatenate((np.full(rows, -1), kinds[number])), np.concatenate((np.zeros(rows), n)),
-            np.concatenate((np.ones(rows), zeros)), np.concatenate((np.diff(edges), zeros)), np.concatenate((sums[2], zeros)),
-            np.concatenate((sums[1], zeros)), np.concatenate((sums[0], zeros))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _SCORED)], schema=_SCORED)
-    return make
+        here = place >= 0
+        here[-1] = True
+        base = np.where(here, np.log10((count + 1) / (total + distinct + 1)), 0)
+        # pairs whose second word shares its class with others
+        last = before(numbers, edges, size)
+        inside = classes > SINGLES
+        pair, n = np.unique((text[inside] * (size + 1) + last[inside]) * size + numbers[inside], return_counts=True)
+        row, first, second = pair // size // (size + 1), pair // size % (size + 1), pair % size
+        kind, first_place = kinds[second], np.append(place, len(head_tokens))[first]
+        after_known = first_place >= 0
+        room_after = np.where(after_known, -n * np.log10(after[first_place, kind] + PAIR_PRIOR), 0)
+        sums = [np.bincount(text, weights=w, minlength=rows) for w in (chance, base[numbers], (here & (count > 0))[numbers])]
+        home = np.zeros(rows, dtype=_HOME)
+        home["id"], home["tokens"], home["known"], home["doc"] = doc, np.diff(edges), sums[2], np.arange(rows)
+        home["base"], home["score"] = sums[1], sums[0] + np.bincount(row, weights=room_after, minlength=rows)
+
+        word = np.append(tokens, ~END_TOKEN).view(np.uint64)
+        rare = ~here[second]
+        far, far_n = np.unique(((row * (size + 1) + first) * SUFFIXES + kind)[~after_known], return_inverse=True)
+        far_n = np.bincount(far_n, weights=n[~after_known], minlength=len(far)).astype(np.int64)
+        key = np.concatenate((np.where(rare, word[second], word[first]), word[far // SUFFIXES % (size + 1)]))
+        sub = np.concatenate((np.where(rare, mixed(word, 63)[first] >> np.uint64(32), place[second].astype(np.uint64)), np.zeros(len(far), dtype=np.uint64)))
+        code = np.concatenate((kind + np.where(rare, RARE, FREQUENT) * 32, far % SUFFIXES + BEFORE * 32))
+        row, n = np.concatenate((row, far // SUFFIXES // (size + 1))), np.concatenate((n, far_n))
+        # rare tokens are counted in their bucket; the pairs of a frequent word are spread
+        bucket = (np.where(code < 32, mixed(key, 62), _group(key, sub, code)) % np.uint64(buckets)).astype(
+            np.uint16 if buckets <= 1 << 16 else np.uint32)
+        order = np.argsort(row.astype(np.uint16), kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        records = (key[order], sub[order], code[order], (row | use[row] << 12)[order], n[order])
+        found, sizes, columns = packed(bucket[order], [r.astype(t) for r, t in zip(records, _RECORD.values())])
+        none = [pa.nulls(1, pa.binary())] * len(_RECORD)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([own % buckets], pa.int32()), pa.array([own], pa.int64()), pa.array([-len(order)], pa.int64()),
+            pa.array([home[use & SCORE > 0].tobytes()], pa.binary()), *none], schema=_SENT)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(found.astype(np.int32)), pa.array(np.full(len(found), own)), pa.array(sizes), pa.nulls(len(found), pa.binary()), *columns], schema=_SENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k = TaskContext.get().partitionId(), 0
+        # the class factor of the contexts met so far
+        chances, known = np.empty((ORDER ** 3, CLASSES), dtype=np.float32), np.zeros(ORDER ** 3, dtype=bool)
+        for batch in batches:
+            for part in slices(batch, ROWS, 4 << 20):
+                yield from send(part, b"%d %d " % (task, k), chances, known)
+                k += 1
+    return run
+
+
+def _group(key: np.ndarray, sub: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """What is counted together; frequent tokens and rare words before a class need the kind, too."""
+    with np.errstate(over="ignore"):
+        return mixed(key + mixed(sub.astype(np.uint64) << np.uint64(8) | code.astype(np.uint64), 64), 65)
+
+
+def _adds(model: Model):
+    """An applyInArrow function of a bucket: counts its records' keys in training and sums the scores by batch and document."""
+    room, scale, head_counts = model.room(), model.total + model.distinct + 1, np.append(model.head[1], 0)
+
+    def add(rows: pa.Table) -> pa.Table:
+        at_home = rows.filter(pc.is_valid(rows.column("home")))
+        rows = rows.filter(pc.is_null(rows.column("home")))
+        (key, sizes), *others = [flat(rows.column(c), t) for c, t in _RECORD.items()]
+        sub, code, doc, n = (x.astype(np.int64) for x, _ in others)
+        learnt = n * (doc >> 12 & LEARN)
+        kind, sort = code & 31, code >> 5
+        pairs = counts_of(_group(key, sub, code), learnt)
+        rare, words = np.flatnonzero(sort == RARE), sort != BEFORE
+        times = np.where(sort == FREQUENT, head_counts[np.where(sort == FREQUENT, sub, 0)], 0)
+        times[rare] = counts_of(key[rare], learnt[rare])
+        share = np.where(words, (times + 1) / room[kind], 1)
+        score = n * np.log10(pairs + PAIR_PRIOR * share) * np.where(words, 1, -1)
+        base, known = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
+        base[rare] = n[rare] * np.log10((times[rare] + 1) / scale)
+        known[rare] = n[rare] * (times[rare] > 0)
+        blob = np.repeat(np.arange(rows.num_rows), sizes)
+        first = starts(blob * ROWS + (doc & 0xFFF))
+        summed = [np.add.reduceat(x, first) if len(first) else x for x in (known, base, score)]
+        blob, doc = blob[first], doc[first]
+        wanted = doc >> 12 & SCORE > 0
+        found, _, columns = packed(blob[wanted], [x[wanted].astype(t) for x, t in zip((doc & 0xFFF, *summed), _SUM.values())])
+        left = np.setdiff1d(np.arange(rows.num_rows), found)  # batches that only learn here
+        batch, records = (rows.column(c).to_numpy() for c in ("batch", "records"))
+        parts = [pa.RecordBatch.from_arrays([
+            pa.array(batch[found]), pa.array(records[found]), pa.nulls(len(found), pa.binary()), *columns], schema=_SUMS)]
+        parts += [pa.RecordBatch.from_arrays([
+            pa.array(b), pa.array(r), h, *[pa.nulls(len(b), pa.binary())] * len(_SUM)], schema=_SUMS) for b, r, h in (
+            (batch[left], records[left], pa.nulls(len(left), pa.binary())),
+            (at_home.column("batch").to_numpy(), at_home.column("records").to_numpy(), at_home.column("home").combine_chunks().cast(pa.binary())))]
+        return pa.Table.from_batches(parts, schema=_SUMS)
+    return add
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    """The documents of a batch with the sums of their parts."""
+    if pc.sum(rows.column("records")).as_py() != 0:
+        raise RuntimeError("a batch of documents was read again with other rows; store the input first")
+    home = np.frombuffer(rows.column("home").drop_null()[0].as_py(), dtype=_HOME)
+    doc, *found = [flat(rows.column(c).drop_null(), t)[0] for c, t in _SUM.items()]
+    known, base, score = (np.bincount(doc, weights=x, minlength=ROWS)[home["doc"]] for x in found)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((
+        home["id"], home["tokens"], home["known"] + known.astype(np.int64), home["base"] + base, home["score"] + score), _SCORED)], schema=_SCORED)
+
+
+def _score(rows: DataFrame, model: Model) -> DataFrame:
+    buckets = max(shuffle_width(rows.sparkSession), model.total // BUCKET)
+    sent = rows.mapInArrow(_sends(model, buckets), _SENT_DDL)
+    found = sent.groupBy("bucket").applyInArrow(_adds(model), _SUMS_DDL).groupBy("batch").applyInArrow(_total, _SCORED_DDL)
+    return found.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_tokens", "n_known", "base_score", "score")
+
+
+def _rows(docs: DataFrame, use: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), use.alias("use"), F.col("text").cast("string").alias("text"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row of docs(doc_id, text).
 
-    A null text has only the end. Rows that share a doc_id and a text have one result, given for each of them.
+    A null text has only the end. The model's texts are read again for their pairs.
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("copy"), F.col("text").cast("string"))
-    ends = model.counts.filter("kind < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    parts = rows.mapInArrow(by_batch(_scores(model, int(ends)), _SCORED), _SCORED_DDL)
-    c = F.coalesce("c", F.lit(0))
-    room = F.element_at(F.array(*[F.lit(float(x)) for x in model.room()]), F.greatest(F.col("kind"), F.lit(0)) + 1)
-    far = F.col("kind") >= 0
-    looked_up = parts.join(model.counts.filter("kind >= 0").select("token", "c"), "token", "left").select(
-        "doc", "copy", "rows", "n_tokens",
-        F.when(far, F.when(c > 0, F.col("n")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(far, F.col("n") * F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).otherwise(F.col("base")).alias("base"),
-        F.when(far, F.col("n") * F.log10((c + 1) / room)).otherwise(F.col("score")).alias("score"))
-    summed = looked_up.groupBy("doc", "copy").agg(*[F.sum(x).alias(x) for x in ("rows", "n_tokens", "n_known", "base", "score")])
-    each = [(F.col(x) / F.col("rows")).cast(t).alias(y) for x, t, y in (
-        ("n_tokens", "long", "n_tokens"), ("n_known", "long", "n_known"), ("base", "double", "base_score"), ("score", "double", "score"))]
-    return summed.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), *each)
+    learnt = model.texts.select(F.lit(NULL_ID).alias("doc"), F.lit(LEARN).alias("use"), F.col("text").cast("string").alias("text"))
+    return _score(_rows(docs, F.lit(SCORE)).unionByName(learnt), model)
 
 
 def scored(docs: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -297,7 +512,8 @@ def scored(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     base_score is an add-one unigram model's, score this model's log10 probability of the whole text with its end. Words
     that training lacks share one place in their class. Other columns are ignored; an empty table gives an empty result.
     """
-    model = train(docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("string")), steps)
-    return score(docs, model).select(
+    model = train(docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text")), steps)
+    rows = _rows(docs, F.when(held_out(F.col("doc_id")), SCORE).otherwise(LEARN | SCORE))
+    return _score(rows, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
