@@ -5,12 +5,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import odd
 from tidemark.llm import maxent, repeats, simhash, winnow
+from tidemark.llm.common import words_of
 
 
 @pytest.fixture(scope="module")
@@ -263,3 +265,15 @@ def test_language_model_tells_words_of_one_class_apart(spark):
     rows = [(1, "grey xcat sat"), (2, "grey ycat sat"), (3, "drey ycat sat"), (4, "drey xcat sat")]
     found = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert found[1] > found[2] + 0.05 and found[3] > found[4] + 0.05
+
+
+def test_language_model_reads_words_from_slices():
+    space = "".join(map(chr, range(1, 256))) + "\u2003\u0130"
+    texts = ["Ab  cd", None, "", " \t\x0b", space.join("xYz"), "é É \U0001f600 end ", "one", " a" * 30] * 3
+    array = pa.array(texts)
+    for start, length in ((0, 24), (3, 20), (11, 1), (9, 2)):
+        numbers, edges, tokens, kinds = maxent.read(array.slice(start, length))
+        for k, text in enumerate(texts[start:start + length]):
+            words, found = words_of(text, lower=True), numbers[edges[k]:edges[k + 1]]
+            assert tokens[found].view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w) for w in [*words, b"\n"]]
+            assert kinds[found].tolist() == [maxent.kind_of(w) for w in words] + [-1]
