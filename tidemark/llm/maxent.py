@@ -305,7 +305,7 @@ def train(texts: DataFrame, steps: int = STEPS, rate: float = RATE, prior: float
         return pa.Table.from_arrays([
             pa.array(context[first]), pa.ListArray.from_arrays(edges, pa.array(target)), pa.ListArray.from_arrays(edges, pa.array(n))], schema=_SEEN)
 
-    # at most ORDER ** 3 rows for contexts and HEAD + 1 for frequent words, whatever the corpus
+    # a row for each three classes and each frequent word that occur: ORDER ** 3 and HEAD + 1 of them exist, none is left out
     seen = materialised(_tally(texts, keyed, shuffle_width(texts.sparkSession), False).groupBy("bucket").applyInArrow(
         merge, "context long, targets array<long>, n array<long>"), "contexts")
     table = seen.filter(F.col("context") < ORDER ** 3).coalesce(8)
