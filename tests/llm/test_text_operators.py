@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -277,3 +279,44 @@ def test_language_model_reads_words_from_slices():
             words, found = words_of(text, lower=True), numbers[edges[k]:edges[k + 1]]
             assert tokens[found].view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w) for w in [*words, b"\n"]]
             assert kinds[found].tolist() == [maxent.kind_of(w) for w in words] + [-1]
+
+
+def bucket_of_records(size, batches):
+    """A model and a bucket of the pairs of some batches, as scoring sends them."""
+    rng = np.random.default_rng(11)
+    model = SimpleNamespace(
+        total=10_000_000, distinct=300_000, head=(np.arange(1000), rng.integers(1, 9000, 1000)), room=lambda: np.full(maxent.SUFFIXES, 4e5))
+    sort = rng.integers(0, 3, size)
+    doc = rng.integers(0, 40, size)
+    drawn = {"key": rng.zipf(1.2, size) % 50_000, "sub": np.where(sort == maxent.FREQUENT, rng.integers(0, 1000, size), sort == maxent.RARE),
+             "code": rng.integers(0, 4, size) + 32 * sort, "doc": doc | np.where(doc % 7 == 2, maxent.SCORE, maxent.LEARN | maxent.SCORE) << 12,
+             "n": rng.integers(1, 4, size)}
+    batch = np.arange(size) * batches // size
+    order = np.lexsort((doc, batch))
+    _, sizes, columns = maxent.packed(batch, [drawn[c][order].astype(t) for c, t in maxent._RECORD.items()])
+    sent = [pa.array(np.zeros(batches, dtype=np.int32)), pa.array(np.arange(batches)), pa.array(sizes), pa.nulls(batches, pa.binary()), *columns]
+    home = [pa.array([0], pa.int32()), pa.array([0]), pa.array([-size]), pa.array([b"home"]), *[pa.nulls(1, pa.binary())] * len(columns)]
+    return model, pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=maxent._SENT) for x in (sent, home)])
+
+
+def test_language_model_counts_a_bucket_in_parts(monkeypatch):
+    model, bucket = bucket_of_records(30_000, 25)
+    monkeypatch.setattr(maxent, "PART", 1_000_000)
+    whole = maxent._adds(model)(bucket)
+    monkeypatch.setattr(maxent, "PART", 700)
+    parts = maxent._adds(model)(bucket)
+    assert whole.num_rows == 26 and whole.select(["batch", "records", "home", "doc", "known"]).equals(parts.select(["batch", "records", "home", "doc", "known"]))
+    for c in ("base", "score"):
+        assert np.allclose(maxent.flat(whole.column(c), np.float64)[0], maxent.flat(parts.column(c), np.float64)[0], rtol=1e-9)
+
+
+def test_language_model_needs_little_memory_for_a_bucket():
+    size = 2_000_000
+    model, bucket = bucket_of_records(size, 200)
+    tracemalloc.start()
+    try:
+        maxent._adds(model)(bucket)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * size

@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import NULL_ID, materialised, mixed, shuffle_width, slices
+from tidemark.llm.common import NULL_ID, materialised, mixed, shuffle_width, slices, small_batches
 
 SINGLES = 40
 SUFFIXES = 23
@@ -39,6 +39,8 @@ PAIR_PRIOR = 100.0
 HEAD = 65_536
 #: Training tokens for each bucket of pairs, about.
 BUCKET = 2_000_000
+#: Records of a bucket that are counted at a time, about.
+PART = 200_000
 ROWS = 2048
 #: No word holds a line end.
 END_TOKEN = xxhash.xxh64_intdigest(b"\n") - 2 ** 64 * (xxhash.xxh64_intdigest(b"\n") >> 63)
@@ -276,6 +278,7 @@ class Model:
 
 def train(texts: DataFrame, steps: int = STEPS, rate: float = RATE, prior: float = PRIOR) -> Model:
     """Fit the model to texts(text): every document counts, in the vocabulary, in each gradient and in the pairs."""
+    small_batches(texts.sparkSession)
     counts = materialised(word_counts(texts), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.filter("kind >= 0").orderBy(F.desc("c"), "token").limit(HEAD).select("token", "c").toArrow()
@@ -405,9 +408,7 @@ def _sends(model: Model, buckets: int):
         sub = np.concatenate((np.where(rare, mixed(word, 63)[first] >> np.uint64(32), place[second].astype(np.uint64)), np.zeros(len(far), dtype=np.uint64)))
         code = np.concatenate((kind + np.where(rare, RARE, FREQUENT) * 32, far % SUFFIXES + BEFORE * 32))
         row, n = np.concatenate((row, far // SUFFIXES // (size + 1))), np.concatenate((n, far_n))
-        # rare tokens are counted in their bucket; the pairs of a frequent word are spread
-        bucket = (np.where(code < 32, mixed(key, 62), _group(key, sub, code)) % np.uint64(buckets)).astype(
-            np.uint16 if buckets <= 1 << 16 else np.uint32)
+        bucket = (_together(key, sub, code) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
         order = np.argsort(row.astype(np.uint16), kind="stable")
         order = order[np.argsort(bucket[order], kind="stable")]
         records = (key[order], sub[order], code[order], (row | use[row] << 12)[order], n[order])
@@ -430,6 +431,11 @@ def _sends(model: Model, buckets: int):
     return run
 
 
+def _together(key: np.ndarray, sub: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """What records need the same bucket by: rare tokens are counted over all their pairs, the pairs of a frequent word are spread."""
+    return np.where(code < 32, mixed(key, 62), _group(key, sub, code))
+
+
 def _group(key: np.ndarray, sub: np.ndarray, code: np.ndarray) -> np.ndarray:
     """What is counted together; frequent tokens and rare words before a class need the kind, too."""
     with np.errstate(over="ignore"):
@@ -437,14 +443,14 @@ def _group(key: np.ndarray, sub: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def _adds(model: Model):
-    """An applyInArrow function of a bucket: counts its records' keys in training and sums the scores by batch and document."""
+    """An applyInArrow function of a bucket: counts its records' keys in training and sums the scores by batch and document.
+
+    Records are counted in parts by what is counted together, so that a bucket needs little more than its own bytes.
+    """
     room, scale, head_counts = model.room(), model.total + model.distinct + 1, np.append(model.head[1], 0)
 
-    def add(rows: pa.Table) -> pa.Table:
-        at_home = rows.filter(pc.is_valid(rows.column("home")))
-        rows = rows.filter(pc.is_null(rows.column("home")))
-        (key, sizes), *others = [flat(rows.column(c), t) for c, t in _RECORD.items()]
-        sub, code, doc, n = (x.astype(np.int64) for x, _ in others)
+    def part_sums(key: np.ndarray, sub: np.ndarray, code: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What each record adds to (known, base, score) of its document; no other record is counted together with these."""
         learnt = n * (doc >> 12 & LEARN)
         kind, sort = code & 31, code >> 5
         pairs = counts_of(_group(key, sub, code), learnt)
@@ -456,14 +462,32 @@ def _adds(model: Model):
         base, known = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
         base[rare] = n[rare] * np.log10((times[rare] + 1) / scale)
         known[rare] = n[rare] * (times[rare] > 0)
-        blob = np.repeat(np.arange(rows.num_rows), sizes)
-        first = starts(blob * ROWS + (doc & 0xFFF))
-        summed = [np.add.reduceat(x, first) if len(first) else x for x in (known, base, score)]
-        blob, doc = blob[first], doc[first]
-        wanted = doc >> 12 & SCORE > 0
-        found, _, columns = packed(blob[wanted], [x[wanted].astype(t) for x, t in zip((doc & 0xFFF, *summed), _SUM.values())])
-        left = np.setdiff1d(np.arange(rows.num_rows), found)  # batches that only learn here
-        batch, records = (rows.column(c).to_numpy() for c in ("batch", "records"))
+        return known, base, score
+
+    def add(rows: pa.Table) -> pa.Table:
+        without = pc.is_null(rows.column("home"))
+        at_home = rows.select(["batch", "records", "home"]).filter(pc.invert(without))
+        batch, records = (rows.column(c).filter(without).to_numpy() for c in ("batch", "records"))
+        (key, sizes), *others = [flat(rows.column(c).filter(without), t) for c, t in _RECORD.items()]
+        sub, code, doc, n = (x for x, _ in others)
+        # the records of one document in one batch have one sum
+        blob = np.repeat(np.arange(len(batch), dtype=np.int32), sizes)
+        first = starts(blob * np.int64(ROWS) + (doc & 0xFFF))
+        place = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(doc))))
+        blob, held = blob[first], doc[first]
+        summed = [np.zeros(len(first)) for _ in range(3)]
+        parts = 1 + len(key) // PART
+        part = np.zeros(len(key), dtype=np.uint16)
+        for k in range(0, len(key), PART):
+            here = slice(k, k + PART)
+            part[here] = mixed(_together(key[here], sub[here], code[here]), 66) % np.uint64(parts)
+        for k in range(parts):
+            at = np.flatnonzero(part == k)
+            for total, own in zip(summed, part_sums(key[at], sub[at].astype(np.int64), code[at].astype(np.int64), doc[at], n[at].astype(np.int64))):
+                total += np.bincount(place[at], weights=own, minlength=len(first))
+        wanted = held >> 12 & SCORE > 0
+        found, _, columns = packed(blob[wanted], [x[wanted].astype(t) for x, t in zip((held & 0xFFF, *summed), _SUM.values())])
+        left = np.setdiff1d(np.arange(len(batch)), found)  # batches that only learn here
         parts = [pa.RecordBatch.from_arrays([
             pa.array(batch[found]), pa.array(records[found]), pa.nulls(len(found), pa.binary()), *columns], schema=_SUMS)]
         parts += [pa.RecordBatch.from_arrays([
@@ -486,6 +510,7 @@ def _total(rows: pa.Table) -> pa.Table:
 
 
 def _score(rows: DataFrame, model: Model) -> DataFrame:
+    small_batches(rows.sparkSession)
     buckets = max(shuffle_width(rows.sparkSession), model.total // BUCKET)
     sent = rows.mapInArrow(_sends(model, buckets), _SENT_DDL)
     found = sent.groupBy("bucket").applyInArrow(_adds(model), _SUMS_DDL).groupBy("batch").applyInArrow(_total, _SCORED_DDL)
