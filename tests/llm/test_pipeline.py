@@ -1,8 +1,11 @@
 """The whole pipeline on odd rows and on an empty table."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
+import pytest
+
 import corpus_pipeline
 from tests.llm import odd
 from tidemark.sources.storage import shared_folder
@@ -43,3 +46,11 @@ def test_run_leaves_only_what_it_returns(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
     assert "source_mix" in left and not left & {"toxicity", "near_dedup", "secret_scan", "fingerprints", "stars", "candidates", "words"}
+
+
+@pytest.mark.parametrize("name", ["secret_scan", "source_mix"])
+def test_plans_stay_small_on_the_driver(spark, sf_dir, name):
+    # the driver tells its listeners the whole plan again whenever a shuffle of it has ended
+    stage = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    plan = stage._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) <= 4 and "threshold" not in plan  # nor the forest

@@ -6,6 +6,7 @@ into equal blocks; its r-th slot takes its r-th block.
 """
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -107,20 +108,24 @@ class Mix:
             list(zip(range(len(found)), self.names, self.sizes, self.goals, self.whole)) or [(0, None, 0, 0.0, 0)],
             "source_no int, source string, source_size long, target double, whole long")
 
+    @cached_property
     def placed(self) -> DataFrame:
-        """Rows of documents with the place of their first word on their source's line; equal rows come once, with their count."""
+        """Rows of documents with the place of their first word on their source's line; equal rows come once, with their count.
+
+        They are written once: the schedule and what joins it read them, and each of their plans stays small on the driver.
+        """
         merged = self.rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("copies"))
         numbered = merged.join(F.broadcast(self.sources), merged.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
         spread = numbered.withColumn("_order", F.xxhash64("text_hash", "doc_id", F.lit(7))).withColumn(
             "_bucket", F.floor((F.col("_order") / F.lit(2.0 ** 64) + 0.5) * self.buckets).cast("long")).withColumn(
             "_words", F.col("size") * F.col("copies"))
-        return _running(spread, "source_no", "_bucket", ["_order", "doc_id", "text_hash"], "_words", "place")
+        return materialised(_running(spread, "source_no", "_bucket", ["_order", "doc_id", "text_hash"], "_words", "place"), "placed")
 
     def spans(self) -> DataFrame:
         """(slot, source_no, doc_id, text_hash, from_word, n_words): the schedule; from_word counts through a document's copies."""
         quota = [-(-n // self.block) for n in self.whole]
         epoch = F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))).alias("_epoch")
-        copies = self.placed().filter("_words > 0").select("*", epoch).withColumn(
+        copies = self.placed.filter("_words > 0").select("*", epoch).withColumn(
             "_from", F.col("_epoch") * F.col("source_size") + F.col("place")).filter("_from < whole").withColumn(
             "_to", F.least(F.col("_from") + F.col("_words"), F.col("whole")))
         cut = copies.withColumn("rank", F.explode(F.sequence(
@@ -138,7 +143,7 @@ class Mix:
         null ids are kept. An empty table gives an empty result.
         """
         drawn = self.spans().groupBy("source_no", "doc_id", "text_hash").agg(F.sum("n_words").alias("_taken"))
-        placed = self.placed()
+        placed = self.placed
         joined = placed.join(
             drawn, (placed.source_no == drawn.source_no) & placed.doc_id.eqNullSafe(drawn.doc_id) & (placed.text_hash == drawn.text_hash),
             "left").select(placed["*"], F.coalesce("_taken", F.lit(0)).alias("_taken"))
@@ -155,8 +160,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     """
     docs, restore = set_aside(docs, ("doc_id", "text", "source"))
     mix = Mix(docs, weights, most, block)
-    drawn = mix.spans().groupBy("source_no", "doc_id", "text_hash").agg(F.sum("n_words").alias("_taken"))
-    placed = mix.placed().select("source_no", "doc_id", "text_hash", "source", "_words").alias("p")
+    drawn = materialised(mix.spans().groupBy("source_no", "doc_id", "text_hash").agg(F.sum("n_words").alias("_taken")), "drawn")
+    placed = mix.placed.select("source_no", "doc_id", "text_hash", "source", "_words").alias("p")
     times = drawn.alias("d").join(placed, (F.col("d.source_no") == F.col("p.source_no")) & (F.col("d.text_hash") == F.col("p.text_hash"))
                                   & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(
         F.col("p.doc_id").alias("_id"), F.col("p.source").alias("_source"), F.col("p.text_hash").alias("_hash"),

@@ -280,8 +280,9 @@ def masked(docs: DataFrame, path: str = "source") -> DataFrame:
     """docs with every secret in text replaced by a mask, and n_chars set anew; all rows and columns are kept."""
     docs, restore = set_aside(docs, ("doc_id", "text", "n_chars", path))
     view = docs.withColumn("_path", F.col(path)).select("doc_id", "text", F.col("_path").alias("path"))
-    found = Scanner(view).findings(view).filter("is_secret").groupBy(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("copy").alias("_copy")).agg(F.collect_set("candidate").alias("_secrets"))
+    # written before they are joined: the plan that finds them holds the forest, the one that masks them holds the columns
+    found = materialised(Scanner(view).findings(view).filter("is_secret").groupBy(
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("copy").alias("_copy")).agg(F.collect_set("candidate").alias("_secrets")), "secrets")
     some = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     keyed = docs.filter(some).withColumn("_doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(
         "_copy_key", F.xxhash64("text", F.col(path).cast("string")))
